@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import secrets, simhash
+from quillon.llm import compression, quality_cnn, secrets, simhash
 from quillon.session import table
 
 
@@ -15,12 +15,22 @@ def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.apply_rules(table(spark, sf_dir, "documents"))
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": simhash_dedup,
+    "op5_quality_cnn": quality_network,
+    "op7_compression_bands": compression_bands,
     "op9_secret_scan": secret_scan,
 }
 ORACLES: dict[str, str] = {}
