@@ -1,8 +1,64 @@
-"""The corpus pipeline: five stages over documents."""
+"""The corpus pipeline: five stages from raw documents to packed training sequences."""
 
-STAGES = []
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import mixing, packing, quality_cnn, secrets, simhash
+from quillon.session import ensure_checkpoint_dir, table
+
+#: Each document at most once, and four fifths of what the earlier stages kept.
+PLAN = replace(mixing.PRODUCTION, share=0.8, max_epochs=1)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality_cnn.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.keep_one(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every finding is masked in its text; all documents stay."""
+    return secrets.redact(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the weighted budget selects."""
+    return mixing.select_rows(docs, PLAN).select(*docs.columns)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("secret_scans", secret_scans),
+    ("source_mixing", source_mixing),
+    ("sequence_packing", sequence_packing),
+]
+
+#: Convolution, fingerprints and byte-pair tokens have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES over documents, each written to the shared folder and read again by the next."""
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext
+    folder = f"{context._jsc.sc().getCheckpointDir().get()}/pipeline-{context.applicationId}-{context._jvm.java.util.UUID.randomUUID()}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        out = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
+        docs = spark.read.parquet(out)
+    return docs

@@ -153,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     return fit([t for _, t, _ in found], np.array([y for _, _, y in found], dtype=np.float32))
 
 
-def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, and score."""
+def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+    """All columns of docs, and the score as the last one, named score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,5 +188,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the classifier predicts as label 1, with the columns of docs."""
     net = train(docs, labels, "quality", id_col, text_col)
-    scored = score(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text")), net)
-    return scored.where(F.col("score") >= THRESHOLD).select("row.*")
+    scored = score(docs, net, text_col).toDF(*docs.columns, "_score")
+    return scored.where(F.col("_score") >= THRESHOLD).drop("_score")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import compression, quality_cnn, secrets, simhash
+from quillon.llm import compression, mixing, packing, quality_cnn, secrets, simhash
 from quillon.session import table
 
 
@@ -23,12 +23,22 @@ def compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": simhash_dedup,
+    "op3_weighted_mix": weighted_mix,
+    "op4_multi_length_packing": multi_length_packing,
     "op5_quality_cnn": quality_network,
     "op7_compression_bands": compression_bands,
     "op9_secret_scan": secret_scan,

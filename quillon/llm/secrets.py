@@ -27,6 +27,7 @@ MIN_VALUE = 6
 EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 5
 PLACEHOLDER = "(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0000|1234567|abcdef"
 KINDS = ("assign", "access", "hex", "live")
+REDACTED = "[REDACTED]"
 _MARK, _OTHER, _STEP = "\u0001", "\u0002", 256
 
 
@@ -112,8 +113,8 @@ def _written(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None) -> DataFrame:
-    """Findings of every row: counts, base_sha256, spans, and how many values are live, shared or copied examples."""
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None) -> DataFrame:
+    """(doc_id, text_hash, base, spans, n_live, n_example) for every row; base and spans: array<struct<start, kind, end>>."""
     rows = cut(candidates(docs, id_col, text_col, repo, owner))
     each = rows.where(F.size("found") + F.size("runs") > 0).select("doc_id", "text_hash", "repo", "owner", F.explode(F.concat("found", "runs")).alias("f")).select("doc_id", "text_hash", "repo", "owner", "f", F.col("f.hash").alias("hash"))
     counts = ownership(each.select("hash", "repo", "owner"))
@@ -134,16 +135,51 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo:
     )
     judged = judged.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     base = F.transform("found", lambda f: F.struct(f["start"].alias("start"), f["kind"].alias("kind"), f["end"].alias("end")))
-    count = lambda k: F.size(F.filter("found", lambda f: f["kind"] == k)).cast("long")
     everything = F.array_sort(F.concat(base, F.coalesce("extra", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
     none = F.lit(0).cast("long")
     return rows.join(judged, rows["doc_id"].eqNullSafe(judged["_id"]) & (rows["text_hash"] == judged["_hash"]), "left").select(
+        "doc_id", "text_hash", base.alias("base"), everything.alias("spans"), F.coalesce("n_live", none).alias("n_live"), F.coalesce("n_example", none).alias("n_example")
+    )
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None) -> DataFrame:
+    """Findings of every row: counts, base_sha256, spans, and how many values are live or copied examples."""
+    count = lambda k: F.size(F.filter("base", lambda f: f["kind"] == k)).cast("long")
+    return findings(docs, id_col, text_col, repo, owner).select(
         "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
-        F.sha2(_written(base), 256).alias("base_sha256"),
-        _written(everything).alias("spans"),
-        F.coalesce("n_live", none).alias("n_live"),
-        F.coalesce("n_example", none).alias("n_example"),
+        F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
+        _written(F.col("spans")).alias("spans"),
+        "n_live",
+        "n_example",
     )
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(REDACTED))).otherwise(acc["out"])
+        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"].cast("int")).alias("at"))
+
+    spans = F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
+    return F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None, length_col: str = "n_chars") -> DataFrame:
+    """docs with every finding replaced by REDACTED; length_col, where there is one, gets the new length in characters.
+
+    Texts without any candidate pass by the join, so only the few others are shuffled.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    risky = text.rlike(f"{ASSIGN}|{ACCESS}|{HEX}|{RUN}")
+    some = docs.where(risky)
+    spans = findings(some, id_col, text_col, repo, owner).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_hash"])
+    own = some.withColumn("_own", F.xxhash64(F.translate(text, _MARK, _OTHER)))
+    found = own.join(spans, own[id_col].eqNullSafe(spans["_id"]) & (own["_own"] == spans["_hash"]))
+    changed = F.when(F.size("_spans") > 0, _masked(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))
+    found = found.withColumn(text_col, changed)
+    if length_col in docs.columns:
+        found = found.withColumn(length_col, F.when(F.size("_spans") > 0, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
+    return docs.where(~risky).unionByName(found.select(*docs.columns))

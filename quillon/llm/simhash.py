@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.session import cut
@@ -52,16 +52,17 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * counts > len(grams), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, row: Column | None = None) -> DataFrame:
+    """(doc_id, row, fp): fp is the fingerprint's bits as a signed long; row: a long to carry along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), width) for t in batch.column(1).cast(pa.binary())], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            prints = np.array([fingerprint(t.as_py(), width) for t in batch.column(2).cast(pa.binary())], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "row", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    carried = F.lit(0).cast("long") if row is None else row
+    return docs.select(F.col(id_col).alias("doc_id"), carried.alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, row long, fp long")
 
 
 def links_within(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,23 +144,41 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _labels(prints: DataFrame) -> DataFrame:
+    """(fp, component, n_links): component is the least fp that fp is linked to over any number of links."""
+    edges = cut(links(prints.select("fp")))
+    degree = edges.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
+    roots = components(edges)
+    member = roots.select(F.col("u").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    linked = cut(member.join(degree, "fp"))
+    return linked.select("fp", F.col("root").alias("component"), "n_links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_links): one row per row of docs.
 
     n_links counts the links kept for the row's fingerprint in the connecting set, not all of its neighbours.
     """
-    rows = cut(fingerprints(docs, id_col, text_col, width))
+    rows = cut(fingerprints(docs, id_col, text_col, width).drop("row"))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    edges = cut(links(prints.select("fp")))
-    degree = edges.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    roots = components(edges)
-    member = roots.select(F.col("u").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
-    member = cut(member.join(prints, "fp"))
-    least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = member.join(least, "root").select("fp", "component_id")
-    label = cut(
-        prints.join(linked, "fp", "left")
-        .join(degree, "fp", "left")
-        .select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    linked = _labels(prints).join(prints, "fp")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = linked.join(least, "component").select("fp", "component_id", "n_links")
+    label = cut(prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     return rows.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row with the least id stays (a null id last).
+
+    Rows are told apart by a hash of all their columns, so repeated rows and repeated ids are settled too.
+    """
+    whole = F.xxhash64(*(F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    rows = cut(fingerprints(docs, id_col, text_col, width, row=whole))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    prints = cut(rows.groupBy("fp").agg(first))
+    label = prints.join(_labels(prints), "fp", "left").select(F.coalesce("component", "fp").alias("component"), "first")
+    stay = label.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"), F.col("first.doc_id").alias("_id"))
+    tagged = docs.withColumn("_own", whole)
+    kept = tagged.join(stay, (tagged["_own"] == stay["_row"]) & tagged[id_col].eqNullSafe(stay["_id"]), "left_semi")
+    return kept.dropDuplicates(["_own", id_col]).drop("_own")
