@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import compression, mixing, packing, quality_cnn, secrets, simhash
+from quillon.llm import compression, mixing, packing, quality_cnn, revisits, secrets, sharding, simhash, topk, toxicity
 from quillon.session import table
 
 
@@ -23,6 +23,14 @@ def compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def table_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.resolve(revisits.records_of(table(spark, sf_dir, "pages")))
+
+
 def weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -31,16 +39,43 @@ def multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": simhash_dedup,
+    "op2_table_sharding": table_sharding,
     "op3_weighted_mix": weighted_mix,
     "op4_multi_length_packing": multi_length_packing,
     "op5_quality_cnn": quality_network,
+    "op6_warc_revisits": warc_revisits,
     "op7_compression_bands": compression_bands,
+    "op8_toxicity_chain": toxicity_chain,
     "op9_secret_scan": secret_scan,
+    "op10_block_topk": block_topk,
+}
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.w, d.w) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_table_sharding": sharding.oracle(),
+    "op6_warc_revisits": revisits.ORACLE,
+    "op10_block_topk": TOPK_SQL,
 }
-ORACLES: dict[str, str] = {}
