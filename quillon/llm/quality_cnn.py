@@ -43,12 +43,15 @@ class Network:
 
 
 def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one buffer, each padded with zeros to whole blocks, and the number of blocks of each."""
+    """All texts in one buffer, each padded with zeros to whole blocks, and the number of blocks of each.
+
+    The padding starts before the text, so that the last windows of the text before it see zeros alone.
+    """
     blocks = np.array([max(1, -(-(len(t) + WIDTH - 1) // HOP)) for t in texts], dtype=np.int64)
     data = np.zeros(int(blocks.sum()) * HOP + WIDTH, dtype=np.uint8)
     at = 0
     for t, n in zip(texts, blocks, strict=True):
-        data[at : at + len(t)] = np.frombuffer(t, dtype=np.uint8)
+        data[at + WIDTH - 1 : at + WIDTH - 1 + len(t)] = np.frombuffer(t, dtype=np.uint8)
         at += int(n) * HOP
     return data, blocks
 
