@@ -77,5 +77,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 ORACLES: dict[str, str] = {
     "op2_table_sharding": sharding.oracle(),
     "op6_warc_revisits": revisits.ORACLE,
+    "op9_secret_scan": secrets.ORACLE,
     "op10_block_topk": TOPK_SQL,
 }

@@ -183,3 +183,29 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     if length_col in docs.columns:
         found = found.withColumn(length_col, F.when(F.size("_spans") > 0, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
     return docs.where(~risky).unionByName(found.select(*docs.columns))
+
+
+def _marked(kind: int, pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"SELECT doc_id, owner, repo, {kind} AS kind, string_split(regexp_replace(t, '{quoted}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS p FROM d"
+
+
+#: DuckDB SQL for scan over documents with a distinct doc_id in each row.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source AS owner, concat_ws('/', source, lang) AS repo, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+m AS ({" UNION ALL ".join(_marked(k, p) for k, p in enumerate((ASSIGN, ACCESS, HEX, RUN)))}),
+i AS (SELECT doc_id, owner, repo, kind, generate_subscripts(p, 1) AS i, unnest(p) AS part FROM m WHERE len(p) > 1),
+e AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS "end" FROM i),
+f AS (SELECT doc_id, owner, repo, kind, "end" - length(part) AS start, "end", CASE kind WHEN 0 THEN regexp_extract(part, '{ASSIGN.replace("'", "''")}', 2) ELSE part END AS v FROM e WHERE i % 2 = 0),
+g AS (SELECT * FROM f WHERE CASE kind WHEN 0 THEN length(v) >= {MIN_VALUE} WHEN 3 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') ELSE true END),
+h AS (SELECT * FROM g WHERE kind < 3 UNION ALL SELECT * FROM g r WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM g b WHERE b.kind < 3 AND b.doc_id = r.doc_id AND b.start <= r.start AND r."end" <= b."end")),
+o AS (SELECT v, count(DISTINCT coalesce(owner, chr(0))) AS n_owners, count(DISTINCT coalesce(repo, chr(0))) AS n_repos FROM h GROUP BY v),
+j AS (SELECT h.*, CASE WHEN n_owners >= {EXAMPLE_OWNERS} OR n_repos >= {EXAMPLE_REPOS} THEN 'example'
+  WHEN n_owners = 1 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 10 AND NOT regexp_matches(v, '{PLACEHOLDER}') THEN 'live' ELSE 'shared' END AS verdict,
+  (['assign', 'access', 'hex', 'live'])[kind + 1] || ':' || CAST(start AS VARCHAR) || ':' || CAST("end" AS VARCHAR) AS s FROM h JOIN o USING (v)),
+c AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(s, ',' ORDER BY start, kind, "end") FILTER (kind < 3) AS base, string_agg(s, ',' ORDER BY start, kind, "end") FILTER (kind < 3 OR verdict = 'live') AS spans,
+  count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example FROM j GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN c ON d.doc_id = c.doc_id
+"""
