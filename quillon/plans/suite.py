@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillon.plans import registry, search_queries, spatial_queries, state_queries, statistics_queries, synthetic_queries
 
-from pyspark.sql import DataFrame, SparkSession
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "search_queries", "spatial_queries", "state_queries", "statistics_queries", "synthetic_queries"]
