@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,9 +21,14 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.trim(spaced)), r"\s+"), lambda w: w != "")
 
 
+def among(word: Column, names: Iterable[str]) -> Column:
+    """Whether word is one of many fixed names (without commas). One literal keeps plans small where isin would add a node for each name."""
+    return F.find_in_set(word, F.lit(",".join(sorted(names)))) > 0
+
+
 def valid_token(word: Column) -> Column:
     """Neither empty, a stop or unit word, all digits, nor a single character."""
-    return F.coalesce((F.length(word) > 1) & ~word.rlike("^[0-9]+$") & ~word.isin(*sorted(STOP_WORDS | UNIT_WORDS)), F.lit(False))
+    return F.coalesce((F.length(word) > 1) & ~word.rlike("^[0-9]+$") & ~among(word, STOP_WORDS | UNIT_WORDS), F.lit(False))
 
 
 def tokens(text: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,12 +21,15 @@ def unit_of(text: Column) -> Column:
     return F.when(text.rlike(MEASUREMENT), F.lower(F.regexp_extract(text, MEASUREMENT, 2)))
 
 
+def _table(entries: dict, kind: str) -> Column:
+    """A fixed map as one literal."""
+    return F.from_json(F.lit(json.dumps(entries)), f"map<string,{kind}>")
+
+
 def quantity_of(unit: Column) -> Column:
     """The quantity that a unit measures, 'unknown' for any other unit."""
-    found = F.lit("unknown")
-    for quantity, table in reversed(UNITS.items()):
-        found = F.when(unit.isin(*table), F.lit(quantity)).otherwise(found)
-    return found
+    known = _table({u: quantity for quantity, table in reversed(UNITS.items()) for u in table}, "string")
+    return F.coalesce(F.try_element_at(known, unit), F.lit("unknown"))
 
 
 def celsius(value: Column, unit: Column) -> Column:
@@ -33,12 +38,9 @@ def celsius(value: Column, unit: Column) -> Column:
 
 def in_base_unit(value: Column, unit: Column, quantity: Column) -> Column:
     """value in the base unit of quantity; unchanged where the unit isn't one of it."""
-    out = F.when(quantity == "temperature", celsius(value, unit))
-    for name, table in UNITS.items():
-        if name != "temperature":
-            for factor in sorted({f for f in table.values() if f != 1.0}):
-                out = out.when((quantity == name) & unit.isin(*(u for u, f in table.items() if f == factor)), value * factor)
-    return out.otherwise(value)
+    factors = _table({f"{name} {u}": f for name, table in UNITS.items() if name != "temperature" for u, f in table.items()}, "double")
+    factor = F.try_element_at(factors, F.concat(quantity, F.lit(" "), unit))
+    return F.when(quantity == "temperature", celsius(value, unit)).otherwise(value * F.coalesce(factor, F.lit(1.0)))
 
 
 def volume_of(length: Column, width: Column, height: Column) -> Column:

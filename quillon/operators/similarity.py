@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.scoring import cosine, dot
+from quillon.functions.scoring import dot
 from quillon.functions.vocabulary import FUZZY_THRESHOLD
 
 #: A stated query set of up to so many phrases is sent to the tasks; more are joined block by block.
@@ -26,18 +27,19 @@ def similar_terms(queries: DataFrame, terms: DataFrame, threshold: float = FUZZY
     if len(held) > QUERY_LIMIT:
         pairs = terms.crossJoin(queries.select(F.col("query"), F.col("vec").alias("q_vec")))
         return pairs.withColumn("sim", dot(F.col("vec"), F.col("q_vec"))).where(F.col("sim") >= threshold).select("query", "term", "sim")
-    names = [r.query for r in held]
-    matrix = np.array([r.vec for r in held], dtype=np.float64).reshape(len(held), -1)
+    names = pa.array([r.query for r in held], pa.string())
+    matrix = np.array([r.vec for r in held], dtype=np.float64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not names or batch.empty:
+            if not len(names) or not batch.num_rows:
                 continue
-            sims = np.stack(batch["vec"].to_numpy()).astype(np.float64) @ matrix.T
+            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+            sims = vectors @ matrix.T
             t, q = np.nonzero(sims >= threshold)
-            yield pd.DataFrame({"query": [names[k] for k in q], "term": batch["term"].to_numpy()[t], "sim": sims[t, q]})
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(t)), pa.array(sims[t, q])], names=["query", "term", "sim"])
 
-    return terms.select("term", "vec").mapInPandas(run, "query string, term string, sim double")
+    return terms.select("term", "vec").mapInArrow(run, "query string, term string, sim double")
 
 
 def close_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = 16) -> DataFrame:
@@ -64,5 +66,3 @@ def close_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", ve
 
     return dealt.groupBy("i", "j").applyInPandas(run, "left long, right long, sim double")
 
-
-__all__ = ["cosine", "close_pairs", "similar_terms"]

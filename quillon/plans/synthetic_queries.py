@@ -1,7 +1,134 @@
-"""Queries over memories, plans and scenes made in code: operators that have no SQL form."""
+"""Operators without an SQL form, over memories, plans and scenes derived from whole driver tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.operators import geometry, ingest, planning, postings, scene, search, shapes, timeline
 from quillon.plans.registry import query
+from quillon.session import cut, table
+
+ALIASES = [("object_aliases", "account", "profile", 1), ("action_aliases", "purchase", "buy", 1), ("attribute_component_aliases", "last", "latest", 1), ("value_aliases", "signup", "registration", 1)]
+TERMS = ["object:account", "object_expanded:profile", "action_token:purchase", "attribute:last", "value:signup", "value:registrations", "goalstate:value:purchase", "verb_target:purchase", "position_unit:a:near:near:shop", "spatial:near(account,market)", 'fullpath:{"path":["mood","last"],"op":"eq","value":"purchase"}', "attribute_value:dimensions.length=20cm", "attribute_value:dimensions.width=10cm", "attribute_value:dimensions.height_thickness=5cm", "attribute_value:volume=1000cm^3"]
+
+
+def memories_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A memory for each user: an account, a shop and a market as objects, the user's events as actions, a goal."""
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    size = (F.col("user_id") % 30 + 5).cast("string")
+    unit = lambda v: F.struct(v.alias("value"), F.lit("cm").alias("unit"))
+    place = lambda rel, to: F.struct(F.lit(rel).alias("relation"), F.lit(rel).alias("relationr"), F.lit(to).alias("relative_to"))
+    thing = lambda ident, template, category, position, dims: F.struct(F.lit(ident).alias("id"), F.lit(template).alias("template"), F.array(F.lit(category)).alias("categories"), position.alias("position"), dims.alias("dimensions"), F.struct(F.struct(F.lit("calm").alias("last")).alias("mood")).alias("overrides"))
+    dims = F.struct(unit(size).alias("length"), unit(F.lit("10")).alias("width"), unit(F.lit("5")).alias("height_thickness"))
+    objects = F.to_json(F.array(thing("a", "account", "record", place("near", "shop"), dims), thing("shop", "shop", "building", place("near", "market"), dims), thing("market", "market", "building", place("in", "town"), dims)))
+    event = F.struct("ts", "event_id", F.struct(
+        F.col("event_type").alias("template"), F.col("event_type").alias("verb"), F.array(F.lit("a"), F.lit("shop")).alias("participants"), F.col("value").alias("duration"), F.lit("sequential").alias("temporal_type"),
+        F.array(F.struct(F.lit("a").alias("object"), F.lit("mood").alias("aspect"), F.lit("last").alias("attribute"), F.lit("eq").alias("op"), F.col("event_type").alias("new"))).alias("changes"),
+    ).alias("action"))
+    goals = F.to_json(F.array(F.struct(F.lit("a").alias("object"), F.lit("mood").alias("aspect"), F.lit("last").alias("attribute"), F.lit("eq").alias("op"), F.lit("purchase").alias("value"))))
+    acts = F.to_json(F.transform(F.array_sort(F.collect_list(event)), lambda e: e["action"]))
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(acts.alias("actions"))
+    return users.select(user.alias("memory_id"), F.lit("shopping").alias("activity"), F.lit(None).cast("string").alias("protagonist"), objects.alias("objects"), "actions", goals.alias("goals"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> search.Index:
+    dictionary = spark.createDataFrame(ALIASES, "kind string, base string, alias string, rank int")
+    ix = ingest.build_index(memories_of(spark, sf_dir), dictionary)
+    ix.postings = cut(ix.postings)
+    ix.fullpath = cut(ix.fullpath)
+    ix.freq = cut(postings.shares(ix.postings.select("term", "memory_id")))
+    ix.banned = postings.unmatchable_components(ix.freq)
+    return ix
+
+
+@query()
+def memory_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest of nested memories to postings: how often each term occurs, and in how many memories."""
+    return postings.shares(_index(spark, sf_dir).postings.select("term", "memory_id"))
+
+
+@query()
+def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ways of matching over an index of memories, settled and ranked."""
+    terms = spark.createDataFrame([(t, k) for k, t in enumerate(TERMS)], "query_term string, position int")
+    return search.search(_index(spark, sf_dir), terms, top=None)
+
+
+@query()
+def memory_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.timelines(ingest.actions(memories_of(spark, sf_dir)))
+
+
+@query()
+def plan_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan for each nation: a subgoal per customer segment, customers as actions, a customer's segment needing the one before it."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("query_id"), F.col("c_custkey").cast("string").alias("action_id"), F.col("c_mktsegment").alias("subgoal_id"), "c_acctbal")
+    from pyspark.sql.window import Window
+
+    first = F.row_number().over(Window.partitionBy("query_id", "subgoal_id").orderBy(F.desc("c_acctbal"), "action_id"))
+    edges = customers.withColumn("place", first).where("place <= 10")
+    chain = F.create_map(*(F.lit(x) for pair in (("FURNITURE", "BUILDING"), ("HOUSEHOLD", "FURNITURE"), ("MACHINERY", "AUTOMOBILE")) for x in pair))
+    needs = edges.select("query_id", "action_id", F.try_element_at(chain, "subgoal_id").alias("subgoal_id")).where("subgoal_id is not null")
+    goals = edges.select("query_id", F.lit("HOUSEHOLD").alias("subgoal_id"), F.lit(0).alias("place")).distinct().unionByName(edges.select("query_id", F.lit("MACHINERY").alias("subgoal_id"), F.lit(1).alias("place")).distinct())
+    holds = edges.where("subgoal_id = 'AUTOMOBILE' and c_acctbal > 9000").select("query_id", "subgoal_id").distinct()
+    return planning.search_plans(goals, edges, needs, edges, holds)
+
+
+@query()
+def plan_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a plan: its lines in order set the status of a part and add to the total."""
+    lines = table(spark, sf_dir, "lineitem")
+    action = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    plans = lines.select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("step"), action.alias("action_id"))
+    change = lambda path, op, value: F.struct(F.lit("new").alias("state_type"), F.lit("order").alias("object"), F.lit(path).alias("path"), F.lit(op).alias("op"), value.cast("string").alias("value"))
+    conditions = lines.select(action.alias("action_id"), F.explode(F.array(change("status", "eq", F.col("l_linestatus")), change("total", "+=", F.col("l_quantity")))).alias("c")).select("action_id", "c.*").dropDuplicates()
+    orders = table(spark, sf_dir, "orders")
+    initial = orders.select(F.col("o_orderkey").alias("plan_id"), F.lit("order").alias("object"), F.lit("total").alias("path"), F.lit("eq").alias("op"), F.lit("0").alias("value"))
+    goals = orders.select(F.col("o_orderkey").alias("plan_id"), F.lit("order").alias("object"), F.lit("total").alias("path"), F.lit("gt").alias("op"), F.lit("50").alias("value"))
+    return planning.simulate(plans, conditions, initial, goals).select("plan_id", "n_steps", "n_violations", "satisfaction")
+
+
+def scenes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scene for each brand and name: its parts as objects of one element each."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 3 == 0, "sphere").when(k % 3 == 1, "box").otherwise("cylinder")
+    size = F.col("p_size").cast("double")
+    names = ("radius_cm", "height_cm", "size_x_cm", "size_y_cm", "size_z_cm")
+    element = F.struct(kind.alias("element_type"), F.struct(*((size / (i + 1)).alias(n) for i, n in enumerate(names))).alias("parameters"))
+    moved = F.struct(F.array(k * 7.0 % 101, k * 13.0 % 53, k * 3.0 % 29).alias("translation"))
+    obj = F.struct(k.cast("string").alias("object_id"), F.col("p_type").alias("template"), F.array(element).alias("elements"), moved.alias("transform"))
+    return table(spark, sf_dir, "part").groupBy(F.concat_ws("/", "p_brand", "p_name").alias("scene_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(obj)).alias("objects"))).alias("scene"))
+
+
+@query()
+def scene_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = geometry.scene_boxes(scenes_of(spark, sf_dir))
+    return found.select("scene_id", "object_id", F.transform(F.concat("box.lo", "box.hi"), lambda x: F.round(x, 6)).alias("box"))
+
+
+@query()
+def scene_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scene after moving its first object, splitting it, and labelling a half."""
+    scenes = scenes_of(spark, sf_dir)
+    first = F.get_json_object("scene", "$.objects[0].object_id")
+    quoted = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    ops = F.array(
+        quoted('{"op":"move","object_id":"', first, '","delta":[1,2,3]}'),
+        quoted('{"op":"split","object_id":"', first, '","normal":[0,0,1],"point":[0,0,0],"new_ids":["left","right"]}'),
+        F.lit('{"op":"label","object_id":"left","label":"half"}'),
+    )
+    operations = scenes.select("scene_id", F.posexplode(ops).alias("op_ix", "op"))
+    return scene.replay(scenes, operations).select("scene_id", "n_objects", F.size(F.from_json("events", "array<string>")).alias("n_events"))
+
 
-__all__ = ["query"]
+@query()
+def shape_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shape of a brand against the brand's first: surface samples, alignment, Chamfer similarity."""
+    size = F.col("p_size").cast("double")
+    kind = F.when(F.col("p_partkey") % 2 == 0, "box").otherwise("cylinder")
+    element = F.to_json(F.struct(kind.alias("element_type"), F.struct(size.alias("size_x_cm"), F.lit(5.0).alias("size_y_cm"), F.lit(3.0).alias("size_z_cm"), (size / 2).alias("radius_cm"), F.lit(10.0).alias("height_cm")).alias("parameters")))
+    forms = table(spark, sf_dir, "part").select("p_brand", element.alias("element")).distinct().withColumn("shape_id", F.sha2(F.concat("p_brand", "element"), 256))
+    firsts = forms.groupBy("p_brand").agg(F.min("shape_id").alias("left"))
+    pairs = forms.join(firsts, "p_brand").select("left", F.col("shape_id").alias("right")).where("left <> right")
+    return shapes.shape_similarities(forms, pairs, n=128).withColumn("similarity", F.round("similarity", 6))
