@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,46 +37,67 @@ STEP_TOKENS = 1 << 16
 POOL_TOKENS = 1 << 21
 TOKENIZER = "byte_bpe_50k.json"
 #: Bounds of the cache of encoded pieces, in entries and in characters of one entry.
-_CACHE, _CACHED = 300_000, 48
+_CACHE, _CACHED = 1_000_000, 48
 #: Byte-level BPE never joins across a space that a non-space follows, so ids of such pieces just follow one another.
 _PIECES = re.compile(r" (?=\S)")
 
 COLUMNS = [(c, "long") for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("tier", "int"), ("step_group", "long")]
 
 
-class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, END_ID last."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Encoder(dict):
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, END_ID last.
+
+    As a dict, it holds the ids of pieces that follow a space. A new piece is cut by the tokenizer's own pattern and
+    given to its model; pieces with a special token in them go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
+        self._model = self._tokenizer.model
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._cut = regex.compile(public_tokenizers.PATTERN).findall
+        self._letters = _byte_letters()
+        self._words: dict[str, bytes] = {}
         self._end = array("I", [END_ID]).tobytes()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", self._tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    def _word(self, word: str) -> bytes:
+        ids = self._words.get(word)
+        if ids is None:
+            letters = word.encode().decode("latin-1").translate(self._letters)
+            ids = array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
+            if len(word) <= _CACHED:
+                self._words[word] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        """Ids of any text, without END_ID."""
+        if any(s in text for s in self._special):
+            return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        words = self._cut(text)
+        return self._word(words[0]) if len(words) == 1 else b"".join(map(self._word, words))
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.ids(f" {piece}")
+        if len(piece) <= _CACHED:
+            self[piece] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
+        if len(self) + len(self._words) > _CACHE:
+            self.clear()
+            self._words.clear()
         head, *rest = _PIECES.split(text)
-        known = self._known
-        if len(known) > _CACHE:
-            known.clear()
-        new = [p for p in set(rest) if p not in known]
-        own = dict(zip(new, self._ids([f" {p}" for p in new]), strict=True))
-        known.update((p, v) for p, v in own.items() if len(p) <= _CACHED)
-        if len(own) and any(len(p) > _CACHED for p in own):
-            known = known | own if len(known) < 1000 else _Both(own, known)
-        return b"".join([*self._ids([head]), *map(known.__getitem__, rest), self._end])
-
-
-class _Both(dict):
-    def __init__(self, own: dict[str, bytes], known: dict[str, bytes]):
-        super().__init__(own)
-        self._rest = known
-
-    def __missing__(self, key: str) -> bytes:
-        return self._rest[key]
+        return b"".join([self.ids(head), *map(self.__getitem__, rest), self._end])
 
 
 @lru_cache(maxsize=2)
