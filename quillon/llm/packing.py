@@ -40,6 +40,7 @@ TOKENIZER = "byte_bpe_50k.json"
 _CACHE, _CACHED = 1_000_000, 48
 #: Byte-level BPE never joins across a space that a non-space follows, so ids of such pieces just follow one another.
 _PIECES = re.compile(r" (?=\S)")
+_MARKS = frozenset(".,;:!?")
 
 COLUMNS = [(c, "long") for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("tier", "int"), ("step_group", "long")]
 
@@ -70,11 +71,17 @@ class Encoder(dict):
         self._words: dict[str, bytes] = {}
         self._end = array("I", [END_ID]).tobytes()
 
+    def _encoded(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self._letters)
+        return array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
+
     def _word(self, word: str) -> bytes:
+        """Ids of one word of the pattern; words after a space are kept with the pieces."""
+        if word[0] == " " and len(word) > 1:
+            return self[word[1:]]
         ids = self._words.get(word)
         if ids is None:
-            letters = word.encode().decode("latin-1").translate(self._letters)
-            ids = array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
+            ids = self._encoded(word)
             if len(word) <= _CACHED:
                 self._words[word] = ids
         return ids
@@ -83,11 +90,15 @@ class Encoder(dict):
         """Ids of any text, without END_ID."""
         if any(s in text for s in self._special):
             return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        words = self._cut(text)
-        return self._word(words[0]) if len(words) == 1 else b"".join(map(self._word, words))
+        return b"".join([self._encoded(w) if w == text else self._word(w) for w in self._cut(text)])
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.ids(f" {piece}")
+        if piece.isalpha():  # one word of the pattern, as are letters with a mark behind them two
+            ids = self._encoded(f" {piece}")
+        elif piece[-1:] in _MARKS and piece[:-1].isalpha():
+            ids = self[piece[:-1]] + self._word(piece[-1])
+        else:
+            ids = self.ids(f" {piece}")
         if len(piece) <= _CACHED:
             self[piece] = ids
         return ids
