@@ -13,6 +13,7 @@ from quillon.functions.units import number_of, unit_of, volume_of
 from quillon.operators import aliases as A
 from quillon.operators import flatten, postings, timeline
 from quillon.operators.search import Index
+from quillon.session import cut
 
 DIMENSIONS = ("length", "width", "height_thickness")
 #: Keys of an object that describe it as a whole; all others are attributes of the instance.
@@ -149,7 +150,7 @@ def posting_rows(objs: DataFrame, acts: DataFrame, entries: DataFrame, dictionar
 
     content = entries.where("not (size(path) = 1 and path[0] = 'participants')")
     third = content.select("memory_id", F.posexplode(F.when(conditional, of_entry(V.CONDITIONAL)).otherwise(of_entry(""))).alias("k", "p"), "src", "is_goal", "_o")
-    rows = first.unionByName(second).unionByName(third).select("memory_id", F.col("p.term").alias("term"), "k", "src", "is_goal", "_o")
+    rows = cut(first.unionByName(second).unionByName(third).select("memory_id", F.col("p.term").alias("term"), "k", "src", "is_goal", "_o"))  # read twice below
     # a base term is followed by the terms of its aliases, whole and by word
     kinds = F.create_map(*(F.lit(x) for pair in (("object", "object_aliases"), ("action", "action_aliases"), ("attribute", "attribute_component_aliases"), ("value", "value_aliases")) for x in pair))
     plain = F.regexp_replace(term_prefix("term"), f"^{V.CONDITIONAL}", "")
@@ -165,13 +166,16 @@ def posting_rows(objs: DataFrame, acts: DataFrame, entries: DataFrame, dictionar
 
 
 def build_index(memories: DataFrame, dictionary: DataFrame, embed: Embedder | None = None) -> Index:
-    """An index over memory envelopes (see sources.memories) and an alias dictionary (kind, base, alias, rank)."""
+    """An index over memory envelopes (see sources.memories) and an alias dictionary (kind, base, alias, rank).
+
+    Postings, paths and shares are written to the shared folder, as every search reads them again.
+    """
     objs, acts = objects(memories), actions(memories)
-    entries = fullpath(objs, acts, conditions(acts, memories))
-    posted = posting_rows(objs, acts, entries, dictionary)
-    freq = postings.shares(posted.select("term", "memory_id"))
+    entries = cut(fullpath(objs, acts, conditions(acts, memories)))
+    posted = cut(posting_rows(objs, acts, entries, dictionary))
+    freq = cut(postings.shares(posted.select("term", "memory_id")))
     paths = _numbered(entries, [F.col("_o"), F.array_join("path", "."), F.col("value"), F.col("state_type")]).drop("_o")
-    paths = paths.withColumn("seq", F.xxhash64("memory_id", "seq"))  # one number for an entry in the whole index
+    paths = cut(paths.withColumn("seq", F.xxhash64("memory_id", "seq")))  # one number for an entry in the whole index
     sizes = object_leaves(objs).where("kind = 'measure'").select("memory_id", F.col("obj_id").alias("object_id"), F.array_join("path", ".").alias("path"), number_of(F.col("value")).alias("numeric"), unit_of(F.col("value")).alias("unit"), F.concat_ws("|", F.lit("object"), "obj_id", "template").alias("src")).where("numeric is not null")
     placed = objs.select("memory_id", "obj_id", "template", "relation", "relationr", "relative_to", "obj_ix")
     return Index(posted, paths, sizes, placed, dictionary, A.alias_terms(dictionary), freq, postings.unmatchable_components(freq), embed or hashed_ngrams())

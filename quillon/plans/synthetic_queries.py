@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import geometry, ingest, planning, postings, scene, search, shapes, timeline
 from quillon.plans.registry import query
-from quillon.session import cut, table
+from quillon.session import table
 
 ALIASES = [("object_aliases", "account", "profile", 1), ("action_aliases", "purchase", "buy", 1), ("attribute_component_aliases", "last", "latest", 1), ("value_aliases", "signup", "registration", 1)]
 TERMS = ["object:account", "object_expanded:profile", "action_token:purchase", "attribute:last", "value:signup", "value:registrations", "goalstate:value:purchase", "verb_target:purchase", "position_unit:a:near:near:shop", "spatial:near(account,market)", 'fullpath:{"path":["mood","last"],"op":"eq","value":"purchase"}', "attribute_value:dimensions.length=20cm", "attribute_value:dimensions.width=10cm", "attribute_value:dimensions.height_thickness=5cm", "attribute_value:volume=1000cm^3"]
@@ -34,12 +34,7 @@ def memories_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str) -> search.Index:
     dictionary = spark.createDataFrame(ALIASES, "kind string, base string, alias string, rank int")
-    ix = ingest.build_index(memories_of(spark, sf_dir), dictionary)
-    ix.postings = cut(ix.postings)
-    ix.fullpath = cut(ix.fullpath)
-    ix.freq = cut(postings.shares(ix.postings.select("term", "memory_id")))
-    ix.banned = postings.unmatchable_components(ix.freq)
-    return ix
+    return ingest.build_index(memories_of(spark, sf_dir), dictionary)
 
 
 @query()
