@@ -62,7 +62,8 @@ class Chain:
             at = seen.get(word)
             if at is None:
                 at = [self.vocabulary[i] for i in items(word) if i in self.vocabulary]
-                seen[word[:64]] = at
+                if len(word) <= 64:
+                    seen[word] = at
             for i in at:
                 counts[i] += times
         return np.concatenate([counts > 0, np.log1p(100 * counts / max(n, 1))]).astype(np.float32)
