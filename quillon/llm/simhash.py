@@ -6,8 +6,9 @@ half. The index therefore posts a fingerprint under the positional triples of ea
 24 bits), which loses no such pair; for every candidate pair the shared positional bytes are tallied, pairs
 below five are dropped, and the rest are verified by their differing bits.
 
-Hot postings (a dense group of near copies) are dealt out as a grid of bounded cells, and each cell emits
-only a spanning forest of its verified links, so no group is expanded into all of its pairs.
+A hot posting (a dense group of near copies) is posted again under its triple and two further positions, which
+loses no pair either, as five bytes are shared; what is still longer than a cell is dealt out as a grid of bounded
+cells. Each cell emits only a spanning forest of its verified links, so no group is expanded into all of its pairs.
 
 Defined cases: a null or wordless text has the fingerprint zero; repeated rows give repeated rows; rows with a
 null doc_id keep their row and never name a component unless all of it is null; an empty table gives an empty
@@ -16,7 +17,8 @@ result; further input columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ MIN_SHARED_BYTES = 5
 TRIPLES = [(a, b, c) for half in (0, 4) for a, b, c in ((half, half + 1, half + 2), (half, half + 1, half + 3), (half, half + 2, half + 3), (half + 1, half + 2, half + 3))]
 #: Fingerprints in one chunk of a hot posting; a cell compares at most two chunks.
 CHUNK = 384
+#: From so many fingerprints on, a grid repeats each more often than the ten finer postings do.
+FINE = 10 * CHUNK
 _BLOCK = 1 << 16
 
 
@@ -101,25 +105,52 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(u, v), u > v: links that connect all fingerprints within MAX_BITS of one another. prints: distinct fp."""
+def _keys(positions: Sequence[tuple[int, ...]], first: int = 0) -> Column:
+    """The posting keys of fp under the given sets of byte positions, numbered from first on."""
 
-    def octet(i: int):
-        return F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255))
+    def key(k: int, at: tuple[int, ...]) -> Column:
+        out = F.lit(k << 8 * len(at)).cast("long")
+        for j, i in enumerate(at):
+            out += F.shiftleft(F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255).cast("long")), 8 * j)
+        return out
 
-    keys = [F.lit(k << 24).cast("long") + octet(a) * 65536 + octet(b) * 256 + octet(c) for k, (a, b, c) in enumerate(TRIPLES)]
-    posts = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = (
-        posts.join(sizes, "key")
-        .withColumn("g", F.ceil(F.col("n") / CHUNK).cast("int"))
+    return F.array(*(key(first + k, at) for k, at in enumerate(positions)))
+
+
+def _finer(k: int) -> list[tuple[int, ...]]:
+    """Triple k with each two of the five other positions."""
+    return [(*TRIPLES[k], *two) for two in combinations(sorted(set(range(8)) - set(TRIPLES[k])), 2)]
+
+
+def _sized(posts: DataFrame) -> DataFrame:
+    """(key, fp, n) of the postings with n > 1 fingerprints."""
+    return posts.join(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
+def _dealt(posts: DataFrame) -> DataFrame:
+    """(prints): the cells of the postings; any two fingerprints of a posting meet in one cell."""
+    return (
+        posts.withColumn("g", F.ceil(F.col("n") / CHUNK).cast("int"))
         .withColumn("c", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
         .select("key", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
         .groupBy("key", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j"))
         .agg(F.collect_list("fp").alias("prints"))
         .where(F.size("prints") > 1)
+        .select("prints")
     )
-    return dealt.select("prints").mapInArrow(_cells, "u long, v long").distinct()
+
+
+def links(prints: DataFrame, fine: int = FINE) -> DataFrame:
+    """(u, v), u > v: links that connect all fingerprints within MAX_BITS of one another. prints: distinct fp.
+
+    Postings of more than fine fingerprints are posted again under finer keys.
+    """
+    posts = _sized(prints.select("fp", F.explode(_keys(TRIPLES)).alias("key")))
+    triple = F.shiftright("key", 24)
+    finer = F.coalesce(*(F.when(triple == k, _keys(_finer(k), 10 * k)) for k in range(len(TRIPLES))))
+    hot = posts.where(F.col("n") > fine).select("fp", F.explode(finer).alias("key"))
+    cells = _dealt(posts.where(F.col("n") <= fine)).unionByName(_dealt(_sized(hot)))
+    return cells.mapInArrow(_cells, "u long, v long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

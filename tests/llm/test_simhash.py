@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -56,7 +57,8 @@ def test_against_brute_force(spark):
     assert [got[i].component_id for i in range(len(texts))] == plain_components(prints)
 
 
-def test_dense_group_is_linked_whole(spark):
+@pytest.mark.parametrize("fine", [simhash.FINE, 100])
+def test_dense_group_is_linked_whole(spark, fine):
     rng = np.random.default_rng(3)
     centre = 0x9F3B_77A1_0C5D_E284
     prints = {centre}
@@ -67,7 +69,7 @@ def test_dense_group_is_linked_whole(spark):
     values = sorted(prints)
     signed = [p - (1 << 64) if p >= 1 << 63 else p for p in values]
     frame = spark.createDataFrame([(p,) for p in signed], "fp long")
-    edges = simhash.links(frame)
+    edges = simhash.links(frame, fine)
     assert edges.count() < 20 * len(values)
     roots = {r.u: r.root for r in simhash.components(edges).collect()}
     want = plain_components(values)
