@@ -44,7 +44,7 @@ def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.search(table(spark, sf_dir, "embeddings"))
+    return topk.search(table(spark, sf_dir, "embeddings"), fold_ids=False)
 
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

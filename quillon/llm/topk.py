@@ -1,6 +1,6 @@
 """Exact top-k inner-product search by block-at-a-time pruning.
 
-Every component is an integer term weight. Vectors are dealt into bounded segments by a hash of their id, and
+Every component is an integer term weight. Vectors are dealt into bounded segments by a hash of their row, and
 sorted by id within one, so a block is a document range. For each query a block's score is bounded by the sum of its term maxima
 (each query weight with the block's greatest or, where negative, least weight of that term); blocks are opened
 in the order of their bounds, scored through the block's forward index, and the rest is left once the next
@@ -10,7 +10,8 @@ Queries travel in bounded groups; a task sees one segment and one group. Its k b
 per-query top-k whose rows number k times the segments.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part;
-of rows with the same id the one with the least vector counts; vectors of other lengths are compared over the
+rows with the same id are candidates each, and queries each with a ranking of its own, where only the query's own row
+is left out (with fold_ids, the one with the least vector counts alone); vectors of other lengths are compared over the
 components they share; an empty table gives an empty result; further input columns are ignored.
 """
 
@@ -54,8 +55,12 @@ def _exact_scores(block: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.array([min(high, max(low, sum(a * b for a, b in zip(row, q, strict=True)))) for row in whole], dtype=np.int64)
 
 
-def best(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query id, id, score) of each query's k best, and how many blocks were opened. ids ascend and are distinct."""
+def best(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, block: int = BLOCK, keys: np.ndarray | None = None, query_keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query key, id, score) of each query's k best, and how many blocks were opened. ids ascend.
+
+    Keys tell rows apart, and a query leaves out the row of its own key; without them ids do, which are distinct then.
+    """
+    keys, query_keys = ids if keys is None else keys, query_ids if query_keys is None else query_keys
     width = min(vectors.shape[1], queries.shape[1])
     vectors, queries = np.ascontiguousarray(vectors[:, :width]), np.ascontiguousarray(queries[:, :width])
     edges = np.arange(0, len(ids), block)
@@ -75,7 +80,7 @@ def best(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: n
             rows = (take[:, None] * block + np.arange(block)).ravel()
             rows = rows[rows < len(ids)]
             opened += len(take)
-            rows = rows[ids[rows] != query_ids[q]]
+            rows = rows[keys[rows] != query_keys[q]]
             i, s = np.concatenate([found_i, ids[rows]]), np.concatenate([found_s, _exact_scores(vectors[rows], queries[q])])
             if len(s) > 4 * k:  # what can't be among the k best goes before the sort
                 keep = s >= np.partition(s, len(s) - k)[len(s) - k]
@@ -83,37 +88,40 @@ def best(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: n
             pick = np.lexsort((i, -s))[:k]
             found_i, found_s = i[pick], s[pick]
             at, step = at + step, 2 * step
-        out_q.append(np.full(len(found_i), query_ids[q], dtype=np.int64))
+        out_q.append(np.full(len(found_i), query_keys[q], dtype=np.int64))
         out_i.append(found_i)
         out_s.append(found_s)
     flat = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
     return flat(out_q), flat(out_i), flat(out_s), opened
 
 
-def _least_by_id(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = sorted(zip(pdf["vec_id"], map(tuple, pdf["v"]), strict=True))
-    first = [r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]]
-    return np.array([r[0] for r in first], dtype=np.int64), _matrix(pd.Series([r[1] for r in first]))
+def _by_id(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    pdf = pdf.sort_values(["vec_id", "row"])
+    return pdf["vec_id"].to_numpy(np.int64), _matrix(pdf["v"]), pdf["row"].to_numpy(np.int64)
 
 
 def _search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if left.empty or right.empty:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-    q, i, s, _ = best(*_least_by_id(left), *_least_by_id(right))
-    return pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
+        return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
+    (ids, vectors, keys), (query_ids, queries, query_keys) = _by_id(left), _by_id(right)
+    q, i, s, _ = best(ids, vectors, query_ids, queries, keys=keys, query_keys=query_keys)
+    id_of = dict(zip(query_keys.tolist(), query_ids.tolist(), strict=True))
+    return pd.DataFrame({"query_row": q, "query_id": np.array([id_of[x] for x in q.tolist()], dtype=np.int64), "vec_id": i, "score": s})
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, scale: int = SCALE) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of every row whose id is divisible by every, against all rows."""
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, scale: int = SCALE, fold_ids: bool = True) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of every row whose id is divisible by every, against all other rows."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(vector_col, scale).alias("v")).where("vec_id is not null and v is not null")
-    rows = cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")))  # an id that many rows share is reduced before the shuffle
+    if fold_ids:
+        rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))  # written, so it stays the same; an id that many rows share is spread by it
     size = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
     segments, groups = -(-size.n // SEGMENT) or 1, -(-size.q // GROUP) or 1
     one = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    docs = rows.withColumn("segment", one("vec_id", segments)).withColumn("group", copies(groups))
-    asks = rows.where(F.col("vec_id") % every == 0).withColumn("group", one("vec_id", groups)).withColumn("segment", copies(segments))
+    docs = rows.withColumn("segment", one("row", segments)).withColumn("group", copies(groups))
+    asks = rows.where(F.col("vec_id") % every == 0).withColumn("group", one("row", groups)).withColumn("segment", copies(segments))
     cells = docs.groupBy("segment", "group").cogroup(asks.groupBy("segment", "group"))
-    near = cut(cells.applyInPandas(_search, "query_id long, vec_id long, score long"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = cut(cells.applyInPandas(_search, "query_row long, query_id long, vec_id long, score long"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from quillon.llm import topk
+from quillon.llm import queries, topk
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string"
 
@@ -61,3 +61,21 @@ def test_large_components_are_exact():
     big = np.array([[2.0**40, 3.0], [2.0**40, 4.0]])
     q, i, s, _ = topk.best(np.array([1, 2]), big, np.array([50]), np.array([[2.0**20, 1.0]]))
     assert s.tolist() == [2**60 + 4, 2**60 + 3]
+
+
+def test_every_row_of_a_repeated_id_counts(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(topk, "SEGMENT", 150)
+    monkeypatch.setattr(topk, "GROUP", 40)
+    rng = random.Random(11)
+    ids = [*range(200), *[7] * 100, *[50] * 60]  # hot ids with different vectors, one that is asked
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(8)]) for i in ids]
+    rows += [rows[100], rows[100], rows[0], (None, [1.0] * 8), (50, None)]  # exact copies; rows that take no part
+    spark.createDataFrame([(i, v, 1, "clash") for i, v in rows], SCHEMA).repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    sound = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None]
+    want = []
+    for n, (q, w) in enumerate(sound):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(w, x, strict=True)), i) for m, (i, x) in enumerate(sound) if m != n)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in queries.block_topk(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
