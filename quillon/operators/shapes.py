@@ -18,11 +18,13 @@ DECAY = 3.0
 def chamfer(a: np.ndarray, b: np.ndarray, block: int = 1024) -> float:
     """Mean distance to the nearest point of the other cloud, both ways added."""
 
-    def one_way(x: np.ndarray, y: np.ndarray) -> float:
-        near = [np.sqrt(((x[k : k + block, None] - y[None]) ** 2).sum(axis=2)).min(axis=1) for k in range(0, len(x), block)]
-        return float(np.concatenate(near).mean())
-
-    return one_way(a, b) + one_way(b, a)
+    to_b, to_a = [], np.full(len(b), np.inf)
+    for k in range(0, len(a), block):
+        x = a[k : k + block]
+        squares = sum((x[:, None, c] - b[None, :, c]) ** 2 for c in range(a.shape[1]))
+        to_b.append(squares.min(axis=1))
+        to_a = np.minimum(to_a, squares.min(axis=0))
+    return float(np.sqrt(np.concatenate(to_b)).mean()) + float(np.sqrt(to_a).mean())
 
 
 def chamfer_groups(points: DataFrame) -> DataFrame:

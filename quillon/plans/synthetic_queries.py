@@ -126,4 +126,4 @@ def shape_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = table(spark, sf_dir, "part").select("p_brand", element.alias("element")).distinct().withColumn("shape_id", F.sha2(F.concat("p_brand", "element"), 256))
     firsts = forms.groupBy("p_brand").agg(F.min("shape_id").alias("left"))
     pairs = forms.join(firsts, "p_brand").select("left", F.col("shape_id").alias("right")).where("left <> right")
-    return shapes.shape_similarities(forms, pairs, n=128).withColumn("similarity", F.round("similarity", 6))
+    return shapes.shape_similarities(forms, pairs).withColumn("similarity", F.round("similarity", 6))

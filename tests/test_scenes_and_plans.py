@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import geometry, maps, planning, relations, scene, shapes
+from quillon.plans import synthetic_queries
 
 
 def part(key, x=0.0, parent=None, size=2.0):
@@ -109,3 +110,22 @@ def test_maps(spark):
     right = points([("p", "x", "cup", ["dish"]), ("p", "y", "desk", ["furniture", "object"])])
     got = maps.similarity(left, right, links([("p", "on", "a", "b")]), links([("p", "on", "x", "y")])).first()
     assert got.similarity == 1.0
+
+
+def test_registered_similarities_are_of_512_points(spark, monkeypatch):
+    seen, whole = {}, shapes.shape_similarities
+    monkeypatch.setattr(shapes, "shape_similarities", lambda forms, pairs, **more: whole(seen.setdefault("forms", forms), pairs, **more))
+    rows = synthetic_queries.shape_similarity(spark, "/root/testdata/sf0.001").collect()
+    elements = {r.shape_id: json.loads(r.element) for r in seen["forms"].collect()}
+    assert len(rows) == len(elements) - len({r.left for r in rows}) > 20
+    for r in rows[:20]:
+        a, b = (shapes.sample(elements[k], 512) for k in (r.left, r.right))
+        assert len(a) == len(b) == 512 and abs(r.similarity - shapes.similarity(a, b)) < 1e-6
+
+
+def test_chamfer_by_blocks():
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(70, 3)), rng.normal(size=(45, 3))
+    far = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    for block in (7, 70, 1024):
+        assert np.isclose(shapes.chamfer(a, b, block), far.min(axis=1).mean() + far.min(axis=0).mean(), rtol=1e-12)
