@@ -12,7 +12,8 @@ summed in 4096 hash ranges per leaf, only the range where the budget ends is ord
 is a filter of each row against its leaf's end.
 
 Defined cases: null texts have no tokens and are never selected by a prefix (a token-less row goes with whole epochs);
-null sources and languages go to "*"; rows equal in id and text stand at the same place and go together; an empty
+null sources and languages go to "*"; rows equal in id and text stand at the same place and are taken one by one,
+in the order of a hash of their other columns, up to the token where the budget ends; an empty
 table gives an empty result; further input columns are kept by `select_rows` and ignored by `mix`.
 """
 
@@ -129,13 +130,14 @@ def _order(id_col: str, seed: int, epoch: Column) -> Column:
     return F.xxhash64(F.lit(seed), epoch, F.col(id_col), F.col("_text"))
 
 
-_ENDS = T.StructType([T.StructField("_leaf", T.StringType()), T.StructField("_full", T.IntegerType()), T.StructField("_end", T.LongType()), T.StructField("_end_text", T.LongType()), T.StructField("_last", T.LongType())])
+_ENDS = T.StructType([T.StructField("_leaf", T.StringType()), T.StructField("_full", T.IntegerType()), T.StructField("_end", T.LongType()), T.StructField("_end_text", T.LongType()), T.StructField("_end_tokens", T.LongType()), T.StructField("_present", T.LongType()), T.StructField("_copies", T.LongType()), T.StructField("_last", T.LongType())])
 
 
 def leaf_ends(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tokens: Column | None = None) -> DataFrame:
     """A row for each leaf of the tree: its whole epochs, and where the prefix of the next one ends.
 
-    _end and _end_text are the place of the last row in the prefix (null without one), _last its tokens in it.
+    _end, _end_text and _end_tokens are the place of the last row in the prefix (null without one), _present the rows
+    at this place, _copies how many of them are in the prefix, _last the tokens of the last of these in it.
     """
     slim = cut(docs.select(F.col(id_col).alias("_id"), *(c.alias(n) for n, c in _placed(docs, plan, id_col, text_col, lang_col, source_col, tokens).items())))
     spark = docs.sparkSession
@@ -148,12 +150,16 @@ def leaf_ends(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str
     before = F.coalesce(F.sum("n").over(Window.partitionBy("_leaf").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 4096 rows a leaf at most
     at = [r for r in sums.withColumn("before", before).where("before < _rest and before + n >= _rest").select("_leaf", "_r", "before").collect()]  # a row a leaf
     border = spark.createDataFrame([(r._leaf, int(r._r), int(r.before)) for r in at], "_leaf string, _r long, before long")
-    one = ranged.join(F.broadcast(border), ["_leaf", "_r"])
-    w = Window.partitionBy("_leaf").orderBy("_h", "_text")
-    running = one.withColumn("after", F.col("before") + F.sum("_tokens").over(w))
-    ends = running.where("after >= _rest").groupBy("_leaf").agg(F.min(F.struct("_h", "_text", "after", "_tokens", "_rest")).alias("e")).collect()
-    found = {r._leaf: (r.e._h, r.e._text, max(0, r.e._tokens - (r.e.after - r.e._rest))) for r in ends}
-    return spark.createDataFrame([(k, int(full), *found.get(k, (None, None, None))) for k, (full, _) in wholes.items()], _ENDS)
+    one = ranged.join(F.broadcast(border), ["_leaf", "_r"]).groupBy("_leaf", "_h", "_text", "_tokens", "before", "_rest").agg(F.count("*").alias("m"))  # copies are one row
+    w = Window.partitionBy("_leaf").orderBy("_h", "_text", "_tokens")
+    running = one.withColumn("after", F.col("before") + F.sum(F.col("_tokens") * F.col("m")).over(w))
+    ends = running.where("after >= _rest").groupBy("_leaf").agg(F.min(F.struct("_h", "_text", "_tokens", "after", "m", "_rest")).alias("e")).collect()
+    found = {}
+    for leaf, e in ends:
+        left = e._rest - (e.after - e._tokens * e.m)  # for the copies at this place
+        copies = -(-left // e._tokens)
+        found[leaf] = (e._h, e._text, e._tokens, e.m, copies, left - (copies - 1) * e._tokens)
+    return spark.createDataFrame([(k, int(full), *found.get(k, (None,) * 6)) for k, (full, _) in wholes.items()], _ENDS)
 
 
 def select_rows(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tokens: Column | None = None) -> DataFrame:
@@ -161,12 +167,24 @@ def select_rows(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: s
     ends = leaf_ends(docs, plan, id_col, text_col, lang_col, source_col, tokens)
     placed = docs.withColumns(_placed(docs, plan, id_col, text_col, lang_col, source_col, tokens)).join(F.broadcast(ends), "_leaf")
     h = _order(id_col, plan.seed, F.col("_full"))
-    within = (F.col("_tokens") > 0) & ((h < F.col("_end")) | ((h == F.col("_end")) & (F.col("_text") <= F.col("_end_text"))))
+    at_text = (h == F.col("_end")) & (F.col("_text") == F.col("_end_text"))
+    within = (F.col("_tokens") > 0) & ((h < F.col("_end")) | ((h == F.col("_end")) & (F.col("_text") < F.col("_end_text"))) | (at_text & (F.col("_tokens") <= F.col("_end_tokens"))))
     times = F.col("_full") + F.when(within, 1).otherwise(0)
     rows = placed.withColumn("_h", h).withColumn("_times", times).where("_times > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    at_end = (F.col("_epoch") == F.col("_full")) & (F.col("_h") == F.col("_end")) & (F.col("_text") == F.col("_end_text"))
-    taken = F.when(at_end, F.least("_tokens", "_last")).otherwise(F.col("_tokens"))
-    return rows.withColumn("_taken", taken).select(*docs.columns, "_leaf", "_tokens", "_epoch", "_taken")
+    place = (F.col("_epoch") == F.col("_full")) & (F.col("_h") == F.col("_end")) & (F.col("_text") == F.col("_end_text")) & (F.col("_tokens") == F.col("_end_tokens"))
+    at_end = F.coalesce(place, F.lit(False))
+    out = [*docs.columns, "_leaf", "_tokens", "_epoch"]
+    taken = rows.withColumn("_taken", F.when(at_end, F.col("_last")).otherwise(F.col("_tokens")))
+    if ends.where("_present > 1").isEmpty():
+        return taken.select(*out, "_taken")
+    tied = at_end & (F.col("_present") > 1)
+    # rows equal in all columns are counted before the shuffle; those left of a place differ beyond id and text
+    counted = rows.where(tied).groupBy(*out, "_copies", "_last").agg(F.count("*").alias("_n"))
+    whole = F.xxhash64(*(F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_leaf").orderBy(whole).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = counted.withColumn("_before", before).where("_before < _copies").withColumn("_k", F.explode(F.sequence(F.col("_before") + 1, F.least(F.col("_before") + F.col("_n"), "_copies"))))
+    copies = each.withColumn("_taken", F.when(F.col("_k") == F.col("_copies"), F.col("_last")).otherwise(F.col("_tokens")))
+    return taken.where(~tied).select(*out, "_taken").unionByName(copies.select(*out, "_taken"))
 
 
 def mix(docs: DataFrame, plan: Plan = PRODUCTION, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -71,3 +71,17 @@ def test_against_sorted_prefixes(spark):
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA), PLAN).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, None, None, None, None, None)], SCHEMA), PLAN).count() == 0
+
+
+def test_copies_at_the_end_of_a_budget_fill_it(spark):
+    for lang in ("en", "de"):  # all copies alike, or told apart by their language alone (both pooled in one leaf)
+        rows = [(None, "x" * 40, "zz" if lang == "de" and i % 2 else "xx", "s0", None, None) for i in range(90)]
+        rows += [(i, "y" * 20, "xx", "s0", None, None) for i in range(4)]
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        for tokens in (13, 307, 455, 911, 920, 1300):
+            got = mixing.mix(docs, replace(PLAN, tokens=tokens)).collect()
+            assert sum(r.taken for r in got) == tokens
+            assert all(0 < r.taken <= r.tokens for r in got) and sum(r.taken < r.tokens for r in got) <= 1
+            assert len(got) <= -(-tokens // 10) + 4
+    kept = mixing.select_rows(docs, replace(PLAN, tokens=307)).collect()
+    assert sum(r._taken for r in kept) == 307
