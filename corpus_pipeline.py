@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from quillon.llm import mixing, packing, quality_cnn, secrets, simhash
 from quillon.session import ensure_checkpoint_dir, table
 
-#: Each document at most once, and four fifths of what the earlier stages kept.
-PLAN = replace(mixing.PRODUCTION, share=0.8, max_epochs=1)
+#: As many tokens as the earlier stages kept, in the plan's epochs: with each document once its weights can't be reached.
+PLAN = replace(mixing.PRODUCTION, share=1.0)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import corpus_pipeline
 import pytest
 
-from quillon.llm import secrets, simhash
+from quillon.llm import mixing, secrets, simhash
 from tests.llm.test_classifiers import LABELS, corpus
 
 
@@ -46,3 +46,13 @@ def test_run_and_empty(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_mixing_reaches_its_weights(spark):
+    rows = [(i, f"{i:04d} " + "x" * 75, ("en", "de", "fr", "es")[i // 4 % 4], f"src{i % 4}", 80) for i in range(1600)]  # domains and languages alike
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.source_mixing(spark, docs, "")
+    assert mixed.columns == docs.columns
+    share = {r.source: r["count"] / 1600 for r in mixed.groupBy("source").count().collect()}
+    for source, target in zip(("src0", "src1", "src2", "src3"), mixing.PRODUCTION.domains.values(), strict=True):
+        assert abs(share[source] - target) < 0.01
