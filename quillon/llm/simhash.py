@@ -8,7 +8,7 @@ below five are dropped, and the rest are verified by their differing bits.
 
 A hot posting (a dense group of near copies) is posted again under its triple and two further positions, which
 loses no pair either, as five bytes are shared; what is still longer than a cell is dealt out as a grid of bounded
-cells. Each cell emits only a spanning forest of its verified links, so no group is expanded into all of its pairs.
+cells. Each cell emits only a star for each component of its verified links, so no group is expanded into all of its pairs.
 
 Defined cases: a null or wordless text has the fingerprint zero; repeated rows give repeated rows; rows with a
 null doc_id keep their row and never name a component unless all of it is null; an empty table gives an empty
@@ -70,7 +70,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def links_within(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (node, root) of the verified links among a bounded set of distinct fingerprints."""
+    """Edges (node, root) that connect what verified links connect, in a bounded set of distinct fingerprints.
+
+    An edge goes to the least of the node's component, which may itself be over MAX_BITS away.
+    """
     octets = prints.view(np.uint8).reshape(-1, 8)
     shared = (octets[:, None, :] == octets[None, :, :]).sum(axis=2, dtype=np.uint8)
     near = shared >= MIN_SHARED_BYTES
@@ -176,27 +179,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _labels(prints: DataFrame) -> DataFrame:
-    """(fp, component, n_links): component is the least fp that fp is linked to over any number of links."""
+    """(fp, component, n_connecting): component is the least fp that fp is linked to over any number of links."""
     edges = cut(links(prints.select("fp")))
-    degree = edges.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
+    degree = edges.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_connecting"))
     roots = components(edges)
     member = roots.select(F.col("u").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     linked = cut(member.join(degree, "fp"))
-    return linked.select("fp", F.col("root").alias("component"), "n_links")
+    return linked.select("fp", F.col("root").alias("component"), "n_connecting")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_links): one row per row of docs.
+    """(doc_id, fingerprint, component_id, n_connecting): one row per row of docs.
 
-    n_links counts the links kept for the row's fingerprint in the connecting set, not all of its neighbours.
+    n_connecting counts the row's fingerprint's edges in the connecting set that `links` keeps: its size and shape follow the
+    cells, and an edge may join fingerprints over MAX_BITS apart, so it is neither a count of near copies nor of all neighbours.
     """
     rows = cut(fingerprints(docs, id_col, text_col, width).drop("row"))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     linked = _labels(prints).join(prints, "fp")
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = linked.join(least, "component").select("fp", "component_id", "n_links")
-    label = cut(prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return rows.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    linked = linked.join(least, "component").select("fp", "component_id", "n_connecting")
+    label = cut(prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_connecting", F.lit(0)).alias("n_connecting")))
+    return rows.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_connecting")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

@@ -87,3 +87,11 @@ def test_nulls_repeats_and_empty(spark):
     assert got == sorted([("None", same, "7"), ("7", same, "7"), ("7", same, "7"), ("None", "0" * 16, "None")])
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert simhash.near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).select(F.max("component_id")).first()[0] == 1
+
+
+def test_edges_are_named_as_what_they_are(spark):
+    frame = spark.createDataFrame([(1, "a b c d", "", 1)], SCHEMA)
+    assert simhash.near_duplicates(frame).columns == ["doc_id", "fingerprint", "component_id", "n_connecting"]
+    chain = np.array([0, 0b111, 0b111111], dtype=np.uint64)  # three bits from one to the next
+    node, root = simhash.links_within(chain)
+    assert node.tolist() == [0b111, 0b111111] and root.tolist() == [0, 0]  # the last edge joins six bits apart
