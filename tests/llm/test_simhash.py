@@ -57,8 +57,9 @@ def test_against_brute_force(spark):
     assert [got[i].component_id for i in range(len(texts))] == plain_components(prints)
 
 
-@pytest.mark.parametrize("fine", [simhash.FINE, 100])
-def test_dense_group_is_linked_whole(spark, fine):
+@pytest.mark.parametrize(("fine", "chunk"), [(simhash.FINE, simhash.CHUNK), (100, simhash.CHUNK), (10**9, 50), (100, 30)])
+def test_dense_group_is_linked_whole(spark, monkeypatch, fine, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
     rng = np.random.default_rng(3)
     centre = 0x9F3B_77A1_0C5D_E284
     prints = {centre}
@@ -69,7 +70,8 @@ def test_dense_group_is_linked_whole(spark, fine):
     values = sorted(prints)
     signed = [p - (1 << 64) if p >= 1 << 63 else p for p in values]
     frame = spark.createDataFrame([(p,) for p in signed], "fp long")
-    edges = simhash.links(frame, fine)
+    found = simhash.links(frame, fine).cache()
+    edges = found.where("n = 0").select("u", "v")
     assert edges.count() < 20 * len(values)
     roots = {r.u: r.root for r in simhash.components(edges).collect()}
     want = plain_components(values)
@@ -78,6 +80,10 @@ def test_dense_group_is_linked_whole(spark, fine):
         groups.setdefault(w, set()).add(roots.get(p, p))
     assert all(len(g) == 1 for g in groups.values())
     assert len({next(iter(g)) for g in groups.values()}) == len(groups)
+    x = np.array(values, dtype=np.uint64)
+    degree = (np.bitwise_count(x[:, None] ^ x[None, :]) <= 3).sum(axis=1) - 1
+    have = {r.u: r.n for r in found.where("n > 0").groupBy("u").agg(F.sum("n").alias("n")).collect()}
+    assert [have.get(p, 0) for p in signed] == degree.tolist()
 
 
 def test_nulls_repeats_and_empty(spark):
@@ -89,9 +95,30 @@ def test_nulls_repeats_and_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).select(F.max("component_id")).first()[0] == 1
 
 
-def test_edges_are_named_as_what_they_are(spark):
+def test_links_of_a_chain(spark):
+    chain = np.array([0, 0b111, 0b111111], dtype=np.uint64)  # three bits from one to the next, six between the ends
+    found = [simhash.links_within(chain, None, k) for k in range(8)]
+    assert sorted((int(x), int(y)) for a, b in found for x, y in zip(a, b, strict=True)) == [(0, 1), (1, 2)]  # each by one posting
+    assert simhash._stars(3, np.array([0, 1]), np.array([1, 2])).tolist() == [0, 0, 0]
     frame = spark.createDataFrame([(1, "a b c d", "", 1)], SCHEMA)
-    assert simhash.near_duplicates(frame).columns == ["doc_id", "fingerprint", "component_id", "n_connecting"]
-    chain = np.array([0, 0b111, 0b111111], dtype=np.uint64)  # three bits from one to the next
-    node, root = simhash.links_within(chain)
-    assert node.tolist() == [0b111, 0b111111] and root.tolist() == [0, 0]  # the last edge joins six bits apart
+    assert simhash.near_duplicates(frame).columns == ["doc_id", "fingerprint", "component_id", "n_links"]
+
+
+def test_count_filter_keeps_what_it_must():
+    rng = np.random.default_rng(1)
+    for _ in range(3000):  # a pair within three bits is retained by one posting of each kind, and shares five bytes
+        bits = rng.choice(64, size=int(rng.integers(1, 4)), replace=False)
+        mask = 255 & ~sum(1 << i for i in {int(b) // 8 for b in bits})
+        assert simhash.RETAINED[:8, mask].sum() == simhash.RETAINED[8:, mask].sum() == 1
+        k = int(np.flatnonzero(simhash.RETAINED[:8, mask])[0])
+        assert simhash.RETAINED[8 + 10 * k : 18 + 10 * k, mask].sum() == 1
+    assert not simhash.RETAINED[:, [m for m in range(256) if m.bit_count() < 5]].any()
+
+
+def test_keep_one_settles_copies_and_any_column_names(spark):
+    rows = [(1, "a b c d", "x", 1, {"k": "v"}), (2, "a b c d", "x", 1, {"k": "v"}), (1, "a b c d", "x", 1, {"k": "w"}), (3, None, None, None, None), (None, "", None, None, None), (4, "z " * 30000, None, None, {}), (4, "z " * 30000, None, None, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _own string, row int, c0 map<string,string>")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
