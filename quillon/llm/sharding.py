@@ -7,8 +7,9 @@ whatever the data, so a placement is one probe, and nothing is shuffled.
 
 Adding or removing a shard moves about that shard's own portion of the slots and few others.
 
-Defined cases: rows with a null key are placed by the hash of their text, and so are spread; rows that repeat a key go to
-one shard; an empty table gives an empty result; further input columns are kept by `place`.
+Defined cases: rows with a null key are placed by the hash of their text, and so are spread; a null text is empty; very long
+texts are hashed whole where they are the key; rows that repeat a key go to one shard; shards whose turns tie claim in the
+order given; an empty table gives an empty result; further input columns, whatever their names, are kept by `place`.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.columns import shielded
+
 #: Prime, and over a hundred slots a shard, which keeps the shards' portions within about a percent.
 SLOTS = 65537
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -67,18 +70,23 @@ def key_of(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
 
 
-def place(df: DataFrame, key: Column, shards: Sequence[str] | Mapping[str, float] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """df with _slot and _shard."""
+def place(df: DataFrame, key: Column, shards: Sequence[str] | Mapping[str, float] = SHARDS, slots: int = SLOTS, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
+    """df with slot_col and shard_col, which must not be columns of df."""
+    taken = {slot_col, shard_col} & set(df.columns)
+    if taken:
+        raise ValueError(f"{sorted(taken)} are columns already; name others with slot_col and shard_col")
+    inner, _ = shielded(df)
     names = list(shards)
     rows = [(slot, names[k]) for slot, k in enumerate(lookup_table(shards, slots).tolist())]
-    owners = df.sparkSession.createDataFrame(rows, "_slot int, _shard string")
-    return df.withColumn("_slot", slot_of(key, slots)).join(F.broadcast(owners), "_slot").select(*df.columns, "_slot", "_shard")
+    owners = df.sparkSession.createDataFrame(rows, "slot int, shard string")
+    keyed = df.select("*", slot_of(key, slots)).toDF(*inner.columns, "slot")
+    return keyed.join(F.broadcast(owners), "slot").select(*inner.columns, "slot", "shard").toDF(*df.columns, slot_col, shard_col)
 
 
-def write_shards(df: DataFrame, path: str, key: Column, shards: Sequence[str] | Mapping[str, float] = SHARDS, slots: int = SLOTS) -> None:
+def write_shards(df: DataFrame, path: str, key: Column, shards: Sequence[str] | Mapping[str, float] = SHARDS, slots: int = SLOTS, shard_col: str = "shard") -> None:
     """df under path, a folder for each shard. Tasks write their own files, so a large shard is many files and no row moves."""
-    placed = place(df, key, shards, slots).withColumnRenamed("_shard", "shard").drop("_slot")
-    placed.write.partitionBy("shard").parquet(path)
+    slot_col = next(f"slot{k}" for k in range(len(df.columns) + 2) if f"slot{k}" not in (*df.columns, shard_col))
+    place(df, key, shards, slots, slot_col, shard_col).drop(slot_col).write.partitionBy(shard_col).parquet(path)
 
 
 def moved(before: np.ndarray, after: np.ndarray, names_before: Sequence[str], names_after: Sequence[str]) -> float:
@@ -90,7 +98,7 @@ def moved(before: np.ndarray, after: np.ndarray, names_before: Sequence[str], na
 def shard_documents(docs: DataFrame, shards: Sequence[str] | Mapping[str, float] = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, slot, shard, n_bytes) for every row of docs."""
     slim = docs.select(F.col(id_col).alias("doc_id"), key_of(id_col, text_col).alias("key"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    return place(slim, F.col("key"), shards, slots).select("doc_id", F.col("_slot").alias("slot"), F.col("_shard").alias("shard"), "n_bytes")
+    return place(slim, F.col("key"), shards, slots).select("doc_id", "slot", "shard", "n_bytes")
 
 
 def oracle(shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> str:

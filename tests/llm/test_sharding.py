@@ -50,6 +50,12 @@ def test_placement(spark, tmp_path):
     assert len({r.shard for r in got if r.doc_id == 3}) == 1
     assert len({r.shard for r in got if r.doc_id is None}) > 30  # spread, though they share the null key
     assert sharding.shard_documents(docs.limit(0)).count() == 0
+    placed = sharding.place(docs.withColumnsRenamed({"slot": "c0", "shard": "_slot"}), sharding.key_of())
+    assert placed.columns == ["doc_id", "text", "c0", "_slot", "slot", "shard"] and {r._slot for r in placed.collect()} == {"clash", None, ""}
+    with pytest.raises(ValueError, match="slot"):
+        sharding.place(docs, sharding.key_of())
+    long = spark.createDataFrame([(None, "x" * 300000, None, None)], SCHEMA)
+    assert sharding.shard_documents(long).first().n_bytes == 300000
     sharding.write_shards(docs.select("doc_id", "text"), f"{tmp_path}/out", sharding.key_of())
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == len(rows) and set(back.columns) == {"doc_id", "text", "shard"}
