@@ -12,9 +12,10 @@ summed in 4096 hash ranges per leaf, only the range where the budget ends is ord
 is a filter of each row against its leaf's end.
 
 Defined cases: null texts have no tokens and are never selected by a prefix (a token-less row goes with whole epochs);
-null sources and languages go to "*"; rows equal in id and text stand at the same place and are taken one by one,
-in the order of a hash of their other columns, up to the token where the budget ends; an empty
-table gives an empty result; further input columns are kept by `select_rows` and ignored by `mix`.
+very long texts are whole documents, of which the last of a prefix may be taken in part; null sources and languages go to
+"*"; rows equal in id and text stand at the same place and are taken one by one, in the order of a hash of their other
+columns, up to the token where the budget ends; shares that tie for a remainder are served by name; an empty table gives
+an empty result; further input columns, whatever their names, are kept by `select_rows` and ignored by `mix`.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillon.llm.columns import row_hash, shielded
 from quillon.session import cut
 
 OTHER = "*"
@@ -55,7 +57,7 @@ def _sources(n: int = 20) -> list[str]:
 PRODUCTION = Plan(
     domains={"web": 0.45, "books": 0.25, "reference": 0.2, "forums": 0.1},
     languages={"en": 0.55, "de": 0.2, "fr": 0.15, "es": 0.1},
-    sources=dict.fromkeys(_sources(), 1.0),
+    sources={s: (3.0, 2.0, 2.0, 1.0, 1.0)[k // 4] for k, s in enumerate(_sources())},  # within a domain, the earlier ones weigh more
     domain_of={s: ("web", "books", "reference", "forums")[k % 4] for k, s in enumerate(_sources())},
 )
 
@@ -162,35 +164,52 @@ def leaf_ends(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str
     return spark.createDataFrame([(k, int(full), *found.get(k, (None,) * 6)) for k, (full, _) in wholes.items()], _ENDS)
 
 
-def select_rows(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tokens: Column | None = None) -> DataFrame:
-    """The columns of docs with _leaf, _tokens, _epoch and _taken: a row for each epoch that a row of docs is in."""
-    ends = leaf_ends(docs, plan, id_col, text_col, lang_col, source_col, tokens)
-    placed = docs.withColumns(_placed(docs, plan, id_col, text_col, lang_col, source_col, tokens)).join(F.broadcast(ends), "_leaf")
-    h = _order(id_col, plan.seed, F.col("_full"))
+MIXED = ("leaf", "tokens", "epoch", "taken")
+
+
+def _selected(docs: DataFrame, plan: Plan, id_col: str, text_col: str, lang_col: str, source_col: str, tokens: Column | None) -> tuple[DataFrame, list[str]]:
+    """A row for each epoch that a row of docs is in: its columns under other names (the list), then MIXED."""
+    inner, name = shielded(docs)
+    if tokens is not None:
+        inner = docs.select("*", tokens).toDF(*inner.columns, "given")
+    args = (*(name[c] for c in (id_col, text_col, lang_col, source_col)), None if tokens is None else F.col("given"))
+    ends = leaf_ends(inner, plan, *args)
+    placed = inner.withColumns(_placed(inner, plan, *args)).join(F.broadcast(ends), "_leaf")
+    h = _order(args[0], plan.seed, F.col("_full"))
     at_text = (h == F.col("_end")) & (F.col("_text") == F.col("_end_text"))
     within = (F.col("_tokens") > 0) & ((h < F.col("_end")) | ((h == F.col("_end")) & (F.col("_text") < F.col("_end_text"))) | (at_text & (F.col("_tokens") <= F.col("_end_tokens"))))
     times = F.col("_full") + F.when(within, 1).otherwise(0)
     rows = placed.withColumn("_h", h).withColumn("_times", times).where("_times > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
     place = (F.col("_epoch") == F.col("_full")) & (F.col("_h") == F.col("_end")) & (F.col("_text") == F.col("_end_text")) & (F.col("_tokens") == F.col("_end_tokens"))
     at_end = F.coalesce(place, F.lit(False))
-    out = [*docs.columns, "_leaf", "_tokens", "_epoch"]
+    own = list(name.values())
+    out = [*own, "_leaf", "_tokens", "_epoch"]
+    named = lambda df: df.select(*own, *(F.col(f"_{c}").alias(c) for c in MIXED))
     taken = rows.withColumn("_taken", F.when(at_end, F.col("_last")).otherwise(F.col("_tokens")))
     if ends.where("_present > 1").isEmpty():
-        return taken.select(*out, "_taken")
+        return named(taken), own
     tied = at_end & (F.col("_present") > 1)
     # rows equal in all columns are counted before the shuffle; those left of a place differ beyond id and text
-    counted = rows.where(tied).groupBy(*out, "_copies", "_last").agg(F.count("*").alias("_n"))
-    whole = F.xxhash64(*(F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    maps = [c for c in own if "map<" in rows.schema[c].dataType.simpleString()]  # have no order to group by
+    keys = [c for c in out if c not in maps] + [f"_map{k}" for k in range(len(maps))]
+    tied_rows = rows.where(tied).withColumns({f"_map{k}": F.to_json(F.struct(c)) for k, c in enumerate(maps)})
+    counted = tied_rows.groupBy(*keys, "_copies", "_last").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in maps))
+    whole = row_hash(counted.select(*own))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_leaf").orderBy(whole).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     each = counted.withColumn("_before", before).where("_before < _copies").withColumn("_k", F.explode(F.sequence(F.col("_before") + 1, F.least(F.col("_before") + F.col("_n"), "_copies"))))
     copies = each.withColumn("_taken", F.when(F.col("_k") == F.col("_copies"), F.col("_last")).otherwise(F.col("_tokens")))
-    return taken.where(~tied).select(*out, "_taken").unionByName(copies.select(*out, "_taken"))
+    return named(taken.where(~tied)).unionByName(named(copies)), own
+
+
+def select_rows(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tokens: Column | None = None) -> DataFrame:
+    """The rows of docs in the mix, with the columns of docs: as many times as there are epochs that they are in."""
+    rows, own = _selected(docs, plan, id_col, text_col, lang_col, source_col, tokens)
+    return rows.select(*own).toDF(*docs.columns)
 
 
 def mix(docs: DataFrame, plan: Plan = PRODUCTION, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(doc_id, domain, language, source, epoch, tokens, taken): every selected row of every epoch."""
     slim = docs.select(*dict.fromkeys((id_col, text_col, lang_col, source_col)))
-    parts = F.split("_leaf", "/")
-    return select_rows(slim, plan, id_col, text_col, lang_col, source_col).select(
-        F.col(id_col).alias("doc_id"), parts[0].alias("domain"), parts[1].alias("language"), parts[2].alias("source"), F.col("_epoch").alias("epoch"), F.col("_tokens").alias("tokens"), F.col("_taken").alias("taken")
-    )
+    rows, own = _selected(slim, plan, id_col, text_col, lang_col, source_col, None)
+    parts = F.split("leaf", "/")
+    return rows.select(F.col(own[0]).alias("doc_id"), parts[0].alias("domain"), parts[1].alias("language"), parts[2].alias("source"), "epoch", "tokens", "taken")

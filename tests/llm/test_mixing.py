@@ -83,5 +83,25 @@ def test_copies_at_the_end_of_a_budget_fill_it(spark):
             assert sum(r.taken for r in got) == tokens
             assert all(0 < r.taken <= r.tokens for r in got) and sum(r.taken < r.tokens for r in got) <= 1
             assert len(got) <= -(-tokens // 10) + 4
-    kept = mixing.select_rows(docs, replace(PLAN, tokens=307)).collect()
-    assert sum(r._taken for r in kept) == 307
+    kept = mixing.select_rows(docs, replace(PLAN, tokens=300))
+    assert kept.columns == docs.columns and kept.count() == len(mixing.mix(docs, replace(PLAN, tokens=300)).collect())
+
+
+def test_long_texts_and_any_column_names(spark):
+    rows = [(i, "x" * (400000 if i == 3 else 40), "en", "s0", {"k": str(i)}, 1, "a") for i in range(8)]
+    rows += [(None, "y" * 40, "en", "s0", {"k": "1"}, 1, "a")] * 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, c0 map<string,string>, _full int, _leaf string")
+    for tokens in (35, 100_050, 100_160, 200_000):
+        kept = mixing.select_rows(docs, replace(PLAN, tokens=tokens))
+        assert kept.columns == docs.columns
+        assert kept.count() == mixing.mix(docs, replace(PLAN, tokens=tokens)).count()
+    assert mixing.select_rows(docs, replace(PLAN, tokens=50), tokens=F.length("text").cast("long")).count() in (1, 2)
+
+
+def test_the_deepest_weights_count():
+    available = {(d, "en", s): 10**6 for s, d in mixing.PRODUCTION.domain_of.items()}
+    got = mixing.budgets(available, replace(mixing.PRODUCTION, tokens=10**6))
+    weights = mixing.PRODUCTION.sources
+    for (d, _, s), n in got.items():
+        within = sum(w for x, w in weights.items() if mixing.PRODUCTION.domain_of[x] == d)
+        assert abs(n - 10**6 * mixing.PRODUCTION.domains[d] * weights[s] / within) < 2
