@@ -3,14 +3,17 @@
 A document's ids are cut into whole windows of the longest context; what is left is routed to the tier of the
 smallest context that holds it. Tiers are packed from the longest to the shortest: a window takes the longest
 waiting piece of its tier, its gap is filled with whole pieces of shorter tiers, best fit first, and what still
-gapes is closed by a cut piece. Windows of every tier are powers of two and come out full. Sequences of one tier
-are dealt into step groups of equal token counts, so every step costs the same.
+gapes is closed by a cut piece. Windows of every tier are powers of two and come out full.
 
-A partition packs its own rows, in pools of bounded size, so there is no shuffle, no row leaves its task and a
-lost task is done again alone; what a partition has left at its end goes out in full power-of-two sequences.
+A partition packs its own rows, in pools of bounded size, so texts are not shuffled; what a partition has left at
+its end goes out in full power-of-two sequences, those under the shortest context as one class of their own. The
+packed pieces, which hold numbers alone, are written, and the sequences of each class are then dealt over the whole
+corpus into as few step groups of at most about STEP_TOKENS as hold them, all of equal tokens up to one sequence,
+so every step of a class costs the same.
 
-Defined cases: a null text is empty and has the end id alone; null ids are kept; repeated rows are packed each;
-an empty table gives an empty result; further input columns are ignored.
+Defined cases: a null text is empty and has the end id alone; very long texts are cut freely, each id in one piece;
+null ids are kept; repeated rows are packed each; pieces of equal length are taken last in, first out; an empty table
+gives an empty result; further input columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillon.session import cut
 
 CONTEXT = 2048
 #: Contexts of the tiers, longest first.
@@ -42,7 +48,9 @@ _CACHE, _CACHED = 1_000_000, 48
 _PIECES = re.compile(r" (?=\S)")
 _MARKS = frozenset(".,;:!?")
 
-COLUMNS = [(c, "long") for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("tier", "int"), ("step_group", "long")]
+COLUMNS = [(c, "long") for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("tier", "int"), ("ahead", "long")]
+#: Bits of a sequence id below the partition that packed it.
+_PARTITION = 40
 
 
 def _byte_letters() -> dict[int, str]:
@@ -184,20 +192,17 @@ def pack(pool: Pool, emit: Callable[[int, list[Piece]], None], last: bool) -> No
 def _packed(batches: Iterator[pa.RecordBatch], encode: Callable[[str], bytes], partition: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[object, bytes]] = []  # of each document in the pool: its id and its ids' bytes
     out: list[list] = [[] for _ in range(len(COLUMNS) + 1)]
-    sequences, groups, pool, kinds = 0, 0, Pool(), None
-    open_groups: dict[int, tuple[int, int]] = {}  # of each tier: its open step group and the tokens in it
+    sequences, pool, kinds = 0, Pool(), None
+    ahead: dict[int, int] = {}  # of each class: its tokens in this partition so far
 
     def emit(tier: int, window: list[Piece]) -> None:
-        nonlocal sequences, groups
-        group, filled = open_groups.get(tier, (None, STEP_TOKENS))
-        if filled >= STEP_TOKENS:
-            group, filled = groups, 0
-            groups += 1
-        open_groups[tier] = group, filled + tier
-        offset = 0
+        nonlocal sequences
+        kind = max(tier, TIERS[-1] // 2)
+        before, offset = ahead.get(kind, 0), 0
+        ahead[kind] = before + tier
         for doc, first, n in window:
             name, ids = held[doc]
-            row = name, first, n, zlib.crc32(ids[4 * first : 4 * (first + n)]), len(ids) // 4, partition << 40 | sequences, offset, tier, partition << 40 | group
+            row = name, first, n, zlib.crc32(ids[4 * first : 4 * (first + n)]), len(ids) // 4, partition << _PARTITION | sequences, offset, tier, before
             for column, value in zip(out, row, strict=True):
                 column.append(value)
             offset += n
@@ -237,12 +242,29 @@ def _packed(batches: Iterator[pa.RecordBatch], encode: Callable[[str], bytes], p
         yield flush()
 
 
+def step_groups(pieces: DataFrame) -> DataFrame:
+    """pieces with step_group for ahead: each class's sequences in order, cut into groups of equal tokens.
+
+    Of a class only the totals of each partition are put in order, a row for each task that packed.
+    """
+    kind = F.greatest("tier", F.lit(TIERS[-1] // 2))
+    placed = pieces.withColumns({"kind": kind, "part": F.shiftright("sequence_id", _PARTITION)})
+    sums = placed.groupBy("kind", "part").agg(F.sum("length").alias("tokens"))
+    ahead = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("kind", "part", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("before"), F.sum("tokens").over(Window.partitionBy("kind")).alias("total"))
+    groups = F.ceil(F.col("total") / STEP_TOKENS)
+    number = F.floor((F.col("before") + F.col("ahead")).cast("decimal(38,0)") * groups / F.col("total")).cast("long")
+    named = placed.join(sums, ["kind", "part"]).withColumn("step_group", F.shiftleft(F.col("kind").cast("long"), _PARTITION) + number)
+    return named.select("doc_id", *(c for c, _ in COLUMNS[:-1]), "step_group")
+
+
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """A row for each piece of each document: doc_id and COLUMNS."""
+    """A row for each piece of each document: doc_id, COLUMNS but ahead, and step_group."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _packed(batches, encoder(path), TaskContext.get().partitionId())
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{c} {k}" for c, k in COLUMNS)]))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return step_groups(cut(slim.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{c} {k}" for c, k in COLUMNS)]))))
