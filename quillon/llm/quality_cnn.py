@@ -6,11 +6,13 @@ max-pooled in each chunk, and the pooled responses are combined over all chunks
 mean and their maximum into one logistic probability. Training back-propagates through the same pools.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0, from a sample of at most
-TRAIN_ROWS labelled rows; scores see the text alone.
+TRAIN_ROWS labelled ids, of each its whole text; scores see the text alone.
 
-Defined cases: null and empty texts are one chunk of padding and get a score like any other; a null doc_id is
-held out; a doc_id labelled more than once is learned with its mean label; with no usable label every score is
-0.5; an empty table gives an empty result; repeated rows give repeated rows; further columns are ignored.
+Defined cases: null and empty texts are one chunk of padding and get a score like any other; very long texts are
+learned and scored whole, in slabs of bounded memory; a null doc_id is held out; a doc_id labelled more than once is
+learned with its mean label, one with more than one text with the least of them; chunks that tie for a document's maximum
+share its slope; with no usable label every score is 0.5; an empty table gives an empty result; repeated rows give repeated
+rows; further columns, whatever their names, are ignored by `classify` and kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.columns import shielded
+
 WIDTH, FILTERS, HOP = 6, 24, 128
 #: Bound of the labelled sample that a fit reads, and of its passes over it.
 TRAIN_ROWS, EPOCHS, BATCH, RATE = 1600, 8, 48, 0.02
-#: Of each sampled document, at most this many bytes are learned from; scoring reads all of it.
-TRAIN_BYTES = 16384
 THRESHOLD = 0.3
 #: Label 0 is the rarer one and the decision point is low, so its rows weigh more in the fit.
 LOW_WEIGHT = 4.0
@@ -92,6 +94,32 @@ def scores(net: Network, texts: list[bytes]) -> np.ndarray:
     return _combined(net, peaks, blocks)[-1]
 
 
+def gradient(net: Network, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
+    """The slopes of the weighted log loss over texts, by what they are of: through the combination, the pools and the filters."""
+    data, blocks = _laid(texts)
+    n = int(blocks.sum())
+    where, peaks = [], []
+    for at in range(0, n, _SLAB):
+        r = _answers(net, data, at, min(at + _SLAB, n))
+        best = r.argmax(axis=1)
+        where.append(best)
+        peaks.append(np.take_along_axis(r, best[:, None, :], axis=1)[:, 0])
+    where, peaks = np.concatenate(where), np.concatenate(peaks)
+    a, b, chunks, first, pooled, mean, most, p = _combined(net, peaks, blocks)
+    weigh = LOW_WEIGHT + (1 - LOW_WEIGHT) * labels
+    slope = (weigh * (p - labels) / weigh.sum()).astype(net.tables.dtype)
+    each = np.repeat(slope, chunks)[:, None]
+    g = each * net.out[:FILTERS] / np.repeat(chunks, chunks)[:, None]
+    top = pooled == np.repeat(most, chunks, axis=0)  # chunks that overlap may share the place of the maximum
+    g += top * each * net.out[FILTERS:] / np.repeat(np.add.reduceat(top, first, axis=0, dtype=np.int64), chunks, axis=0)
+    g *= pooled > 0
+    block = np.where(peaks[a] >= peaks[b], a[:, None], b[:, None])
+    position = block * HOP + where[block, np.arange(FILTERS)]
+    column = np.broadcast_to(np.arange(FILTERS), position.shape)
+    tables = [np.bincount((data[position + j].astype(np.int64) * FILTERS + column).ravel(), weights=g.ravel(), minlength=256 * FILTERS).reshape(256, FILTERS) for j in range(WIDTH)]
+    return {"tables": np.stack(tables), "bias": g.sum(axis=0), "out": np.concatenate([mean, most], axis=1).T @ slope, "prior": np.array([slope.sum()])}
+
+
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     """A network for the given labelled texts; the same input gives the same network."""
     rng = np.random.default_rng(seed)
@@ -106,28 +134,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
         order = rng.permutation(len(texts))
         for k in range(batches):
             pick = order[k * BATCH : (k + 1) * BATCH]
-            data, blocks = _laid([texts[i] for i in pick])
-            n = int(blocks.sum())
-            where, peaks = [], []
-            for at in range(0, n, _SLAB):
-                r = _answers(net, data, at, min(at + _SLAB, n))
-                best = r.argmax(axis=1)
-                where.append(best)
-                peaks.append(np.take_along_axis(r, best[:, None, :], axis=1)[:, 0])
-            where, peaks = np.concatenate(where), np.concatenate(peaks)
-            a, b, chunks, first, pooled, mean, most, p = _combined(net, peaks, blocks)
-            weigh = LOW_WEIGHT + (1 - LOW_WEIGHT) * labels[pick]
-            slope = (weigh * (p - labels[pick]) / weigh.sum()).astype(np.float32)
-            grad = {"out": np.concatenate([mean, most], axis=1).T @ slope, "prior": np.array([slope.sum()])}
-            each = np.repeat(slope, chunks)[:, None]
-            g = each * net.out[:FILTERS] / np.repeat(chunks, chunks)[:, None]
-            g += np.where(pooled == np.repeat(most, chunks, axis=0), each * net.out[FILTERS:], 0)
-            g *= pooled > 0
-            grad["bias"] = g.sum(axis=0)
-            block = np.where(peaks[a] >= peaks[b], a[:, None], b[:, None])
-            position = block * HOP + where[block, np.arange(FILTERS)]
-            column = np.broadcast_to(np.arange(FILTERS), position.shape)
-            grad["tables"] = np.stack([np.bincount((data[position + j].astype(np.int64) * FILTERS + column).ravel(), weights=g.ravel(), minlength=256 * FILTERS).reshape(256, FILTERS) for j in range(WIDTH)])
+            grad = gradient(net, [texts[i] for i in pick], labels[pick])
             step += 1
             rate = RATE * (1 - 0.9 * step / (EPOCHS * batches))
             for name, x in (("tables", net.tables), ("bias", net.bias), ("out", net.out)):
@@ -147,15 +154,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Network:
-    """Fit on at most rows labelled documents that aren't held out, chosen by a hash of their id."""
+    """Fit on the whole texts of at most rows labelled ids that aren't held out, chosen by a hash of the id."""
     usable = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out("doc_id"))
     picked = usable.groupBy("doc_id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    data = F.substring(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 1, TRAIN_BYTES)
-    sample = docs.select(F.col(id_col).alias("doc_id"), data.alias("data")).join(F.broadcast(picked), "doc_id")
-    found = sorted({(r.doc_id, bytes(r.data), float(r.label)) for r in sample.collect()})[: 2 * rows]
+    found = sampled(docs, picked, id_col, text_col)
     return fit([t for _, t, _ in found], np.array([y for _, _, y in found], dtype=np.float32))
 
 
+def sampled(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str) -> list[tuple[object, bytes, float]]:
+    """(doc_id, whole text, label) of the picked (doc_id, label) rows, in the order of ids; of an id's texts the least."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    sample = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()  # a row for each picked id at most
+    return sorted((r.doc_id, bytes(r.text), float(r.label)) for r in rows)
+
+
 def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """All columns of docs, and the score as the last one, named score."""
 
@@ -191,5 +204,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the classifier predicts as label 1, with the columns of docs."""
     net = train(docs, labels, "quality", id_col, text_col)
-    scored = score(docs, net, text_col).toDF(*docs.columns, "_score")
-    return scored.where(F.col("_score") >= THRESHOLD).drop("_score")
+    inner, name = shielded(docs)
+    scored = score(inner, net, name[text_col])
+    return scored.where(F.col("score") >= THRESHOLD).select(*inner.columns).toDF(*docs.columns)

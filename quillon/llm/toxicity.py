@@ -4,15 +4,18 @@ Categories are predicted one after another. Every model is linear over a vocabul
 chosen on the training rows, with the probabilities of the earlier categories as further features. In training
 those probabilities are out-of-fold predictions, so a later model learns from what an earlier one really knows.
 
-Where the labels only say toxic or not, two finer categories come from the training rows themselves: a toxic row
-is dense or sparse, as its rate of vocabulary items that mark toxic rows is above or below the median.
-
-Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0, from at most PER_CLASS rows of each
-label; rows are weighted back to the labels' shares.
-
-Defined cases: null and empty texts have no features and get the models' base probability; a null doc_id is held
-out; a doc_id labelled more than once counts as toxic if any label says so; with no usable label every score is 0;
-an empty table gives an empty result; repeated rows give repeated rows; further columns are ignored.
+Where the labels only say toxic or not, finer categories come from the training rows themselves: the items that
+mark toxic rows are parted into FAMILIES families by the rows that they occur in together, and a toxic row is of a
+family's category if it holds a marker of it. A row can be of several, so each tells the chain something of its own.
+
+Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0, from at most PER_CLASS labelled ids of
+each label, of each its whole text; rows are weighted back to the labels' shares.
+
+Defined cases: null and empty texts have no features and get the models' base probability; very long texts are read
+whole, in training and in scoring; a null doc_id is held out; a doc_id labelled more than once counts as toxic if any
+label says so, one with more than one text is learned with the least of them; items that tie for the vocabulary's last
+place are taken in the order of their letters; with no usable label every score is 0; an empty table gives an empty
+result; repeated rows give repeated rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.quality_cnn import held_out
+from quillon.llm.quality_cnn import held_out, sampled
 
 PER_CLASS = 2000
 #: Vocabulary items, the least number of training rows that hold one, and the prefix lengths beside whole words.
 ITEMS, LEAST_ROWS, PREFIXES = 400, 5, (4, 5, 6, 7)
-#: Of each training row, at most this many bytes are read; scoring reads all of a text.
-TRAIN_BYTES = 32768
 FOLDS, STEPS, RATE, RIDGE = 5, 250, 0.05, 2e-4
-CHAIN = ("dense", "sparse", "toxic")
+FAMILIES = 3
+CHAIN = (*(f"family_{k + 1}" for k in range(FAMILIES)), "toxic")
 THRESHOLD = 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -138,10 +140,33 @@ def fit(rows: list[tuple[str, int]], shares: tuple[float, float] = (1.0, 1.0)) -
     vocab, marks = vocabulary(texts, y)
     at = np.array([vocab[i] for i in sorted(marks)], dtype=np.int64)
     probe = Chain(vocab)
-    rate = np.array([probe.features(t)[len(vocab) :][at].sum() for t in texts])
-    dense = (y == 1) & (rate >= np.median(rate[y == 1]))
-    labels = {"dense": dense.astype(float), "sparse": ((y == 1) & ~dense).astype(float), "toxic": y}
-    return fit_chain(texts, labels, vocab, np.where(y == 1, shares[1], shares[0]), np.arange(len(rows)) % FOLDS)
+    holds = np.stack([probe.features(t)[: len(vocab)][at] for t in texts])
+    family = families(holds[y == 1])
+    labels = {name: y * holds[:, family == k].any(axis=1) for k, name in enumerate(CHAIN[:-1])}
+    return fit_chain(texts, {**labels, "toxic": y}, vocab, np.where(y == 1, shares[1], shares[0]), np.arange(len(rows)) % FOLDS)
+
+
+def families(holds: np.ndarray, k: int = FAMILIES, rounds: int = 20) -> np.ndarray:
+    """The family of each marker (a column of rows x markers): k centres over the rows that hold it, by cosine.
+
+    Starts from the marker that most rows hold and takes as each further centre the one least like those before.
+    """
+    x = holds.T / np.maximum(np.sqrt(holds.sum(axis=0)), 1e-9)[:, None]
+    if len(x) <= k:
+        return np.arange(len(x))
+    centres = [x[int(holds.sum(axis=0).argmax())]]
+    while len(centres) < k:
+        centres.append(x[int(np.max([x @ c for c in centres], axis=0).argmin())])
+    c = np.stack(centres)
+    family = (x @ c.T).argmax(axis=1)
+    for _ in range(rounds):
+        c = np.stack([x[family == j].sum(axis=0) if (family == j).any() else c[j] for j in range(k)])
+        c /= np.maximum(np.linalg.norm(c, axis=1), 1e-9)[:, None]
+        again = (x @ c.T).argmax(axis=1)
+        if (again == family).all():
+            break
+        family = again
+    return family
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Chain:
@@ -150,17 +175,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     part = lambda k: known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     picked = part(1).unionByName(part(0))
-    data = F.substring(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 1, TRAIN_BYTES)
-    sample = docs.select(F.col(id_col).alias("doc_id"), data.alias("data")).join(F.broadcast(picked), "doc_id")
-    found = sorted({(r.doc_id, bytes(r.data), r.label) for r in sample.collect()}, key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
-    rows = [(d.decode("utf-8", "ignore"), label) for _, d, label in found]
+    found = sorted(sampled(docs, picked, id_col, text_col), key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
+    rows = [(text.decode("utf-8", "ignore"), int(label)) for _, text, label in found]
     taken = Counter(label for _, label in rows)
     return fit(rows, tuple(sizes.get(k, 0) / max(1, taken[k]) for k in (0, 1)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, p_dense, p_sparse, score, predicted) for every row of docs; score is the chain's last probability."""
+    """(doc_id, held_out, p_ of each family, score, predicted) for every row of docs; score is the chain's last probability."""
     chain = train(docs, labels, "toxic", id_col, text_col)
+    names = [*(f"p_{c}" for c in CHAIN[:-1]), "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,8 +192,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 part = batch.slice(at, 256)
                 x = np.stack([chain.features(t.as_py() or "") for t in part.column(1)]) if part.num_rows else np.zeros((0, 2 * len(chain.vocabulary)), np.float32)
                 p = chain.predict(x).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(p[:, k]) for k in range(len(CHAIN)))], names=["doc_id", "p_dense", "p_sparse", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(p[:, k]) for k in range(len(CHAIN)))], names=["doc_id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, p_dense double, p_sparse double, score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "p_dense", "p_sparse", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{n} double" for n in names)]))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), *names, (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
