@@ -39,8 +39,8 @@ def test_against_plain_scan(spark):
         rows.append((i, url, rng.randrange(0, 300), kind, rng.choice([None, '"p"', 'W/"p"', '"q"']), rng.choice([None, "m1", "m2"]), f"d{i}", headers, "clash"))
     names = {r.url: r.c for r in spark.createDataFrame([(s,) for s in spelled], "url string").select("url", revisits.canonical("url").alias("c")).collect()}
     assert len({names[s] for s in spelled[:4]}) == 1 and names[spelled[4]] == names[spelled[5]] and names[spelled[6]] == names[spelled[7]] == "b.org"
-    for ranges in (revisits.RANGES, 7):
-        got = revisits.resolve(spark.createDataFrame(rows, SCHEMA), ranges)
+    for coarse in (revisits.COARSE, 3):
+        got = revisits.resolve(spark.createDataFrame(rows, SCHEMA), coarse)
         have = sorted(((r.record_id, r.captured, r.response_id, r.outcome, r.digest, r.headers) for r in got.collect()), key=str)
         assert have == plain(rows, names)
 
@@ -53,4 +53,14 @@ def test_odd_rows(spark):
     assert got == sorted([(2, 1, "no validator"), (2, 1, "no validator"), (None, None, "no earlier response"), (4, None, "no earlier response")], key=str)
     assert revisits.resolve(frame.limit(0)).count() == 0
     pages = spark.createDataFrame([(1, "http://h/x", "a"), (None, None, None)], "page_id long, url string, html string")
-    assert revisits.resolve(revisits.records_of(pages)).select(F.count("*")).first()[0] == 2
+    assert revisits.resolve(revisits.records_of(pages)).select(F.count("*")).first()[0] == 2  # of each page a capture and a check; page 1 is not captured again
+
+
+def test_every_outcome_is_met(spark):
+    pages = spark.createDataFrame([(i, f"http://{'www.' if i % 2 else ''}h{i}.example.com/p", f"t{i}") for i in range(400)], "page_id long, url string, html string")
+    got = revisits.resolve(revisits.records_of(pages)).collect()
+    assert {r.outcome for r in got} == {"resolved", "validator differs", "no validator", "no earlier response"}
+    second = [r for r in got if r.response_id is not None and r.response_id % 4 == 1]  # answered by a later capture of the URL
+    assert {r.outcome for r in second} >= {"resolved", "validator differs"}
+    long = spark.createDataFrame([(1, "u/" + "x" * 200000, 1, "response", "e", None, "d", {"a": "b" * 100000}, None), (2, "http://u/" + "x" * 200000, 2, "revisit", "e", None, None, None, None)], SCHEMA)
+    assert revisits.resolve(long).first().headers == "a: " + "b" * 100000
