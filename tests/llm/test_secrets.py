@@ -52,7 +52,7 @@ def test_ownership_and_masking(spark):
     live, copied, mine = "Qw3rTy9uIoPaSdFg7hJkLz", "Zx8CvBn5mAsDfGh2jKlQwE", "token=R4nd0mV4lu3Zq9x"
     rows = [(1, f"see {live} here {live}", "en", "a"), (2, f"{live}", "de", "a")]
     rows += [(10 + k, f"doc {copied} and {mine} été", "en", f"o{k % 4}") for k in range(200)]
-    rows += [(300, mine, "en", "o0"), (301, "plain text only", "en", None), (None, f"x {live}", None, "a"), (301, "plain text only", "en", None)]
+    rows += [(300, mine, "en", "o0"), (301, "plain text only", "en", None), (None, f"x {live}", None, "a"), (301, "plain text only", "en", None), (400, "é secret: k3yOfOneOwner9Xz and " + "0" * 24, "en", "b")]
     docs = spark.createDataFrame([(*r, "clash", len(r[1])) for r in rows], SCHEMA)
     got = {r.doc_id: r for r in secrets.scan(docs).collect()}
     assert got[1].spans == "live:4:26,live:32:54" and got[1].n_live == 2
@@ -62,11 +62,28 @@ def test_ownership_and_masking(spark):
     assert masked.columns == docs.columns and masked.count() == len(rows)
     out = {r.doc_id: r for r in masked.collect()}
     assert out[1].text == f"see {secrets.REDACTED} here {secrets.REDACTED}" and out[1].n_chars == len(out[1].text)
-    assert out[10].text == f"doc {copied} and {secrets.REDACTED} été"
+    assert out[10].text == f"doc {copied} and {mine} été"  # both are widely copied
+    assert out[400].text == f"é {secrets.REDACTED} and {secrets.REDACTED}" and got[400].spans == "assign:2:26,live:10:26,hex:31:55"
     assert out[301].text == "plain text only"
     assert secrets.scan(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).count() == 0
 
 
+def test_masking_across_blocks(spark):
+    rng = random.Random(8)
+    texts = []
+    for n in (1, 3, 40):
+        parts = [rng.choice(["é" * rng.randrange(1, 900), "x y " * rng.randrange(1, 900), "secret=" + "a1B" * rng.randrange(2, 2000), "𝔘" * 50]) for _ in range(n * 8)]
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame([(i, t, "en", f"s{i}", "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, _spans string, own int")
+    for r in secrets.redact(docs).collect():
+        want, at = [], 0
+        for a, _, b in plain(texts[r.doc_id]):
+            if a >= at:
+                want += [texts[r.doc_id][at:a], secrets.REDACTED]
+            at = max(at, b)
+        assert r.text == "".join(want) + texts[r.doc_id][at:]
+
+
 def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "token=abcdefgh", "en", "a", "", 1)], SCHEMA)
     for df in (secrets.candidates(docs), secrets.redact(docs)):
