@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages from raw documents to packed training sequences."""
+"""The corpus pipeline: five stages from raw documents to packed training sequences.
+
+All stages but the last return the columns of documents, which may be more than the five known ones and bear any name.
+Null, empty and very long texts, null ids, ties, repeated rows and empty tables are met in every stage as its docstring
+says, and in the operators' own words.
+"""
 
 from __future__ import annotations
 
@@ -15,27 +20,48 @@ PLAN = replace(mixing.PRODUCTION, share=1.0)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A null text is scored as the empty one; long texts are scored whole; rows that are alike get one verdict; without any
+    label all rows stay; an empty table stays empty.
+    """
     return quality_cnn.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: that with the least id.
+
+    Null, empty and wordless texts are one group; long texts are compared whole; a null id yields to any other; of repeated
+    rows one stays, of rows with one id in a group that with the least hash; an empty table stays empty.
+    """
     return simhash.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every finding is masked in its text; all documents stay."""
+    """Live and other owned credentials are masked in their texts, widely copied examples are not; all documents stay.
+
+    Null and empty texts stay as they are; long texts are masked whole; repeated rows are masked alike; an empty table
+    stays empty.
+    """
     return secrets.redact(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the weighted budget selects."""
-    return mixing.select_rows(docs, PLAN).select(*docs.columns)
+    """The documents that the weighted budget selects, once for each epoch that they are in.
+
+    Null and empty texts have no tokens and go with whole epochs alone; a long text counts by all its tokens; null and
+    unknown languages and sources are pooled; of equal rows where a budget ends as many stay as fill it; an empty table
+    stays empty.
+    """
+    return mixing.select_rows(docs, PLAN)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
+    """Pieces of all documents, packed into sequences.
+
+    A null or empty text is one piece with the end id; long texts are cut; repeated rows are packed each; an empty table
+    gives no sequences.
+    """
     return packing.pack_documents(docs)
 
 
@@ -51,8 +77,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents, each written to the shared folder and read again by the next."""
+    """STAGES over documents, each written to the shared folder and read again by the next, then removed."""
     ensure_checkpoint_dir(spark)
     context = spark.sparkContext
     folder = f"{context._jsc.sc().getCheckpointDir().get()}/pipeline-{context.applicationId}-{context._jvm.java.util.UUID.randomUUID()}"
@@ -61,4 +92,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
         docs = spark.read.parquet(out)
+        if k:
+            _remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
