@@ -45,8 +45,10 @@ def rotation(q: np.ndarray) -> np.ndarray:
     return np.eye(3) + 2 * w * cross + 2 * cross @ cross
 
 
-def matrix(transform: dict | None) -> np.ndarray:
-    """4 x 4 that scales, then rotates, then translates."""
+def matrix(transform: dict | list | None) -> np.ndarray:
+    """4 x 4 that scales, then rotates, then translates; a 4 x 4 itself stays."""
+    if isinstance(transform, list):
+        return np.asarray(transform, float)
     t = transform or {}
     out = np.eye(4)
     out[:3, :3] = rotation(np.asarray(t.get("rotation") or [0, 0, 0, 1], float)) * np.asarray(t.get("scale") or [1, 1, 1], float)
@@ -54,6 +56,12 @@ def matrix(transform: dict | None) -> np.ndarray:
     return out
 
 
+def within(m: np.ndarray, point: np.ndarray, normal: np.ndarray) -> tuple[list[float], list[float]]:
+    """A plane of the outer frame (a point, a normal) in the frame that m leads out of."""
+    n = m[:3, :3].T @ normal
+    return (np.linalg.inv(m) @ np.append(point, 1.0))[:3].tolist(), (n / np.linalg.norm(n)).tolist()
+
+
 def quaternion(r: np.ndarray) -> list[float]:
     """[x, y, z, w] of a rotation matrix: the eigenvector of its quaternion form."""
     k = np.array([
@@ -148,15 +156,65 @@ def scene_boxes(scenes: DataFrame) -> DataFrame:
     return scenes.select("scene_id", "scene").mapInPandas(run, BOXES)
 
 
+# Names of the scene format, and the engine's own for them.
+NAMES = {"template_name": "template", "object_transform": "transform", "mass_grams": "mass", "world_matrix_override": "world_override"}
+TRANSFORM_NAMES = {"translate": "translation", "rotate": "rotation"}
+CONTACT_NAMES = {"object_a": "a", "object_b": "b"}
+
+
+def renamed(fields: dict, names: dict[str, str]) -> dict:
+    return {names.get(k, k): v for k, v in fields.items()}
+
+
+def own_transform(t: object) -> object:
+    return renamed(t, TRANSFORM_NAMES) if isinstance(t, dict) else t
+
+
+def own_element(e: dict) -> dict:
+    return e | {"transform": own_transform(e["transform"])} if e.get("transform") else e
+
+
+def own_object(obj: dict) -> dict:
+    """An object of the scene format under the engine's names; cuts of the whole object become cuts of its elements."""
+    out = renamed(obj, NAMES)
+    for field in ("transform", "world_override"):
+        if out.get(field):
+            out[field] = own_transform(out[field])
+    elements = [own_element(e) for e in out.get("elements") or []]
+    clips = (out.get("metadata") or {}).get("clips") or []
+    for e in elements if clips else []:
+        m = matrix(e.get("transform"))
+        cuts = [dict(zip(("point", "normal"), within(m, np.asarray(c["point"], float), np.asarray(c["normal"], float)), strict=True)) for c in clips]
+        e["clips"] = [*(e.get("clips") or []), *cuts]
+    if clips:
+        out["metadata"] = {k: v for k, v in out["metadata"].items() if k != "clips"}
+    return out | {"elements": elements}
+
+
 def unwrapped(text: str) -> dict:
+    """A scene under the engine's names, from its own format or the scene format, perhaps in a `3d_assembly` envelope."""
     scene = json.loads(text)
     scene = scene.get("3d_assembly", scene)
-    if isinstance(scene.get("objects"), list):
-        scene["objects"] = {o["object_id"]: o for o in scene["objects"]}
-    scene.setdefault("objects", {})
+    objects = scene.get("objects") or {}
+    each = objects.values() if isinstance(objects, dict) else objects
+    keys = objects.keys() if isinstance(objects, dict) else (o["object_id"] for o in objects)
+    scene["objects"] = {k: own_object(o) for k, o in zip(keys, each, strict=True)}
+    scene["contacts"] = [renamed(c, CONTACT_NAMES) for c in scene.get("contacts") or []]
     return scene
 
 
+def wrapped(scene: dict) -> str:
+    """The scene format of a scene, in its envelope: read again, it is the same scene."""
+    back = lambda names: {v: k for k, v in names.items()}
+    outer = lambda t: renamed(t, back(TRANSFORM_NAMES)) if isinstance(t, dict) else t
+    objects = []
+    for o in scene["objects"].values():
+        elements = [e | {"transform": outer(e["transform"])} if e.get("transform") else e for e in o.get("elements") or []]
+        fields = o | {f: outer(o[f]) for f in ("transform", "world_override") if o.get(f)}
+        objects.append(renamed(fields | {"elements": elements}, back(NAMES)))
+    return json.dumps({"3d_assembly": scene | {"objects": objects, "contacts": [renamed(c, back(CONTACT_NAMES)) for c in scene.get("contacts") or []]}}, sort_keys=True)
+
+
 ISSUES = "scene_id string, object_id string, issue string"
 
 
@@ -196,3 +254,55 @@ def validate(scenes: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["scene_id", "object_id", "issue"])
 
     return scenes.select("scene_id", "scene").mapInPandas(run, ISSUES)
+
+
+def largest_dimension(elements: Column) -> Column:
+    """The length that stands for an object without dimensions: of its greatest element; elements: array<struct<element_type, parameters: map>>."""
+
+    def one(e: Column) -> Column:
+        kind = e["element_type"]
+        p = lambda name: F.coalesce(F.try_element_at(e["parameters"], F.lit(name)), F.lit(0.0))
+        size = F.when(kind == "sphere", 2 * p("radius_cm")).when(kind == "box", F.greatest(p("size_x_cm"), p("size_y_cm"), p("size_z_cm"))).when(kind == "cylinder", F.greatest(2 * p("radius_cm"), p("height_cm")))
+        size = size.when(kind == "capsule", 2 * p("radius_cm") + p("height_cm")).when(kind == "frustum", F.greatest(2 * p("bottom_radius_cm"), 2 * p("top_radius_cm"), p("height_cm")))
+        return size.otherwise(F.coalesce(F.array_max(F.map_values(e["parameters"])), F.lit(0.0)))
+
+    size = F.array_max(F.transform(elements, one))
+    return F.when(size > 0, size)
+
+
+PLACEHOLDER = "array<struct<element_type:string,parameters:map<string,double>>>"
+
+
+def built(specs: DataFrame, elements: DataFrame, side_cm: float = 10.0) -> DataFrame:
+    """specs (scene_id, obj_id, template, parent_object_id) with elements and is_placeholder: those of the template, a box where it has none."""
+    known = elements.select("template", "elements")
+    box = F.array(F.struct(F.lit("box").alias("element_type"), F.create_map(*(F.lit(x) for a in "xyz" for x in (f"size_{a}_cm", side_cm))).alias("parameters"))).cast(PLACEHOLDER)
+    joined = specs.join(known, "template", "left")
+    empty = F.coalesce(F.size("elements") < 1, F.lit(True))
+    return joined.withColumn("is_placeholder", empty).withColumn("elements", F.when(empty, box).otherwise(F.col("elements")))
+
+
+def linked_composites(specs: DataFrame, composites: DataFrame) -> DataFrame:
+    """specs with parent_object_id filled in: an object without a parent hangs from the first object of its scene whose template is composed of its own.
+
+    composites: template, child_template. specs need place, an object's order in its scene.
+    """
+    free = specs.where("parent_object_id is null").select("scene_id", "obj_id", F.col("template").alias("child_template"))
+    owners = specs.select("scene_id", F.col("obj_id").alias("owner"), "template", F.col("place").alias("owner_place"))
+    near = free.join(composites, "child_template").join(owners, ["scene_id", "template"]).where("owner <> obj_id")
+    first = near.groupBy("scene_id", "obj_id").agg(F.min_by("owner", F.struct("owner_place", "owner")).alias("_owner"))
+    return specs.join(first, ["scene_id", "obj_id"], "left").withColumn("parent_object_id", F.coalesce("parent_object_id", "_owner")).drop("_owner")
+
+
+def placement_order(specs: DataFrame, max_depth: int = 16) -> DataFrame:
+    """(scene_id, obj_id, depth): parents before children; what hangs from nothing known is a root, what only hangs from itself has no depth."""
+    named = specs.select("scene_id", "obj_id", "parent_object_id")
+    known = named.select("scene_id", F.col("obj_id").alias("parent_object_id"), F.lit(True).alias("_k"))
+    named = named.join(known, ["scene_id", "parent_object_id"], "left").withColumn("parent_object_id", F.when(F.col("_k"), F.col("parent_object_id"))).drop("_k")
+    level = named.where("parent_object_id is null").select("scene_id", "obj_id", F.lit(0).alias("depth"))
+    out = level
+    for depth in range(1, max_depth):  # as deep as the scenes may be; each level is an equi-join
+        above = level.select("scene_id", F.col("obj_id").alias("parent_object_id"))
+        level = named.join(above, ["scene_id", "parent_object_id"]).select("scene_id", "obj_id", F.lit(depth).alias("depth"))
+        out = out.unionByName(level)
+    return named.select("scene_id", "obj_id").join(out, ["scene_id", "obj_id"], "left")

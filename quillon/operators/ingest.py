@@ -176,6 +176,6 @@ def build_index(memories: DataFrame, dictionary: DataFrame, embed: Embedder | No
     freq = cut(postings.shares(posted.select("term", "memory_id")))
     paths = _numbered(entries, [F.col("_o"), F.array_join("path", "."), F.col("value"), F.col("state_type")]).drop("_o")
     paths = cut(paths.withColumn("seq", F.xxhash64("memory_id", "seq")))  # one number for an entry in the whole index
-    sizes = object_leaves(objs).where("kind = 'measure'").select("memory_id", F.col("obj_id").alias("object_id"), F.array_join("path", ".").alias("path"), number_of(F.col("value")).alias("numeric"), unit_of(F.col("value")).alias("unit"), F.concat_ws("|", F.lit("object"), "obj_id", "template").alias("src")).where("numeric is not null")
+    sizes = object_leaves(objs).where("kind = 'measure'").select("memory_id", F.col("obj_id").alias("object_id"), F.array_join("path", ".").alias("path"), number_of(F.col("value")).alias("numeric"), unit_of(F.col("value")).alias("unit"), F.concat_ws("|", F.lit("object"), "obj_id", "template").alias("src"), F.col("obj_ix").alias("seq")).where("numeric is not null")
     placed = objs.select("memory_id", "obj_id", "template", "relation", "relationr", "relative_to", "obj_ix")
     return Index(posted, paths, sizes, placed, dictionary, A.alias_terms(dictionary), freq, postings.unmatchable_components(freq), embed or hashed_ngrams())

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import vocabulary as V
-from quillon.functions.text import tokens
+from quillon.functions.text import among, let, tokens
 
 POSTING = "term string, prefix string, phrase string, memory_id string, src string, term_type string, is_goal boolean, seq long"
 
@@ -24,16 +26,34 @@ def dedup(postings: DataFrame) -> DataFrame:
 
 
 def shares(occurrences: DataFrame, term: str = "term", memory: str = "memory_id") -> DataFrame:
-    """Occurrences and distinct memories of each term, and their percentages of all."""
-    found = occurrences.groupBy(term).agg(F.count("*").alias("occurrences"), F.countDistinct(memory).alias("memory_count"))
-    whole = found.agg(F.sum("occurrences").alias("_all"))
-    memories = occurrences.agg(F.countDistinct(memory).alias("_memories"))
-    return (
-        found.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(memories))  # one row each
-        .withColumn("occurrence_percentage", F.round(F.col("occurrences") / F.col("_all") * 100, 6))
-        .withColumn("memory_percentage", F.round(F.col("memory_count") / F.col("_memories") * 100, 6))
-        .drop("_all", "_memories")
-    )
+    """Occurrences and distinct memories of each term, and their percentages of all.
+
+    Occurrences are counted by term and memory once, before the shuffle; terms, memories and totals all come from these.
+    """
+    each = occurrences.groupBy(term, memory).agg(F.count("*").alias("_n"))
+    found = each.groupBy(term).agg(F.sum("_n").alias("occurrences"), F.count("*").alias("memory_count"))
+    whole = each.groupBy(memory).agg(F.sum("_n").alias("_n")).agg(F.sum("_n").alias("_all"), F.count("*").alias("_memories"))
+    return _percentages(found.crossJoin(F.broadcast(whole)))  # one row
+
+
+def _percentages(counted: DataFrame) -> DataFrame:
+    out = counted.withColumn("occurrence_percentage", F.round(F.col("occurrences") / F.col("_all") * 100, 6))
+    return out.withColumn("memory_percentage", F.round(F.col("memory_count") / F.col("_memories") * 100, 6)).drop("_all", "_memories")
+
+
+def asked_tokens(df: DataFrame, id_col: str, text_col: str, asked: Sequence[str]) -> DataFrame:
+    """(memory_id, n, hits): how many tokens each text has, and (place, token) of those that are asked for."""
+    found = F.transform(tokens(text_col), lambda t, i: F.struct(i.alias("place"), t.alias("token")))
+    told = let(found, lambda f: F.struct(F.size(f).alias("n"), F.filter(f, lambda x: among(x["token"], asked)).alias("hits")))
+    return df.select(F.col(id_col).alias("memory_id"), told.alias("t")).select("memory_id", "t.n", "t.hits")
+
+
+def shares_of(counted: DataFrame) -> DataFrame:
+    """shares of the asked tokens alone; counted: as asked_tokens gives it, a row for each memory."""
+    each = counted.select("memory_id", F.explode("hits").alias("h")).groupBy(F.col("h.token").alias("term"), "memory_id").agg(F.count("*").alias("_n"))
+    found = each.groupBy("term").agg(F.sum("_n").alias("occurrences"), F.count("*").alias("memory_count"))
+    whole = counted.agg(F.sum("n").alias("_all"), F.count_if(F.col("n") > 0).alias("_memories"))
+    return _percentages(found.crossJoin(F.broadcast(whole)))  # one row
 
 
 def gate(percentage: Column) -> Column:

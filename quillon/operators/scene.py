@@ -11,12 +11,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators.geometry import matrix, parts, rotation, unwrapped, worlds
+from quillon.operators.geometry import CONTACT_NAMES, matrix, own_element, own_object, own_transform, parts, renamed, rotation, unwrapped, within, worlds
 
 Step = Callable[[dict, dict, list], None]
 STEPS: dict[str, Step] = {}
 
 
+# Field names of the operation format, and the engine's own for them.
+FIELDS = {
+    "add_object": {"object_transform": "world_transform"}, "set_transform": {"world_transform": "transform"}, "remove_element": {"element_index": "index"}, "rotate": {"quaternion": "rotation"}, "attach": {"child_id": "object_id"}, "detach": {"child_id": "object_id"},
+    "split": {"source_id": "object_id", "new_object_ids": "new_ids", "cut_point_world": "point", "cut_normal_world": "normal"}, "merge": {"new_object_id": "new_id"}, "contact": CONTACT_NAMES, "release": CONTACT_NAMES,
+}
+
+
 class Invalid(ValueError):
     """An operation that can't be applied to the scene."""
 
@@ -70,14 +77,15 @@ def _drop(scene: dict, key: str) -> None:
 
 @step("add_object")
 def _add_object(scene: dict, op: dict, events: list) -> None:
-    obj = copy.deepcopy(op.get("object") or {})
+    given = op.get("object") or {k: v for k, v in op.items() if k not in ("op", "world_transform")}
+    obj = own_object(copy.deepcopy(given))
     key = obj.get("object_id") or op.get("object_id")
     if not key or key in scene["objects"]:
         raise Invalid(f"add_object: {key} is missing or there already")
     obj["object_id"] = key
     scene["objects"][key] = obj
     if op.get("world_transform"):
-        _place(scene, key, matrix(op["world_transform"]))
+        _place(scene, key, matrix(own_transform(op["world_transform"])))
 
 
 @step("remove_object")
@@ -88,7 +96,7 @@ def _remove_object(scene: dict, op: dict, events: list) -> None:
 
 @step("add_element")
 def _add_element(scene: dict, op: dict, events: list) -> None:
-    _object(scene, op).setdefault("elements", []).append(copy.deepcopy(op["element"]))
+    _object(scene, op).setdefault("elements", []).append(own_element(copy.deepcopy(op["element"])))
 
 
 @step("remove_element")
@@ -120,7 +128,7 @@ def _scale(scene: dict, op: dict, events: list) -> None:
 @step("set_transform")
 def _set_transform(scene: dict, op: dict, events: list) -> None:
     _object(scene, op)
-    _place(scene, op["object_id"], matrix(op.get("transform")))
+    _place(scene, op["object_id"], matrix(own_transform(op.get("transform"))))
 
 
 @step("reach_arm_rotate")
@@ -166,36 +174,45 @@ def _detach(scene: dict, op: dict, events: list) -> None:
     _place(scene, op["object_id"], world)
 
 
-def _halves(obj: dict, names: list[str], normal: np.ndarray, point: np.ndarray) -> list[dict]:
+def _halves(obj: dict, names: list[str], world: np.ndarray, point: np.ndarray, normal: np.ndarray) -> list[dict]:
+    """obj on either side of a plane of the world: each element is cut where the plane meets its own frame."""
     out = []
-    for name, side in zip(names, (1, -1), strict=True):
+    for k, (name, side) in enumerate(zip(names, (1, -1), strict=True)):
         half = copy.deepcopy(obj) | {"object_id": name}
         for e in half.get("elements") or []:
-            e.setdefault("clips", []).append({"normal": (side * normal).tolist(), "point": point.tolist()})
+            p, n = within(world @ matrix(e.get("transform")), point, side * normal)
+            e.setdefault("clips", []).append({"normal": n, "point": p})
         if isinstance(half.get("mass"), int | float):
             half["mass"] = half["mass"] / 2
+        half["metadata"] = (half.get("metadata") or {}) | {"split_from": obj["object_id"], "split_index": k}
         out.append(half)
     return out
 
 
 @step("split")
 def _split(scene: dict, op: dict, events: list) -> None:
-    """Two clipped halves with half the mass each; children go to the first half."""
+    """Two halves at a plane of the world, half the mass each. Children go where they are assigned, else to the first; so do contacts."""
     obj, key = _object(scene, op), op["object_id"]
     names = op.get("new_ids") or [f"{key}_a", f"{key}_b"]
-    if any(n in scene["objects"] for n in names):
-        raise Invalid("split: a new id is taken")
-    for half in _halves(obj, names, _vector(op, "normal"), np.asarray(op.get("point") or [0, 0, 0], float)):
+    if len(names) != 2 or any(n in scene["objects"] for n in names):
+        raise Invalid("split: needs two new ids")
+    normal = _vector(op, "normal")
+    if not np.linalg.norm(normal) > 0:
+        raise Invalid("split: the normal has no direction")
+    world = worlds(scene["objects"])[key]
+    for half in _halves(obj | {"object_id": key}, names, world, np.asarray(op.get("point") or [0, 0, 0], float), normal):
         scene["objects"][half["object_id"]] = half
-    for o in scene["objects"].values():
+    assigned = op.get("children_assignment") or {}
+    for k, o in scene["objects"].items():
         if o.get("parent_object_id") == key:
-            o["parent_object_id"] = names[0]
+            o["parent_object_id"] = assigned[k] if assigned.get(k) in names else names[0]
+    scene["contacts"] = [c | {end: names[0] for end in ("a", "b") if c.get(end) == key} for c in scene.get("contacts") or []]
     _drop(scene, key)
 
 
 @step("chain_split")
 def _chain_split(scene: dict, op: dict, events: list) -> None:
-    """2^n slabs along an axis, by splitting again and again."""
+    """2^n slabs along an axis of the world, by splitting again and again."""
     count = int(op.get("count", 2))
     if count < 2 or count & (count - 1):
         raise Invalid("chain_split: count must be a power of two")
@@ -292,7 +309,7 @@ def _apply(scene: dict, op: dict, events: list) -> None:
     name = op.get("op")
     if name not in STEPS:
         raise Invalid(f"unknown operation {name}")
-    STEPS[name](scene, op, events)
+    STEPS[name](scene, renamed(op, FIELDS.get(name, {})), events)
 
 
 def apply(scene: dict, op: dict) -> tuple[dict, list[dict]]:

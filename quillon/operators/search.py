@@ -24,22 +24,22 @@ from quillon.operators.similarity import similar_terms
 
 CONTRIBUTION = ["memory_id", "object_id", "query_term", "matched_term", "score", "mode", "src", "term_type", "similarity", "alias_used", "seq"]
 FULLPATH = "memory_id string, action string, object string, path array<string>, op string, value string, items array<string>, state_type string, src string, is_goal boolean, seq long"
-MEASUREMENT = "memory_id string, object_id string, path string, numeric double, unit string, src string"
+MEASUREMENT = "memory_id string, object_id string, path string, numeric double, unit string, src string, seq long"
 OBJECT = "memory_id string, obj_id string, template string, relation string, relationr string, relative_to array<string>, obj_ix long"
 
 
 @dataclass
 class Index:
-    """The tables of an index. aliases: (kind, base, alias, rank); alias_terms: (alias_term, base_term)."""
-
-    postings: DataFrame
-    fullpath: DataFrame
-    measurements: DataFrame
-    objects: DataFrame
-    aliases: DataFrame
-    alias_terms: DataFrame
-    freq: DataFrame
-    banned: DataFrame
+    """The tables of an index, those that the ways of matching in use need. aliases: (kind, base, alias, rank); alias_terms: (alias_term, base_term)."""
+
+    postings: DataFrame | None = None
+    fullpath: DataFrame | None = None
+    measurements: DataFrame | None = None
+    objects: DataFrame | None = None
+    aliases: DataFrame | None = None
+    alias_terms: DataFrame | None = None
+    freq: DataFrame | None = None
+    banned: DataFrame | None = None
     embed: Embedder = hashed_ngrams()
 
 
@@ -60,25 +60,40 @@ def prepared(terms: DataFrame) -> DataFrame:
     return out.withColumn("family", family).withColumn("query_type", kind)
 
 
-def _hits(ix: Index, queries: DataFrame) -> DataFrame:
-    """Postings that the queries meet, exactly or, where a term is nowhere in the index, by similarity.
+def _group(prefix: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(prefix, f"^{V.CONDITIONAL}", ""), "_expanded", "")
 
-    Columns: those of queries and postings, exact, similarity, matched (the base term), alias_used.
-    """
-    asked = F.broadcast(queries)
-    exact = ix.postings.join(asked.withColumnsRenamed({"term": "q_term", "prefix": "q_prefix", "phrase": "q_phrase"}), F.col("term") == F.col("q_term")).withColumn("exact", F.lit(True)).withColumn("similarity", F.lit(None).cast("double"))
-    loose = queries.where("family <> 'exact'").join(ix.postings.select("term").distinct(), "term", "left_anti")
-    group = lambda prefix: F.regexp_replace(F.regexp_replace(prefix, f"^{V.CONDITIONAL}", ""), "_expanded", "")
-    vocabulary = ix.postings.select("term", "prefix", "phrase").distinct().select("term", group(F.col("prefix")).alias("g"), ix.embed(F.col("phrase")).alias("vec"))
-    asked_vectors = loose.select(F.concat_ws("\u0001", group(F.col("prefix")), "phrase").alias("query"), ix.embed(F.col("phrase")).alias("vec")).distinct()
+
+def exact_hits(ix: Index, queries: DataFrame) -> DataFrame:
+    """Postings of the very terms that are asked for. Columns: those of queries and postings, exact, similarity."""
+    asked = F.broadcast(queries.withColumnsRenamed({"term": "q_term", "prefix": "q_prefix", "phrase": "q_phrase"}))  # the stated query
+    return ix.postings.join(asked, F.col("term") == F.col("q_term")).withColumn("exact", F.lit(True)).withColumn("similarity", F.lit(None).cast("double"))
+
+
+def similar_hits(ix: Index, queries: DataFrame) -> DataFrame:
+    """Postings of terms that are similar to asked ones which are nowhere in the index."""
+    asked = queries.where("family <> 'exact'")
+    known = ix.postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").select("term").distinct()  # as many as are asked for
+    loose = asked.join(F.broadcast(known), "term", "left_anti")
+    vocabulary = ix.postings.select("term", "prefix", "phrase").distinct().select("term", _group(F.col("prefix")).alias("g"), ix.embed(F.col("phrase")).alias("vec"))
+    asked_vectors = loose.select(F.concat_ws("\u0001", _group(F.col("prefix")), "phrase").alias("query"), ix.embed(F.col("phrase")).alias("vec")).distinct()
     near = similar_terms(asked_vectors, vocabulary.select(F.concat_ws("\u0001", "g", "term").alias("term"), "vec"))
     cut_at = lambda c, k: F.split(c, "\u0001")[k]
     near = near.where(cut_at(F.col("query"), 0) == cut_at(F.col("term"), 0)).select(cut_at(F.col("query"), 0).alias("g"), cut_at(F.col("query"), 1).alias("q_phrase"), cut_at(F.col("term"), 1).alias("term"), F.col("sim").alias("similarity"))
-    fuzzy = loose.withColumnsRenamed({"term": "q_term", "prefix": "q_prefix", "phrase": "q_phrase"}).withColumn("g", group(F.col("q_prefix"))).join(near, ["g", "q_phrase"]).drop("g")
-    fuzzy = ix.postings.join(F.broadcast(fuzzy), "term").withColumn("exact", F.lit(False))
-    both = exact.unionByName(fuzzy.select(*exact.columns))
-    folded = both.join(F.broadcast(ix.alias_terms.withColumnsRenamed({"alias_term": "term", "base_term": "_base"})), "term", "left")
-    return folded.withColumn("matched", F.coalesce("_base", "term")).withColumn("alias_used", F.col("_base").isNotNull()).drop("_base")
+    fuzzy = loose.withColumnsRenamed({"term": "q_term", "prefix": "q_prefix", "phrase": "q_phrase"}).withColumn("g", _group(F.col("q_prefix"))).join(near, ["g", "q_phrase"]).drop("g")
+    return ix.postings.join(fuzzy, "term").withColumn("exact", F.lit(False))
+
+
+def folded(ix: Index, hits: DataFrame) -> DataFrame:
+    """hits with matched, the base term of an alias or the term itself, and alias_used."""
+    names = ix.alias_terms.withColumnsRenamed({"alias_term": "term", "base_term": "_base"})
+    return hits.join(names, "term", "left").withColumn("matched", F.coalesce("_base", "term")).withColumn("alias_used", F.col("_base").isNotNull()).drop("_base")
+
+
+def _hits(ix: Index, queries: DataFrame) -> DataFrame:
+    """Postings that the queries meet, exactly or, where a term is nowhere in the index, by similarity."""
+    exact = exact_hits(ix, queries)
+    return folded(ix, exact.unionByName(similar_hits(ix, queries).select(*exact.columns)))
 
 
 def _once(hits: DataFrame) -> DataFrame:
@@ -96,7 +111,8 @@ def _contributions(df: DataFrame, score: Column, mode: Column, object_id: Column
 def component_and_token_matches(ix: Index, hits: DataFrame) -> DataFrame:
     """Components and tokens: gated by frequency, diminishing within a memory in posting order."""
     hits = _once(hits.where(F.col("family").isin("component", "token")))
-    share = F.broadcast(ix.freq.select(F.col("term").alias("matched"), "occurrence_percentage"))
+    met = hits.select("matched").distinct()  # the terms that are met, not the whole vocabulary
+    share = ix.freq.select(F.col("term").alias("matched"), "occurrence_percentage").join(met, "matched", "left_semi")
     gated = hits.join(share, "matched", "left").withColumn("gate", P.gate(F.coalesce("occurrence_percentage", F.lit(0.0))))
     values = F.col("query_type") == "value"
     gated = gated.where(values | (F.col("gate") != "unmatchable"))
@@ -137,9 +153,15 @@ def verb_matches(ix: Index, queries: DataFrame) -> DataFrame:
     return ranking.cap(found, ["memory_id", "query_term"], most)
 
 
-def _alias_map(ix: Index, kind: str) -> DataFrame:
-    """One row with the map of a kind's aliases; the dictionary is a reference table."""
-    lists = ix.aliases.where(F.col("kind") == kind).groupBy("base").agg(F.collect_list("alias").alias("a"))
+def _alias_map(ix: Index, kind: str, asked: DataFrame, names: Column) -> DataFrame:
+    """One row with the map of a kind's aliases: of the names that the queries hold, as bases and as aliases, no others.
+
+    A name of an entry is an alias of an asked one only through such a pair, so the map grows with the query alone.
+    """
+    held = asked.select(F.explode(names).alias("name")).where("name is not null").distinct()
+    pairs = ix.aliases.where(F.col("kind") == kind).select("base", "alias")
+    near = pairs.join(F.broadcast(held), F.col("base") == F.col("name"), "left_semi").unionByName(pairs.join(F.broadcast(held), F.col("alias") == F.col("name"), "left_semi")).distinct()
+    lists = near.groupBy("base").agg(F.array_sort(F.collect_set("alias")).alias("a"))
     return lists.agg(F.map_from_entries(F.collect_list(F.struct("base", "a"))).alias(kind))
 
 
@@ -159,9 +181,10 @@ def fullpath_matches(ix: Index, queries: DataFrame) -> DataFrame:
     reach = F.broadcast(own.unionByName(own.join(both_ways, "c").select("query_term", F.col("other").alias("c"))).distinct())
     near = ix.fullpath.select("seq", F.explode(F.array_distinct("path")).alias("c")).join(reach, "c").select("seq", "query_term").distinct()
     pairs = ix.fullpath.join(near, "seq").join(F.broadcast(asked), "query_term")
-    for kind in ("attribute_component_aliases", "value_aliases", "object_aliases", "action_aliases"):
-        pairs = pairs.crossJoin(F.broadcast(_alias_map(ix, kind)))  # one row each
-    pairs = pairs.crossJoin(F.broadcast(ix.banned.agg(F.collect_set("component").alias("banned"))))
+    names = {"attribute_component_aliases": F.col("q.path"), "value_aliases": F.concat(F.array("q.value"), F.coalesce("q.items", F.array().cast("array<string>"))), "object_aliases": F.array("q.object"), "action_aliases": F.array("q.action")}
+    for kind, held in names.items():
+        pairs = pairs.crossJoin(F.broadcast(_alias_map(ix, kind, asked, held)))  # one row each, of the asked names
+    pairs = pairs.crossJoin(F.broadcast(ix.banned.agg(F.collect_set("component").alias("banned"))))  # fixed ones, and those of a share that 333 terms can have at most
     core = core_match(F.col("q.path"), F.coalesce("q.op", F.lit("eq")), F.col("q.value"), F.col("path"), F.coalesce("op", F.lit("eq")), F.col("value"), F.col("banned"), F.col("attribute_component_aliases"), None, F.col("value_aliases"), None, F.col("q.items"), F.col("items"))
     scored = pairs.withColumn("core", core).withColumn("o", name_factor(F.col("q.object"), F.col("object"), F.col("object_aliases"))).withColumn("a", name_factor(F.col("q.action"), F.col("action"), F.col("action_aliases")))
     score = F.lit(V.CORE_SCORE) * F.col("core.score") * F.col("o") * F.col("a") * goal_factor(F.coalesce(F.col("q.source_type") == "goalstate", F.lit(False)) | F.col("goal_query"), F.col("is_goal"))
@@ -182,11 +205,11 @@ def measurement_matches(ix: Index, terms: DataFrame) -> DataFrame:
     q, i = in_base_unit(number_of(F.col("raw")), q_unit, quantity), in_base_unit(F.col("numeric"), F.col("unit"), quantity)
     lo, hi = V.MEASUREMENT_RANGE
     each = pairs.withColumn("m", F.when(q.between(lo * i, hi * i), 1.0).otherwise(V.MEASUREMENT_MISS))
-    found = each.groupBy("memory_id", "object_id").agg(F.count("*").alias("n"), F.collect_list("m").alias("ms"), F.min("src").alias("src")).where(f"n = {len(paths)}")
+    found = each.groupBy("memory_id", "object_id").agg(F.count("*").alias("n"), F.collect_list("m").alias("ms"), F.min("src").alias("src"), F.min("seq").alias("seq")).where(f"n = {len(paths)}")
     found = found.withColumn("score", F.aggregate("ms", F.lit(1.0), lambda a, x: a * x)).where(F.col("score") > V.MEASUREMENT_MISS ** len(paths))
     return found.select(
         "memory_id", "object_id", F.lit("measurement_unit").alias("query_term"), F.lit("dimensions+volume").alias("matched_term"), "score", F.lit("measurement").alias("mode"),
-        "src", F.lit("attribute").alias("term_type"), F.lit(None).cast("double").alias("similarity"), F.lit(False).alias("alias_used"), F.lit(0).cast("long").alias("seq"),
+        "src", F.lit("attribute").alias("term_type"), F.lit(None).cast("double").alias("similarity"), F.lit(False).alias("alias_used"), "seq",
     )
 
 
@@ -210,7 +233,10 @@ def spatial_matches(ix: Index, queries: DataFrame) -> DataFrame:
 
     def resolve(name: str) -> DataFrame:
         """By object id, else the first object of that template."""
-        hit = ix.objects.join(asked.select("query_term", F.col(name).alias("name")), (F.col("obj_id") == F.col("name")) | (F.col("template") == F.col("name")))
+        wanted = asked.select("query_term", F.col(name).alias("name"))
+        by_id = ix.objects.join(F.broadcast(wanted.withColumn("obj_id", F.col("name"))), "obj_id")
+        by_template = ix.objects.where("template <> obj_id or obj_id is null").join(F.broadcast(wanted.withColumn("template", F.col("name"))), "template")
+        hit = by_id.unionByName(by_template)
         first = Window.partitionBy("query_term", "memory_id").orderBy((F.col("obj_id") != F.col("name")).cast("int"), "obj_ix")
         return hit.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "name")
 
@@ -239,8 +265,8 @@ def contributions(ix: Index, terms: DataFrame) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part.select(*CONTRIBUTION))
-    folded = out.join(F.broadcast(ix.alias_terms.withColumnsRenamed({"alias_term": "query_term", "base_term": "_base"})), "query_term", "left")
-    return folded.withColumn("query_base", F.coalesce("_base", "query_term")).drop("_base")
+    named = out.join(ix.alias_terms.withColumnsRenamed({"alias_term": "query_term", "base_term": "_base"}), "query_term", "left")
+    return named.withColumn("query_base", F.coalesce("_base", "query_term")).drop("_base")
 
 
 def search(ix: Index, terms: DataFrame, top: int | None = 10, details: bool = False) -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import cut
+
 SAMPLES = 512
 DECAY = 3.0
 
@@ -27,26 +29,45 @@ def chamfer(a: np.ndarray, b: np.ndarray, block: int = 1024) -> float:
     return float(np.sqrt(np.concatenate(to_b)).mean()) + float(np.sqrt(to_a).mean())
 
 
+#: Points of a cell on either side.
+CELL = 4096
+
+
 def chamfer_groups(points: DataFrame) -> DataFrame:
-    """(left, right, chamfer) of every pair of the groups of (g, p) points: few groups, each a stated cloud.
+    """(left, right, chamfer) of every pair of the groups of (g, p) points.
 
-    Each group's cloud is met block by block: nearest distances are found for the points of one group in another.
+    Each group is dealt into parts of about CELL points; a cell finds the squared distance from each point of one part to
+    the nearest of another group's part, the least over all parts is the point's distance, and these are averaged.
     """
-    clouds = points.groupBy("g").agg(F.collect_list("p").alias("ps"))
-    pairs = clouds.select(F.col("g").alias("left"), F.col("ps").alias("a")).join(clouds.select(F.col("g").alias("right"), F.col("ps").alias("b")), F.col("left") < F.col("right"))
+    rows = cut(points.select("g", "p").withColumn("id", F.monotonically_increasing_id()))
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    dealt = rows.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    cells = sizes.select(F.col("g").alias("h"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    mine = sizes.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = mine.join(cells, F.col("g") != F.col("h"))  # stated groups, by their parts
+    left = dealt.select("g", "part", "id", "p").join(pairs, ["g", "part"]).groupBy("g", "part", "h", "other")
+    right = dealt.select(F.col("g").alias("h"), F.col("part").alias("other"), F.col("p").alias("q")).join(pairs, ["h", "other"]).groupBy("g", "part", "h", "other")
+    kind = points.schema["g"].dataType.simpleString()
 
-    def run(batches):
-        for pdf in batches:
-            pdf["chamfer"] = [chamfer(np.stack(a), np.stack(b)) for a, b in zip(pdf["a"], pdf["b"], strict=True)]
-            yield pdf[["left", "right", "chamfer"]]
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            y = np.stack(b["q"].to_numpy())
+            for at in range(0, len(a), 512):
+                x = np.stack(a["p"].to_numpy()[at : at + 512])
+                out.append(sum((x[:, None, c] - y[None, :, c]) ** 2 for c in range(y.shape[1])).min(axis=1))
+        found = np.concatenate(out) if out else np.empty(0)
+        return pd.DataFrame({"g": [key[0]] * len(found), "h": [key[2]] * len(found), "id": a["id"].to_numpy()[: len(found)] if len(found) else np.empty(0, np.int64), "d": found})
 
-    kind = points.schema["g"].dataType.simpleString()
-    return pairs.mapInPandas(run, f"left {kind}, right {kind}, chamfer double")
+    near = left.cogroup(right).applyInPandas(run, f"g {kind}, h {kind}, id long, d double")
+    mean = near.groupBy("g", "h", "id").agg(F.min("d").alias("d")).groupBy("g", "h").agg(F.avg(F.sqrt("d")).alias("m"))
+    both = mean.withColumns({"left": F.least("g", "h"), "right": F.greatest("g", "h")})
+    return both.groupBy("left", "right").agg(F.sum("m").alias("chamfer"))
 
 
 def geometry_hash(element: dict) -> str:
-    """A stable name of an element's geometry."""
-    return hashlib.sha256(json.dumps({k: element.get(k) for k in ("element_type", "parameters", "clips")}, sort_keys=True).encode()).hexdigest()
+    """A stable name of an element's geometry, its own transform included."""
+    return hashlib.sha256(json.dumps({k: element.get(k) for k in ("element_type", "parameters", "clips", "transform")}, sort_keys=True).encode()).hexdigest()
 
 
 def _sphere(rng, n, rx, ry, rz):
@@ -145,7 +166,7 @@ SAMPLERS = {
     "plane": lambda g, n, p: (g.random((n, 3)) - 0.5) * [p.get("size_x_cm") or 100.0, p.get("size_y_cm") or 100.0, 0.0],
     "sheet": lambda g, n, p: _box(g, n, p["size_x_cm"], p["size_y_cm"], p["thickness_cm"]),
     "wedge": lambda g, n, p: _wedge(g, n, p["size_x_cm"], p["size_y_cm"], p["size_z_cm"]),
-    "prism": lambda g, n, p: _prism(g, n, max(p["size_x_cm"], p["size_y_cm"]) / 2, p["size_y_cm"]),
+    "prism": lambda g, n, p: _prism(g, n, max(p["size_x_cm"], p["size_y_cm"]) / 2, p["size_y_cm"], int(p.get("num_sides") or 6)),
     "pyramid": lambda g, n, p: _pyramid(g, n, p["base_size_x_cm"], p["base_size_y_cm"], p["height_cm"]),
     "hemisphere": lambda g, n, p: _half(g, n, p["radius_cm"]),
     "frustum": lambda g, n, p: _round(g, n, p["bottom_radius_cm"], p["top_radius_cm"], p["height_cm"]),
@@ -177,14 +198,50 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return max(1 / (1 + DECAY * chamfer(x * f, y)) for f in flips)
 
 
+def cloud(elements: list[dict], n: int = SAMPLES) -> np.ndarray:
+    """n points of a shape, dealt evenly over its elements, each where its element's transform puts it."""
+    from quillon.operators.geometry import matrix  # which takes samples from here
+
+    out = []
+    for k, e in enumerate(elements):
+        m = matrix(e.get("transform"))
+        share = max(1, n // len(elements)) + (k < n - max(1, n // len(elements)) * len(elements))
+        out.append(sample(e, share) @ m[:3, :3].T + m[:3, 3])
+    return np.concatenate(out)
+
+
+def shape_hash(elements: list[dict], n: int = SAMPLES) -> str:
+    """A stable name of a shape's cloud: of its elements' geometry in order, and of the number of points."""
+    return hashlib.sha256(f"{n}|{'|'.join(map(geometry_hash, elements))}".encode()).hexdigest()
+
+
 def clouds(elements: DataFrame, n: int = SAMPLES) -> DataFrame:
-    """(shape_id, points) of (shape_id, element JSON) rows; the elements of one shape are one cloud."""
+    """(shape_id, points, cloud_key) of (shape_id, element JSON) rows; the elements of one shape are one cloud."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [sample(json.loads(e), n) for e in sorted(pdf["element"])]
-        return pd.DataFrame({"shape_id": [pdf["shape_id"].iloc[0]], "points": [np.concatenate(parts).ravel().tolist()]})
+        parts = [json.loads(e) for e in sorted(pdf["element"])]
+        return pd.DataFrame({"shape_id": [pdf["shape_id"].iloc[0]], "points": [cloud(parts, n).ravel().tolist()], "cloud_key": [shape_hash(parts, n)]})
+
+    return elements.groupBy("shape_id").applyInPandas(run, "shape_id string, points array<double>, cloud_key string")
 
-    return elements.groupBy("shape_id").applyInPandas(run, "shape_id string, points array<double>")
+
+def kept_clouds(elements: DataFrame, folder: str, n: int = SAMPLES) -> DataFrame:
+    """clouds, with those already in folder (Parquet, in storage that all executors share) read and the others added to it."""
+    spark = elements.sparkSession
+
+    @F.pandas_udf("string")
+    def key(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: shape_hash([json.loads(e) for e in x], n))
+
+    wanted = elements.groupBy("shape_id").agg(F.array_sort(F.collect_list("element")).alias("es")).select("shape_id", key("es").alias("cloud_key"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        new = wanted.join(spark.read.parquet(folder), "cloud_key", "left_anti")
+    else:
+        new = wanted
+    fresh = clouds(elements.join(new.groupBy("cloud_key").agg(F.min("shape_id").alias("shape_id")), "shape_id", "left_semi"), n)
+    fresh.select("cloud_key", "points").write.mode("append").parquet(folder)
+    return wanted.join(spark.read.parquet(folder), "cloud_key").select("shape_id", "points", "cloud_key")
 
 
 def shape_similarities(elements: DataFrame, pairs: DataFrame, n: int = SAMPLES) -> DataFrame:

@@ -2,67 +2,85 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.scoring import dot
+from quillon.functions.scoring import cosine
 from quillon.functions.vocabulary import FUZZY_THRESHOLD
+from quillon.session import cut
 
-#: A stated query set of up to so many phrases is sent to the tasks; more are joined block by block.
-QUERY_LIMIT = 4096
+#: Queries and terms of a cell, on average: a cell holds their vectors and one matrix of their products.
+QUERIES, TERMS, ROWS = 1024, 16384, 2048
 
 
 def similar_terms(queries: DataFrame, terms: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """(query, term, sim): for each (query, vec) the (term, vec) rows at or above the threshold.
 
-    queries is a stated set of phrases; its vectors are packed once and every batch of terms meets them in one
-    matrix product. A larger set goes through a nested-loop join of blocks instead.
+    Both sides are dealt into blocks by their counts, and a cell compares one block of each, whatever their number;
+    a term is copied once for each block of queries.
     """
-    held = queries.limit(QUERY_LIMIT + 1).collect()
-    if len(held) > QUERY_LIMIT:
-        pairs = terms.crossJoin(queries.select(F.col("query"), F.col("vec").alias("q_vec")))
-        return pairs.withColumn("sim", dot(F.col("vec"), F.col("q_vec"))).where(F.col("sim") >= threshold).select("query", "term", "sim")
-    names = pa.array([r.query for r in held], pa.string())
-    matrix = np.array([r.vec for r in held], dtype=np.float64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(names) or not batch.num_rows:
-                continue
-            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-            sims = vectors @ matrix.T
-            t, q = np.nonzero(sims >= threshold)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(t)), pa.array(sims[t, q])], names=["query", "term", "sim"])
-
-    return terms.select("term", "vec").mapInArrow(run, "query string, term string, sim double")
-
-
-def close_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = 16) -> DataFrame:
-    """(left, right, sim) with left < right and a cosine of at least threshold, by a grid of blocks.
-
-    Ids are dealt into blocks; a pair of blocks is one bounded task, so no side is broadcast or collected.
+    queries, terms = cut(queries.select("query", "vec")), cut(terms.select("term", "vec"))
+    n, m = -(-queries.count() // QUERIES) or 1, -(-terms.count() // TERMS) or 1
+    deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    copies = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = terms.withColumn("i", deal("term", m)).withColumn("j", copies(n)).groupBy("i", "j")
+    right = queries.withColumn("j", deal("query", n)).withColumn("i", copies(m)).groupBy("i", "j")
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": pd.Series(dtype=object), "term": pd.Series(dtype=object), "sim": pd.Series(dtype=float)})]
+        if len(a) and len(b):
+            asked = np.stack(b["vec"].to_numpy()).astype(np.float64)
+            for at in range(0, len(a), ROWS):
+                part = a.iloc[at : at + ROWS]
+                sims = np.stack(part["vec"].to_numpy()).astype(np.float64) @ asked.T
+                t, q = np.nonzero(sims >= threshold)
+                out.append(pd.DataFrame({"query": b["query"].to_numpy()[q], "term": part["term"].to_numpy()[t], "sim": sims[t, q]}))
+        return pd.concat([x for x in out if len(x)] or out)
+
+    return left.cogroup(right).applyInPandas(run, "query string, term string, sim double")
+
+
+def close_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", rows_in_block: int = ROWS) -> DataFrame:
+    """(left, right, sim) with left < right and a cosine of at least threshold, exactly.
+
+    Rows are dealt by their cosine to a pivot: where two angles to it differ by more than the threshold's angle, so do the
+    rows. They are cut by angle into blocks of about rows_in_block rows, and a block meets only those in reach of it.
     """
-    block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), block.alias("b"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = rows.withColumn("o", others).select("id", "v", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
-        unit = lambda x: (m := np.stack(x["v"].to_numpy()).astype(np.float64)) / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
-        if left.empty or right.empty:
-            return pd.DataFrame({"left": [], "right": [], "sim": []}).astype({"left": "int64", "right": "int64", "sim": "float64"})
-        sims = unit(left) @ unit(right).T
-        a, b = np.nonzero(sims >= threshold)
-        x, y = left["id"].to_numpy()[a], right["id"].to_numpy()[b]
-        out = pd.DataFrame({"left": np.minimum(x, y), "right": np.maximum(x, y), "sim": sims[a, b]})
-        return out[x < y] if i == j else out[x != y]
-
-    return dealt.groupBy("i", "j").applyInPandas(run, "left long, right long, sim double")
-
+    sound = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()
+    rows = vectors.where(sound).select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
+    first = rows.orderBy(F.xxhash64("id"), "id").limit(1).collect()
+    schema = "left long, right long, sim double"
+    if not first:
+        return vectors.sparkSession.createDataFrame([], schema)
+    pivot = F.array(*(F.lit(float(x)) for x in first[0].v))
+    rows = cut(rows.withColumn("angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("v"), pivot))))))
+    n = rows.count()
+    blocks = -(-n // rows_in_block)
+    edges = sorted({float(x) for x in rows.agg(F.percentile_approx("angle", [k / blocks for k in range(1, blocks)] or [0.5], 20 * blocks)).first()[0]}) if blocks > 1 else []
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
+    bounds = F.array(*(F.lit(e) for e in edges)) if edges else F.array().cast("array<double>")
+    block = lambda angle: F.size(F.filter(bounds, lambda e: e <= angle))
+    # a row goes to the cells (own block, each block from its own on that its reach meets), and to (others below, own) as the right side
+    placed = rows.withColumn("b", block(F.col("angle"))).withColumn("lo", block(F.col("angle") - reach)).withColumn("hi", block(F.col("angle") + reach))
+    as_left = placed.select(F.col("id").alias("a"), F.col("v").alias("x"), F.col("b").alias("i"), F.explode(F.sequence("b", "hi")).alias("j")).groupBy("i", "j")
+    as_right = placed.select(F.col("id").alias("b"), F.col("v").alias("y"), F.explode(F.sequence("lo", "b")).alias("k"), F.col("b").alias("l")).groupBy("k", "l")
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        unit = lambda x: (m := np.stack(x.to_numpy()).astype(np.float64)) / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+        out = [pd.DataFrame({"left": [], "right": [], "sim": []}).astype({"left": "int64", "right": "int64", "sim": "float64"})]
+        if len(left) and len(right):
+            other = unit(right["y"]).T
+            for at in range(0, len(left), ROWS):
+                part = left.iloc[at : at + ROWS]
+                sims = unit(part["x"]) @ other
+                a, b = np.nonzero(sims >= threshold)
+                x, y = part["a"].to_numpy()[a], right["b"].to_numpy()[b]
+                found = pd.DataFrame({"left": np.minimum(x, y), "right": np.maximum(x, y), "sim": sims[a, b]})
+                out.append(found[x < y] if key[0] == key[1] else found[x != y])
+        return pd.concat([x for x in out if len(x)] or out)
+
+    return as_left.cogroup(as_right).applyInPandas(run, schema)

@@ -29,6 +29,23 @@ def lookup(conditions: DataFrame, wanted: DataFrame, state_type: str) -> DataFra
     return conditions.where(F.col("state_type") == state_type).join(wanted, KEY)
 
 
+def keep_best(df: DataFrame, keys: list[str], score: str, ties: list[str]) -> DataFrame:
+    """Of each key the candidate with the highest score, the least by ties among equals."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), *ties))
+    return df.withColumn("_n", place).where("_n = 1").drop("_n")
+
+
+def verb_actions(actions: DataFrame, asked: DataFrame) -> DataFrame:
+    """(verb, action_id), once each, of the actions whose own or general verb is asked for. actions: action_id, verb, general_verb; asked: verb."""
+    names = F.explode(F.array_distinct(F.filter(F.array("verb", "general_verb"), lambda v: v.isNotNull())))
+    return actions.select("action_id", names.alias("verb")).join(F.broadcast(asked.select("verb").distinct()), "verb").select("verb", "action_id").distinct()
+
+
+def of_memories(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """rows of the allowed memories (memory_id), all rows without any given."""
+    return rows if allowed is None else rows.join(allowed.select("memory_id").distinct(), "memory_id", "left_semi")
+
+
 def candidates(effects: DataFrame, subgoals: DataFrame, score: Column, n: int = CANDIDATES, threshold: float = SUBGOAL_THRESHOLD) -> DataFrame:
     """The n best actions for each subgoal by their best effect. Both sides share object; score sees g_path, g_op, g_value."""
     pairs = effects.join(F.broadcast(subgoals.withColumnsRenamed({"path": "g_path", "op": "g_op", "value": "g_value"})), "object")  # the asked subgoals

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,36 @@ def rare(df: DataFrame, key: str, below: int = 10) -> DataFrame:
     return df.join(few, key)
 
 
+# The relations that a report selects.
+TARGET_RELATIONS = ("attached", "between", "front_of")
+
+
+def of_relations(df: DataFrame, relation: str, wanted: Sequence[str] = TARGET_RELATIONS) -> DataFrame:
+    """The rows whose relation is one of the wanted in any case; the relation comes out in lower case."""
+    return df.withColumn(relation, F.lower(relation)).where(F.col(relation).isin(*wanted))
+
+
+def term_counts(df: DataFrame, term: str) -> DataFrame:
+    """(term, kind, n): how often each term occurs as it is, and each of its words where it has several."""
+    words = F.split(F.trim(F.col(term)), r"[\s_]+")
+    exact = df.select(F.col(term).alias("term"), F.lit("exact").alias("kind"))
+    parts = df.where(F.size(words) > 1).select(F.explode(words).alias("term"), F.lit("word").alias("kind")).where("term <> ''")
+    return exact.unionByName(parts).groupBy("term", "kind").agg(F.count("*").alias("n"))
+
+
+def memory_term_counts(terms: DataFrame, memory: str = "memory_id") -> DataFrame:
+    """(memory, n_isolated, n_triples, n_terms) of (memory, kind) rows with kind 'isolated' or 'triple'."""
+    isolated = F.count_if(F.col("kind") == "isolated")
+    triples = F.count_if(F.col("kind") == "triple")
+    return terms.groupBy(memory).agg(isolated.alias("n_isolated"), triples.alias("n_triples"), F.count("*").alias("n_terms"))
+
+
+def action_averages(parts: DataFrame, plan: str = "plan_id", kinds: Sequence[str] = ("verb", "object", "category")) -> DataFrame:
+    """(plan, n_parts, each kind, total): the mean scores of the single-action plans that a plan was put together from."""
+    means = parts.groupBy(plan).agg(F.count("*").alias("n_parts"), *(F.avg(F.coalesce(k, F.lit(0.0))).alias(k) for k in kinds))
+    return means.withColumn("total", sum((F.col(k) for k in kinds), F.lit(0.0)))
+
+
 def histogram_of_sizes(df: DataFrame, group: str, member: str) -> DataFrame:
     """(size, n): how many groups have so many distinct members."""
     return df.groupBy(group).agg(F.countDistinct(member).alias("size")).groupBy("size").agg(F.count("*").alias("n"))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon.functions import scoring, text, units
 from quillon.functions import vocabulary as V
-from quillon.operators import aliases, postings, ranking, templates
+from quillon.operators import aliases, flatten, postings, ranking, search, templates
 from quillon.operators.similarity import close_pairs
 from quillon.plans.registry import query
-from quillon.session import table
+from quillon.session import cut, table
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(V.STOP_WORDS | V.UNIT_WORDS))
 _SEPS = V.SEPARATORS.replace("'", "''")
@@ -64,14 +65,16 @@ scored AS (SELECT *, 0.3::DOUBLE * CASE n WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.
 SELECT memory_id, round(sum(score), 6) AS score, count(*) AS n_matches FROM scored GROUP BY memory_id ORDER BY score DESC, memory_id LIMIT 10""")
 def exact_token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents ranked by query tokens: gated by frequency, diminishing within a document, summed; the ten best."""
-    found = _occurrences(spark, sf_dir)
-    freq = postings.shares(found.withColumnRenamed("token", "term"))
-    gates = freq.where(F.col("term").isin(*SEARCHED)).select(F.col("term").alias("token"), postings.gate(F.col("occurrence_percentage")).alias("gate"))
-    hits = found.where(F.col("token").isin(*SEARCHED)).join(F.broadcast(gates), "token").where("gate <> 'unmatchable'")  # as many gates as searched tokens
-    place = F.row_number().over(Window.partitionBy("memory_id", "token").orderBy("place"))
-    hits = hits.withColumn("_n", place).where((F.col("gate") != "one_match") | (F.col("_n") == 1))
-    score = F.lit(V.TOKEN_MULTIPLIERS[True, True]) * ranking.nth_factor(F.col("_n"), V.DIMINISHING)
-    return ranking.rank(hits.withColumn("score", score).where("score > 0"), top=10)
+    counted = cut(postings.asked_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", SEARCHED))
+    term = lambda c: F.concat(F.lit("object_token:"), c)
+    hits = counted.select("memory_id", F.explode("hits").alias("h")).select(
+        term(F.col("h.token")).alias("term"), F.lit("object_token").alias("prefix"), F.col("h.token").alias("phrase"), "memory_id", F.col("h.place").cast("string").alias("src"),
+        F.lit("object").alias("term_type"), F.lit(False).alias("is_goal"), F.col("h.place").cast("long").alias("seq"),
+    )
+    none = spark.createDataFrame([], "alias_term string, base_term string")
+    ix = search.Index(postings=hits, alias_terms=none, freq=postings.shares_of(counted).withColumn("term", term(F.col("term"))))
+    queries = search.prepared(spark.createDataFrame([(f"object_token:{w}", k) for k, w in enumerate(SEARCHED)], "query_term string, position int"))
+    return ranking.rank(search.component_and_token_matches(ix, search.folded(ix, search.exact_hits(ix, queries))), top=10)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,13 +168,19 @@ SELECT qid, p_partkey, path, round(2.0::DOUBLE * p * CASE WHEN v > 0 THEN v ELSE
 def fullpath_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stated path queries against every (object, path, value) of all parts; candidates share a path component."""
     part = table(spark, sf_dir, "part")
-    entry = lambda path, value: F.struct(F.array(*(F.lit(p) for p in path)).alias("e_path"), value.cast("string").alias("value"))
-    entries = part.select("p_partkey", F.col("p_brand").alias("object"), F.explode(F.array(entry(["dims", "size"], F.col("p_size")), entry(["make", "brand"], F.col("p_brand")), entry(["kind"], F.col("p_type")))).alias("e")).select("p_partkey", "object", "e.*")
-    asked = spark.createDataFrame(ASKED_PATHS, "qid int, q_object string, q_path array<string>, q_op string, q_value string")
-    pairs = entries.join(F.broadcast(asked), F.arrays_overlap("e_path", "q_path"))  # a stated query set
-    core = scoring.core_match(F.col("q_path"), F.col("q_op"), F.col("q_value"), F.col("e_path"), F.lit("eq"), F.col("value"), F.array().cast("array<string>"))
-    score = V.CORE_SCORE * core["score"] * scoring.name_factor(F.col("q_object"), F.col("object"))
-    return pairs.select("qid", "p_partkey", F.array_join("e_path", ".").alias("path"), F.round(score, 6).alias("score")).where("score > 0")
+    entry = lambda path, value: F.struct(F.array(*(F.lit(p) for p in path)).alias("path"), value.cast("string").alias("value"))
+    none = F.lit(None).cast("string")
+    entries = part.select("p_partkey", "p_brand", F.posexplode(F.array(entry(["dims", "size"], F.col("p_size")), entry(["make", "brand"], F.col("p_brand")), entry(["kind"], F.col("p_type")))).alias("k", "e"))
+    fullpath = entries.select(
+        F.col("p_partkey").cast("string").alias("memory_id"), none.alias("action"), F.col("p_brand").alias("object"), "e.path", F.lit("eq").alias("op"), "e.value", F.lit(None).cast("array<string>").alias("items"), none.alias("state_type"),
+        F.lit("object").alias("src"), F.lit(False).alias("is_goal"), (F.col("p_partkey") * 3 + F.col("k")).cast("long").alias("seq"),
+    )
+    asked = [(f"fullpath:{json.dumps({'path': p, 'op': o, 'value': v, 'object': name})}", i) for i, name, p, o, v in ASKED_PATHS]
+    terms = spark.createDataFrame(asked, "query_term string, position int")
+    ix = search.Index(fullpath=fullpath, aliases=spark.createDataFrame([], "kind string, base string, alias string, rank int"), banned=spark.createDataFrame([], "component string"))
+    found = search.fullpath_matches(ix, search.prepared(terms)).join(F.broadcast(terms), "query_term")  # the stated queries
+    path = F.from_json(F.regexp_replace("matched_term", "^fullpath:", ""), "path array<string>")["path"]
+    return found.select(F.col("position").alias("qid"), F.col("memory_id").cast("long").alias("p_partkey"), F.array_join(path, ".").alias("path"), F.round("score", 6).alias("score"))
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,12 +205,15 @@ def unit_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
   (CASE WHEN 30.0 BETWEEN 0.5 * (p_size % 7 + 25) AND 1.5 * (p_size % 7 + 25) THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) * (CASE WHEN 6000.0 BETWEEN 0.5 * (p_size * (p_size / 2.0) * (p_size % 7 + 25)) AND 1.5 * (p_size * (p_size / 2.0) * (p_size % 7 + 25)) THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS product FROM part) WHERE product > 0.0625::DOUBLE""")
 def measurement_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length, width, height and volume of every part against asked ones, each within half and one and a half."""
-    lo, hi = V.MEASUREMENT_RANGE
     size = F.col("p_size").cast("double")
-    dims = [size, size / 2, (F.col("p_size") % 7 + 25).cast("double")]
-    fits = [F.when(F.lit(q).between(lo * d, hi * d), 1.0).otherwise(V.MEASUREMENT_MISS) for q, d in zip((20.0, 10.0, 30.0, 6000.0), [*dims, dims[0] * dims[1] * dims[2]], strict=True)]
-    score = fits[0] * fits[1] * fits[2] * fits[3]
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(score, 6).alias("score")).where(F.col("score") > V.MEASUREMENT_MISS**4)
+    dims = {"length": size, "width": size / 2, "height_thickness": (F.col("p_size") % 7 + 25).cast("double")}
+    volume = dims["length"] * dims["width"] * dims["height_thickness"]
+    sizes = F.explode(F.array(*(F.struct(F.lit(f"dimensions.{n}").alias("path"), d.alias("numeric"), F.lit("cm").alias("unit")) for n, d in dims.items()), F.struct(F.lit("volume").alias("path"), volume.alias("numeric"), F.lit("cm^3").alias("unit"))))
+    measured = table(spark, sf_dir, "part").select(F.lit("m").alias("memory_id"), F.col("p_partkey").cast("string").alias("object_id"), sizes.alias("s"), F.lit("object").alias("src")).select("memory_id", "object_id", "s.*", "src", F.lit(0).cast("long").alias("seq"))
+    asked = ["dimensions.length=200 mm", "dimensions.width=0.1m", "dimensions.height_thickness=30cm", "volume=6L"]
+    terms = spark.createDataFrame([(f"attribute_value:{t}", k) for k, t in enumerate(asked)], "query_term string, position int")
+    found = search.measurement_matches(search.Index(measurements=measured), search.prepared(terms))
+    return found.select(F.col("object_id").cast("long").alias("p_partkey"), F.round("score", 6).alias("score"))
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
@@ -227,10 +239,9 @@ def bm25_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, k AS path, v AS value FROM (SELECT event_id, unnest(json_keys(props::JSON)) AS k, props FROM events WHERE props IS NOT NULL AND json_valid(props)) t, LATERAL (SELECT json_extract_string(t.props, '$."' || t.k || '"') AS v)""")
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leaves of every event's JSON, by exploding the variant."""
-    events = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("bag")).where("bag is not null")
-    leaves = spark.sql("SELECT event_id, key, value FROM {events}, LATERAL variant_explode(bag)", events=events)
-    return leaves.select("event_id", F.col("key").alias("path"), F.col("value").cast("string").alias("value"))
+    """The leaves of every event's JSON."""
+    events = table(spark, sf_dir, "events").select("event_id", F.explode(flatten.flatten_json()(F.col("props"))).alias("leaf"))
+    return events.select("event_id", F.array_join("leaf.path", ".").alias("path"), "leaf.value")
 
 
 @query("""SELECT event_id, regexp_extract(g, '^([^.]+)\\.', 1) AS object, regexp_extract(g, '^[^.]+\\.([^=!]+?)(!=|=)', 1) AS path, CASE WHEN contains(g, '!=') THEN 'ne' ELSE 'eq' END AS op, regexp_extract(g, '(?:!=|=)(.*)$', 1) AS value

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon.operators import compat, state, timeline
 from quillon.plans.registry import query
@@ -28,11 +27,12 @@ def change_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.sides(_changes(spark, sf_dir).select("event_id", "user_id", "old", "new")).select("event_id", "user_id", "state_type", "value")
 
 
-@query("""SELECT DISTINCT verb, event_id FROM (VALUES ('buy', 'purchase'), ('buy', 'order'), ('look', 'view'), ('look', 'click')) v(verb, name) JOIN events ON event_type = name""")
+@query("""SELECT DISTINCT verb, event_id AS action_id FROM (SELECT event_id, event_type AS verb FROM events UNION ALL SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'commit' ELSE 'look' END FROM events WHERE event_type <> 'error') WHERE verb IN ('view', 'click', 'look', 'commit')""")
 def verb_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verbs = spark.createDataFrame([("buy", "purchase"), ("buy", "order"), ("look", "view"), ("look", "click")], "verb string, name string")
-    events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("name"))
-    return events.join(F.broadcast(verbs), "name").select("verb", "event_id").dropDuplicates()
+    """Events by asked verbs: their own or their general one."""
+    kind = F.col("event_type")
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("action_id"), kind.alias("verb"), F.when(kind.isin("purchase", "signup"), "commit").when(kind != "error", "look").alias("general_verb"))
+    return state.verb_actions(events, spark.createDataFrame([("view",), ("click",), ("look",), ("commit",)], "verb string"))
 
 
 WANTED = [("user1", "last", "eq", "purchase"), ("user2", "last", "eq", "view"), ("user3", "last", "eq", "none"), ("user8", "last", "eq", "error")]
@@ -71,36 +71,49 @@ def world_state_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.final_state(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], "value")
 
 
-@query(f"""SELECT user_id, event_type FROM ({_FINAL_SQL}) f WHERE EXISTS (SELECT 1 FROM (VALUES ('purchase', 10.0), ('view', 50.0)) c(t, least) WHERE c.t = f.event_type AND f.value > c.least)""")
+CONDITIONS = [("purchase", "gt", "10.0"), ("view", "gte", "50"), ("view", "lt", "90.5"), ("click", "<=", "20 "), ("signup", "!=", "none"), ("error", "eq", "7"), ("click", "in", "[1, 2, 3]"), ("purchase", "+=", "1"), ("view", "gt", "many")]
+
+
+@query(f"""SELECT user_id, event_type, op, wanted FROM ({_FINAL_SQL}) f JOIN (VALUES {", ".join(str(c) for c in CONDITIONS)}) c(t, op, wanted) ON c.t = f.event_type
+WHERE CASE op WHEN 'gt' THEN value > TRY_CAST(wanted AS DOUBLE) WHEN 'gte' THEN value >= TRY_CAST(wanted AS DOUBLE) WHEN 'lt' THEN value < TRY_CAST(wanted AS DOUBLE) WHEN '<=' THEN value <= TRY_CAST(wanted AS DOUBLE) WHEN '!=' THEN true WHEN 'eq' THEN value = TRY_CAST(wanted AS DOUBLE) WHEN 'in' THEN value IN (1, 2, 3) ELSE false END""")
 def condition_satisfied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conditions purchase > 10 and view > 50 of every user, where the final state meets them."""
+    """Stated conditions of every user, where the final state meets them."""
     final = state.final_state(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], "value")
-    least = F.when(F.col("event_type") == "purchase", "10.0").when(F.col("event_type") == "view", "50.0")
-    wanted = final.select(F.col("user_id").cast("string").alias("object"), F.col("event_type").alias("path"), F.lit("gt").alias("op"), least.alias("value")).where("value is not null")
+    asked = F.broadcast(spark.createDataFrame(CONDITIONS, "path string, op string, value string"))  # the stated conditions
+    wanted = final.select(F.col("user_id").cast("string").alias("object"), F.col("event_type").alias("path")).join(asked, "path").select("object", "path", "op", "value")
     actual = final.select(F.col("user_id").cast("string").alias("object"), F.col("event_type").alias("path"), F.col("value").cast("string").alias("value"))
-    return state.satisfied(wanted, actual).select(F.col("object").cast("long").alias("user_id"), F.col("path").alias("event_type"))
+    return state.satisfied(wanted, actual).select(F.col("object").cast("long").alias("user_id"), F.col("path").alias("event_type"), "op", F.col("value").alias("wanted"))
 
 
-ASKED_OBJECTS = [("q1", "Brand#1", "ECONOMY", 20, 950.0), ("q2", "Brand#7", "LARGE", 40, 1000.0), ("q3", None, "PROMO", 5, 1200.0)]
+ASKED_OBJECTS = [("q1", "Brand#1", "ECONOMY", 20, 950, "round", "Brand#1"), ("q2", "Brand#7", "LARGE", 40, 1000, "flat", None), ("q3", None, "PROMO", 5, 1200, "", "Brand#3"), ("p12", "Brand#2", "SMALL", 9, 30, "flat", None)]
+_COMPAT_SQL = f"""q(qid, brand, kind, size, price, shape, dest) AS (VALUES {", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in a) + ")" for a in ASKED_OBJECTS)}),
+s AS (SELECT qid, p_partkey, ('p' || p_partkey) = qid AS own, p_type = kind AND kind NOT IN ('SMALL') AS cat, coalesce(p_brand = brand, false) AS mat, shape <> '' AND CASE p_partkey % 2 WHEN 0 THEN 'round' ELSE 'flat' END = shape AS shp,
+  (size BETWEEN 0.5 * p_size AND 1.5 * p_size)::INT + (price BETWEEN 0.5 * p_retailprice AND 1.5 * p_retailprice)::INT + (7 BETWEEN 0.5 * (p_partkey % 20) AND 1.5 * (p_partkey % 20))::INT + (7.0::DOUBLE * size * price BETWEEN 0.5 * p_size * p_retailprice * (p_partkey % 20) AND 1.5 * p_size * p_retailprice * (p_partkey % 20))::INT >= 2 AS dim,
+  coalesce(p_brand = dest, false) AS pos, p_container_like = 'hold' AS fun, (abs(size - p_size) <= 0.3::DOUBLE * p_size)::INT + 1 AS same FROM q, (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 'hold' ELSE 'cut' END AS p_container_like FROM part))"""
 
 
-@query("""WITH q(qid, brand, kind, size, price) AS (VALUES ('q1', 'Brand#1', 'ECONOMY', 20, 950.0), ('q2', 'Brand#7', 'LARGE', 40, 1000.0), ('q3', NULL, 'PROMO', 5, 1200.0)),
-s AS (SELECT qid, p_partkey, CASE WHEN p_type = kind THEN 1 ELSE 0 END AS cat, CASE WHEN p_brand = brand THEN 1 ELSE 0 END AS mat,
-  CASE WHEN p_size BETWEEN 0.5 * size AND 1.5 * size AND p_retailprice BETWEEN 0.5 * price AND 1.5 * price THEN 1 ELSE 0 END AS dim FROM q, part)
-SELECT qid, p_partkey, CAST(cat + mat + dim AS INTEGER) AS n_signals, round(least(0.9::DOUBLE, (cat + mat + dim) / 6.0::DOUBLE * 0.9::DOUBLE), 6) AS score FROM s WHERE cat = 1 OR mat = 1 OR cat + mat + dim >= 2""")
+@query(f"""WITH {_COMPAT_SQL}, n AS (SELECT *, cat::INT + mat::INT + shp::INT + dim::INT + pos::INT + fun::INT AS n FROM s)
+SELECT qid, p_partkey, n AS n_signals, CASE WHEN own THEN 'exact' WHEN cat OR mat OR n + same // 2 >= 2 THEN 'attribute' ELSE 'rejected' END AS tier,
+  round(CASE WHEN own THEN 1.0::DOUBLE WHEN cat OR mat OR n + same // 2 >= 2 THEN least(0.9::DOUBLE, (n + 0.3::DOUBLE * same) / 6.0::DOUBLE * 0.9::DOUBLE) ELSE 0.0::DOUBLE END, 6) AS score FROM n""")
 def object_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stated objects against all parts: type as category, brand as material, size and price as dimensions."""
-    asked = F.broadcast(spark.createDataFrame(ASKED_OBJECTS, "qid string, brand string, kind string, size int, price double"))
-    part = table(spark, sf_dir, "part")
-    inside = lambda x, y: x.between(0.5 * y, 1.5 * y)
-    signals = {
-        "category": F.col("p_type") == F.col("kind"),
-        "materials": F.col("p_brand") == F.col("brand"),
-        "dimensions": inside(F.col("p_size"), F.col("size")) & inside(F.col("p_retailprice"), F.col("price")),
-    }
-    pairs = part.crossJoin(asked)  # a stated query set of three rows
-    n, passes, score = compat.attribute_tier(signals)
-    return pairs.select("qid", "p_partkey", n.alias("n_signals"), F.round(score, 6).alias("score"), passes.alias("_p")).where("_p").drop("_p")
+    """Stated objects against all parts by all six signals and common attributes; a category may say too little to count."""
+    text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    whole = lambda *xs: F.array_compact(F.array(*xs))
+    asked = spark.createDataFrame(ASKED_OBJECTS, "qid string, brand string, kind string, size int, price int, q_shape string, dest string")
+    kind = lambda c: F.when(c == "SMALL", "physical_object").otherwise(c)  # noqa: E731  a fixed category that is left out
+    asked = asked.select(
+        F.col("qid").alias("q_obj_id"), F.col("qid").alias("q_template"), F.array(kind(F.col("kind"))).alias("q_categories"), F.array(F.lit("hold")).alias("q_functions"), whole("brand").alias("q_materials"), "q_shape",
+        text("size").alias("q_length"), text("price").alias("q_width"), F.lit("7").alias("q_height_thickness"), F.lit("beside").alias("q_relation"), F.lit("near").alias("q_relationr"), whole("dest").alias("q_relative_to"),
+        F.create_map(F.lit("size"), text("size"), F.lit("made"), F.lit("yes"), F.lit("other"), F.lit("1")).alias("q_attributes"),
+    )
+    key = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(
+        key.alias("p_partkey"), F.concat(F.lit("p"), text("p_partkey")).alias("c_obj_id"), F.concat(F.lit("p"), text("p_partkey")).alias("c_template"), F.array(kind(F.col("p_type"))).alias("c_categories"), F.array(F.when(key % 3 == 0, "hold").otherwise("cut")).alias("c_functions"),
+        F.array("p_brand").alias("c_materials"), F.when(key % 2 == 0, "round").otherwise("flat").alias("c_shape"), text("p_size").alias("c_length"), text("p_retailprice").alias("c_width"), text(key % 20).alias("c_height_thickness"),
+        F.lit("over").alias("c_relation"), F.lit("near").alias("c_relationr"), F.array("p_brand").alias("c_relative_to"), F.create_map(F.lit("size"), F.concat(text("p_size"), F.lit("")), F.lit("made"), F.lit("yes"), F.lit("third"), F.lit("1")).alias("c_attributes"),
+    )
+    scored = compat.compatibility(parts.crossJoin(F.broadcast(asked)))  # a stated query set of four rows
+    return scored.select(F.col("q_obj_id").alias("qid"), "p_partkey", "n_signals", "tier", F.round("score", 6).alias("score"))
 
 
 @query("""WITH p AS (SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS met, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS errors, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS sat FROM orders GROUP BY 1)
@@ -171,5 +184,4 @@ def goal_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber) AS n, l_partkey FROM lineitem) SELECT l_orderkey, l_partkey FROM m WHERE n = 1""")
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One candidate for each key, the higher score kept."""
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber")
-    return table(spark, sf_dir, "lineitem").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("l_orderkey", "l_partkey")
+    return state.keep_best(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_extendedprice", ["l_partkey", "l_suppkey", "l_linenumber"]).select("l_orderkey", "l_partkey")

@@ -27,7 +27,8 @@ def low_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, lower(event_type) AS relation FROM events WHERE lower(event_type) IN ('click', 'view', 'signup')")
 def target_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.lower("event_type").alias("relation")).where(F.col("relation").isin("click", "view", "signup"))
+    events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("relation"))
+    return statistics.of_relations(events, "relation", ("click", "view", "signup"))
 
 
 @query("SELECT size, count(*) AS n FROM (SELECT o_custkey, count(DISTINCT o_orderpriority) AS size FROM orders GROUP BY 1) GROUP BY 1")

@@ -1,4 +1,4 @@
-"""Operators without an SQL form, over memories, plans and scenes derived from whole driver tables."""
+"""Operators over memories, plans and scenes derived from whole driver tables."""
 
 from __future__ import annotations
 
@@ -37,25 +37,74 @@ def _index(spark: SparkSession, sf_dir: str) -> search.Index:
     return ingest.build_index(memories_of(spark, sf_dir), dictionary)
 
 
-@query()
+_OF_CONDITION = ["attribute:mood", "attribute:last", "attribute_expanded:latest", "attribute_expanded_token:latest", "attribute_token:mood", "attribute_token:last"]
+_OF_OBJECT = ["object:account", "object_expanded:profile", "object_expanded_token:profile", "object:a", "object_token:account", "category:record", *(f"{p}:{o}" for o in ("shop", "market") for p in ("object", "object", "object_token", "object_token")), "category:building", "category:building"]
+_listed = lambda names: ", ".join(f"'{n}'" for n in names)
+#: The terms of the memories, written out: of each user's three objects, of each event, of the goal.
+POSTED_SQL = f"""
+u AS (SELECT DISTINCT user_id, user_id % 30 + 5 AS size FROM events),
+posted AS (
+  SELECT user_id, unnest([{_listed(_OF_OBJECT)}]) AS term FROM u
+  UNION ALL SELECT user_id, unnest([{_listed([*_OF_CONDITION, "value:calm", "value_token:calm", "value:10cm", "value_token:10cm", "value:5cm", "value_token:5cm", "value_token:0cm^3"])}, 'value:' || size || 'cm', 'value_token:' || size || 'cm', 'value:' || 50 * size || '.0cm^3']) FROM u, range(3)
+  UNION ALL SELECT user_id, unnest([{_listed([*_OF_CONDITION, "value:purchase", "value_token:purchase"])}]) FROM u
+  UNION ALL SELECT user_id, unnest([{_listed(_OF_CONDITION)}, 'action:' || event_type, 'verb:' || event_type, 'action_token:' || event_type, 'action_token:' || event_type, 'value:' || event_type, 'value_token:' || event_type]) FROM events
+  UNION ALL SELECT user_id, unnest(['action_expanded:buy', 'action_expanded_token:buy']) FROM events WHERE event_type = 'purchase'
+  UNION ALL SELECT user_id, unnest(['value_expanded:registration', 'value_expanded_token:registration']) FROM events WHERE event_type = 'signup'
+)"""
+
+
+@query(f"""WITH {POSTED_SQL} SELECT term, count(*) AS occurrences, count(DISTINCT user_id) AS memory_count, round(count(*)::DOUBLE / (SELECT count(*) FROM posted) * 100, 6) AS occurrence_percentage,
+round(count(DISTINCT user_id)::DOUBLE / (SELECT count(*) FROM u) * 100, 6) AS memory_percentage FROM posted GROUP BY term""")
 def memory_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingest of nested memories to postings: how often each term occurs, and in how many memories."""
     return postings.shares(_index(spark, sf_dir).postings.select("term", "memory_id"))
 
 
-@query()
+#: Every match of TERMS by its rule, then the chain of settling. Terms whose share makes them unmatchable (attribute:last, action_token:purchase) add nothing.
+SEARCH_SQL = """
+WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
+u AS (SELECT user_id, (user_id % 30 + 5)::DOUBLE AS size, count(*) FILTER (event_type = 'purchase') AS n FROM events GROUP BY user_id),
+c(user_id, object_id, query, base, matched, src, score, is_local, seq) AS (
+  SELECT user_id, NULL, t, 'object:account', 'object:account', 'a', s::DOUBLE, false, 0 FROM u, (VALUES ('object:account', 1.0), ('object_expanded:profile', 0.9)) v(t, s)
+  UNION ALL SELECT user_id, NULL, 'value:signup', 'value:signup', 'value:signup', 'e' || i, 0.5::DOUBLE * CASE i WHEN 1 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END, true, i FROM e WHERE event_type = 'signup' AND i <= 2
+  UNION ALL SELECT user_id, NULL, 'value:registrations', 'value:registrations', 'value:signup', 'e' || i, 0.4::DOUBLE * 0.9::DOUBLE * CASE i WHEN 1 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END, true, i FROM e WHERE event_type = 'signup' AND i <= 2
+  UNION ALL SELECT user_id, NULL, 'goalstate:value:purchase', 'goalstate:value:purchase', 'value:purchase', src, 0.5::DOUBLE * CASE k WHEN 1 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END * f, true, k
+    FROM (SELECT user_id, 'e' || i AS src, i AS k, 4.0::DOUBLE AS f FROM e WHERE event_type = 'purchase' UNION ALL SELECT user_id, 'goal', n + 1, 16.0::DOUBLE FROM u) WHERE k <= 2
+  UNION ALL SELECT user_id, NULL, 'verb_target:purchase', 'verb_target:purchase', 'verb:purchase', 'e' || i, 2.0::DOUBLE, true, i FROM e WHERE event_type = 'purchase' AND i <= 4
+  UNION ALL SELECT user_id, 'a', 'fullpath', 'fullpath', 'goal', 'goal', 8.0::DOUBLE, false, 0 FROM u
+  UNION ALL SELECT user_id, 'a', 'fullpath', 'fullpath', 'purchase', 'e' || i, 2.0::DOUBLE, false, i FROM e WHERE event_type = 'purchase'
+  UNION ALL SELECT user_id, o, 'measurement_unit', 'measurement_unit', 'dimensions+volume', o, CASE WHEN 20 BETWEEN 0.5 * size AND 1.5 * size THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END * CASE WHEN 1000 BETWEEN 25 * size AND 75 * size THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END, false, k FROM u, (VALUES ('a', 0), ('shop', 1), ('market', 2)) v(o, k)
+  UNION ALL SELECT user_id, 'a', 'position_unit', 'position_unit', 'position_unit', 'a', 1.0::DOUBLE, false, 0 FROM u
+  UNION ALL SELECT user_id, 'a', 'spatial', 'spatial', 'inferred via shop', 'a', 0.5::DOUBLE, false, 0 FROM u),
+m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY base, matched, user_id, src ORDER BY score DESC, seq) = 1),
+q AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id, base ORDER BY score DESC, seq) <= 6),
+d AS (SELECT *, CASE WHEN is_local THEN 1 ELSE row_number() OVER (PARTITION BY query, matched, user_id, is_local ORDER BY score DESC, seq) END AS k FROM q),
+g AS (SELECT * REPLACE (score * CASE k WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END AS score) FROM d WHERE k <= 3),
+o AS (SELECT * REPLACE (CASE WHEN object_id IS NULL THEN score ELSE score * least(power(1.2::DOUBLE, count(*) OVER (PARTITION BY user_id, object_id) - 1), 2.0::DOUBLE) END AS score) FROM g),
+x AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY user_id, matched ORDER BY score DESC, seq) <= 6)
+SELECT 'u' || user_id AS memory_id, round(sum(score), 6) AS score, count(*) AS n_matches FROM x GROUP BY user_id"""
+
+
+@query(SEARCH_SQL)
 def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ways of matching over an index of memories, settled and ranked."""
     terms = spark.createDataFrame([(t, k) for k, t in enumerate(TERMS)], "query_term string, position int")
     return search.search(_index(spark, sf_dir), terms, top=None)
 
 
-@query()
+_USERS_SQL = "SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events"
+
+
+@query(f"SELECT 'u' || user_id || '.memory.actions.' || i AS instance_id, 0.0::DOUBLE AS start_time, value AS end_time, value AS effective_duration FROM ({_USERS_SQL})")
 def memory_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.timelines(ingest.actions(memories_of(spark, sf_dir)))
 
 
-@query()
+@query("""WITH e AS (SELECT c_nationkey AS n, c_mktsegment AS s, CAST(c_custkey AS VARCHAR) AS a, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal DESC, CAST(c_custkey AS VARCHAR)) AS k FROM customer),
+b AS (SELECT n, max(a) FILTER (s = 'BUILDING') AS b, max(a) FILTER (s = 'FURNITURE') AS f, max(a) FILTER (s = 'HOUSEHOLD') AS h, max(a) FILTER (s = 'AUTOMOBILE') AS c, max(a) FILTER (s = 'MACHINERY') AS m FROM e WHERE k = 1 GROUP BY n),
+w AS (SELECT b.*, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n AND c_mktsegment = 'AUTOMOBILE' AND c_acctbal > 9000) AS held FROM b),
+p AS (SELECT n, CASE WHEN b IS NULL OR f IS NULL OR h IS NULL OR m IS NULL OR c IS NULL THEN NULL WHEN held THEN [b, f, h, m] ELSE [b, f, h, c, m] END AS steps FROM w)
+SELECT CAST(n AS VARCHAR) AS query_id, CAST(unnest(range(coalesce(len(steps), 1))) AS INTEGER) AS step, unnest(coalesce(steps, [NULL])) AS action_id, steps IS NOT NULL AS reached FROM p""")
 def plan_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan for each nation: a subgoal per customer segment, customers as actions, a customer's segment needing the one before it."""
     customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("query_id"), F.col("c_custkey").cast("string").alias("action_id"), F.col("c_mktsegment").alias("subgoal_id"), "c_acctbal")
@@ -70,51 +119,109 @@ def plan_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.search_plans(goals, edges, needs, edges, holds)
 
 
-@query()
+@query("""WITH g AS (SELECT l_orderkey, l_linenumber, count(*) AS c, max(l_linestatus) AS status, sum(l_quantity) AS q FROM lineitem GROUP BY ALL),
+l AS (SELECT *, lag(status, 1, 'O') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS before FROM g),
+o AS (SELECT l_orderkey, count(*) AS n, sum(c) FILTER (before <> 'O') AS broken, sum(q) AS q FROM l GROUP BY 1)
+SELECT CAST(o_orderkey AS VARCHAR) AS plan_id, CAST(coalesce(n, 0) AS INTEGER) AS n_steps, CAST(coalesce(broken, 0) AS INTEGER) AS n_violations, CASE WHEN q > 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS satisfaction FROM orders LEFT JOIN o ON l_orderkey = o_orderkey""")
 def plan_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order as a plan: its lines in order set the status of a part and add to the total."""
+    """Every order as a plan: its lines in order want the status open, set it, and add to the total."""
     lines = table(spark, sf_dir, "lineitem")
     action = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     plans = lines.select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("step"), action.alias("action_id"))
-    change = lambda path, op, value: F.struct(F.lit("new").alias("state_type"), F.lit("order").alias("object"), F.lit(path).alias("path"), F.lit(op).alias("op"), value.cast("string").alias("value"))
-    conditions = lines.select(action.alias("action_id"), F.explode(F.array(change("status", "eq", F.col("l_linestatus")), change("total", "+=", F.col("l_quantity")))).alias("c")).select("action_id", "c.*").dropDuplicates()
+    change = lambda path, op, value, kind="new": F.struct(F.lit(kind).alias("state_type"), F.lit("order").alias("object"), F.lit(path).alias("path"), F.lit(op).alias("op"), value.cast("string").alias("value"))
+    conditions = lines.select(action.alias("action_id"), F.explode(F.array(change("status", "eq", F.lit("O"), "precondition"), change("status", "eq", F.col("l_linestatus")), change("total", "+=", F.col("l_quantity")))).alias("c")).select("action_id", "c.*").dropDuplicates()
     orders = table(spark, sf_dir, "orders")
-    initial = orders.select(F.col("o_orderkey").alias("plan_id"), F.lit("order").alias("object"), F.lit("total").alias("path"), F.lit("eq").alias("op"), F.lit("0").alias("value"))
+    start = F.explode(F.array(F.struct(F.lit("total").alias("path"), F.lit("0").alias("value")), F.struct(F.lit("status").alias("path"), F.lit("O").alias("value")))).alias("s")
+    initial = orders.select(F.col("o_orderkey").alias("plan_id"), F.lit("order").alias("object"), start).select("plan_id", "object", "s.path", F.lit("eq").alias("op"), "s.value")
     goals = orders.select(F.col("o_orderkey").alias("plan_id"), F.lit("order").alias("object"), F.lit("total").alias("path"), F.lit("gt").alias("op"), F.lit("50").alias("value"))
     return planning.simulate(plans, conditions, initial, goals).select("plan_id", "n_steps", "n_violations", "satisfaction")
 
 
 def scenes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scene for each brand and name: its parts as objects of one element each."""
+    """A scene for each eight parts in a row: its parts as objects of one element each."""
     k = F.col("p_partkey")
     kind = F.when(k % 3 == 0, "sphere").when(k % 3 == 1, "box").otherwise("cylinder")
     size = F.col("p_size").cast("double")
     names = ("radius_cm", "height_cm", "size_x_cm", "size_y_cm", "size_z_cm")
     element = F.struct(kind.alias("element_type"), F.struct(*((size / (i + 1)).alias(n) for i, n in enumerate(names))).alias("parameters"))
     moved = F.struct(F.array(k * 7.0 % 101, k * 13.0 % 53, k * 3.0 % 29).alias("translation"))
-    obj = F.struct(k.cast("string").alias("object_id"), F.col("p_type").alias("template"), F.array(element).alias("elements"), moved.alias("transform"))
-    return table(spark, sf_dir, "part").groupBy(F.concat_ws("/", "p_brand", "p_name").alias("scene_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(obj)).alias("objects"))).alias("scene"))
+    parent = F.when(k % 8 > 5, (k - 1).cast("string"))
+    obj = F.struct(k.cast("string").alias("object_id"), F.col("p_type").alias("template"), F.array(element).alias("elements"), moved.alias("transform"), parent.alias("parent_object_id"), size.alias("mass"))
+    return table(spark, sf_dir, "part").groupBy(F.floor(k / 8).cast("string").alias("scene_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(obj)).alias("objects"))).alias("scene"))
 
 
-@query()
+_PLACED_SQL = """SELECT p_partkey AS k, p_partkey // 8 AS scene, p_size::DOUBLE AS s, (p_partkey * 7.0 % 101)::DOUBLE AS x, (p_partkey * 13.0 % 53)::DOUBLE AS y, (p_partkey * 3.0 % 29)::DOUBLE AS z,
+  CASE WHEN p_partkey % 8 > 5 AND p_partkey - 1 IN (SELECT p_partkey FROM part) THEN p_partkey - 1 END AS above FROM part"""
+
+
+@query(f"""WITH RECURSIVE p AS ({_PLACED_SQL}), w AS (SELECT k, x, y, z FROM p WHERE above IS NULL UNION ALL SELECT p.k, p.x + w.x, p.y + w.y, p.z + w.z FROM p JOIN w ON p.above = w.k),
+h AS (SELECT k, scene, CASE k % 3 WHEN 0 THEN [s, s, s] WHEN 1 THEN [s / 6, s / 8, s / 10] ELSE [s, s, s / 4] END AS h FROM p)
+SELECT CAST(scene AS VARCHAR) AS scene_id, CAST(k AS VARCHAR) AS object_id, [round(x - h[1], 6), round(y - h[2], 6), round(z - h[3], 6), round(x + h[1], 6), round(y + h[2], 6), round(z + h[3], 6)] AS box FROM h JOIN w USING (k)""")
 def scene_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The world boxes of all objects; the last two of a scene hang from the ones before them."""
     found = geometry.scene_boxes(scenes_of(spark, sf_dir))
     return found.select("scene_id", "object_id", F.transform(F.concat("box.lo", "box.hi"), lambda x: F.round(x, 6)).alias("box"))
 
 
-@query()
+@query(f"""WITH p AS ({_PLACED_SQL}), f AS (SELECT scene, min(CAST(k AS VARCHAR)) AS first, count(*) AS n FROM p GROUP BY scene)
+SELECT CAST(f.scene AS VARCHAR) AS scene_id, CAST(n + 1 AS INTEGER) AS n_objects, CAST(n + 3 AS INTEGER) AS n_events, round(p.x + 1, 6) AS left_x, p.s / 2 AS left_mass, (SELECT count(*) FROM p c WHERE CAST(c.above AS VARCHAR) = first) AS n_children, 1 AS n_contacts FROM f JOIN p ON CAST(p.k AS VARCHAR) = first""")
 def scene_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every scene after moving its first object, splitting it, and labelling a half."""
+    """Every scene after moving all its objects, touching and splitting its first, and labelling a half."""
     scenes = scenes_of(spark, sf_dir)
-    first = F.get_json_object("scene", "$.objects[0].object_id")
+    ids = F.from_json(F.get_json_object("scene", "$.objects[*].object_id"), "array<string>")
+    ids = F.coalesce(ids, F.array(F.get_json_object("scene", "$.objects[0].object_id")))
     quoted = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    ops = F.array(
-        quoted('{"op":"move","object_id":"', first, '","delta":[1,2,3]}'),
-        quoted('{"op":"split","object_id":"', first, '","normal":[0,0,1],"point":[0,0,0],"new_ids":["left","right"]}'),
-        F.lit('{"op":"label","object_id":"left","label":"half"}'),
+    ops = F.concat(
+        F.transform(ids, lambda i: quoted('{"op":"move","object_id":"', i, '","delta":[1,2,3]}')),
+        F.array(
+            quoted('{"op":"contact","object_a":"', ids[0], '","object_b":"', F.element_at(ids, -1), '"}'),
+            quoted('{"op":"split","source_id":"', ids[0], '","cut_normal_world":[0,0,1],"cut_point_world":[5,0,9],"new_object_ids":["left","right"]}'),
+            F.lit('{"op":"label","object_id":"left","label":"half"}'),
+        ),
     )
     operations = scenes.select("scene_id", F.posexplode(ops).alias("op_ix", "op"))
-    return scene.replay(scenes, operations).select("scene_id", "n_objects", F.size(F.from_json("events", "array<string>")).alias("n_events"))
+    done = scene.replay(scenes, operations)
+    of = lambda path: F.get_json_object("scene", path)
+    children = F.size(F.filter(F.map_values(F.from_json(of("$.objects"), "map<string,struct<parent_object_id:string>>")), lambda o: o["parent_object_id"] == "left"))
+    return done.select(
+        "scene_id", "n_objects", F.size(F.from_json("events", "array<string>")).alias("n_events"), F.round(of("$.objects.left.transform.translation[0]").cast("double"), 6).alias("left_x"), of("$.objects.left.mass").cast("double").alias("left_mass"),
+        children.cast("long").alias("n_children"), F.size(F.from_json(of("$.contacts"), "array<struct<a:string,b:string>>")).alias("n_contacts"),
+    )
+
+
+def _spec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(F.floor(k / 8).cast("long").alias("scene_id"), k.cast("string").alias("obj_id"), F.col("p_type").alias("template"), F.when(k % 8 > 4, (k - 2).cast("string")).alias("parent_object_id"), (k % 8).cast("int").alias("place"))
+
+
+_SPECS_SQL = "SELECT p_partkey // 8 AS scene_id, CAST(p_partkey AS VARCHAR) AS obj_id, p_type AS template, CASE WHEN p_partkey % 8 > 4 THEN CAST(p_partkey - 2 AS VARCHAR) END AS parent_object_id, p_partkey % 8 AS place FROM part"
+
+
+@query(f"""WITH sp AS ({_SPECS_SQL}), c(t, ct) AS (VALUES ('ECONOMY', 'SMALL'), ('LARGE', 'PROMO'), ('LARGE', 'SMALL')),
+m AS (SELECT f.scene_id, f.obj_id, arg_min(o.obj_id, o.place) AS owner FROM sp f JOIN c ON ct = f.template JOIN sp o ON o.scene_id = f.scene_id AND o.template = t AND o.obj_id <> f.obj_id WHERE f.parent_object_id IS NULL GROUP BY ALL)
+SELECT sp.scene_id, sp.obj_id, coalesce(parent_object_id, owner) AS parent_object_id FROM sp LEFT JOIN m ON sp.scene_id = m.scene_id AND sp.obj_id = m.obj_id""")
+def composite_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects without a parent hung from an object of their scene that is composed of such."""
+    composites = spark.createDataFrame([("ECONOMY", "SMALL"), ("LARGE", "PROMO"), ("LARGE", "SMALL")], "template string, child_template string")
+    return geometry.linked_composites(_spec_rows(spark, sf_dir), composites).select("scene_id", "obj_id", "parent_object_id")
+
+
+@query(f"""WITH RECURSIVE sp AS (SELECT a.* REPLACE (CASE WHEN b.obj_id IS NOT NULL THEN a.parent_object_id END AS parent_object_id) FROM ({_SPECS_SQL}) a LEFT JOIN ({_SPECS_SQL}) b ON a.scene_id = b.scene_id AND a.parent_object_id = b.obj_id),
+t AS (SELECT scene_id, obj_id, 0 AS depth FROM sp WHERE parent_object_id IS NULL UNION ALL SELECT sp.scene_id, sp.obj_id, depth + 1 FROM sp JOIN t ON sp.parent_object_id = t.obj_id AND sp.scene_id = t.scene_id) SELECT scene_id, obj_id, depth FROM t""")
+def placement_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.placement_order(_spec_rows(spark, sf_dir), 8)
+
+
+_TEMPLATE_SQL = "(VALUES ('ECONOMY', 'sphere', 4.0), ('LARGE', 'cylinder', 3.0), ('PROMO', 'capsule', 2.0), ('SMALL', 'torus', 1.5)) t(template, kind, r)"
+
+
+@query(f"""SELECT scene_id, obj_id, kind IS NULL AS is_placeholder, CASE kind WHEN 'sphere' THEN 2 * r WHEN 'cylinder' THEN greatest(2 * r, 10) WHEN 'capsule' THEN 2 * r + 10 WHEN 'torus' THEN 10 ELSE 10 END::DOUBLE AS length_cm FROM ({_SPECS_SQL}) LEFT JOIN {_TEMPLATE_SQL} USING (template)""")
+def built_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects with their template's elements, a box where it has none, and the length that stands for their size."""
+    rows = spark.createDataFrame([("ECONOMY", "sphere", 4.0), ("LARGE", "cylinder", 3.0), ("PROMO", "capsule", 2.0), ("SMALL", "torus", 1.5)], "template string, kind string, r double")
+    element = F.struct(F.col("kind").alias("element_type"), F.create_map(F.lit("radius_cm"), F.col("r"), F.lit("height_cm"), F.lit(10.0)).alias("parameters"))
+    made = geometry.built(_spec_rows(spark, sf_dir), rows.select("template", F.array(element).alias("elements")))
+    return made.select("scene_id", "obj_id", "is_placeholder", geometry.largest_dimension(F.col("elements")).alias("length_cm"))
 
 
 @query()

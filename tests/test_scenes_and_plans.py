@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import geometry, maps, planning, relations, scene, shapes
+from quillon.operators import geometry, maps, planning, relations, scene, shapes, similarity
 from quillon.plans import synthetic_queries
 
 
@@ -129,3 +129,75 @@ def test_chamfer_by_blocks():
     far = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
     for block in (7, 70, 1024):
         assert np.isclose(shapes.chamfer(a, b, block), far.min(axis=1).mean() + far.min(axis=0).mean(), rtol=1e-12)
+
+
+def test_split_cuts_where_the_world_plane_is():
+    ball = {"element_type": "sphere", "parameters": {"radius_cm": 1.0}, "transform": {"translation": [5, 0, 0]}}
+    start = {"objects": {"a": part("a") | {"elements": [ball]}, "c": part("c", 0.0, "a"), "d": part("d", 0.0, "a")}, "contacts": [{"a": "a", "b": "d"}, {"a": "c", "b": "d"}]}
+    start["objects"]["a"]["transform"] = {"translation": [0, 0, 10], "rotation": [0, 0, np.sin(np.pi / 4), np.cos(np.pi / 4)], "scale": [2, 2, 2]}  # the ball's centre is at (0, 10, 10)
+    s, events = scene.apply(start, {"op": "split", "object_id": "a", "normal": [0, 3, 0], "point": [0, 10, 0], "new_ids": ["l", "r"], "children_assignment": {"d": "r"}})
+    assert events[-1]["event"] == "applied" and s["objects"]["c"]["parent_object_id"] == "l" and s["objects"]["d"]["parent_object_id"] == "r"
+    assert s["contacts"] == [{"a": "l", "b": "d"}, {"a": "c", "b": "d"}]
+    at = geometry.worlds(s["objects"])
+    lo, hi = geometry.world_box(s["objects"]["l"], at["l"])
+    assert abs(lo[1] - 8) < 0.1 and abs(hi[1] - 10) < 0.1 and abs(hi[0] - 2) < 0.1
+    lo, hi = geometry.world_box(s["objects"]["r"], at["r"])
+    assert abs(lo[1] - 10) < 0.1 and abs(hi[1] - 12) < 0.1
+    assert scene.apply(start, {"op": "split", "object_id": "a", "normal": [0, 0, 0]})[1][0]["event"] == "invalid"
+
+
+def test_scene_format_is_read_and_written():
+    text = json.dumps({"3d_assembly": {"assembly_id": "x", "objects": [
+        {"object_id": "a", "template_name": "t", "mass_grams": 6.0, "object_transform": {"translate": [1, 2, 3], "rotate": [0, 0, 0, 1], "scale": [1, 1, 1]}, "elements": [{"element_type": "box", "parameters": {f"size_{k}_cm": 2.0 for k in "xyz"}, "transform": {"translate": [4, 0, 0]}}], "metadata": {"clips": [{"point": [4, 0, 0], "normal": [1, 0, 0]}]}},
+        {"object_id": "b", "template_name": "t", "parent_object_id": "a", "world_matrix_override": np.diag([2.0, 2, 2, 1]).tolist(), "elements": [{"element_type": "sphere", "parameters": {"radius_cm": 1.0}}]},
+    ], "contacts": [{"object_a": "a", "object_b": "b"}]}})
+    s = geometry.unwrapped(text)
+    assert s["objects"]["a"]["mass"] == 6.0 and s["objects"]["a"]["template"] == "t" and s["contacts"] == [{"a": "a", "b": "b"}]
+    at = geometry.worlds(s["objects"])
+    assert at["b"][0, 0] == 2.0 and at["a"][:3, 3].tolist() == [1, 2, 3]
+    lo, hi = geometry.world_box(s["objects"]["a"], at["a"])
+    assert np.allclose(lo, [4, 1, 2]) and abs(hi[0] - 5) < 0.05
+    assert geometry.unwrapped(geometry.wrapped(s)) == s
+    for op in ({"op": "move", "object_id": "a", "delta": [1, 0, 0]}, {"op": "rotate", "object_id": "a", "quaternion": [0, 0, 1, 0]}, {"op": "detach", "child_id": "b"}, {"op": "add_object", "object_id": "n", "template_name": "t", "object_transform": {"translate": [9, 0, 0]}, "elements": []}, {"op": "split", "source_id": "a", "cut_point_world": [5, 0, 0], "cut_normal_world": [1, 0, 0], "new_object_ids": ["p", "q"]}, {"op": "release", "object_a": "p", "object_b": "b"}, {"op": "set_transform", "object_id": "b", "world_transform": {"translate": [0, 0, 7]}}):
+        s, events = scene.apply(s, op)
+        assert events[-1]["event"] == "applied", (op, events)
+    assert s["contacts"] == [] and geometry.worlds(s["objects"])["n"][0, 3] == 9
+
+
+def test_clouds_follow_element_transforms(spark, tmp_path):
+    box = lambda x: {"element_type": "box", "parameters": {f"size_{k}_cm": 1.0 for k in "xyz"}, "transform": {"translation": [x, 0, 0]}}
+    far, near = shapes.cloud([box(0), box(50)], 200), shapes.cloud([box(0), box(1)], 200)
+    assert len(far) == 200 and far[:, 0].max() > 49 and near[:, 0].max() < 2
+    assert shapes.geometry_hash(box(0)) != shapes.geometry_hash(box(50))
+    tri = shapes.sample({"element_type": "prism", "parameters": {"size_x_cm": 2.0, "size_y_cm": 2.0, "num_sides": 3}}, 2000)
+    assert tri[:, 0].min() > -0.51 and tri[:, 0].max() > 0.9  # a triangle's flat side is half a radius away
+    elements = spark.createDataFrame([("s", json.dumps(box(0))), ("s", json.dumps(box(50))), ("t", json.dumps(box(0)))], "shape_id string, element string")
+    first = {r.shape_id: r.points for r in shapes.kept_clouds(elements, f"{tmp_path}/clouds", 64).collect()}
+    n = spark.read.parquet(f"{tmp_path}/clouds").count()
+    again = {r.shape_id: r.points for r in shapes.kept_clouds(elements, f"{tmp_path}/clouds", 64).collect()}
+    assert first == again == {r.shape_id: r.points for r in shapes.clouds(elements, 64).collect()} and n == spark.read.parquet(f"{tmp_path}/clouds").count() == 2
+
+
+def test_chamfer_groups_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(shapes, "CELL", 7)
+    rng = np.random.default_rng(3)
+    groups = {g: rng.normal(size=(n, 4)) for g, n in (("a", 30), ("b", 3), ("c", 15))}
+    rows = spark.createDataFrame([(g, x.tolist()) for g, xs in groups.items() for x in xs], "g string, p array<double>")
+    got = {(r.left, r.right): r.chamfer for r in shapes.chamfer_groups(rows).collect()}
+    assert got.keys() == {("a", "b"), ("a", "c"), ("b", "c")}
+    for (a, b), d in got.items():
+        assert np.isclose(d, shapes.chamfer(groups[a], groups[b]))
+
+
+def test_close_pairs_are_exact(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 8))
+    vectors = centres[rng.integers(0, 6, 300)] + rng.normal(size=(300, 8)) * 0.4
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if sims[i, j] >= 0.9}
+    for size in (1000, 20):
+        found = [(r.left, r.right) for r in similarity.close_pairs(rows, 0.9, rows_in_block=size).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    assert similarity.close_pairs(rows.limit(0), 0.9).count() == 0
