@@ -35,6 +35,17 @@ def tokens(text: Column | str) -> Column:
     return F.filter(words(text), valid_token)
 
 
+def raw_words(text: Column | str) -> Column:
+    """The pieces of a lower-case text between separators and white space, empty ones at the ends too."""
+    return F.split(F.lower(F.translate(text, SEPARATORS, " " * len(SEPARATORS))), r"\s+")
+
+
+def valid_row(word: str) -> Column:
+    """valid_token for a column of single words: what is left out is held in a hash set."""
+    word = F.col(word)
+    return (F.length(word) > 1) & ~word.isin(*sorted(STOP_WORDS | UNIT_WORDS)) & (F.translate(word, "0123456789", "") != "")
+
+
 def term_prefix(term: Column | str) -> Column:
     term = F.col(term) if isinstance(term, str) else term
     return F.when(term.contains(":"), F.substring_index(term, ":", 1)).otherwise("other")

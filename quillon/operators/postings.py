@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import vocabulary as V
-from quillon.functions.text import among, let, tokens
+from quillon.functions.text import raw_words, valid_row
 
 POSTING = "term string, prefix string, phrase string, memory_id string, src string, term_type string, is_goal boolean, seq long"
 
 
 def token_occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(memory_id, token, place): every valid token of every text, in order."""
-    return df.select(F.col(id_col).alias("memory_id"), F.posexplode(tokens(text_col)).alias("place", "token"))
+    """(memory_id, token, place): every valid token of every text, places ascending. Words are rows before they are told apart, so no array is filtered."""
+    return df.select(F.col(id_col).alias("memory_id"), F.posexplode(raw_words(text_col)).alias("place", "token")).where(valid_row("token"))
 
 
 def dedup(postings: DataFrame) -> DataFrame:
@@ -42,17 +42,15 @@ def _percentages(counted: DataFrame) -> DataFrame:
 
 
 def asked_tokens(df: DataFrame, id_col: str, text_col: str, asked: Sequence[str]) -> DataFrame:
-    """(memory_id, n, hits): how many tokens each text has, and (place, token) of those that are asked for."""
-    found = F.transform(tokens(text_col), lambda t, i: F.struct(i.alias("place"), t.alias("token")))
-    told = let(found, lambda f: F.struct(F.size(f).alias("n"), F.filter(f, lambda x: among(x["token"], asked)).alias("hits")))
-    return df.select(F.col(id_col).alias("memory_id"), told.alias("t")).select("memory_id", "t.n", "t.hits")
+    """(memory_id, token, n): how often each memory has each of the tokens that are asked for, and with a null token all others."""
+    found = token_occurrences(df, id_col, text_col)
+    return found.groupBy("memory_id", F.when(F.col("token").isin(*asked), F.col("token")).alias("token")).agg(F.count("*").alias("n"))
 
 
 def shares_of(counted: DataFrame) -> DataFrame:
-    """shares of the asked tokens alone; counted: as asked_tokens gives it, a row for each memory."""
-    each = counted.select("memory_id", F.explode("hits").alias("h")).groupBy(F.col("h.token").alias("term"), "memory_id").agg(F.count("*").alias("_n"))
-    found = each.groupBy("term").agg(F.sum("_n").alias("occurrences"), F.count("*").alias("memory_count"))
-    whole = counted.agg(F.sum("n").alias("_all"), F.count_if(F.col("n") > 0).alias("_memories"))
+    """shares of the asked tokens alone; counted: as asked_tokens gives it."""
+    found = counted.where("token is not null").groupBy(F.col("token").alias("term")).agg(F.sum("n").alias("occurrences"), F.count("*").alias("memory_count"))
+    whole = counted.groupBy("memory_id").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("_all"), F.count("*").alias("_memories"))
     return _percentages(found.crossJoin(F.broadcast(whole)))  # one row
 
 

@@ -67,9 +67,9 @@ def exact_token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents ranked by query tokens: gated by frequency, diminishing within a document, summed; the ten best."""
     counted = cut(postings.asked_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", SEARCHED))
     term = lambda c: F.concat(F.lit("object_token:"), c)
-    hits = counted.select("memory_id", F.explode("hits").alias("h")).select(
-        term(F.col("h.token")).alias("term"), F.lit("object_token").alias("prefix"), F.col("h.token").alias("phrase"), "memory_id", F.col("h.place").cast("string").alias("src"),
-        F.lit("object").alias("term_type"), F.lit(False).alias("is_goal"), F.col("h.place").cast("long").alias("seq"),
+    hits = counted.where("token is not null").select("memory_id", "token", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("place")).select(
+        term(F.col("token")).alias("term"), F.lit("object_token").alias("prefix"), F.col("token").alias("phrase"), "memory_id", F.col("place").cast("string").alias("src"),
+        F.lit("object").alias("term_type"), F.lit(False).alias("is_goal"), F.col("place").alias("seq"),
     )
     none = spark.createDataFrame([], "alias_term string, base_term string")
     ix = search.Index(postings=hits, alias_terms=none, freq=postings.shares_of(counted).withColumn("term", term(F.col("term"))))
