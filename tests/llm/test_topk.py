@@ -57,6 +57,29 @@ def test_pruning_opens_fewer_blocks():
         assert i[q == k].tolist() == want.tolist() and s[q == k].tolist() == scores[want].astype(int).tolist()
 
 
+def test_blocks_are_ranges_of_like_rows():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1000, 6)) * [10, 1, 1, 1, 1, 1]
+    order = topk.like_order(x, 64)
+    assert sorted(order.tolist()) == list(range(1000))
+    spread = lambda rows: np.mean([np.ptp(x[rows[at : at + 64], 0]) for at in range(0, 1000, 64)])
+    assert spread(order) < spread(np.arange(1000)) / 4
+    same = topk.like_order(np.ones((200, 3)), 64)
+    assert sorted(same.tolist()) == list(range(200))
+
+
+def test_clusters_spare_queries_from_far_parts(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SEGMENT", 100)
+    monkeypatch.setattr(topk, "GROUP", 7)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(8, 16))
+    vectors = centres[rng.integers(0, 8, 1200)] + rng.normal(size=(1200, 16)) * 0.02
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame([(i, v, 1, "clash") for i, v in rows], SCHEMA)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(frame).collect())
+    assert got == plain(rows)
+
+
 def test_large_components_are_exact():
     big = np.array([[2.0**40, 3.0], [2.0**40, 4.0]])
     q, i, s, _ = topk.best(np.array([1, 2]), big, np.array([50]), np.array([[2.0**20, 1.0]]))
