@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -165,17 +169,94 @@ def posting_rows(objs: DataFrame, acts: DataFrame, entries: DataFrame, dictionar
     return numbered.select("term", term_prefix("term").alias("prefix"), term_phrase("term").alias("phrase"), "memory_id", "src", typed.alias("term_type"), "is_goal", "seq")
 
 
-def build_index(memories: DataFrame, dictionary: DataFrame, embed: Embedder | None = None) -> Index:
+def build_index(memories: DataFrame, dictionary: DataFrame, embed: Embedder | None = None, as_shipped: bool = False) -> Index:
     """An index over memory envelopes (see sources.memories) and an alias dictionary (kind, base, alias, rank).
 
-    Postings, paths and shares are written to the shared folder, as every search reads them again.
+    Postings, paths and shares are written to the shared folder, as every search reads them again. as_shipped drops the
+    postings whose prefix the shipped index does not keep.
     """
     objs, acts = objects(memories), actions(memories)
     entries = cut(fullpath(objs, acts, conditions(acts, memories)))
-    posted = cut(posting_rows(objs, acts, entries, dictionary))
+    posted = posting_rows(objs, acts, entries, dictionary)
+    posted = cut(postings.whitelisted(posted) if as_shipped else posted)
     freq = cut(postings.shares(posted.select("term", "memory_id")))
     paths = _numbered(entries, [F.col("_o"), F.array_join("path", "."), F.col("value"), F.col("state_type")]).drop("_o")
     paths = cut(paths.withColumn("seq", F.xxhash64("memory_id", "seq")))  # one number for an entry in the whole index
     sizes = object_leaves(objs).where("kind = 'measure'").select("memory_id", F.col("obj_id").alias("object_id"), F.array_join("path", ".").alias("path"), number_of(F.col("value")).alias("numeric"), unit_of(F.col("value")).alias("unit"), F.concat_ws("|", F.lit("object"), "obj_id", "template").alias("src"), F.col("obj_ix").alias("seq")).where("numeric is not null")
     placed = objs.select("memory_id", "obj_id", "template", "relation", "relationr", "relative_to", "obj_ix")
     return Index(posted, paths, sizes, placed, dictionary, A.alias_terms(dictionary), freq, postings.unmatchable_components(freq), embed or hashed_ngrams())
+
+
+# Keys whose leaves tell nothing, and the weight of a leaf that no other walk takes.
+SKIPPED_KEYS = ("id", "obj_id", "instance_id", "memory_id")
+LEAF_WEIGHT = 0.3
+
+
+def catch_all(documents: DataFrame, json_col: str, keep: list[str], skipped: tuple[str, ...] = SKIPPED_KEYS) -> DataFrame:
+    """(keep, term, weight) of every leaf of a JSON text: `path=value` but for skipped keys, stop and unit words, and numbers."""
+    leaf = documents.select(*keep, F.explode(flatten.flatten_json(measures=False)(F.col(json_col))).alias("l")).select(*keep, "l.path", "l.value")
+    sound = ~F.element_at("path", -1).isin(*skipped) & valid_token(F.lower("value")) & ~numeric_string("value")
+    return leaf.where(sound).select(*keep, F.concat(F.array_join("path", "."), F.lit("="), "value").alias("term"), F.lit(LEAF_WEIGHT).alias("weight"))
+
+
+def isolated_terms(objs: DataFrame, acts: DataFrame) -> DataFrame:
+    """(memory_id, term): the names that stand for themselves: actions, templates, ids, categories, trajectories, tags."""
+    named = lambda prefix, value: F.concat(F.lit(f"{prefix}:"), value)
+    of_object = F.concat(F.array(named("template", F.col("template")), named("obj_id", F.col("obj_id"))), F.transform("categories", lambda c: named("category", c)))
+    of_action = F.concat(F.array(named("action", F.col("template")), named("trajectory", F.col("trajectory")), named("category", F.col("category"))), F.transform("tags", lambda t: named("tag", t)))
+    rows = objs.select("memory_id", F.explode(of_object).alias("term")).unionByName(acts.select("memory_id", F.explode(of_action).alias("term")))
+    return rows.where("term is not null")
+
+
+def path_values(objs: DataFrame, conds: DataFrame) -> DataFrame:
+    """(memory_id, path, value, source): every path that is known with each of its values, of objects (positions too) and of conditions."""
+    own = object_leaves(objs).select("memory_id", F.array_join("path", ".").alias("path"), "value", F.lit("object").alias("source"))
+    place = F.explode(F.array(*(F.struct(F.lit(f"position.{n}").alias("path"), F.col(n).alias("value")) for n in ("relation", "relationr")), F.struct(F.lit("position.relative_to").alias("path"), F.array_join("relative_to", ",").alias("value"))))
+    placed = objs.where("relation is not null or relationr is not null or size(relative_to) > 0").select("memory_id", place.alias("p")).select("memory_id", "p.path", "p.value", F.lit("object").alias("source"))
+    kind = F.regexp_replace("state_type", "^conditional_", "")
+    source = F.when(kind == "precondition", "condition").when(kind == "goal", "final").otherwise(kind)
+    held = conds.select("memory_id", F.array_join("path", ".").alias("path"), "value", source.alias("source"))
+    return own.unionByName(placed).unionByName(held).where("value is not null and value <> ''").distinct()
+
+
+SPATIAL = "memory_id string, obj_id string, path string, relation string, relationr string, relative_to array<string>"
+
+
+def spatial_records(memories: DataFrame) -> DataFrame:
+    """SPATIAL rows: every part of an object's JSON with a relation and what it relates to, at any depth, with its path."""
+
+    def walk(node: object, owner: str | None, path: str):
+        if isinstance(node, dict):
+            owner = node.get("id") or node.get("obj_id") or owner
+            if "relation" in node and "relative_to" in node:
+                to = node["relative_to"]
+                yield owner, path, node.get("relation"), node.get("relationr"), [str(x) for x in (to if isinstance(to, list) else [to]) if x not in (None, "")]
+            for k, v in node.items():
+                yield from walk(v, owner, f"{path}.{k}" if path else str(k))
+        elif isinstance(node, list):
+            for i, v in enumerate(node):
+                yield from walk(v, owner, f"{path}.{i}" if path else str(i))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(m, *r) for m, text in zip(pdf["memory_id"], pdf["objects"], strict=True) for r in walk(json.loads(text) if text else [], None, "")]
+            yield pd.DataFrame(rows, columns=["memory_id", "obj_id", "path", "relation", "relationr", "relative_to"])
+
+    return memories.select("memory_id", "objects").mapInPandas(run, SPATIAL)
+
+
+def template_listing(acts: DataFrame) -> DataFrame:
+    """(memory_id, template, n): the action templates of each memory, and how often."""
+    return acts.groupBy("memory_id", "template").agg(F.count("*").alias("n"))
+
+
+def readable_goals(conds: DataFrame) -> DataFrame:
+    """(memory_id, text): the goals of each memory as lines."""
+    line = F.concat("object", F.lit("."), F.array_join("path", "."), F.when(F.col("op").isin("ne", "!="), " is not ").otherwise(" is "), "value")
+    return conds.where("state_type = 'goal'").groupBy("memory_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+
+
+def readable_actions(acts: DataFrame) -> DataFrame:
+    """(memory_id, instance_id, text): each action as a line, deeper ones indented."""
+    line = F.concat(F.expr("repeat('  ', depth)"), "template", F.when(F.size("participants") > 0, F.concat(F.lit(" ("), F.array_join("participants", ", "), F.lit(")"))).otherwise(""))
+    return acts.select("memory_id", "instance_id", line.alias("text"))

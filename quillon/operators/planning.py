@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 from itertools import groupby, islice, product
 
 import pandas as pd
@@ -17,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.functions.scoring import compare
 from quillon.operators.state import coverage_group, plan_score
+from quillon.session import cut
 
 # Limits of the search.
 DEPTH, TARGET_VERBS, CONTEXT_VERBS, SEEDS, PLANS_PER_ACTION, COMBINATIONS = 60, 20, 10, 10, 3, 20
@@ -183,6 +186,109 @@ def _plain(value: object) -> object:
         return text
 
 
+STAGES = (("top10", 10), ("all", None))
+
+
+def staged(results: DataFrame, stages: Sequence[tuple[str, int | None]] = STAGES) -> DataFrame:
+    """(query_id, stage, memory_id): the memories of each stage, the best of a search and all of it. results: query_id, memory_id, score."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id"))
+    placed = results.select("query_id", "memory_id", place.alias("_n"))
+    taken = F.array(*(F.struct(F.lit(name).alias("stage"), (F.lit(True) if most is None else F.col("_n") <= most).alias("in")) for name, most in stages))
+    return placed.select("query_id", "memory_id", F.explode(taken).alias("s")).where("s.in").select("query_id", "s.stage", "memory_id")
+
+
+def subgoal(prefix: str = "") -> Column:
+    """A condition's name as a subgoal."""
+    return F.concat_ws("|", *(F.coalesce(F.col(f"{prefix}{c}").cast("string"), F.lit("")) for c in ("object", "path", "op", "value")))
+
+
+def _unmet(needs: DataFrame, initial: DataFrame) -> DataFrame:
+    """needs (query_id, ..., object, path, op, value) without those that their query's initial conditions fulfil."""
+    actual = initial.select("query_id", "object", "path", F.col("value").alias("_actual"))
+    met = needs.join(actual, ["query_id", "object", "path"]).where(compare(F.col("_actual"), F.coalesce("op", F.lit("eq")), F.col("value")))
+    keys = [c for c in needs.columns]
+    return needs.join(met.select(*keys).distinct(), keys, "left_anti")
+
+
+def seed_subgoals(chosen: DataFrame, conditions: DataFrame, initial: DataFrame) -> DataFrame:
+    """(query_id, stage, seed, object, path, op, value): what a seed needs, as preconditions and old states, that does not hold yet."""
+    needed = conditions.where(F.col("state_type").isin("precondition", "old")).select(F.col("action_id").alias("seed"), "object", "path", "op", "value").distinct()
+    wanted = chosen.select("query_id", "stage", F.col("action_id").alias("seed")).join(needed, "seed")
+    return _unmet(wanted.select("query_id", "stage", "seed", "object", "path", "op", "value"), initial)
+
+
+def seed_plans(chosen: DataFrame, allowed: DataFrame, conditions: DataFrame, initial: DataFrame, rounds: int = 6, n: int = SEEDS, depth: int = DEPTH, sound: bool = True) -> DataFrame:
+    """(query_id, stage, seed, step, action_id): for each seed a chain of actions that fulfils what it needs, then the seed itself.
+
+    chosen: query_id, stage, action_id; allowed: query_id, stage, memory_id; conditions as in state, with memory_id; initial:
+    query_id, object, path, value. Only actions of allowed memories serve, the n least of each subgoal. The subgoals behind
+    subgoals are followed for so many rounds; seeds whose chain does not close have no plan.
+    """
+    effects = conditions.where("state_type = 'new'").select("memory_id", "action_id", subgoal().alias("subgoal_id")).distinct()
+    needs = conditions.where(F.col("state_type").isin("precondition", "old")).select("action_id", "object", "path", "op", "value").distinct()
+    goals = cut(seed_subgoals(chosen, conditions, initial).withColumn("subgoal_id", subgoal()))
+    keys = ["query_id", "stage", "seed"]
+    first = Window.partitionBy("query_id", "stage", "subgoal_id").orderBy("action_id")
+    frontier, seen, edges, wants = goals.select(*keys, "subgoal_id").distinct(), None, [], []
+    for _ in range(rounds):
+        asked = frontier.select("query_id", "stage", "subgoal_id").distinct()
+        served = asked.join(effects, "subgoal_id").join(allowed, ["query_id", "stage", "memory_id"])
+        edge = served.withColumn("place", F.row_number().over(first)).where(F.col("place") <= n).select("query_id", "stage", "subgoal_id", "action_id", "place")
+        edge = cut(frontier.join(edge, ["query_id", "stage", "subgoal_id"]).select(*keys, "subgoal_id", "action_id", "place"))
+        want = _unmet(edge.select(*keys, "action_id").distinct().join(needs, "action_id").select(*keys, "action_id", "object", "path", "op", "value"), initial)
+        want = cut(want.withColumn("subgoal_id", subgoal()).select(*keys, "action_id", "subgoal_id"))
+        edges.append(edge)
+        wants.append(want)
+        seen = frontier if seen is None else seen.unionByName(frontier)
+        frontier = cut(want.select(*keys, "subgoal_id").distinct().join(seen, [*keys, "subgoal_id"], "left_anti"))
+        if frontier.isEmpty():
+            break
+    together = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
+    plan_of = F.to_json(F.struct(*(F.col(k).cast("string").alias(k) for k in keys)))
+    named = lambda df: df.withColumn("query_id", plan_of)
+    all_edges = together(edges)
+    effect_rows = all_edges.select(*keys, "action_id").distinct().join(effects.select("action_id", "subgoal_id"), "action_id")
+    holds = goals.limit(0).select("query_id", "subgoal_id")  # what holds is not among the subgoals
+    found = search_plans(named(goals.select(*keys, "subgoal_id", F.row_number().over(Window.partitionBy(*keys).orderBy("subgoal_id")).alias("place"))), named(all_edges), named(together(wants)), named(effect_rows), holds, depth, sound)
+    back = F.from_json("query_id", "query_id string, stage string, seed string")
+    chains = found.where("reached and action_id is not null").select(back.alias("k"), "step", "action_id").select("k.*", "step", "action_id")
+    failed = found.where("not reached").select(back.alias("k")).select("k.*")
+    text = [F.col(c).cast("string").alias(c) for c in ("query_id", "stage")]
+    alive = chosen.select(*text, F.col("action_id").cast("string").alias("seed")).join(failed, keys, "left_anti")
+    last = alive.join(chains.groupBy(*keys).agg(F.max("step").alias("_last")), keys, "left").select(*keys, (F.coalesce("_last", F.lit(-1)) + 1).alias("step"), F.col("seed").alias("action_id"))
+    return chains.select(*keys, "step", F.col("action_id").cast("string").alias("action_id")).unionByName(last)
+
+
+def resolved_in_state(wanted: DataFrame, objects: DataFrame, scored: DataFrame) -> DataFrame:
+    """wanted (name) with obj_id and how: a state's object of that id, else the first of that template, else the most compatible one; null where none is.
+
+    objects: obj_id, template; scored: name, obj_id, score of those that may stand in.
+    """
+    by_id = objects.select(F.col("obj_id").alias("name"), F.col("obj_id").alias("_id"))
+    by_template = objects.groupBy(F.col("template").alias("name")).agg(F.min("obj_id").alias("_template"))
+    by_likeness = scored.where("score > 0").groupBy("name").agg(F.min_by("obj_id", F.struct(-F.col("score"), F.col("obj_id"))).alias("_like"))
+    out = wanted.join(by_id, "name", "left").join(by_template, "name", "left").join(by_likeness, "name", "left")
+    how = F.when(F.col("_id").isNotNull(), "id").when(F.col("_template").isNotNull(), "template").when(F.col("_like").isNotNull(), "compatible")
+    return out.withColumn("obj_id", F.coalesce("_id", "_template", "_like")).withColumn("how", how).drop("_id", "_template", "_like")
+
+
+def substitutions(resolved: DataFrame) -> DataFrame:
+    """(name, obj_id, score) of the names that another object stands in for."""
+    return resolved.where("how = 'compatible'").drop("how")
+
+
+def traces(plans: DataFrame, steps: DataFrame, n: int = 10, group: Sequence[str] = ("query_id",)) -> DataFrame:
+    """(group, place, plan_id, score, trace): the n best plans of each group with their steps in order as one line of text.
+
+    plans: plan_id, score and the group's columns; steps: plan_id, step, action_id. Only the steps of the best plans are gathered.
+    """
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "plan_id"))
+    best = plans.withColumn("place", place).where(F.col("place") <= n).select(*group, "place", "plan_id", "score")
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "action_id"))), lambda x: F.concat(x["step"].cast("string"), F.lit(":"), x["action_id"])), " > ")
+    told = steps.join(best.select("plan_id"), "plan_id", "left_semi").groupBy("plan_id").agg(line.alias("trace"))
+    return best.join(told, "plan_id", "left").select(*group, "place", "plan_id", "score", "trace")
+
+
 def ranked(plans: DataFrame, threshold: float = 0.0) -> DataFrame:
     """plans with score, coverage and place. plans: verb_score, object_score, satisfaction, n_met, n_goals, n_actions, n_errors, has_seed."""
     ratio: Column = F.when(F.col("n_goals") > 0, F.col("n_met") / F.col("n_goals")).otherwise(1.0)

@@ -19,6 +19,19 @@ def token_occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("memory_id"), F.posexplode(raw_words(text_col)).alias("place", "token")).where(valid_row("token"))
 
 
+# The prefixes that the shipped index keeps.
+SHIPPED_PREFIXES = (
+    "attribute_value", "attribute", "value", "attribute_token", "value_token", "object_token", "action_token", "goal_token", "other_token", "fullpath", "attribute_expanded", "value_expanded", "object_expanded",
+    "action_expanded", "attribute_expanded_token", "value_expanded_token", "object_expanded_token", "action_expanded_token", "verb", "statechangesC_attribute", "statechangesC_value", "statechangesC_attribute_token",
+    "statechangesC_value_token", "statechangesC_attribute_expanded", "statechangesC_value_expanded", "statechangesC_attribute_expanded_token", "statechangesC_value_expanded_token",
+)
+
+
+def whitelisted(postings: DataFrame, prefixes: Sequence[str] | None = SHIPPED_PREFIXES) -> DataFrame:
+    """The postings whose prefix is allowed; None allows all, which is what the index is meant to hold."""
+    return postings if prefixes is None else postings.where(F.col("prefix").isin(*prefixes))
+
+
 def dedup(postings: DataFrame) -> DataFrame:
     """One posting of a term for each memory, source and type: the first."""
     first = Window.partitionBy("term", "memory_id", "src", "term_type").orderBy("seq")

@@ -103,3 +103,35 @@ def terms_of(queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
         out = with_aliases(out, aliases)
     out = out.where(~F.col("query_term").isin(*UNMATCHABLE)).groupBy("query_id", "query_term").agg(F.max("weight").alias("weight"))
     return out.withColumn("position", F.xxhash64("query_term"))
+
+
+def resolved_actions(queries: DataFrame, registry: DataFrame) -> DataFrame:
+    """(query_id, place, name, verb, is_target, participants, category, trajectory, source): each asked action, filled in.
+
+    registry: name, verb, category, trajectory, kind ('general' or 'alt'). A target action stays as it is asked; any other takes
+    what the registry knows of its name, the general entry before the alternative; a name that is nowhere stays bare.
+    """
+    a = queries.select("query_id", F.posexplode("actions").alias("place", "a")).select("query_id", "place", "a.*").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    known = registry.groupBy("name").agg(F.min_by(F.struct("verb", "category", "trajectory", "kind"), F.when(F.col("kind") == "general", 0).otherwise(1)).alias("r"))
+    met = a.join(known, "name", "left")
+    filled = ~F.col("is_target") & F.col("r").isNotNull()
+    take = lambda own, theirs: F.when(filled, F.col(theirs)).otherwise(F.col(own))
+    source = F.when(F.col("is_target"), "target").when(F.col("r").isNotNull(), F.col("r.kind")).otherwise("bare")
+    return met.select("query_id", "place", "name", take("verb", "r.verb").alias("verb"), "is_target", "participants", take("category", "r.category").alias("category"), take("trajectory", "r.trajectory").alias("trajectory"), source.alias("source"))
+
+
+def resolved_objects(queries: DataFrame) -> DataFrame:
+    """(query_id, place, obj_id, template, is_person, ...): the asked objects with an id, and persons told by their template."""
+    o = queries.select("query_id", F.posexplode("objects").alias("place", "o")).select("query_id", "place", "o.*")
+    return o.withColumn("obj_id", F.coalesce("obj_id", "template")).withColumn("is_person", F.coalesce("is_person", F.lit(False)) | F.coalesce(F.lower("template") == "person", F.lit(False)))
+
+
+def planning_data(queries: DataFrame, actions: DataFrame) -> DataFrame:
+    """(query_id, target_verbs, category, n_objects, initial, goals): what a planner needs of each query; actions: resolved_actions of it."""
+    targets = actions.where("is_target").groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("verb", "name").alias("verb")))), lambda x: x["verb"]).alias("target_verbs"),
+        F.min_by("category", F.when(F.col("category").isNotNull(), F.col("place"))).alias("category"),
+    )
+    split = lambda goal: F.filter("conditions", lambda c: F.coalesce(c["is_goal"], F.lit(False)) == F.lit(goal))
+    told = queries.select("query_id", F.size("objects").alias("n_objects"), split(False).alias("initial"), split(True).alias("goals"))
+    return told.join(targets, "query_id", "left").withColumn("target_verbs", F.coalesce("target_verbs", F.array().cast("array<string>")))

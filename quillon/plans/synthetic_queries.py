@@ -32,7 +32,7 @@ def memories_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.select(user.alias("memory_id"), F.lit("shopping").alias("activity"), F.lit(None).cast("string").alias("protagonist"), objects.alias("objects"), "actions", goals.alias("goals"))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> search.Index:
+def index_of(spark: SparkSession, sf_dir: str) -> search.Index:
     dictionary = spark.createDataFrame(ALIASES, "kind string, base string, alias string, rank int")
     return ingest.build_index(memories_of(spark, sf_dir), dictionary)
 
@@ -57,7 +57,7 @@ posted AS (
 round(count(DISTINCT user_id)::DOUBLE / (SELECT count(*) FROM u) * 100, 6) AS memory_percentage FROM posted GROUP BY term""")
 def memory_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingest of nested memories to postings: how often each term occurs, and in how many memories."""
-    return postings.shares(_index(spark, sf_dir).postings.select("term", "memory_id"))
+    return postings.shares(index_of(spark, sf_dir).postings.select("term", "memory_id"))
 
 
 #: Every match of TERMS by its rule, then the chain of settling. Terms whose share makes them unmatchable (attribute:last, action_token:purchase) add nothing.
@@ -89,7 +89,7 @@ SELECT 'u' || user_id AS memory_id, round(sum(score), 6) AS score, count(*) AS n
 def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ways of matching over an index of memories, settled and ranked."""
     terms = spark.createDataFrame([(t, k) for k, t in enumerate(TERMS)], "query_term string, position int")
-    return search.search(_index(spark, sf_dir), terms, top=None)
+    return search.search(index_of(spark, sf_dir), terms, top=None)
 
 
 _USERS_SQL = "SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events"
