@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -15,10 +16,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: What stands between two words.
+GAP = "[" + "".join(re.escape(c) for c in SEPARATORS) + r"\s]+"
+
+
+def raw_words(text: Column | str) -> Column:
+    """The pieces of a lower-case text between separators and white space, empty ones at the ends too."""
+    return F.split(F.lower(text), GAP)
+
+
 def words(text: Column | str) -> Column:
     """Lower-case words of a text, ended by separators or white space."""
-    spaced = F.translate(text, SEPARATORS, " " * len(SEPARATORS))
-    return F.filter(F.split(F.lower(F.trim(spaced)), r"\s+"), lambda w: w != "")
+    return F.filter(raw_words(text), lambda w: w != "")
 
 
 def among(word: Column, names: Iterable[str]) -> Column:
@@ -35,15 +44,10 @@ def tokens(text: Column | str) -> Column:
     return F.filter(words(text), valid_token)
 
 
-def raw_words(text: Column | str) -> Column:
-    """The pieces of a lower-case text between separators and white space, empty ones at the ends too."""
-    return F.split(F.lower(F.translate(text, SEPARATORS, " " * len(SEPARATORS))), r"\s+")
-
-
 def valid_row(word: str) -> Column:
     """valid_token for a column of single words: what is left out is held in a hash set."""
     word = F.col(word)
-    return (F.length(word) > 1) & ~word.isin(*sorted(STOP_WORDS | UNIT_WORDS)) & (F.translate(word, "0123456789", "") != "")
+    return (F.length(word) > 1) & ~word.isin(*sorted(STOP_WORDS | UNIT_WORDS)) & ~word.rlike("^[0-9]+$")
 
 
 def term_prefix(term: Column | str) -> Column:

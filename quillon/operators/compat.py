@@ -85,3 +85,8 @@ def substitutes(scored: DataFrame, query: str = "q_obj_id", candidate: str = "c_
 def participant_score(scored: DataFrame, action: str, query: str = "q_obj_id") -> DataFrame:
     """(action, score): the best participant for each query object, summed."""
     return scored.groupBy(action, query).agg(F.max("score").alias("best")).groupBy(action).agg(F.sum("best").alias("score"))
+
+
+def telling(categories: Column, generic: tuple[str, ...] = GENERIC_CATEGORIES) -> Column:
+    """Categories without those that are too general to tell anything."""
+    return F.filter(categories, lambda c: ~F.lower(c).isin(*generic))

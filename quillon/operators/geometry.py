@@ -306,3 +306,24 @@ def placement_order(specs: DataFrame, max_depth: int = 16) -> DataFrame:
         level = named.join(above, ["scene_id", "parent_object_id"]).select("scene_id", "obj_id", F.lit(depth).alias("depth"))
         out = out.unionByName(level)
     return named.select("scene_id", "obj_id").join(out, ["scene_id", "obj_id"], "left")
+
+
+def descendants(specs: DataFrame, max_depth: int = 16) -> DataFrame:
+    """(scene_id, obj_id, below, depth): each object with all that hang from it, children at depth 1. Cycles end at max_depth."""
+    step = specs.where("parent_object_id is not null").select("scene_id", F.col("parent_object_id").alias("obj_id"), F.col("obj_id").alias("below"))
+    level, out = step.withColumn("depth", F.lit(1)), step.withColumn("depth", F.lit(1))
+    for depth in range(2, max_depth):
+        down = step.select("scene_id", F.col("obj_id").alias("below"), F.col("below").alias("_next"))
+        level = level.join(down, ["scene_id", "below"]).select("scene_id", "obj_id", F.col("_next").alias("below"), F.lit(depth).alias("depth"))
+        out = out.unionByName(level)
+    return out
+
+
+def contacts_of(contacts: DataFrame, obj: str | Column) -> DataFrame:
+    """The contacts (a, b) that an object is in."""
+    return contacts.where((F.col("a") == obj) | (F.col("b") == obj))
+
+
+def in_contact(contacts: DataFrame, a: str | Column, b: str | Column) -> DataFrame:
+    """The contacts of two objects, either way round."""
+    return contacts.where(((F.col("a") == a) & (F.col("b") == b)) | ((F.col("a") == b) & (F.col("b") == a)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.embedding import Embedder, hashed_ngrams
-from quillon.functions.text import term_phrase, words
+from quillon.functions.text import numeric_string, term_phrase, valid_token, words
 from quillon.operators.similarity import similar_terms
 
 THRESHOLD = 0.8
@@ -63,3 +63,20 @@ def recent(postings: DataFrame, memories: DataFrame, n: int) -> DataFrame:
     """Postings of the n latest memories (memory_id, place): the index of a generation run."""
     latest = memories.orderBy(F.desc("place"), "memory_id").limit(n).select("memory_id")
     return postings.join(latest, "memory_id", "left_semi")
+
+
+# Attributes of the older index that are never taken apart.
+WHOLE_ATTRIBUTES = ("category", "materials", "functions", "shape", "position", "dimensions")
+
+
+def common_attributes(rows: DataFrame) -> DataFrame:
+    """(attribute, value) rows that the older index takes apart: no whole attributes, no stop or unit words, no numbers."""
+    return rows.where(~F.lower("attribute").isin(*WHOLE_ATTRIBUTES) & valid_token(F.lower("value")) & ~numeric_string("value"))
+
+
+def frequencies(postings: DataFrame) -> DataFrame:
+    """(item, kind, n) of the older index: whole terms, and the components of their paths without the values."""
+    terms = postings.select(F.col("term").alias("item"), F.lit("term").alias("kind"))
+    path = F.split(F.substring_index("phrase", "=", 1), r"\.")
+    parts = postings.where(F.col("phrase").contains("=")).select(F.explode(path).alias("item"), F.lit("component").alias("kind"))
+    return terms.unionByName(parts).groupBy("item", "kind").agg(F.count("*").alias("n"))

@@ -161,3 +161,30 @@ def readable(conditions: DataFrame) -> DataFrame:
 
 def duration_issue(own: Column) -> Column:
     return F.when(own.isNull(), "missing").when(own == 0, "zero").when(own < 0, "negative")
+
+
+def converted(actions: DataFrame, linked: DataFrame) -> DataFrame:
+    """Raw actions (instance_id, template, sub_names) as runtime ones: with the general action, the alternative and its verb, and a note where none is known."""
+    found = resolve_alts(actions, linked)
+    verbs = linked.select("general", "alt", "verb")
+    note = F.when(F.col("alt").isNull(), "unknown template").when(F.col("how") == 3, "first of several alternatives")
+    return found.join(verbs, ["general", "alt"], "left").select("instance_id", "template", "general", "alt", "verb", note.alias("note"))
+
+
+def added_templates(general: DataFrame, unknown: DataFrame) -> DataFrame:
+    """The general registry with an entry for each addable unknown template, its verb left open; unknown: missing_templates."""
+    new = unknown.where("addable").select(F.col("template").alias("general"), F.lit(None).cast("string").alias("verb"), F.array().cast("array<string>").alias("sub_actions"))
+    return general.select("general", "verb", "sub_actions").unionByName(new.join(general.select("general"), "general", "left_anti"))
+
+
+def preconversion_report(unknown: DataFrame, alias_issues: DataFrame) -> DataFrame:
+    """(part, item, n): what a conversion would trip over, missing templates and alias issues in one report."""
+    first = unknown.select(F.lit("missing template").alias("part"), F.col("template").alias("item"), F.col("n"))
+    second = alias_issues.groupBy(F.col("issue").alias("item")).agg(F.count("*").alias("n")).select(F.lit("alias issue").alias("part"), "item", "n")
+    return first.unionByName(second)
+
+
+def verb_diagnosis(asked: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(verb, n, known): how often each asked verb is in the index."""
+    counted = indexed.groupBy("verb").agg(F.count("*").alias("n"))
+    return asked.select("verb").distinct().join(counted, "verb", "left").select("verb", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("known"))

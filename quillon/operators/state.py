@@ -96,3 +96,14 @@ def first_of(df: DataFrame, name: str, *lookups: DataFrame) -> DataFrame:
     for k in reversed(range(len(lookups))):
         step = F.when(hits[k].isNotNull(), k).otherwise(step)
     return out.withColumn("found", F.coalesce(*hits, F.col(name))).withColumn("step", step).drop(*(f"_f{k}" for k in range(len(lookups))))
+
+
+def condition_pairs(effects: DataFrame, subgoals: DataFrame, object_score: Column, path_score: Column, value_score: Column) -> DataFrame:
+    """(subgoal_id, action_id, score, reason): an effect's score for a subgoal, and why it is what it is. Both sides share object.
+
+    The scores see the effect's columns and the subgoal's as g_path, g_op, g_value.
+    """
+    pairs = effects.join(F.broadcast(subgoals.withColumnsRenamed({"path": "g_path", "op": "g_op", "value": "g_value"})), "object")  # the asked subgoals
+    score = object_score * path_score * F.when(value_score > 0, value_score).otherwise(0.2)
+    reason = F.when(path_score == 0, "another path").when(value_score == 0, "another value").when(object_score < 1, "a like object").when(value_score < 1, "a near value").otherwise("equal")
+    return pairs.select("subgoal_id", "action_id", F.when(path_score > 0, score).otherwise(0.0).alias("score"), reason.alias("reason"))

@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions import text
+from quillon.functions import scoring, text
 from quillon.functions import vocabulary as V
-from quillon.operators import compat, geometry, legacy, maps, postings, quality, querygen, templates
+from quillon.operators import aliases, compat, geometry, legacy, maps, postings, quality, querygen, state, templates
 from quillon.plans.registry import query
 from quillon.plans.planning_queries import asked_queries
-from quillon.plans.synthetic_queries import index_of, scenes_of
+from quillon.plans.synthetic_queries import index_of, scenes_of, spec_rows
 from quillon.session import table
 
 
@@ -261,9 +261,9 @@ def object_substitutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def template_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names to templates: by the name in another spelling, or by an alias."""
     known = table(spark, sf_dir, "part").select(F.col("p_name").alias("template")).distinct()
-    aliases = known.where("template < 'g'").select(F.concat(F.lit("The  "), "template", F.lit("-thing")).alias("alias"), F.col("template").alias("base"))
+    said = known.where("template < 'g'").select(F.concat(F.lit("The  "), "template", F.lit("-thing")).alias("alias"), F.col("template").alias("base"))
     names = known.select(F.upper(F.translate("template", " ", "_")).alias("name")).unionByName(known.where("template < 'g'").select(F.concat(F.lit("the "), "template", F.lit(" thing")).alias("name")))
-    return templates.resolve(names, known, aliases)
+    return templates.resolve(names, known, said)
 
 
 @query(f"""SELECT unnest([{", ".join(f"'{c}'" for c in sorted(V.STRUCTURAL_COMPONENTS | {"mood", "last"}))}]) AS component""")
@@ -292,3 +292,81 @@ def scene_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("scene_id").cast("long")
     broken = F.when(number % 5 == 0, F.regexp_replace("scene", '"sphere","parameters":\\{"radius_cm":[0-9.]+', '"sphere","parameters":{"radius_cm":0')).when(number % 5 == 1, F.regexp_replace("scene", '"element_type":"box"', '"element_type":"blob"')).otherwise(F.col("scene"))
     return geometry.validate(scenes.withColumn("scene", broken))
+
+
+@query(f"""WITH {LINKED_SQL}, {INSTANCES_SQL}, n AS (SELECT general, count(*) AS n FROM l GROUP BY 1),
+h AS (SELECT instance_id, l.general, alt, verb, 0 AS how FROM i JOIN l ON alt = template UNION ALL SELECT instance_id, l.general, alt, verb, CASE WHEN n = 1 THEN 1 WHEN i.subs = l.subs THEN 2 ELSE 3 END FROM i JOIN l ON l.general = template JOIN n ON n.general = l.general),
+b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY how, alt) = 1)
+SELECT i.instance_id, template, general, alt, verb, CASE WHEN alt IS NULL THEN 'unknown template' WHEN how = 3 THEN 'first of several alternatives' END AS note FROM i LEFT JOIN b ON b.instance_id = i.instance_id""")
+def converted_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw actions as runtime ones."""
+    return quality.converted(_instances(spark, sf_dir), _linked(spark, sf_dir))
+
+
+@query(f"""WITH {LINKED_SQL}, {INSTANCES_SQL} SELECT general FROM g UNION ALL SELECT template FROM i WHERE template NOT IN (SELECT general FROM l UNION SELECT alt FROM l) GROUP BY template HAVING count(*) = 1 OR bool_and(len(subs) = 0)""")
+def added_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry with what may be added to it."""
+    return quality.added_templates(_general(spark, sf_dir), quality.missing_templates(_instances(spark, sf_dir), _linked(spark, sf_dir))).select("general")
+
+
+@query(f"""WITH {LINKED_SQL}, {INSTANCES_SQL} SELECT 'missing template' AS part, template AS item, count(*) AS n FROM i WHERE template NOT IN (SELECT general FROM l UNION SELECT alt FROM l) GROUP BY template UNION ALL SELECT 'alias issue', 'empty', count(*) FROM part WHERE p_partkey % 7 = 0 HAVING count(*) > 0""")
+def preconversion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing templates and alias issues in one report; each part has an alias of its own, or an empty one."""
+    k = F.col("p_partkey")
+    objects = table(spark, sf_dir, "part").select(F.col("p_brand").alias("memory_id"), _text("p", k).alias("obj_id"), F.col("p_type").alias("template"), F.array(F.when(k % 7 == 0, " ").otherwise(_text("a", k))).alias("aliases"))
+    return quality.preconversion_report(quality.missing_templates(_instances(spark, sf_dir), _linked(spark, sf_dir)), aliases.issues(objects))
+
+
+@query("SELECT v AS verb, (SELECT count(*) FROM events WHERE event_type = v) AS n, v IN (SELECT event_type FROM events) AS known FROM (VALUES ('click'), ('view'), ('buy')) t(v)")
+def verb_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verb_diagnosis(spark.createDataFrame([("click",), ("view",), ("buy",), ("view",)], "verb string"), table(spark, sf_dir, "events").select(F.col("event_type").alias("verb")))
+
+
+@query("""WITH s AS (SELECT p_partkey // 8 AS scene_id, p_partkey AS k FROM part), p AS (SELECT scene_id, k, k - 2 AS up FROM s WHERE k % 8 > 4)
+SELECT scene_id, CAST(up AS VARCHAR) AS obj_id, CAST(k AS VARCHAR) AS below, 1 AS depth FROM p UNION ALL SELECT a.scene_id, CAST(b.up AS VARCHAR), CAST(a.k AS VARCHAR), 2 FROM p a JOIN p b ON a.up = b.k""")
+def scene_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each object with all that hang from it."""
+    return geometry.descendants(spec_rows(spark, sf_dir), 4)
+
+
+@query("""SELECT p_partkey, list_filter([p_type, 'Person', p_brand, 'object'], lambda c: lower(c) NOT IN ('person', 'object')) AS categories FROM part""")
+def telling_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", compat.telling(F.array(F.col("p_type"), F.lit("Person"), F.col("p_brand"), F.lit("object"))).alias("categories"))
+
+
+@query("""SELECT p_partkey AS id, p_type AS value FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 4 <> 1 AND p_type <> 'MEDIUM'""")
+def common_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the older index takes apart: neither whole attributes nor numbers or stop words."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 4 == 1, "Shape").otherwise("finish").alias("attribute"), F.when(k % 3 == 0, F.col("p_type")).when(k % 3 == 1, "12.5").otherwise("none").alias("value"))
+    return legacy.common_attributes(rows).select("id", "value")
+
+
+@query("""SELECT item, kind, count(*) AS n FROM (SELECT 'x:' || p AS item, 'term' AS kind FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'dims.size=' || p_size ELSE p_type END AS p FROM part) UNION ALL SELECT unnest(['dims', 'size']), 'component' FROM part WHERE p_partkey % 2 = 0) GROUP BY ALL""")
+def legacy_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrase = F.when(F.col("p_partkey") % 2 == 0, _text("dims.size=", F.col("p_size"))).otherwise(F.col("p_type"))
+    return legacy.frequencies(table(spark, sf_dir, "part").select(F.concat(F.lit("x:"), phrase).alias("term"), phrase.alias("phrase")))
+
+
+@query("""WITH i AS (SELECT DISTINCT 'size:dims.size=' || p_size AS term, 'dims.size=' || p_size AS phrase, p_brand AS memory_id FROM part UNION ALL SELECT DISTINCT 'type:' || p_name, p_name, p_brand FROM part),
+q(t, w) AS (VALUES ('size:dims.size=7', 2.0), ('other:dims.size=9', 3.0), ('type:no such name', 1.0))
+SELECT t AS query_term, term, memory_id, CASE WHEN t = term THEN 'exact' ELSE 'value_pair' END AS stage, w::DOUBLE AS score FROM q JOIN i ON t = term OR t LIKE 'other:%' AND phrase = 'dims.size=9'""")
+def legacy_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older cascade: the equal term, else the equal path and value; what nothing is near to finds nothing."""
+    part = table(spark, sf_dir, "part")
+    size = part.select(_text("size:dims.size=", F.col("p_size")).alias("term"), _text("dims.size=", F.col("p_size")).alias("phrase"), F.col("p_brand").alias("memory_id"))
+    name = part.select(_text("type:", F.col("p_name")).alias("term"), F.col("p_name").alias("phrase"), F.col("p_brand").alias("memory_id"))
+    terms = spark.createDataFrame([("size:dims.size=7", 2.0), ("other:dims.size=9", 3.0), ("type:no such name", 1.0)], "query_term string, weight double")
+    return legacy.cascade(size.unionByName(name), terms).select("query_term", "term", "memory_id", "stage", "score")
+
+
+@query("""WITH w(sid, obj, path, value) AS (VALUES ('g1', 0, 'view', 50.0), ('g2', 1, 'click', 10.0)), e AS (SELECT event_id, user_id % 2 AS obj, event_type AS path, value FROM events)
+SELECT sid AS subgoal_id, event_id AS action_id, CASE WHEN e.path <> w.path THEN 0.0::DOUBLE WHEN abs(w.value - e.value) <= 0.3::DOUBLE * abs(e.value) THEN 0.7::DOUBLE ELSE 0.2::DOUBLE END AS score,
+  CASE WHEN e.path <> w.path THEN 'another path' WHEN abs(w.value - e.value) <= 0.3::DOUBLE * abs(e.value) THEN 'a near value' ELSE 'another value' END AS reason FROM e JOIN w USING (obj) WHERE e.value <> w.value""")
+def condition_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each event's effect serves a subgoal, and why."""
+    text_of = lambda c: F.col(c).cast("string")
+    effects = table(spark, sf_dir, "events").where("value not in (50.0, 10.0) or not (user_id % 2 = 0 and value = 50.0 or user_id % 2 = 1 and value = 10.0)").select(F.col("event_id").alias("action_id"), _text("o", F.col("user_id") % 2).alias("object"), F.col("event_type").alias("path"), text_of("value").alias("value"))
+    goals = spark.createDataFrame([("g1", "o0", "view", "eq", "50.0"), ("g2", "o1", "click", "eq", "10.0")], "subgoal_id string, object string, path string, op string, value string")
+    same = F.when(F.col("path") == F.col("g_path"), 1.0).otherwise(0.0)
+    return state.condition_pairs(effects, goals, F.lit(1.0), same, scoring.value_match(F.col("g_value"), F.col("value")))

@@ -12,7 +12,7 @@ from quillon.functions import vocabulary as V
 from quillon.operators import aliases, flatten, postings, ranking, search, templates
 from quillon.operators.similarity import close_pairs
 from quillon.plans.registry import query
-from quillon.session import cut, table
+from quillon.session import cut, spread, table
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(V.STOP_WORDS | V.UNIT_WORDS))
 _SEPS = V.SEPARATORS.replace("'", "''")
@@ -34,8 +34,12 @@ freq AS (
 GATE_SQL = "CASE WHEN occurrence_percentage / 100 >= 0.003::DOUBLE THEN 'unmatchable' WHEN occurrence_percentage / 100 > 0.0003::DOUBLE AND occurrence_percentage / 100 <= 0.0007::DOUBLE THEN 'one_match' ELSE 'diminishing' END"
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.token_occurrences(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return postings.token_occurrences(_texts(spark, sf_dir), "doc_id", "text")
 
 
 @query(f"WITH {TOKENS_SQL} SELECT memory_id, token, count(*) AS occurrences FROM tok GROUP BY ALL")
@@ -65,7 +69,7 @@ scored AS (SELECT *, 0.3::DOUBLE * CASE n WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.
 SELECT memory_id, round(sum(score), 6) AS score, count(*) AS n_matches FROM scored GROUP BY memory_id ORDER BY score DESC, memory_id LIMIT 10""")
 def exact_token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents ranked by query tokens: gated by frequency, diminishing within a document, summed; the ten best."""
-    counted = cut(postings.asked_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", SEARCHED))
+    counted = cut(postings.asked_tokens(_texts(spark, sf_dir), "doc_id", "text", SEARCHED))
     term = lambda c: F.concat(F.lit("object_token:"), c)
     hits = counted.where("token is not null").select("memory_id", "token", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("place")).select(
         term(F.col("token")).alias("term"), F.lit("object_token").alias("prefix"), F.col("token").alias("phrase"), "memory_id", F.col("place").cast("string").alias("src"),

@@ -189,7 +189,7 @@ def scene_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _spec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(F.floor(k / 8).cast("long").alias("scene_id"), k.cast("string").alias("obj_id"), F.col("p_type").alias("template"), F.when(k % 8 > 4, (k - 2).cast("string")).alias("parent_object_id"), (k % 8).cast("int").alias("place"))
 
@@ -203,13 +203,13 @@ SELECT sp.scene_id, sp.obj_id, coalesce(parent_object_id, owner) AS parent_objec
 def composite_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects without a parent hung from an object of their scene that is composed of such."""
     composites = spark.createDataFrame([("ECONOMY", "SMALL"), ("LARGE", "PROMO"), ("LARGE", "SMALL")], "template string, child_template string")
-    return geometry.linked_composites(_spec_rows(spark, sf_dir), composites).select("scene_id", "obj_id", "parent_object_id")
+    return geometry.linked_composites(spec_rows(spark, sf_dir), composites).select("scene_id", "obj_id", "parent_object_id")
 
 
 @query(f"""WITH RECURSIVE sp AS (SELECT a.* REPLACE (CASE WHEN b.obj_id IS NOT NULL THEN a.parent_object_id END AS parent_object_id) FROM ({_SPECS_SQL}) a LEFT JOIN ({_SPECS_SQL}) b ON a.scene_id = b.scene_id AND a.parent_object_id = b.obj_id),
 t AS (SELECT scene_id, obj_id, 0 AS depth FROM sp WHERE parent_object_id IS NULL UNION ALL SELECT sp.scene_id, sp.obj_id, depth + 1 FROM sp JOIN t ON sp.parent_object_id = t.obj_id AND sp.scene_id = t.scene_id) SELECT scene_id, obj_id, depth FROM t""")
 def placement_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.placement_order(_spec_rows(spark, sf_dir), 8)
+    return geometry.placement_order(spec_rows(spark, sf_dir), 8)
 
 
 _TEMPLATE_SQL = "(VALUES ('ECONOMY', 'sphere', 4.0), ('LARGE', 'cylinder', 3.0), ('PROMO', 'capsule', 2.0), ('SMALL', 'torus', 1.5)) t(template, kind, r)"
@@ -220,7 +220,7 @@ def built_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects with their template's elements, a box where it has none, and the length that stands for their size."""
     rows = spark.createDataFrame([("ECONOMY", "sphere", 4.0), ("LARGE", "cylinder", 3.0), ("PROMO", "capsule", 2.0), ("SMALL", "torus", 1.5)], "template string, kind string, r double")
     element = F.struct(F.col("kind").alias("element_type"), F.create_map(F.lit("radius_cm"), F.col("r"), F.lit("height_cm"), F.lit(10.0)).alias("parameters"))
-    made = geometry.built(_spec_rows(spark, sf_dir), rows.select("template", F.array(element).alias("elements")))
+    made = geometry.built(spec_rows(spark, sf_dir), rows.select("template", F.array(element).alias("elements")))
     return made.select("scene_id", "obj_id", "is_placeholder", geometry.largest_dimension(F.col("elements")).alias("length_cm"))
 
 

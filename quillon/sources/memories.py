@@ -133,3 +133,61 @@ def pretty(column: Column) -> Column:
     return F.to_json(F.try_parse_json(column), {"pretty": "true"})
 
 
+
+
+def append_lines(df: DataFrame, path: str, separator: str | None = "---") -> None:
+    """Rows as JSON text lines added to a folder, each followed by a blank line and the separator, as read_jsonl reads them."""
+    line = F.to_json(F.struct(*df.columns))
+    df.select((line if separator is None else F.concat(line, F.lit(f"\n\n{separator}"))).alias("value")).write.mode("append").text(path)
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def list_vectors(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the stored groups."""
+    system, path = _files(spark, folder)
+    if not system.exists(path):
+        return []
+    return sorted(s.getPath().getName().removeprefix("group=") for s in system.listStatus(path) if s.getPath().getName().startswith("group="))
+
+
+def has_vectors(spark: SparkSession, folder: str, group: str) -> bool:
+    return group in list_vectors(spark, folder)
+
+
+def clear_vectors(spark: SparkSession, folder: str, group: str | None = None) -> None:
+    """Removes one stored group, or all of them."""
+    for name in list_vectors(spark, folder) if group is None else [group]:
+        system, path = _files(spark, f"{folder}/group={name}")
+        system.delete(path, True)
+
+
+def read_scenes(spark: SparkSession, path: str) -> DataFrame:
+    """(scene_id, scene) of whole files in the scene format; the id is that of the assembly, else the file's name."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("scene"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).where(F.try_parse_json("scene").isNotNull())
+    inner = F.coalesce(F.get_json_object("scene", "$.3d_assembly.assembly_id"), F.get_json_object("scene", "$.assembly_id"), F.regexp_replace("file", r"\.(3dassembly\.)?json$", ""))
+    return whole.select(inner.alias("scene_id"), "scene")
+
+
+def write_scenes(scenes: DataFrame, path: str) -> None:
+    """Scenes as lines in the scene format, each in its envelope."""
+    from quillon.operators.geometry import unwrapped, wrapped
+
+    @F.udf("string")
+    def told(text: str) -> str:
+        return wrapped(unwrapped(text))
+
+    scenes.select(told("scene").alias("value")).write.mode("overwrite").text(path)
+
+
+def stored_elements(stored: DataFrame, changed: DataFrame, overwrite: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The element registry (template, elements) with sound changes taken in, and the changes that are refused: those without elements."""
+    empty = F.coalesce(F.size("elements") < 1, F.lit(True)) | F.col("template").isNull()
+    return upsert(stored, changed.where(~empty), "template", overwrite), changed.where(empty)
+
+
+def without_elements(stored: DataFrame, templates: DataFrame) -> DataFrame:
+    return stored.join(templates.select("template").distinct(), "template", "left_anti")

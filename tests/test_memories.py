@@ -153,3 +153,35 @@ def test_quality_jobs(spark, rows):
     goals = spark.createDataFrame([("m", "g1", "o", "integrity", "eq", "sliced"), ("m", "g2", "o", "x", "eq", "y")], "memory_id string, goal_id string, object string, path string, op string, value string")
     paths = spark.createDataFrame([("m", "o", "form.integrity", "sliced", "new"), ("m", "o", "form.integrity", "whole", "old")], "memory_id string, object string, path string, value string, source string")
     assert {r.goal_id: r.supported for r in quality.goal_support(goals, paths).collect()} == {"g1": True, "g2": False}
+
+
+def test_sinks_and_stores(spark, tmp_path):
+    rows = spark.createDataFrame([("m1", "a"), ("m2", "b")], "id string, activity string")
+    for _ in range(2):
+        sources.append_lines(rows, f"{tmp_path}/lines")
+    assert sorted(json.loads(r.raw)["id"] for r in sources.read_jsonl(spark, f"{tmp_path}/lines").collect()) == ["m1", "m1", "m2", "m2"]
+    vectors = spark.createDataFrame([("x", [1.0])], "term string, vec array<double>")
+    for group in ("names", "values"):
+        sources.save_vectors(vectors, f"{tmp_path}/vectors", group)
+    assert sources.list_vectors(spark, f"{tmp_path}/vectors") == ["names", "values"] and sources.has_vectors(spark, f"{tmp_path}/vectors", "names")
+    sources.clear_vectors(spark, f"{tmp_path}/vectors", "names")
+    assert sources.list_vectors(spark, f"{tmp_path}/vectors") == ["values"]
+    sources.clear_vectors(spark, f"{tmp_path}/vectors")
+    assert sources.list_vectors(spark, f"{tmp_path}/vectors") == [] == sources.list_vectors(spark, f"{tmp_path}/none")
+    box = [{"element_type": "box", "parameters": {"size_x_cm": 1.0}}]
+    kind = "template string, elements array<struct<element_type:string,parameters:map<string,double>>>"
+    kept, refused = sources.stored_elements(spark.createDataFrame([("a", box), ("b", box)], kind), spark.createDataFrame([("b", box * 2), ("c", []), (None, box)], kind))
+    assert {r.template: len(r.elements) for r in kept.collect()} == {"a": 1, "b": 2} and refused.count() == 2
+    assert [r.template for r in sources.without_elements(kept, spark.createDataFrame([("b",)], "template string")).collect()] == ["a"]
+    (tmp_path / "s.3dassembly.json").write_text(json.dumps({"3d_assembly": {"assembly_id": "x1", "objects": [{"object_id": "o", "template_name": "t", "object_transform": {"translate": [1, 0, 0]}, "elements": []}]}}))
+    scenes = sources.read_scenes(spark, f"{tmp_path}/s.3dassembly.json")
+    assert scenes.first().scene_id == "x1"
+    sources.write_scenes(scenes, f"{tmp_path}/scenes")
+    back = json.loads(spark.read.text(f"{tmp_path}/scenes").first().value)["3d_assembly"]["objects"][0]
+    assert back["template_name"] == "t" and back["object_transform"]["translate"] == [1, 0, 0]
+
+
+def test_shipped_index_drops_prefixes(spark, rows):
+    dictionary = spark.createDataFrame([], "kind string, base string, alias string, rank int")
+    kept = {r.prefix for r in ingest.build_index(rows, dictionary, as_shipped=True).postings.select("prefix").distinct().collect()}
+    assert "value" in kept and "object_token" in kept and not kept & {"object", "action", "category", "material"}

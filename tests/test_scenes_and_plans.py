@@ -201,3 +201,24 @@ def test_close_pairs_are_exact(spark):
         found = [(r.left, r.right) for r in similarity.close_pairs(rows, 0.9, rows_in_block=size).collect()]
         assert len(found) == len(set(found)) and set(found) == want
     assert similarity.close_pairs(rows.limit(0), 0.9).count() == 0
+
+
+def test_contacts(spark):
+    rows = spark.createDataFrame([("x", "y"), ("y", "z"), ("z", "x")], "a string, b string")
+    assert geometry.contacts_of(rows, "x").count() == 2 and geometry.in_contact(rows, "z", "y").count() == 1 and geometry.in_contact(rows, "x", "x").count() == 0
+
+
+def test_seed_plans_back_out_of_dead_ends(spark):
+    rows = [
+        ("m", "seed", "precondition", "o", "p", "eq", "2"), ("m", "a", "new", "o", "p", "eq", "2"), ("m", "a", "precondition", "o", "p", "eq", "9"), ("m", "b", "new", "o", "p", "eq", "2"), ("m", "b", "old", "o", "p", "eq", "1"),
+        ("m", "free", "new", "o", "x", "eq", "1"), ("m", "lost", "precondition", "o", "p", "eq", "9"), ("far", "c", "new", "o", "p", "eq", "9"),
+    ]
+    conditions = spark.createDataFrame(rows, "memory_id string, action_id string, state_type string, object string, path string, op string, value string")
+    chosen = spark.createDataFrame([("q", "all", a) for a in ("seed", "free", "lost")], "query_id string, stage string, action_id string")
+    initial = spark.createDataFrame([("q", "o", "p", "1")], "query_id string, object string, path string, value string")
+    allowed = spark.createDataFrame([("q", "all", "m")], "query_id string, stage string, memory_id string")
+    found = planning.seed_plans(chosen, allowed, conditions, initial)
+    plans = {}
+    for r in sorted(found.collect(), key=lambda r: (r.seed, r.step)):
+        plans.setdefault(r.seed, []).append(r.action_id)
+    assert plans == {"seed": ["b", "seed"], "free": ["free"]}  # a leads nowhere, b's old state holds; what lost needs only a memory that is not allowed gives
