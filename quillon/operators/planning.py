@@ -224,6 +224,7 @@ def seed_plans(chosen: DataFrame, allowed: DataFrame, conditions: DataFrame, ini
     query_id, object, path, value. Only actions of allowed memories serve, the n least of each subgoal. The subgoals behind
     subgoals are followed for so many rounds; seeds whose chain does not close have no plan.
     """
+    chosen, allowed, conditions, initial = (cut(df) for df in (chosen.select("query_id", "stage", "action_id"), allowed, conditions, initial))  # read again in every round
     effects = conditions.where("state_type = 'new'").select("memory_id", "action_id", subgoal().alias("subgoal_id")).distinct()
     needs = conditions.where(F.col("state_type").isin("precondition", "old")).select("action_id", "object", "path", "op", "value").distinct()
     goals = cut(seed_subgoals(chosen, conditions, initial).withColumn("subgoal_id", subgoal()))

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from quillon.functions import vocabulary as V
 from quillon.functions.embedding import Embedder, hashed_ngrams
 from quillon.functions.scoring import core_match, goal_factor, name_factor, position_score, type_multiplier
-from quillon.functions.text import term_phrase, term_prefix
+from quillon.functions.text import let, term_phrase, term_prefix
 from quillon.functions.units import in_base_unit, number_of, quantity_of, unit_of
 from quillon.operators import postings as P
 from quillon.operators import ranking
@@ -171,27 +171,30 @@ QUERY_PATH = "struct<path:array<string>,op:string,value:string,items:array<strin
 def fullpath_matches(ix: Index, queries: DataFrame) -> DataFrame:
     """Full paths with values: a JSON query against the entries that share, or alias to, a component with it.
 
-    A score above zero needs one common component at least, so the join on components loses nothing; the pairs
-    that it finds are made distinct before they are scored.
+    A score above zero needs one common component at least, so the join on components loses nothing, and each pair
+    is met once.
     """
     asked = queries.where("prefix = 'fullpath'").select("query_term", "goal_query", F.from_json("phrase", QUERY_PATH).alias("q")).where("q is not null")
     component_aliases = ix.aliases.where("kind = 'attribute_component_aliases'")
     both_ways = component_aliases.select(F.col("base").alias("c"), F.col("alias").alias("other")).unionByName(component_aliases.select(F.col("alias").alias("c"), F.col("base").alias("other")))
     own = asked.select("query_term", F.explode("q.path").alias("c"))
-    reach = F.broadcast(own.unionByName(own.join(both_ways, "c").select("query_term", F.col("other").alias("c"))).distinct())
-    near = ix.fullpath.select("seq", F.explode(F.array_distinct("path")).alias("c")).join(reach, "c").select("seq", "query_term").distinct()
-    pairs = ix.fullpath.join(near, "seq").join(F.broadcast(asked), "query_term")
+    reach = own.unionByName(own.join(both_ways, "c").select("query_term", F.col("other").alias("c"))).groupBy("query_term").agg(F.collect_set("c").alias("reach"))
+    met = F.broadcast(reach.join(asked, "query_term").withColumn("c", F.explode("reach")))  # the stated queries, by each component that they reach
+    # an entry meets a query through several components; the first of its path that the query reaches stands for all
+    near = ix.fullpath.withColumn("c", F.explode(F.array_distinct("path"))).join(met, "c")
+    pairs = near.where(F.element_at(F.filter("path", lambda x: F.array_contains("reach", x)), 1) == F.col("c")).drop("c", "reach")
     names = {"attribute_component_aliases": F.col("q.path"), "value_aliases": F.concat(F.array("q.value"), F.coalesce("q.items", F.array().cast("array<string>"))), "object_aliases": F.array("q.object"), "action_aliases": F.array("q.action")}
     for kind, held in names.items():
         pairs = pairs.crossJoin(F.broadcast(_alias_map(ix, kind, asked, held)))  # one row each, of the asked names
     pairs = pairs.crossJoin(F.broadcast(ix.banned.agg(F.collect_set("component").alias("banned"))))  # fixed ones, and those of a share that 333 terms can have at most
     core = core_match(F.col("q.path"), F.coalesce("q.op", F.lit("eq")), F.col("q.value"), F.col("path"), F.coalesce("op", F.lit("eq")), F.col("value"), F.col("banned"), F.col("attribute_component_aliases"), None, F.col("value_aliases"), None, F.col("q.items"), F.col("items"))
-    scored = pairs.withColumn("core", core).withColumn("o", name_factor(F.col("q.object"), F.col("object"), F.col("object_aliases"))).withColumn("a", name_factor(F.col("q.action"), F.col("action"), F.col("action_aliases")))
-    score = F.lit(V.CORE_SCORE) * F.col("core.score") * F.col("o") * F.col("a") * goal_factor(F.coalesce(F.col("q.source_type") == "goalstate", F.lit(False)) | F.col("goal_query"), F.col("is_goal"))
-    by_alias = F.col("core.alias") | F.col("o").isin(1.8, 1.44) | F.col("a").isin(1.8, 1.44)
+    factors = F.struct(core.alias("core"), name_factor(F.col("q.object"), F.col("object"), F.col("object_aliases")).alias("o"), name_factor(F.col("q.action"), F.col("action"), F.col("action_aliases")).alias("a"))
+    goal = goal_factor(F.coalesce(F.col("q.source_type") == "goalstate", F.lit(False)) | F.col("goal_query"), F.col("is_goal"))
+    told = let(factors, lambda f: F.struct((F.lit(V.CORE_SCORE) * f["core"]["score"] * f["o"] * f["a"] * goal).alias("score"), (f["core"]["alias"] | f["o"].isin(1.8, 1.44) | f["a"].isin(1.8, 1.44)).alias("alias_used")))
+    scored = pairs.withColumn("m", F.explode(F.filter(F.array(told), lambda m: m["score"] > 0)))  # worked out once, not again for the filter
     matched = F.concat(F.lit("fullpath:"), F.to_json(F.struct("action", "object", "path", "op", "value", "items", "state_type")))
-    scored = scored.withColumn("matched", matched).withColumn("alias_used", by_alias).withColumn("term_type", F.lit("attribute")).withColumn("similarity", F.lit(None).cast("double"))
-    return _contributions(scored, score, F.lit("fullpath"), F.col("object")).where("score > 0")
+    scored = scored.withColumn("matched", matched).withColumn("alias_used", F.col("m.alias_used")).withColumn("term_type", F.lit("attribute")).withColumn("similarity", F.lit(None).cast("double"))
+    return _contributions(scored, F.col("m.score"), F.lit("fullpath"), F.col("object"))
 
 
 def measurement_matches(ix: Index, terms: DataFrame) -> DataFrame:

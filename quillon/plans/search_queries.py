@@ -171,7 +171,7 @@ s AS (SELECT *, CASE WHEN q_value = value THEN 1.0::DOUBLE WHEN TRY_CAST(q_value
 SELECT qid, p_partkey, path, round(2.0::DOUBLE * p * CASE WHEN v > 0 THEN v ELSE 0.2::DOUBLE END * CASE WHEN q_op = 'eq' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END * CASE WHEN q_object = object THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM s WHERE p > 0""")
 def fullpath_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stated path queries against every (object, path, value) of all parts; candidates share a path component."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size"))
     entry = lambda path, value: F.struct(F.array(*(F.lit(p) for p in path)).alias("path"), value.cast("string").alias("value"))
     none = F.lit(None).cast("string")
     entries = part.select("p_partkey", "p_brand", F.posexplode(F.array(entry(["dims", "size"], F.col("p_size")), entry(["make", "brand"], F.col("p_brand")), entry(["kind"], F.col("p_type")))).alias("k", "e"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import compat, state, timeline
 from quillon.plans.registry import query
-from quillon.session import table
+from quillon.session import spread, table
 
 _TRANSITIONS_SQL = "SELECT event_id, user_id, event_type AS new, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events"
 
@@ -107,7 +107,7 @@ def object_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.create_map(F.lit("size"), text("size"), F.lit("made"), F.lit("yes"), F.lit("other"), F.lit("1")).alias("q_attributes"),
     )
     key = F.col("p_partkey")
-    parts = table(spark, sf_dir, "part").select(
+    parts = spread(table(spark, sf_dir, "part")).select(
         key.alias("p_partkey"), F.concat(F.lit("p"), text("p_partkey")).alias("c_obj_id"), F.concat(F.lit("p"), text("p_partkey")).alias("c_template"), F.array(kind(F.col("p_type"))).alias("c_categories"), F.array(F.when(key % 3 == 0, "hold").otherwise("cut")).alias("c_functions"),
         F.array("p_brand").alias("c_materials"), F.when(key % 2 == 0, "round").otherwise("flat").alias("c_shape"), text("p_size").alias("c_length"), text("p_retailprice").alias("c_width"), text(key % 20).alias("c_height_thickness"),
         F.lit("over").alias("c_relation"), F.lit("near").alias("c_relationr"), F.array("p_brand").alias("c_relative_to"), F.create_map(F.lit("size"), F.concat(text("p_size"), F.lit("")), F.lit("made"), F.lit("yes"), F.lit("third"), F.lit("1")).alias("c_attributes"),
