@@ -151,3 +151,20 @@ def test_chain_feeds_earlier_probabilities():
     p = chain.predict(np.stack([chain.features(t) for t in texts[:4]]))
     assert (np.round(p[:, 0]) == first[:4]).all() and p[0, 1] > p[1:, 1].max()
     assert len(chain.models[1]) == len(chain.models[0]) + 1
+
+
+def test_chain_against_loops():
+    docs, labels = corpus(200, 7)
+    rows = [(d[1], t) for d, (_, _, t) in zip(docs, labels, strict=True)]
+    chain = toxicity.fit(rows)
+    names = list(chain.vocabulary)
+    for text, _ in rows[:12]:
+        words = [w for w in __import__("re").findall(r"[^\W\d_]+", text.lower())]
+        x = []
+        for measure in ("held", "rate"):
+            for name in names:
+                n = sum(w == name or (name.endswith("-") and len(w) > len(name) - 1 and w.startswith(name[:-1])) for w in words)
+                x.append(float(n > 0) if measure == "held" else np.log1p(100 * n / max(len(words), 1)))
+        for model in chain.models:
+            x.append(1 / (1 + np.exp(-(sum(a * b for a, b in zip(x, model[:-1], strict=True)) + model[-1]))))
+        assert np.allclose(chain.predict(np.stack([chain.features(text)]))[0], x[-len(chain.models) :], atol=1e-4)

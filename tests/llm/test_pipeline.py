@@ -1,11 +1,16 @@
 """The pipeline's stages on a small corpus: each works on all of what came before, and its decisions take effect."""
 
+from collections import Counter, defaultdict
+
 import corpus_pipeline
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from quillon.llm import mixing, secrets, simhash
+from quillon.llm import mixing, packing, quality_cnn, secrets, simhash
 from tests.llm.test_classifiers import LABELS, corpus
+from tests.llm.test_secrets import ASSIGN, plain
 
 
 @pytest.fixture(scope="module")
@@ -30,15 +35,37 @@ def test_stages(spark, folder, tmp_path):
         assert df.columns == docs.columns
     rated, single, masked, mixed, packed = seen[1:]
     assert 0 < rated.count() < docs.count()
+    verdicts = quality_cnn.classify(docs, spark.read.parquet(f"{folder}/labels.parquet")).where("predicted = 1")
+    assert Counter(r.doc_id for r in rated.collect()) == Counter(r.doc_id for r in verdicts.collect())
     classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(rated).collect()}
     assert sorted(r.doc_id for r in single.collect()) == sorted(set(classes.values()))
     assert masked.count() == single.count()
+    held = {r.doc_id: r for r in single.collect()}
+    value = lambda text, f: text[f[0] : f[2]] if f[1] else ASSIGN.match(text, f[0])[2]
+    owners, repos = defaultdict(set), defaultdict(set)
+    for r in held.values():
+        for f in plain(r.text):
+            owners[value(r.text, f)].add(r.source)
+            repos[value(r.text, f)].add((r.source, r.lang))
+    for r in masked.collect():
+        text, want, at = held[r.doc_id].text, "", 0
+        for f in plain(text):
+            v = value(text, f)
+            if len(owners[v]) < secrets.EXAMPLE_OWNERS and len(repos[v]) < secrets.EXAMPLE_REPOS:
+                want, at = (want + text[at : f[0]] + secrets.REDACTED, f[2]) if f[0] >= at else (want, max(at, f[2]))
+        assert r.text == (None if text is None else want + text[at:]), r.doc_id
     assert not [r for r in secrets.scan(masked).collect() if "live" in r.spans]
     if 2000 in classes.values():
         assert secrets.REDACTED in masked.where("doc_id = 2000").first().text
     before, after = {r.doc_id: r.text for r in masked.collect()}, {r.doc_id: r.text for r in mixed.collect()}
     assert after.items() <= before.items() and 0.5 < len(after) / len(before) < 1
-    assert {r.doc_id for r in packed.collect()} == set(after)
+    chosen = Counter(r.doc_id for r in mixed.collect())
+    assert chosen == Counter(r.doc_id for r in mixing.mix(masked, corpus_pipeline.PLAN).collect())
+    ids = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    tokens = Counter()
+    for r in packed.collect():
+        tokens[r.doc_id] += r.length
+    assert tokens == {d: n * (len(ids.encode(after[d] or "", add_special_tokens=False).ids) + 1) for d, n in chosen.items()}
 
 
 def test_stages_keep_any_columns(spark, folder):
