@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.session import cut
+from quillon.session import stored
 
 #: A key that holds more than one in so many of all rows is hot; there are fewer hot keys than this.
 HOT = 1024
@@ -29,7 +29,7 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
     values = [f"_v{i}" for i in range(len(totals))]
     names = [f"_g{i}" for i in range(len(group))]
     dealt = valued.repartitionByRange(ranges, *group, *order).sortWithinPartitions(*group, *order)
-    placed = cut(dealt.select(*keep, *(F.col(g).alias(n) for g, n in zip(group, names, strict=True)), *values, F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")))
+    placed = stored(dealt.select(*keep, *(F.col(g).alias(n) for g, n in zip(group, names, strict=True)), *values, F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")))
     sums = placed.groupBy("_range", *names).agg(*(F.sum(v).alias(v) for v in values))
     key = F.struct(*names)
     edges = placed.groupBy("_range").agg(F.array_distinct(F.array(F.min(key), F.max(key))).alias("_edges")).select("_range", F.explode("_edges").alias("_edge"))
