@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import compression, infill, mixing, packing, quality_cnn, revisits, secrets, sharding, simhash, topk, toxicity
+from quillon.llm import compression, infill, mixing, packing, prefix_trie, quality_cnn, revisits, secrets, sharding, simhash, topk, toxicity
 from quillon.session import table
 
 
@@ -51,6 +51,10 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
 
 
+def prefix_trie_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_nodes(table(spark, sf_dir, "conversations"))
+
+
 def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_chain": toxicity_chain,
     "op9_secret_scan": secret_scan,
     "op10_block_topk": block_topk,
+    "op11_prefix_trie": prefix_trie_nodes,
     "op12_fill_in_middle": fill_in_middle,
 }
 TOPK_SQL = """
@@ -84,5 +89,6 @@ ORACLES: dict[str, str] = {
     "op6_warc_revisits": revisits.ORACLE,
     "op9_secret_scan": secrets.ORACLE,
     "op10_block_topk": TOPK_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op12_fill_in_middle": infill.ORACLE,
 }
