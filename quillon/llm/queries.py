@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import compression, infill, mixing, packing, prefix_trie, quality_cnn, revisits, secrets, sharding, simhash, topk, toxicity
+from quillon.llm import compression, infill, mixing, odd_sketch, packing, prefix_trie, quality_cnn, revisits, secrets, sharding, simhash, topk, toxicity
 from quillon.session import table
 
 
@@ -59,6 +59,10 @@ def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents"))
 
 
+def odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": simhash_dedup,
     "op2_table_sharding": table_sharding,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_block_topk": block_topk,
     "op11_prefix_trie": prefix_trie_nodes,
     "op12_fill_in_middle": fill_in_middle,
+    "op13_odd_sketch_dedup": odd_sketch_dedup,
 }
 TOPK_SQL = """
 WITH v AS (
@@ -91,4 +96,5 @@ ORACLES: dict[str, str] = {
     "op10_block_topk": TOPK_SQL,
     "op11_prefix_trie": prefix_trie.ORACLE,
     "op12_fill_in_middle": infill.ORACLE,
+    "op13_odd_sketch_dedup": odd_sketch.ORACLE,
 }
