@@ -13,7 +13,7 @@ opened. Queries travel in bounded groups; the k best of a part are merged per qu
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part;
 rows with the same id are candidates each, and queries each with a ranking of its own, where only the query's own row
-is left out (with fold_ids, the one with the least vector counts alone); vectors of other lengths, very long ones too, are
+is left out; vectors of other lengths, very long ones too, are
 compared over the components they share; scores that tie are ordered by the smaller id; an empty table gives an empty
 result; further input columns, whatever their names, are ignored.
 """
@@ -178,11 +178,9 @@ def _spans(rows: DataFrame, width: int) -> DataFrame:
     return each.groupBy("cluster").agg(listed.alias("x")).select("cluster", F.col("x.hi").alias("most"), F.col("x.lo").alias("least"))
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, scale: int = SCALE, fold_ids: bool = True) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of every row whose id is divisible by every, against all other rows."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(vector_col, scale).alias("v")).where("vec_id is not null and v is not null")
-    if fold_ids:
-        rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
     rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"))  # written, so it stays the same; an id that many rows share is spread by it
     asked = F.col("vec_id") % every == 0
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()

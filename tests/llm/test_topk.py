@@ -11,18 +11,13 @@ SCHEMA = "vec_id long, embedding array<float>, label int, score string"
 
 
 def plain(rows, every=50, k=5):
-    seen = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        w = tuple(math.floor(256 * float(np.float32(x))) for x in v)
-        seen[i] = min(seen.get(i, w), w)
+    sound = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted(seen):
+    for n, (q, w) in enumerate(sound):
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(seen[q], w, strict=False)), i) for i, w in seen.items() if i != q)
+            scored = sorted((-sum(a * b for a, b in zip(w, x, strict=False)), i) for m, (i, x) in enumerate(sound) if m != n)
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
-    return out
+    return sorted(out)
 
 
 def test_against_all_pairs(spark, monkeypatch):
@@ -94,11 +89,7 @@ def test_every_row_of_a_repeated_id_counts(spark, monkeypatch, tmp_path):
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(8)]) for i in ids]
     rows += [rows[100], rows[100], rows[0], (None, [1.0] * 8), (50, None)]  # exact copies; rows that take no part
     spark.createDataFrame([(i, v, 1, "clash") for i, v in rows], SCHEMA).repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
-    sound = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None]
-    want = []
-    for n, (q, w) in enumerate(sound):
-        if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(w, x, strict=True)), i) for m, (i, x) in enumerate(sound) if m != n)
-            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])]
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in queries.block_topk(spark, str(tmp_path)).collect()]
-    assert sorted(got) == sorted(want)
+    assert sorted(got) == plain(rows)
+    clashing = spark.read.parquet(f"{tmp_path}/embeddings.parquet").selectExpr("vec_id", "embedding", "1 row", "2 part", "3 cluster", "4 v", "5 group", "6 `floor`", "7 query_row")
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(clashing).collect()) == plain(rows)
