@@ -41,14 +41,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_folder(spark: SparkSession) -> str:
+    """A folder of its own within the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rows-{uuid.uuid4()}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared checkpoint folder and go on from the written rows.
 
     A checkpointed plan keeps what the optimiser knew of it, which grows from round to round of an iteration; a table that is read does not.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rows-{uuid.uuid4()}"
+    folder = stored_folder(spark)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
