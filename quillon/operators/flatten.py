@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import hierarchy
+
 LEAVES = "array<struct<path:array<string>,value:string,kind:string>>"
 
 
@@ -105,18 +107,11 @@ def path_variants(path: Column) -> Column:
     return F.aggregate(path, start, grow)
 
 
-def tree_paths(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(id, path, depth) of (id, parent) rows, from the roots down; path joins the ids of the way by dots.
-
-    One equi-join a level, as deep as the trees may be: no row leaves its level's join.
-    """
-    level = nodes.where("parent is null").select("id", F.col("id").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, max_depth):
-        above = level.select(F.col("id").alias("parent"), F.col("path").alias("_path"))
-        level = nodes.join(above, "parent").select("id", F.concat_ws(".", "_path", "id").alias("path"), F.lit(depth).alias("depth"))
-        out = out.unionByName(level)
-    return out
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """(id, path, depth) of (id, parent) rows, from the roots down; path joins the ids of the way by dots. Nodes on or under a cycle have neither."""
+    path = {"path": (F.col("id").cast("string"), lambda upper, lower: F.concat_ws(".", upper, lower))}
+    found = hierarchy.rooted(nodes.select("id", "parent"), [], "id", "parent", path)
+    return found.select("id", "path", F.col("depth").cast("int").alias("depth"))
 
 
 def walk(node: dict, child: str, path: str, depth: int = 0, parent: str | None = None) -> Iterator[tuple[str, str | None, int, int, dict]]:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import hierarchy
 from quillon.operators.shapes import sample
 
 SURFACE_SAMPLES = 2048
@@ -294,29 +295,25 @@ def linked_composites(specs: DataFrame, composites: DataFrame) -> DataFrame:
     return specs.join(first, ["scene_id", "obj_id"], "left").withColumn("parent_object_id", F.coalesce("parent_object_id", "_owner")).drop("_owner")
 
 
-def placement_order(specs: DataFrame, max_depth: int = 16) -> DataFrame:
+def placement_order(specs: DataFrame) -> DataFrame:
     """(scene_id, obj_id, depth): parents before children; what hangs from nothing known is a root, what only hangs from itself has no depth."""
-    named = specs.select("scene_id", "obj_id", "parent_object_id")
-    known = named.select("scene_id", F.col("obj_id").alias("parent_object_id"), F.lit(True).alias("_k"))
-    named = named.join(known, ["scene_id", "parent_object_id"], "left").withColumn("parent_object_id", F.when(F.col("_k"), F.col("parent_object_id"))).drop("_k")
-    level = named.where("parent_object_id is null").select("scene_id", "obj_id", F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, max_depth):  # as deep as the scenes may be; each level is an equi-join
-        above = level.select("scene_id", F.col("obj_id").alias("parent_object_id"))
-        level = named.join(above, ["scene_id", "parent_object_id"]).select("scene_id", "obj_id", F.lit(depth).alias("depth"))
-        out = out.unionByName(level)
-    return named.select("scene_id", "obj_id").join(out, ["scene_id", "obj_id"], "left")
-
-
-def descendants(specs: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(scene_id, obj_id, below, depth): each object with all that hang from it, children at depth 1. Cycles end at max_depth."""
-    step = specs.where("parent_object_id is not null").select("scene_id", F.col("parent_object_id").alias("obj_id"), F.col("obj_id").alias("below"))
-    level, out = step.withColumn("depth", F.lit(1)), step.withColumn("depth", F.lit(1))
-    for depth in range(2, max_depth):
-        down = step.select("scene_id", F.col("obj_id").alias("below"), F.col("below").alias("_next"))
-        level = level.join(down, ["scene_id", "below"]).select("scene_id", "obj_id", F.col("_next").alias("below"), F.lit(depth).alias("depth"))
-        out = out.unionByName(level)
-    return out
+    return hierarchy.rooted(specs, ["scene_id"], "obj_id", "parent_object_id").select("scene_id", "obj_id", F.col("depth").cast("int").alias("depth"))
+
+
+def descendants(specs: DataFrame) -> DataFrame:
+    """(scene_id, obj_id, below, depth): each object with all that hang from it, children at depth 1; on a cycle each pair once, no object under itself."""
+    found = hierarchy.ancestors(specs, ["scene_id"], "obj_id", "parent_object_id")
+    return found.select("scene_id", F.col("above").alias("obj_id"), F.col("obj_id").alias("below"), F.col("steps").cast("int").alias("depth"))
+
+
+def world_matrices(placed: DataFrame) -> DataFrame:
+    """(scene_id, obj_id, depth, world): the 4 x 4 of each object, sixteen numbers by rows, that leads to the world.
+
+    placed: scene_id, obj_id, parent_object_id, local (sixteen numbers) and perhaps override, which takes the place of all above. On a cycle there is none.
+    """
+    over = F.col("override") if "override" in placed.columns else F.lit(None).cast("array<double>")
+    free = placed.select("scene_id", "obj_id", F.when(over.isNull(), F.col("parent_object_id")).alias("parent_object_id"), F.coalesce(over, F.col("local")).alias("local"))
+    return hierarchy.rooted(free, ["scene_id"], "obj_id", "parent_object_id", {"world": (F.col("local"), hierarchy.product)}).drop("root")
 
 
 def contacts_of(contacts: DataFrame, obj: str | Column) -> DataFrame:

@@ -1,15 +1,14 @@
 """Plan search over actions: candidates by relations, backward chaining and simulation by small folds.
 
-Which action may serve which subgoal is found relationally (state.candidates) for the closed set of a query's
-goals and the conditions behind them; the depth-first choice among them and the step-by-step simulation run in
-one group for each query or plan, whose size the caps bound.
+Which action may serve which subgoal is found relationally (state.candidates). `seed_plans` reaches subgoals round by round for all
+queries at once and reads plans back by joins; `search_plans` makes the depth-first choice for one query with its candidates
+in one group, whose size the caps bound.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce
 from itertools import groupby, islice, product
 
 import pandas as pd
@@ -20,7 +19,7 @@ from pyspark.sql.window import Window
 
 from quillon.functions.scoring import compare
 from quillon.operators.state import coverage_group, plan_score
-from quillon.session import cut
+from quillon.session import stored, stored_folder
 
 # Limits of the search.
 DEPTH, TARGET_VERBS, CONTEXT_VERBS, SEEDS, PLANS_PER_ACTION, COMBINATIONS = 60, 20, 10, 10, 3, 20
@@ -217,47 +216,81 @@ def seed_subgoals(chosen: DataFrame, conditions: DataFrame, initial: DataFrame)
     return _unmet(wanted.select("query_id", "stage", "seed", "object", "path", "op", "value"), initial)
 
 
-def seed_plans(chosen: DataFrame, allowed: DataFrame, conditions: DataFrame, initial: DataFrame, rounds: int = 6, n: int = SEEDS, depth: int = DEPTH, sound: bool = True) -> DataFrame:
-    """(query_id, stage, seed, step, action_id): for each seed a chain of actions that fulfils what it needs, then the seed itself.
+STAGE = ["query_id", "stage"]
+
+
+def derivations(edges: DataFrame, wants: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(query_id, stage, subgoal_id, action_id, height) of every subgoal that can be reached: the action that gives it, and how many actions' needs lie under it.
+
+    edges: query_id, stage, subgoal_id, action_id, place: which actions give a subgoal, in order; wants: query_id, stage,
+    action_id, subgoal_id: what an action needs that does not hold. From the actions that need nothing, each round reaches the
+    subgoals of actions all of whose needs were reached before, the first of them in order. Only what the last round reached is
+    looked at; it ends when that is nothing. An action that only leads around a cycle, or to what nothing gives, is never ready.
+    """
+    spark = edges.sparkSession
+    edges, wants = stored(edges), stored(wants)
+    ready = edges.select(*STAGE, "action_id").distinct().join(wants, [*STAGE, "action_id"], "left_anti")
+    folder, reached, new = None, None, None
+    for height in range(depth + 1):
+        given = edges.join(ready, [*STAGE, "action_id"])
+        if reached is not None:
+            given = given.join(reached, [*STAGE, "subgoal_id"], "left_anti")
+        found = given.groupBy(*STAGE, "subgoal_id").agg(F.min_by("action_id", F.struct("place", "action_id")).alias("action_id")).withColumn("height", F.lit(height))
+        folder = folder or stored_folder(spark)
+        found.write.parquet(f"{folder}/round-{height}")
+        new = spark.read.schema(found.schema).parquet(f"{folder}/round-{height}")
+        if new.isEmpty():
+            break
+        reached = spark.read.schema(found.schema).parquet(*(f"{folder}/round-{k}" for k in range(height + 1)))
+        touched = wants.join(new.select(*STAGE, "subgoal_id"), [*STAGE, "subgoal_id"], "left_semi").select(*STAGE, "action_id").distinct()
+        checked = wants.join(touched, [*STAGE, "action_id"]).join(reached.select(*STAGE, "subgoal_id", F.lit(1).alias("_met")), [*STAGE, "subgoal_id"], "left")
+        ready = checked.groupBy(*STAGE, "action_id").agg(F.count("*").alias("_n"), F.count("_met").alias("_m")).where("_n = _m").select(*STAGE, "action_id")
+    return new if reached is None else reached
+
+
+def _under(starts: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, subgoal_id) of all subgoals that links (query_id, stage, subgoal_id, want) lead to from starts, by doubling: links of 1, 2, 4, ... steps are taken from the longest down."""
+    jumps = [stored(links.distinct())]
+    while not jumps[-1].isEmpty():
+        last = jumps[-1]
+        further = last.select(*STAGE, F.col("subgoal_id").alias("want"), F.col("want").alias("_next"))
+        jumps.append(stored(last.join(further, [*STAGE, "want"]).select(*STAGE, "subgoal_id", F.col("_next").alias("want")).distinct()))
+    found = starts.select(*keys, "subgoal_id").distinct()
+    for jump in reversed(jumps[:-1]):
+        found = stored(found.unionByName(found.join(jump, [*STAGE, "subgoal_id"]).select(*keys, F.col("want").alias("subgoal_id"))).distinct())
+    return found
+
+
+def seed_plans(chosen: DataFrame, allowed: DataFrame, conditions: DataFrame, initial: DataFrame, n: int = SEEDS, depth: int = DEPTH) -> DataFrame:
+    """(query_id, stage, seed, step, action_id): for each seed the actions that fulfil what it needs, each after those that fulfil its own needs, then the seed itself.
 
     chosen: query_id, stage, action_id; allowed: query_id, stage, memory_id; conditions as in state, with memory_id; initial:
-    query_id, object, path, value. Only actions of allowed memories serve, the n least of each subgoal. The subgoals behind
-    subgoals are followed for so many rounds; seeds whose chain does not close have no plan.
+    query_id, object, path, value. Only actions of allowed memories serve, the n least of each subgoal. Subgoals are reached for all
+    queries and stages at once, as far as depth; of the actions for one the first that is ready earliest is taken. Seeds
+    with a need that is not reached have no plan.
     """
-    chosen, allowed, conditions, initial = (cut(df) for df in (chosen.select("query_id", "stage", "action_id"), allowed, conditions, initial))  # read again in every round
+    chosen, allowed, conditions, initial = (stored(df) for df in (chosen.select(*STAGE, "action_id"), allowed.select(*STAGE, "memory_id").distinct(), conditions, initial))
     effects = conditions.where("state_type = 'new'").select("memory_id", "action_id", subgoal().alias("subgoal_id")).distinct()
     needs = conditions.where(F.col("state_type").isin("precondition", "old")).select("action_id", "object", "path", "op", "value").distinct()
-    goals = cut(seed_subgoals(chosen, conditions, initial).withColumn("subgoal_id", subgoal()))
-    keys = ["query_id", "stage", "seed"]
-    first = Window.partitionBy("query_id", "stage", "subgoal_id").orderBy("action_id")
-    frontier, seen, edges, wants = goals.select(*keys, "subgoal_id").distinct(), None, [], []
-    for _ in range(rounds):
-        asked = frontier.select("query_id", "stage", "subgoal_id").distinct()
-        served = asked.join(effects, "subgoal_id").join(allowed, ["query_id", "stage", "memory_id"])
-        edge = served.withColumn("place", F.row_number().over(first)).where(F.col("place") <= n).select("query_id", "stage", "subgoal_id", "action_id", "place")
-        edge = cut(frontier.join(edge, ["query_id", "stage", "subgoal_id"]).select(*keys, "subgoal_id", "action_id", "place"))
-        want = _unmet(edge.select(*keys, "action_id").distinct().join(needs, "action_id").select(*keys, "action_id", "object", "path", "op", "value"), initial)
-        want = cut(want.withColumn("subgoal_id", subgoal()).select(*keys, "action_id", "subgoal_id"))
-        edges.append(edge)
-        wants.append(want)
-        seen = frontier if seen is None else seen.unionByName(frontier)
-        frontier = cut(want.select(*keys, "subgoal_id").distinct().join(seen, [*keys, "subgoal_id"], "left_anti"))
-        if frontier.isEmpty():
-            break
-    together = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
-    plan_of = F.to_json(F.struct(*(F.col(k).cast("string").alias(k) for k in keys)))
-    named = lambda df: df.withColumn("query_id", plan_of)
-    all_edges = together(edges)
-    effect_rows = all_edges.select(*keys, "action_id").distinct().join(effects.select("action_id", "subgoal_id"), "action_id")
-    holds = goals.limit(0).select("query_id", "subgoal_id")  # what holds is not among the subgoals
-    found = search_plans(named(goals.select(*keys, "subgoal_id", F.row_number().over(Window.partitionBy(*keys).orderBy("subgoal_id")).alias("place"))), named(all_edges), named(together(wants)), named(effect_rows), holds, depth, sound)
-    back = F.from_json("query_id", "query_id string, stage string, seed string")
-    chains = found.where("reached and action_id is not null").select(back.alias("k"), "step", "action_id").select("k.*", "step", "action_id")
-    failed = found.where("not reached").select(back.alias("k")).select("k.*")
-    text = [F.col(c).cast("string").alias(c) for c in ("query_id", "stage")]
-    alive = chosen.select(*text, F.col("action_id").cast("string").alias("seed")).join(failed, keys, "left_anti")
-    last = alive.join(chains.groupBy(*keys).agg(F.max("step").alias("_last")), keys, "left").select(*keys, (F.coalesce("_last", F.lit(-1)) + 1).alias("step"), F.col("seed").alias("action_id"))
-    return chains.select(*keys, "step", F.col("action_id").cast("string").alias("action_id")).unionByName(last)
+    served = allowed.join(chosen.select(*STAGE).distinct(), STAGE, "left_semi").join(effects, "memory_id").select(*STAGE, "subgoal_id", "action_id").distinct()
+    first = Window.partitionBy(*STAGE, "subgoal_id").orderBy("action_id")
+    edges = stored(served.withColumn("place", F.row_number().over(first)).where(F.col("place") <= n))
+    wants = _unmet(edges.select(*STAGE, "action_id").distinct().join(needs, "action_id").select(*STAGE, "action_id", "object", "path", "op", "value"), initial)
+    wants = stored(wants.select(*STAGE, "action_id", subgoal().alias("subgoal_id")).distinct())
+    ways = derivations(edges, wants, depth)
+
+    keys = [*STAGE, "seed"]
+    goals = stored(seed_subgoals(chosen, conditions, initial).select(*keys, subgoal().alias("subgoal_id")).distinct())
+    lost = goals.join(ways, [*STAGE, "subgoal_id"], "left_anti").select(*keys).distinct()
+    links = ways.select(*STAGE, "subgoal_id", "action_id").join(wants.withColumnRenamed("subgoal_id", "want"), [*STAGE, "action_id"]).select(*STAGE, "subgoal_id", "want")
+    needed = _under(goals.join(lost, keys, "left_anti"), links, keys)
+    steps = needed.join(ways, [*STAGE, "subgoal_id"]).groupBy(*keys, "action_id").agg(F.min("height").alias("height"))
+    order = Window.partitionBy(*keys).orderBy("height", "action_id")
+    steps = stored(steps.withColumn("step", F.row_number().over(order) - 1).select(*keys, "step", "action_id"))
+    alive = chosen.select(*STAGE, F.col("action_id").alias("seed")).distinct().join(lost, keys, "left_anti")
+    last = alive.join(steps.groupBy(*keys).agg(F.max("step").alias("_last")), keys, "left").select(*keys, (F.coalesce("_last", F.lit(-1)) + 1).alias("step"), F.col("seed").alias("action_id"))
+    both = steps.unionByName(last)
+    return both.select(*(F.col(c).cast("int" if c == "step" else "string").alias(c) for c in both.columns))
 
 
 def resolved_in_state(wanted: DataFrame, objects: DataFrame, scored: DataFrame) -> DataFrame:

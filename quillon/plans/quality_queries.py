@@ -326,7 +326,7 @@ def verb_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT scene_id, CAST(up AS VARCHAR) AS obj_id, CAST(k AS VARCHAR) AS below, 1 AS depth FROM p UNION ALL SELECT a.scene_id, CAST(b.up AS VARCHAR), CAST(a.k AS VARCHAR), 2 FROM p a JOIN p b ON a.up = b.k""")
 def scene_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each object with all that hang from it."""
-    return geometry.descendants(spec_rows(spark, sf_dir), 4)
+    return geometry.descendants(spec_rows(spark, sf_dir))
 
 
 @query("""SELECT p_partkey, list_filter([p_type, 'Person', p_brand, 'object'], lambda c: lower(c) NOT IN ('person', 'object')) AS categories FROM part""")

@@ -166,7 +166,7 @@ def action_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = nodes.unionByName(read("customer").select(node("c", "c_custkey").alias("id"), node("n", "c_nationkey").alias("parent")))
     from quillon.operators.flatten import tree_paths
 
-    return tree_paths(nodes, max_depth=3)
+    return tree_paths(nodes)
 
 
 @query("""SELECT goal, step, count(*) AS n FROM (SELECT CASE WHEN c.c_custkey IS NOT NULL THEN 'customer' WHEN s.s_suppkey IS NOT NULL THEN 'supplier' ELSE 'placeholder' END AS goal, CASE WHEN c.c_custkey IS NOT NULL THEN 0 WHEN s.s_suppkey IS NOT NULL THEN 1 ELSE 2 END AS step

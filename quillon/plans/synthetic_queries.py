@@ -209,7 +209,7 @@ def composite_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE sp AS (SELECT a.* REPLACE (CASE WHEN b.obj_id IS NOT NULL THEN a.parent_object_id END AS parent_object_id) FROM ({_SPECS_SQL}) a LEFT JOIN ({_SPECS_SQL}) b ON a.scene_id = b.scene_id AND a.parent_object_id = b.obj_id),
 t AS (SELECT scene_id, obj_id, 0 AS depth FROM sp WHERE parent_object_id IS NULL UNION ALL SELECT sp.scene_id, sp.obj_id, depth + 1 FROM sp JOIN t ON sp.parent_object_id = t.obj_id AND sp.scene_id = t.scene_id) SELECT scene_id, obj_id, depth FROM t""")
 def placement_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.placement_order(spec_rows(spark, sf_dir), 8)
+    return geometry.placement_order(spec_rows(spark, sf_dir))
 
 
 _TEMPLATE_SQL = "(VALUES ('ECONOMY', 'sphere', 4.0), ('LARGE', 'cylinder', 3.0), ('PROMO', 'capsule', 2.0), ('SMALL', 'torus', 1.5)) t(template, kind, r)"
