@@ -20,7 +20,8 @@ def quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compression.apply_rules(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return compression.apply_rules(docs, bands=compression.fit_bands(docs, table(spark, sf_dir, "labels")))
 
 
 def table_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
