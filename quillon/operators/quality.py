@@ -31,12 +31,18 @@ def missing_verbs(general: DataFrame) -> DataFrame:
 
 
 def resolve_alts(actions: DataFrame, linked: DataFrame) -> DataFrame:
-    """actions (instance_id, template, sub_names array) with general and alt: by alt name, the only alt, the equal sub-action sequence, or the first alt."""
-    by_alt = linked.select(F.col("alt").alias("template"), "general", "alt", F.lit(0).alias("how"), "sub_actions")
-    by_general = linked.withColumn("n", F.count("*").over(Window.partitionBy("general"))).select(F.col("general").alias("template"), "general", "alt", F.when(F.col("n") == 1, 1).otherwise(3).alias("how"), "sub_actions")
-    hits = actions.join(by_alt.unionByName(by_general), "template").withColumn("how", F.when((F.col("how") == 3) & (F.col("sub_names") == F.col("sub_actions")), 2).otherwise(F.col("how")))
-    best = hits.withColumn("_n", F.row_number().over(Window.partitionBy("instance_id").orderBy("how", "alt"))).where("_n = 1").select("instance_id", "general", "alt", "how")
-    return actions.join(best, "instance_id", "left")
+    """actions (instance_id, template, sub_names array) with general and alt: by alt name, the only alt, the equal sub-action sequence, or the first alt.
+
+    The alternatives are reduced to a row for each name, general action and sequence first, so an instance meets three rows at most.
+    """
+    named = linked.groupBy(F.col("alt").alias("template")).agg(F.min("general").alias("_named"))
+    first = linked.groupBy(F.col("general").alias("template")).agg(F.min("alt").alias("_first"), F.count("*").alias("_n"))
+    same = linked.groupBy(F.col("general").alias("template"), F.col("sub_actions").alias("sub_names")).agg(F.min("alt").alias("_same"))
+    met = actions.join(named, "template", "left").join(first, "template", "left").join(same, ["template", "sub_names"], "left")
+    how = F.when(F.col("_named").isNotNull(), 0).when(F.col("_n") == 1, 1).when(F.col("_same").isNotNull(), 2).when(F.col("_first").isNotNull(), 3)
+    alt = F.when(F.col("how") == 0, F.col("template")).when(F.col("how") == 2, F.col("_same")).otherwise(F.col("_first"))
+    general = F.when(F.col("how") == 0, F.col("_named")).when(F.col("how").isNotNull(), F.col("template"))
+    return met.withColumn("how", how).select(*(F.col(c) for c in actions.columns), general.alias("general"), alt.alias("alt"), "how")
 
 
 def missing_templates(actions: DataFrame, linked: DataFrame) -> DataFrame:

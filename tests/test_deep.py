@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillon.operators import flatten, geometry, hierarchy, planning
+from quillon.operators import flatten, geometry, hierarchy, planning, timeline
 
 
 def test_thousand_deep_in_ten_rounds(spark, monkeypatch):
@@ -75,3 +75,27 @@ def test_shared_needs_are_taken_once_and_the_shortest_way_wins(spark):
     rows = [("base", "new", "b"), ("left", "new", "l"), ("left", "precondition", "b"), ("right", "new", "r"), ("right", "precondition", "b"), ("goal", "precondition", "l"), ("goal", "precondition", "r")]
     rows += [("around", "new", "b"), ("around", "precondition", "l"), ("a_long", "new", "r"), ("a_long", "precondition", "l")]  # a cycle; a longer way that is first in order
     assert plans(spark, rows, ["goal"]) == {"goal": ["base", "left", "right", "goal"]}
+
+
+def test_spread_timelines_equal_the_fold(spark):
+    rng = random.Random(9)
+    rows = []
+    for m in ("large", "m1", "m2"):
+        kinds = {}
+        for i in range(700 if m == "large" else 40):
+            parent = None if i < 2 else f"{m}.{0 if rng.random() < 0.6 else rng.randrange(i)}"
+            if i == 30:
+                parent = f"{m}.30"  # its own ancestor
+            kinds[i] = rng.choice(["sequential", "sequential", "parallel", "cyclical"]) if i else "sequential"
+            rows.append((m, f"{m}.{i}", parent, i, kinds[i], float(rng.choice([0, 0, 1, 2, 8])) / 4, rng.choice([None, 0.0, 0.5, 2.0])))
+    actions = spark.createDataFrame(rows, "memory_id string, instance_id string, parent_id string, child_ix int, temporal_type string, own double, start_offset double")
+    told = lambda df: sorted(map(tuple, df.collect()))
+    fold = told(timeline.timelines(actions))
+    assert len(fold) > 300 and told(timeline.timelines(actions, small=100)) == fold and told(timeline.timelines(actions, small=0)) == fold
+
+
+def test_many_siblings_are_dealt_over_ranges(spark):
+    rows = [("m", "root", None, 0, None, 0.0, None)] + [("m", f"c{i}", "root", i, "sequential", 1.0, None) for i in range(5000)]
+    actions = spark.createDataFrame(rows, "memory_id string, instance_id string, parent_id string, child_ix int, temporal_type string, own double, start_offset double")
+    found = {r.instance_id: r for r in timeline.timelines(actions, small=1000).collect()}
+    assert found["root"].end_time == 5000.0 and all(found[f"c{i}"].start_time == i for i in range(5000))
