@@ -102,6 +102,36 @@ def combine(plans: Sequence[Sequence[Sequence[str]]], most: int = COMBINATIONS,
     return [list(dict.fromkeys(a for plan in combo for a in plan)) for combo in islice(product(*(p[:each] for p in plans)), most)]
 
 
+def combined(plans: DataFrame, most: int = COMBINATIONS, each: int = PLANS_PER_ACTION) -> DataFrame:
+    """(query_id, place, score, plan_ids): the best plans for all of a query's target actions together, by the sum of their scores.
+
+    plans: query_id, target (a number, from the first action on), plan_id, score; each: the plans of a target that are looked at.
+    Targets are taken one by one, and only the `most` best beginnings are carried on: a beginning that is behind so many
+    others stays behind them whatever follows, so no product is formed. Ties by the ids of the plans in order.
+    """
+    first = Window.partitionBy("query_id", "target").orderBy(F.desc("score"), "plan_id")
+    numbered = plans.select("query_id", "target", "plan_id", "score").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= each)
+    lists = stored(numbered.withColumn("_k", F.dense_rank().over(Window.partitionBy("query_id").orderBy("target"))).drop("_n"))
+    last = lists.groupBy("query_id").agg(F.max("_k").alias("_last"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "plan_ids")
+    now = lists.where("_k = 1").select("query_id", "score", F.array("plan_id").alias("plan_ids"))
+    for k in range(2, (lists.agg(F.max("_k")).first()[0] or 0) + 1):  # as many rounds as a query has target actions
+        more = lists.where(F.col("_k") == k).select("query_id", "plan_id", F.col("score").alias("_score"))
+        longer = now.join(more, "query_id").select("query_id", (F.col("score") + F.col("_score")).alias("score"), F.array_append("plan_ids", F.col("plan_id")).alias("plan_ids"))
+        kept = longer.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most).drop("_n")
+        done = now.join(last.where(F.col("_last") < k).select("query_id"), "query_id", "left_semi")
+        now = stored(done.unionByName(kept))
+    return now.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).select("query_id", "place", "score", "plan_ids")
+
+
+def combined_steps(combinations: DataFrame, steps: DataFrame) -> DataFrame:
+    """(query_id, place, step, action_id): the actions of combined plans, plan after plan, each action once, where it comes first. steps: plan_id, step, action_id."""
+    plans = combinations.select("query_id", "place", F.posexplode("plan_ids").alias("_p", "plan_id"))
+    each = plans.join(steps.select("plan_id", F.col("step").alias("_s"), "action_id"), "plan_id")
+    once = each.groupBy("query_id", "place", "action_id").agg(F.min(F.struct("_p", "_s")).alias("_at"))
+    return once.withColumn("step", F.row_number().over(Window.partitionBy("query_id", "place").orderBy("_at", "action_id")) - 1).select("query_id", "place", "step", "action_id")
+
+
 SIMULATED = "plan_id string, n_steps int, n_violations int, satisfaction double, final string"
 
 

@@ -190,6 +190,11 @@ def shades(v: np.ndarray, light: tuple[float, float, float] = LIGHT) -> np.ndarr
     return AMBIENT + DIFFUSE * np.where(flat, 0.0, np.abs(nx / length * lx + ny / length * ly + nz / length * lz))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows dealt by element to a stated number of tasks: few bytes can be much work, so small partitions aren't put together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scene_id", "object_ix", "element_ix")
+
+
 TRIANGLES = "scene_id string, object_ix int, element_ix int, triangle_ix int, object_id string, v array<double>, rgb array<double>"
 
 
@@ -205,7 +210,7 @@ def triangles(parts: DataFrame, light: tuple[float, float, float] = LIGHT) -> Da
                 lit = np.minimum(1.0, shades(v, light)[:, None] * np.asarray(r.rgb)[None, :])
                 yield pd.DataFrame({"scene_id": r.scene_id, "object_ix": r.object_ix, "element_ix": r.element_ix, "triangle_ix": range(len(v)), "object_id": r.object_id, "v": v.tolist(), "rgb": lit.tolist()}).astype({"object_ix": "int32", "element_ix": "int32", "triangle_ix": "int32"})
 
-    return parts.repartition("scene_id", "object_ix", "element_ix").mapInPandas(run, TRIANGLES)
+    return dealt(parts).mapInPandas(run, TRIANGLES)
 
 
 def projection(eye: np.ndarray, target: np.ndarray, up: np.ndarray, width: int, height: int, field: float = FIELD) -> np.ndarray:
@@ -310,7 +315,7 @@ def pixels(found: DataFrame, cameras: DataFrame, width: int = WIDTH, height: int
             if near:
                 yield flush()
 
-    some = joined(found, told, ["scene_id"], "_n", total).mapInPandas(run, PIXELS)
+    some = dealt(joined(found, told, ["scene_id"], "_n", total)).mapInPandas(run, PIXELS)
     rest = [c.split()[0] for c in PIXELS.split(", ")][3:]
     return some.groupBy("scene_id", "x", "y").agg(F.min(F.struct(*rest)).alias("p")).select("scene_id", "x", "y", "p.*")
 

@@ -11,14 +11,54 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scoring import cosine
 from quillon.functions.vocabulary import FUZZY_THRESHOLD
-from quillon.session import cut
+from quillon.session import cut, stored
 
+#: Share of the threshold that the norm of a vector's unindexed rest stays under: less indexes more and leaves fewer candidates.
+REST = 0.5
 #: Queries and terms of a cell, on average: a cell holds their vectors and one matrix of their products.
 QUERIES, TERMS, ROWS = 1024, 16384, 2048
 
 
+def sparse_candidates(queries: DataFrame, terms: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """(query, term) of all pairs of unit vectors (query, vec) and (term, vec) whose cosine may reach the threshold, by an inverted index of components.
+
+    Components are taken from the rarest to the most common one. Of each vector those are indexed, its prefix, without which the
+    norm of the rest is under REST of the threshold: a pair that shares none in both prefixes can't reach it. What a pair does share
+    there is added up, and with the greater norm of the two rests it must still reach the threshold.
+    """
+    size = terms.select(F.size("vec").alias("n")).agg(F.max("n")).first()[0] or 0
+    common = {r.d: r.n for r in terms.select(F.posexplode("vec").alias("d", "x")).where("x <> 0").groupBy("d").agg(F.count("*").alias("n")).collect()}  # a row a component of the vectors
+    order = sorted(range(size), key=lambda d: (common.get(d, 0), d))
+    least = threshold - 1e-9
+
+    def prefixes(df: DataFrame, name: str) -> DataFrame:
+        """(name, d, x, rest): the prefix of each vector, and the norm of what is left."""
+        at = F.array(*map(F.lit, order))
+        square = lambda x: x["x"] * x["x"]
+        held = F.filter(F.transform(at, lambda d: F.struct(d.alias("d"), F.coalesce(F.get("vec", d).cast("double"), F.lit(0.0)).alias("x"))), lambda p: p["x"] != 0)
+        # from the end on, components are left out as long as their norm stays small
+        cut_ = F.aggregate(F.reverse("held"), F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(True).alias("go")), lambda a, p: F.when(a["go"] & (F.sqrt(a["s"] + square(p)) < least * REST), F.struct((a["n"] + 1).alias("n"), (a["s"] + square(p)).alias("s"), F.lit(True).alias("go"))).otherwise(F.struct(a["n"].alias("n"), a["s"].alias("s"), F.lit(False).alias("go"))))
+        marked = df.select(name, held.alias("held")).withColumn("cut", cut_)
+        return marked.select(name, F.sqrt("cut.s").alias("rest"), F.explode(F.slice("held", F.lit(1), F.greatest(F.size("held") - F.col("cut.n"), F.lit(0)))).alias("p")).select(name, "rest", F.col("p.d").alias("d"), F.col("p.x").alias("x"))
+
+    if not size:
+        return queries.crossJoin(terms).limit(0).select("query", "term")
+    asked = prefixes(queries, "query").withColumnsRenamed({"x": "qx", "rest": "qrest"})
+    met = prefixes(terms, "term").join(asked, "d").groupBy("query", "term").agg(F.sum(F.col("x") * F.col("qx")).alias("s"), F.max(F.greatest("rest", "qrest")).alias("rest"))
+    return met.where(F.col("s") + F.col("rest") >= least).select("query", "term")
+
+
 def similar_terms(queries: DataFrame, terms: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
-    """(query, term, sim): for each (query, vec) the (term, vec) rows at or above the threshold.
+    """(query, term, sim): for each unit vector (query, vec) the (term, vec) rows with a cosine at or above the threshold, exactly. Names are unique on each side."""
+    queries, terms = stored(queries.select("query", "vec")), stored(terms.select("term", "vec"))
+    pairs = sparse_candidates(queries, terms, threshold)
+    both = pairs.join(terms, "term").join(queries.withColumnRenamed("vec", "asked"), "query")
+    dot = F.aggregate(F.zip_with("vec", "asked", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return both.select("query", "term", dot.alias("sim")).where(F.col("sim") >= threshold)
+
+
+def similar_in_cells(queries: DataFrame, terms: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """What `similar_terms` gives, for dense vectors, which no inverted index helps.
 
     Both sides are dealt into blocks by their counts, and a cell compares one block of each, whatever their number;
     a term is copied once for each block of queries.

@@ -127,6 +127,35 @@ def best_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir)[0].where("place <= 5 and score >= 0.2").select("query_id", "plan_id")
 
 
+_LISTS_SQL = """p AS (SELECT 'q' || o_custkey % 40 AS q, l_linenumber AS t, l_orderkey || '-' || l_partkey || '-' || l_suppkey AS id, max(l_quantity) AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 4 GROUP BY ALL),
+r AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY q, t ORDER BY s DESC, id) <= 3),
+c AS (SELECT a.q, a.s + b.s + c.s + d.s AS score, [a.id, b.id, c.id, d.id] AS ids FROM r a JOIN r b USING (q) JOIN r c USING (q) JOIN r d USING (q) WHERE a.t = 1 AND b.t = 2 AND c.t = 3 AND d.t = 4),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, ids) AS place FROM c QUALIFY place <= 20)"""
+
+
+def _combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as plans for the first four target actions of their customers' group, by quantity."""
+    lines = _lines(spark, sf_dir).where("l_linenumber <= 4")
+    plan_id = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey")
+    return planning.combined(lines.groupBy("query_id", F.col("l_linenumber").alias("target"), plan_id.alias("plan_id")).agg(F.max("l_quantity").alias("score")))
+
+
+@query(f"WITH {_LISTS_SQL} SELECT q AS query_id, CAST(place AS INTEGER) AS place, score, array_to_string(ids, ' + ') AS plans FROM k")
+def combined_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best combinations of plans for four target actions, of three plans each."""
+    return _combined(spark, sf_dir).select("query_id", "place", "score", F.array_join("plan_ids", " + ").alias("plans"))
+
+
+@query(f"""WITH {_LISTS_SQL}, u AS (SELECT q, place, unnest(ids) AS id, unnest(range(4)) AS p FROM k),
+s AS (SELECT DISTINCT l_orderkey || '-' || l_partkey || '-' || l_suppkey AS id, 'part ' || l_partkey AS a FROM lineitem), o AS (SELECT q, place, a, min(p) AS p FROM u JOIN s USING (id) GROUP BY ALL)
+SELECT q AS query_id, CAST(place AS INTEGER) AS place, CAST(row_number() OVER (PARTITION BY q, place ORDER BY p, a) - 1 AS INTEGER) AS step, a AS action_id FROM o""")
+def combined_plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The actions of the combined plans, each once."""
+    lines = table(spark, sf_dir, "lineitem")
+    steps = lines.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("plan_id"), F.lit(0).alias("step"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("action_id")).distinct()
+    return planning.combined_steps(_combined(spark, sf_dir), steps)
+
+
 @query("""WITH w AS (SELECT DISTINCT o_custkey % 400 AS c FROM orders), n AS (SELECT CASE c % 3 WHEN 0 THEN 'c' || c WHEN 1 THEN 'seg' || c % 7 ELSE 'x' || c END AS name, c FROM w),
 o AS (SELECT 'c' || c_custkey AS obj_id, 'seg' || c_custkey % 11 AS template, c_acctbal AS b, c_custkey FROM customer WHERE c_custkey % 2 = 0),
 l AS (SELECT 'x' || c_custkey % 400 AS name, obj_id FROM o WHERE b > 5000 QUALIFY row_number() OVER (PARTITION BY c_custkey % 400 ORDER BY b DESC, obj_id) = 1)
