@@ -17,7 +17,7 @@ from quillon.functions.units import number_of, unit_of, volume_of
 from quillon.operators import aliases as A
 from quillon.operators import flatten, postings, timeline
 from quillon.operators.search import Index
-from quillon.session import cut
+from quillon.session import stored
 
 DIMENSIONS = ("length", "width", "height_thickness")
 #: Keys of an object that describe it as a whole; all others are attributes of the instance.
@@ -154,12 +154,12 @@ def posting_rows(objs: DataFrame, acts: DataFrame, entries: DataFrame, dictionar
 
     content = entries.where("not (size(path) = 1 and path[0] = 'participants')")
     third = content.select("memory_id", F.posexplode(F.when(conditional, of_entry(V.CONDITIONAL)).otherwise(of_entry(""))).alias("k", "p"), "src", "is_goal", "_o")
-    rows = cut(first.unionByName(second).unionByName(third).select("memory_id", F.col("p.term").alias("term"), "k", "src", "is_goal", "_o"))  # read twice below
+    rows = stored(first.unionByName(second).unionByName(third).select("memory_id", F.col("p.term").alias("term"), "k", "src", "is_goal", "_o"))  # read twice below
     # a base term is followed by the terms of its aliases, whole and by word
     kinds = F.create_map(*(F.lit(x) for pair in (("object", "object_aliases"), ("action", "action_aliases"), ("attribute", "attribute_component_aliases"), ("value", "value_aliases")) for x in pair))
     plain = F.regexp_replace(term_prefix("term"), f"^{V.CONDITIONAL}", "")
     bases = rows.withColumn("kind", F.try_element_at(kinds, plain)).withColumn("base", term_phrase("term")).where("kind is not null")
-    spread = bases.join(F.broadcast(dictionary.select("kind", "base", "alias", "rank")), ["kind", "base"])  # the alias dictionary is a reference table
+    spread = bases.join(dictionary.select("kind", "base", "alias", "rank"), ["kind", "base"])
     expanded = F.concat(F.array(F.concat(term_prefix("term"), F.lit("_expanded:"), "alias")), F.transform(tokens("alias"), lambda w: F.concat(term_prefix("term"), F.lit("_expanded_token:"), w)))
     more = spread.select("memory_id", "k", "src", "is_goal", "_o", F.col("rank").alias("r"), F.posexplode(expanded).alias("j", "term"))
     both = rows.withColumn("r", F.lit(0)).withColumn("j", F.lit(0)).unionByName(more.select("memory_id", "term", "k", "src", "is_goal", "_o", "r", "j"))
@@ -175,13 +175,13 @@ def build_index(memories: DataFrame, dictionary: DataFrame, embed: Embedder | No
     Postings, paths and shares are written to the shared folder, as every search reads them again. as_shipped drops the
     postings whose prefix the shipped index does not keep.
     """
-    objs, acts = objects(memories), actions(memories)
-    entries = cut(fullpath(objs, acts, conditions(acts, memories)))
+    objs, acts = stored(objects(memories)), stored(actions(memories))  # walked once, read by each branch below
+    entries = stored(fullpath(objs, acts, conditions(acts, memories)))
     posted = posting_rows(objs, acts, entries, dictionary)
-    posted = cut(postings.whitelisted(posted) if as_shipped else posted)
-    freq = cut(postings.shares(posted.select("term", "memory_id")))
+    posted = stored(postings.whitelisted(posted) if as_shipped else posted)
+    freq = stored(postings.shares(posted.select("term", "memory_id")))
     paths = _numbered(entries, [F.col("_o"), F.array_join("path", "."), F.col("value"), F.col("state_type")]).drop("_o")
-    paths = cut(paths.withColumn("seq", F.xxhash64("memory_id", "seq")))  # one number for an entry in the whole index
+    paths = stored(paths.withColumn("seq", F.xxhash64("memory_id", "seq")))  # one number for an entry in the whole index
     sizes = object_leaves(objs).where("kind = 'measure'").select("memory_id", F.col("obj_id").alias("object_id"), F.array_join("path", ".").alias("path"), number_of(F.col("value")).alias("numeric"), unit_of(F.col("value")).alias("unit"), F.concat_ws("|", F.lit("object"), "obj_id", "template").alias("src"), F.col("obj_ix").alias("seq")).where("numeric is not null")
     placed = objs.select("memory_id", "obj_id", "template", "relation", "relationr", "relative_to", "obj_ix")
     return Index(posted, paths, sizes, placed, dictionary, A.alias_terms(dictionary), freq, postings.unmatchable_components(freq), embed or hashed_ngrams())

@@ -46,10 +46,11 @@ def shares(occurrences: DataFrame, term: str = "term", memory: str = "memory_id"
     each = occurrences.groupBy(term, memory).agg(F.count("*").alias("_n"))
     found = each.groupBy(term).agg(F.sum("_n").alias("occurrences"), F.count("*").alias("memory_count"))
     whole = each.groupBy(memory).agg(F.sum("_n").alias("_n")).agg(F.sum("_n").alias("_all"), F.count("*").alias("_memories"))
-    return _percentages(found.crossJoin(F.broadcast(whole)))  # one row
+    return percentages(found.crossJoin(F.broadcast(whole)))  # one row
 
 
-def _percentages(counted: DataFrame) -> DataFrame:
+def percentages(counted: DataFrame) -> DataFrame:
+    """counted (occurrences, memory_count, _all, _memories) with the shares of all occurrences and memories."""
     out = counted.withColumn("occurrence_percentage", F.round(F.col("occurrences") / F.col("_all") * 100, 6))
     return out.withColumn("memory_percentage", F.round(F.col("memory_count") / F.col("_memories") * 100, 6)).drop("_all", "_memories")
 
@@ -64,7 +65,7 @@ def shares_of(counted: DataFrame) -> DataFrame:
     """shares of the asked tokens alone; counted: as asked_tokens gives it."""
     found = counted.where("token is not null").groupBy(F.col("token").alias("term")).agg(F.sum("n").alias("occurrences"), F.count("*").alias("memory_count"))
     whole = counted.groupBy("memory_id").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("_all"), F.count("*").alias("_memories"))
-    return _percentages(found.crossJoin(F.broadcast(whole)))  # one row
+    return percentages(found.crossJoin(F.broadcast(whole)))  # one row
 
 
 def gate(percentage: Column) -> Column:

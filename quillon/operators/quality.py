@@ -108,7 +108,7 @@ def with_placeholders(participants: DataFrame, objects: DataFrame) -> DataFrame:
 def set_restricted(records: DataFrame, mapping: DataFrame) -> DataFrame:
     """records (relation, relationr) with relationr from the mapping (relation, restricted) where it is missing; others keep theirs."""
     named = mapping.select(F.lower(F.trim("relation")).alias("_r"), F.col("restricted").alias("_m")).groupBy("_r").agg(F.min("_m").alias("_m"))
-    out = records.withColumn("_k", F.lower(F.trim("relation"))).join(F.broadcast(named), F.col("_k") == F.col("_r"), "left")  # the mapping is a reference table
+    out = records.withColumn("_k", F.lower(F.trim("relation"))).join(named, F.col("_k") == F.col("_r"), "left")
     own = F.when(F.col("relationr").isin(*SPATIAL_RELATIONS, "none", "from"), F.col("relationr"))
     return out.withColumn("relationr", F.coalesce(own, "_m")).drop("_k", "_r", "_m")
 

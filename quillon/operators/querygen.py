@@ -92,7 +92,7 @@ def with_aliases(terms: DataFrame, aliases: DataFrame, most: int = 10) -> DataFr
     """terms with the expanded terms of their aliases, at most ten of a base."""
     prefix = F.create_map(*(F.lit(x) for pair in (("object_aliases", "object"), ("action_aliases", "action"), ("attribute_component_aliases", "attribute"), ("value_aliases", "value")) for x in pair))
     named = aliases.where(F.col("rank") <= most).select(F.concat(F.try_element_at(prefix, "kind"), F.lit(":"), "base").alias("query_term"), F.concat(F.try_element_at(prefix, "kind"), F.lit("_expanded:"), clean_alias("alias")).alias("_e")).where("query_term is not null")
-    more = terms.join(F.broadcast(named), "query_term").select("query_id", F.col("_e").alias("query_term"), "weight")  # the alias dictionary is a reference table
+    more = terms.join(named, "query_term").select("query_id", F.col("_e").alias("query_term"), "weight")
     return terms.unionByName(more)
 
 

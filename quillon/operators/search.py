@@ -21,6 +21,7 @@ from quillon.functions.units import in_base_unit, number_of, quantity_of, unit_o
 from quillon.operators import postings as P
 from quillon.operators import ranking
 from quillon.operators.similarity import similar_terms
+from quillon.session import stored
 
 CONTRIBUTION = ["memory_id", "object_id", "query_term", "matched_term", "score", "mode", "src", "term_type", "similarity", "alias_used", "seq"]
 FULLPATH = "memory_id string, action string, object string, path array<string>, op string, value string, items array<string>, state_type string, src string, is_goal boolean, seq long"
@@ -74,8 +75,9 @@ def similar_hits(ix: Index, queries: DataFrame) -> DataFrame:
     """Postings of terms that are similar to asked ones which are nowhere in the index."""
     asked = queries.where("family <> 'exact'")
     known = ix.postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").select("term").distinct()  # as many as are asked for
-    loose = asked.join(F.broadcast(known), "term", "left_anti")
-    vocabulary = ix.postings.select("term", "prefix", "phrase").distinct().select("term", _group(F.col("prefix")).alias("g"), ix.embed(F.col("phrase")).alias("vec"))
+    loose = asked.join(known, "term", "left_anti")
+    words = ix.postings.select("term").distinct() if ix.freq is None else ix.freq.select("term")  # a row a term
+    vocabulary = words.select("term", _group(term_prefix("term")).alias("g"), ix.embed(term_phrase("term")).alias("vec"))
     asked_vectors = loose.select(F.concat_ws("\u0001", _group(F.col("prefix")), "phrase").alias("query"), ix.embed(F.col("phrase")).alias("vec")).distinct()
     near = similar_terms(asked_vectors, vocabulary.select(F.concat_ws("\u0001", "g", "term").alias("term"), "vec"))
     cut_at = lambda c, k: F.split(c, "\u0001")[k]
@@ -145,7 +147,7 @@ def verb_matches(ix: Index, queries: DataFrame) -> DataFrame:
     names = verbs.select("phrase").distinct().select(F.col("phrase").alias("term"), ix.embed(F.col("phrase")).alias("vec"))
     near = similar_terms(asked.select(F.col("phrase").alias("query"), ix.embed(F.col("phrase")).alias("vec")).distinct(), names)
     near = near.withColumn("exact", F.col("query") == F.col("term"))
-    hits = verbs.drop("prefix").join(F.broadcast(near.withColumnRenamed("term", "phrase")), "phrase").join(F.broadcast(asked.select("query_term", F.col("phrase").alias("query"), F.col("prefix"), "goal_query")), "query")
+    hits = verbs.drop("prefix").join(near.withColumnRenamed("term", "phrase"), "phrase").join(F.broadcast(asked.select("query_term", F.col("phrase").alias("query"), F.col("prefix"), "goal_query")), "query")
     exact, fuzzy = V.VERB_SCORES
     score = F.when(F.col("exact"), exact).otherwise(fuzzy) * F.when(F.col("goal_query") | F.col("is_goal"), 1.0).otherwise(2.0)
     found = _contributions(hits.withColumn("matched", F.col("term")).withColumn("similarity", F.col("sim")).withColumn("alias_used", F.lit(False)), score, F.when(F.col("exact"), "verb_exact").otherwise("verb_fuzzy"))
@@ -263,12 +265,12 @@ def contributions(ix: Index, terms: DataFrame) -> DataFrame:
     """All matches of (query_term, position) terms, with query_base, before any cap."""
     queries = prepared(terms)
     special = F.col("prefix").isin("fullpath", "position_unit", "spatial", *V.VERB_CAPS) | ((F.col("prefix") == "attribute_value") & F.col("phrase").rlike("^(dimensions\\.(length|width|height_thickness)|weight|mass|volume)="))
-    hits = _hits(ix, queries.where(~special))
+    hits = stored(_hits(ix, queries.where(~special)))  # what the terms meet, read by three ways of matching
     parts = [component_and_token_matches(ix, hits), name_matches(ix, hits), exact_matches(hits), verb_matches(ix, queries), fullpath_matches(ix, queries), measurement_matches(ix, queries), position_matches(ix, queries), spatial_matches(ix, queries)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part.select(*CONTRIBUTION))
-    named = out.join(ix.alias_terms.withColumnsRenamed({"alias_term": "query_term", "base_term": "_base"}), "query_term", "left")
+    named = stored(out).join(ix.alias_terms.withColumnsRenamed({"alias_term": "query_term", "base_term": "_base"}), "query_term", "left")
     return named.withColumn("query_base", F.coalesce("_base", "query_term")).drop("_base")
 
 

@@ -38,7 +38,7 @@ def keep_best(df: DataFrame, keys: list[str], score: str, ties: list[str]) -> Da
 def verb_actions(actions: DataFrame, asked: DataFrame) -> DataFrame:
     """(verb, action_id), once each, of the actions whose own or general verb is asked for. actions: action_id, verb, general_verb; asked: verb."""
     names = F.explode(F.array_distinct(F.filter(F.array("verb", "general_verb"), lambda v: v.isNotNull())))
-    return actions.select("action_id", names.alias("verb")).join(F.broadcast(asked.select("verb").distinct()), "verb").select("verb", "action_id").distinct()
+    return actions.select("action_id", names.alias("verb")).join(asked.select("verb").distinct(), "verb").select("verb", "action_id").distinct()
 
 
 def of_memories(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
@@ -48,7 +48,7 @@ def of_memories(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
 
 def candidates(effects: DataFrame, subgoals: DataFrame, score: Column, n: int = CANDIDATES, threshold: float = SUBGOAL_THRESHOLD) -> DataFrame:
     """The n best actions for each subgoal by their best effect. Both sides share object; score sees g_path, g_op, g_value."""
-    pairs = effects.join(F.broadcast(subgoals.withColumnsRenamed({"path": "g_path", "op": "g_op", "value": "g_value"})), "object")  # the asked subgoals
+    pairs = effects.join(subgoals.withColumnsRenamed({"path": "g_path", "op": "g_op", "value": "g_value"}), "object")
     scored = pairs.withColumn("score", score).where(F.col("score") >= threshold)
     each = scored.groupBy("subgoal_id", "action_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("subgoal_id").orderBy(F.desc("score"), "action_id"))
@@ -103,7 +103,7 @@ def condition_pairs(effects: DataFrame, subgoals: DataFrame, object_score: Colum
 
     The scores see the effect's columns and the subgoal's as g_path, g_op, g_value.
     """
-    pairs = effects.join(F.broadcast(subgoals.withColumnsRenamed({"path": "g_path", "op": "g_op", "value": "g_value"})), "object")  # the asked subgoals
+    pairs = effects.join(subgoals.withColumnsRenamed({"path": "g_path", "op": "g_op", "value": "g_value"}), "object")
     score = object_score * path_score * F.when(value_score > 0, value_score).otherwise(0.2)
     reason = F.when(path_score == 0, "another path").when(value_score == 0, "another value").when(object_score < 1, "a like object").when(value_score < 1, "a near value").otherwise("equal")
     return pairs.select("subgoal_id", "action_id", F.when(path_score > 0, score).otherwise(0.0).alias("score"), reason.alias("reason"))

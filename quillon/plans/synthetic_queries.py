@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillon.operators import geometry, ingest, planning, postings, scene, search, shapes, timeline
 from quillon.plans.registry import query
-from quillon.session import table
+from quillon.session import stored, stored_folder, table
+from quillon.sources.index_store import IndexStore
 
 ALIASES = [("object_aliases", "account", "profile", 1), ("action_aliases", "purchase", "buy", 1), ("attribute_component_aliases", "last", "latest", 1), ("value_aliases", "signup", "registration", 1)]
 TERMS = ["object:account", "object_expanded:profile", "action_token:purchase", "attribute:last", "value:signup", "value:registrations", "goalstate:value:purchase", "verb_target:purchase", "position_unit:a:near:near:shop", "spatial:near(account,market)", 'fullpath:{"path":["mood","last"],"op":"eq","value":"purchase"}', "attribute_value:dimensions.length=20cm", "attribute_value:dimensions.width=10cm", "attribute_value:dimensions.height_thickness=5cm", "attribute_value:volume=1000cm^3"]
@@ -60,6 +61,19 @@ def memory_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.shares(index_of(spark, sf_dir).postings.select("term", "memory_id"))
 
 
+@query(f"""WITH {POSTED_SQL} SELECT term, count(*) AS occurrences, count(DISTINCT user_id) AS memory_count, round(count(*)::DOUBLE / (SELECT count(*) FROM posted) * 100, 6) AS occurrence_percentage,
+round(count(DISTINCT user_id)::DOUBLE / (SELECT count(*) FROM u) * 100, 6) AS memory_percentage FROM posted GROUP BY term""")
+def segmented_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of an index that was filled in two batches, which overlap in every third user."""
+    store = IndexStore(spark, stored_folder(spark))
+    dictionary = spark.createDataFrame(ALIASES, "kind string, base string, alias string, rank int")
+    users = F.substring("memory_id", 2, 20).cast("long") % 3
+    memories = stored(memories_of(spark, sf_dir))
+    store.append(memories.where(users < 2), dictionary)
+    store.append(memories.where(users > 0), dictionary)
+    return store.frequencies()
+
+
 #: Every match of TERMS by its rule, then the chain of settling. Terms whose share makes them unmatchable (attribute:last, action_token:purchase) add nothing.
 SEARCH_SQL = """
 WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),

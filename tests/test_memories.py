@@ -185,3 +185,29 @@ def test_shipped_index_drops_prefixes(spark, rows):
     dictionary = spark.createDataFrame([], "kind string, base string, alias string, rank int")
     kept = {r.prefix for r in ingest.build_index(rows, dictionary, as_shipped=True).postings.select("prefix").distinct().collect()}
     assert "value" in kept and "object_token" in kept and not kept & {"object", "action", "category", "material"}
+
+
+def test_index_that_grows_by_segments(spark, tmp_path):
+    from quillon.plans import synthetic_queries
+    from quillon.sources.index_store import IndexStore
+
+    memories = synthetic_queries.memories_of(spark, "/root/testdata/sf0.001").orderBy("memory_id").limit(9).cache()
+    ids = [r.memory_id for r in memories.select("memory_id").collect()]
+    dictionary = spark.createDataFrame(synthetic_queries.ALIASES, "kind string, base string, alias string, rank int")
+    store = IndexStore(spark, f"{tmp_path}/index")
+    batch = lambda part: memories.where(F.col("memory_id").isin(*part))
+    first = store.append(batch(ids[:4]), dictionary)
+    (tmp_path / "index" / first / "postings").rename(tmp_path / "away")  # a batch is added without reading the postings that are there
+    assert store.append(batch(ids[2:7]), dictionary) and store.append(batch(ids[:7]), dictionary) is None
+    (tmp_path / "away").rename(tmp_path / "index" / first / "postings")
+    store.append(batch(ids[7:]), dictionary)
+    assert len(store.segments()) == 3 and sum(store.segments().values()) == store.table("postings").count()
+    whole = ingest.build_index(memories, dictionary)
+    told = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert told(store.frequencies()) == told(whole.freq.select(*store.frequencies().columns))
+    terms = spark.createDataFrame([("object:account", 0), ("value:signups", 1), ("verb_target:purchase", 2)], "query_term string, position int")
+    want = told(search.search(whole, terms, top=None))
+    assert want and told(search.search(store.open(dictionary), terms, top=None)) == want
+    assert store.compact(fan=10**6) == [] and len(store.compact(fan=3)) <= 1
+    orders = store.segments()
+    assert told(store.frequencies()) == told(whole.freq.select(*store.frequencies().columns)) and sum(orders.values()) == store.table("postings").count()
