@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quillon.functions.embedding import Embedder, hashed_ngrams
 from quillon.functions.scoring import dot
 from quillon.functions.text import normal_name, words
+from quillon.operators.similarity import similar_terms
 
 K1, B = 1.5, 0.75
 #: Least blend of both ranks for a template to be taken, and of an action's name and trajectory together.
@@ -42,9 +43,24 @@ def blended(names: DataFrame, documents: DataFrame, embed: Embedder | None = Non
 
 
 def best_template(names: DataFrame, documents: DataFrame, threshold: float = NAME_THRESHOLD, embed: Embedder | None = None) -> DataFrame:
-    """(name, id, score) of the best template of each name that reaches the threshold."""
-    first = Window.partitionBy("name").orderBy(F.desc("score"), "id")
-    return blended(names, documents, embed).where(F.col("score") >= threshold).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    """(name, id, score) of the best template of each name that reaches the threshold.
+
+    Neither half of a blend is over 1, so a blend of the threshold needs both halves from twice the threshold less 1 on. Only
+    documents whose lexical half is so high are embedded and compared, where that is above 0; no pair is formed that shares no word.
+    """
+    first = Window.partitionBy("name").orderBy(F.desc(F.round("score", 9)), "id")
+    least = 2 * threshold - 1
+    found = blended(names, documents, embed) if least <= 0 else _bounded(names, documents, least - 1e-9, embed or hashed_ngrams())
+    return found.where(F.col("score") >= threshold).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def _bounded(names: DataFrame, documents: DataFrame, least: float, embed: Embedder) -> DataFrame:
+    """blended, of the pairs whose lexical half reaches least."""
+    lexical = bm25(names, documents.select("id", words("text").alias("words")))
+    scaled = lexical.withColumn("lex", F.col("bm25") / F.max("bm25").over(Window.partitionBy("name"))).where(F.col("lex") >= least)
+    both = scaled.join(documents.select("id", "text"), "id")
+    cos = dot(embed(F.col("text")), embed(F.col("name")))
+    return both.select("name", "id", ((F.col("lex") + cos) / 2).alias("score"))
 
 
 def trajectory_score(name: str = "t1", other: str = "t2", embed: Embedder | None = None):
@@ -62,7 +78,7 @@ def resolve(names: DataFrame, templates: DataFrame, aliases: DataFrame, threshol
     rest = asked.join(exact, "name", "left_anti")
     alias = rest.join(aliases.select(normal_name("alias").alias("n"), F.col("base").alias("template")), "n").groupBy("name").agg(F.min("template").alias("template")).withColumn("how", F.lit("alias"))
     rest = rest.join(alias, "name", "left_anti").select("name", embed(F.col("name")).alias("q"))
-    near = templates.select("template", embed(F.col("template")).alias("v")).crossJoin(F.broadcast(rest))  # stated names
-    near = near.select("name", "template", dot(F.col("v"), F.col("q")).alias("s")).where(F.col("s") >= threshold)
+    named = templates.select(F.col("template").alias("term")).distinct().select("term", embed(F.col("term")).alias("vec"))
+    near = similar_terms(rest.select(F.col("name").alias("query"), F.col("q").alias("vec")), named, threshold).select(F.col("query").alias("name"), F.col("term").alias("template"), F.col("sim").alias("s"))
     near = near.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("s"), "template"))).where("_n = 1").select("name", "template", F.lit("similar").alias("how"))
     return exact.unionByName(alias).unionByName(near)

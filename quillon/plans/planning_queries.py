@@ -173,6 +173,13 @@ def state_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.resolved_in_state(wanted, objects, scored)
 
 
+@query("""WITH p AS (SELECT 'q' || o_custkey % 40 AS query_id, o_orderkey, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT query_id, min(n) AS n_actions FROM p WHERE n > 2 GROUP BY query_id""")
+def shortest_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each query the shortest order of more than two lines, by its length."""
+    plans = _lines(spark, sf_dir).groupBy("query_id", F.col("memory_id").alias("plan_id")).agg(F.count("*").alias("n_actions"))
+    return planning.shortest_above(plans, 2).select("query_id", "n_actions")
+
+
 def asked_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A structured query of each order: the customer as an object, a line's flag as the target action, its status as context."""
     first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")).alias("l"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import scoring, text, units
@@ -241,6 +241,32 @@ def bm25_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.bm25(names, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split(F.lower("p_name"), r"\s+").alias("words"))).select("name", F.col("id").alias("p_partkey"), F.round("bm25", 6).alias("bm25"))
 
 
+_COUNTS_SQL = "[" + ", ".join(f"(length(x) - length(replace(x, '{c}', '')))::DOUBLE" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
+
+
+def letters(phrase: Column) -> Column:
+    """An embedder that SQL has too: counts of letters, normalised."""
+    low = F.lower(phrase)
+    counts = F.array(*((F.length(low) - F.length(F.replace(low, F.lit(c)))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"))
+    return text.let(counts, lambda c: text.let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.transform(c, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))))
+
+
+@query(f"""WITH t AS (SELECT p_partkey, unnest(string_split_regex(lower(p_name), '\\s+')) AS w FROM part),
+d AS (SELECT p_partkey, count(*) AS dl FROM t GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
+tf AS (SELECT p_partkey, w, count(*) AS f FROM t GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+q AS (SELECT DISTINCT name, w FROM (SELECT name, unnest(string_split(name, ' ')) AS w FROM (VALUES {", ".join(f"('{n}')" for n in NAMES)}) v(name))),
+b AS (SELECT name, p_partkey, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS bm25 FROM q JOIN tf USING (w) JOIN df USING (w) JOIN d USING (p_partkey), st GROUP BY name, p_partkey),
+l AS (SELECT name, p_partkey, bm25 / max(bm25) OVER (PARTITION BY name) AS lex FROM b),
+x AS (SELECT DISTINCT lower(p_name) AS x FROM part UNION SELECT DISTINCT name FROM q), v AS (SELECT x, {_COUNTS_SQL} AS c FROM x), n AS (SELECT x, list_transform(c, lambda y: y / sqrt(list_inner_product(c, c))) AS c FROM v),
+s AS (SELECT DISTINCT name, p.p_partkey, (coalesce(lex, 0) + list_inner_product(a.c, b.c)) / 2 AS score FROM part p CROSS JOIN (SELECT DISTINCT name FROM q) m JOIN n a ON a.x = lower(p_name) JOIN n b ON b.x = m.name LEFT JOIN l ON l.name = m.name AND l.p_partkey = p.p_partkey)
+SELECT name, p_partkey, round(score, 6) AS score FROM s WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY name ORDER BY round(score, 9) DESC, p_partkey) = 1""".replace("SELECT DISTINCT name, p.p_partkey", "SELECT m.name, p.p_partkey"))
+def best_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best part for each stated name by words and letters together."""
+    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
+    found = templates.best_template(names, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), embed=letters)
+    return found.select("name", F.col("id").alias("p_partkey"), F.round("score", 6).alias("score"))
+
+
 @query("""SELECT event_id, k AS path, v AS value FROM (SELECT event_id, unnest(json_keys(props::JSON)) AS k, props FROM events WHERE props IS NOT NULL AND json_valid(props)) t, LATERAL (SELECT json_extract_string(t.props, '$."' || t.k || '"') AS v)""")
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaves of every event's JSON."""
