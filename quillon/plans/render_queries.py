@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import render
+from quillon.operators import geometry, render, scene
 from quillon.plans.registry import query
 from quillon.session import table
 
@@ -64,3 +64,38 @@ def scene_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     scenes = scenes_of(spark, sf_dir)
     cameras = scenes.select("scene_id", point(EYE).alias("eye"), point(TARGET).alias("target"))
     return render.render(scenes, cameras, WIDTH, HEIGHT).select("scene_id", "x", "y", F.round("depth", 9).alias("depth"), "object_id", "r", "g", "b")
+
+
+_STOOD_SQL = """b AS (SELECT p_partkey // 8 AS s, p_partkey % 8 AS i, lpad(p_partkey::VARCHAR, 10, '0') AS id, (p_partkey % 4 * 12)::DOUBLE AS x, (p_partkey // 4 % 2 * 15)::DOUBLE AS y, p_size::DOUBLE / 4 AS z, (p_size % 7 + 3)::DOUBLE / 2 AS a, (p_size % 5 + 4)::DOUBLE / 2 AS b, (p_size % 11 + 2)::DOUBLE / 2 AS c FROM part),
+w AS (SELECT s FROM b GROUP BY s HAVING count(*) = 8),
+e AS (SELECT * FROM b JOIN w USING (s)),
+m AS (
+  SELECT s, id, x + CASE i WHEN 0 THEN 6 ELSE 5 END AS x, y, z, a, b, c FROM e WHERE i < 2 UNION ALL SELECT s, id, x, y, z, 2 * a, b, c FROM e WHERE i = 2 UNION ALL SELECT s, id, x, y, z, b, a, c FROM e WHERE i = 3
+  UNION ALL SELECT s, 'new', 1, 2, 3, 1, 1, 1 FROM w),
+l AS (SELECT s, id, [x - a, y - b, z - c, x + a, y + b, z + c] AS box FROM m UNION ALL SELECT s, 'whole', [min(x - a), min(y - b), min(z - c), max(x + a), max(y + b), max(z + c)] FROM e WHERE i IN (4, 5) GROUP BY s)"""
+
+
+def _operations(scenes: DataFrame) -> DataFrame:
+    """(scene_id, op_ix, op): what is done to the eight boxes of a scene."""
+    ids = F.from_json(F.get_json_object("scene", "$.objects[*].object_id"), "array<string>")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else ids[p] for p in parts))
+    ops = [
+        text('{"op":"attach","object_id":"', 1, '","parent_id":"', 0, '"}'), text('{"op":"move","object_id":"', 0, '","delta":[5,0,0]}'), text('{"op":"detach","object_id":"', 1, '"}'), text('{"op":"move","object_id":"', 0, '","delta":[1,0,0]}'),
+        text('{"op":"compound","operations":[{"op":"scale","object_id":"', 2, '","factor":[2,1,1]},{"op":"rotate","object_id":"', 3, '","rotation":[0,0,0.7071067811865476,0.7071067811865476]}]}'),
+        text('{"op":"merge","object_ids":["', 4, '","', 5, '"],"new_id":"whole"}'), text('{"op":"chain_split","object_id":"', 6, '","axis":[1,0,0],"range":[20,28],"count":4}'),
+        text('{"op":"add_object","object":{"object_id":"new","transform":{"translation":[1,2,3]},"elements":[]}}'), text('{"op":"add_element","object_id":"new","element":{"element_type":"box","parameters":{"size_x_cm":2,"size_y_cm":2,"size_z_cm":2}}}'),
+        text('{"op":"remove_object","object_id":"', 7, '"}'), text('{"op":"change_properties","object_id":"', 0, '","properties":{"color":"green"}}'), text('{"op":"wait","duration":2.5}'), text('{"op":"emit_event","event":"done"}'), text('{"op":"detach","object_id":"nobody"}'),
+    ]
+    return scenes.select("scene_id", F.posexplode(F.array(*ops)).alias("op_ix", "op"))
+
+
+def _operated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scenes = scenes_of(spark, sf_dir).where(F.size(F.from_json(F.get_json_object("scene", "$.objects[*].object_id"), "array<string>")) == 8)
+    return scene.replay(scenes, _operations(scenes))
+
+
+@query(f"WITH {_STOOD_SQL} SELECT CAST(s AS VARCHAR) AS scene_id, id AS object_id, list_transform(box, lambda v: round(v, 6)) AS box FROM l")
+def scene_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The world boxes of what was attached, moved, detached, scaled, turned, merged and added."""
+    found = geometry.scene_boxes(_operated(spark, sf_dir).select("scene_id", "scene")).where("object_id not like '%\\_%'")  # slabs are measured by samples
+    return found.select("scene_id", "object_id", F.transform(F.concat("box.lo", "box.hi"), lambda v: F.round(v, 6) + 0.0).alias("box"))

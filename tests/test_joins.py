@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.functions.embedding import hashed_ngrams
-from quillon.operators import planning, relations, similarity
+from quillon.operators import planning, relations, similarity, templates
 
 
 def test_near_boxes_meet_in_cells(spark):
@@ -71,3 +71,14 @@ def test_sparse_join_with_negative_components(spark):
     queries = spark.createDataFrame([(f"q{i}", unit(base[i])) for i in range(6)], "query string, vec array<double>")
     told = lambda df: {(r.query, r.term) for r in df.collect()}
     assert told(similarity.similar_terms(queries, terms, 0.8)) == told(similarity.similar_in_cells(queries, terms, 0.8))
+
+
+def test_bounded_template_match_equals_the_cross_join(spark):
+    rng = random.Random(12)
+    words = ["red", "blue", "steel", "small", "ring", "rings", "widget", "cap", "lid"]
+    documents = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))) for i in range(120)], "id int, text string")
+    names = spark.createDataFrame([("red ring",), ("steel lid",), ("unknown thing",), ("blue",)], "name string")
+    whole = {}
+    for r in templates.blended(names, documents).where("score >= 0.75").orderBy(F.desc(F.round("score", 9)), "id").collect():
+        whole.setdefault(r.name, (r.id, round(r.score, 9)))
+    assert {r.name: (r.id, round(r.score, 9)) for r in templates.best_template(names, documents, 0.75).collect()} == whole and len(whole) >= 2
