@@ -22,7 +22,8 @@ PLAN = replace(mixing.PRODUCTION, share=1.0)
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go.
 
-    A null text is scored as the empty one; long texts are scored whole; rows that are alike get one verdict; without any
+    A null text is scored as the empty one, which holds nothing but padding: it stays or goes as the fitted network scores that (over the
+    limit on the given labels, so it stays, and the next stage keeps one of all such); long texts are scored whole; rows that are alike get one verdict; without any
     label all rows stay; an empty table stays empty.
     """
     return quality_cnn.keep_good(docs, table(spark, sf_dir, "labels"))
