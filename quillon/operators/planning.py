@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 from itertools import groupby, islice, product
 
 import pandas as pd
@@ -150,7 +151,10 @@ def simulate(plans: DataFrame, conditions: DataFrame, initial: DataFrame, goals:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(r["plan_id"], *_run_plan(r["rows"])) for r in batch.to_pylist()]
+            lists = batch.column(1)
+            flat, ends = lists.flatten(), lists.offsets.to_pylist()
+            rows = list(zip(*(flat.field(_ROW.index(c)).to_pylist() for c in _ROW), strict=True)) if len(flat) else []
+            out = [(plan, *_run_plan(rows[x - ends[0] : y - ends[0]])) for plan, x, y in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True)]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             types = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["plan_id", "n_steps", "n_violations", "satisfaction", "final"])
@@ -158,24 +162,26 @@ def simulate(plans: DataFrame, conditions: DataFrame, initial: DataFrame, goals:
     return whole.mapInArrow(run, SIMULATED)
 
 
-def _run_plan(rows: list[dict]) -> tuple[int, int, float, str]:
-    """Steps, broken preconditions, satisfaction and final world of one plan's rows, which are in order of step."""
-    world = {(r["object"], r["path"]): r["value"] for r in rows if r["kind"] == "initial"}
+_ROW = ("step", "kind", "object", "path", "value", "state_type", "op", "guard")
+
+
+def _run_plan(rows: list[tuple]) -> tuple[int, int, float, str]:
+    """Steps, broken preconditions, satisfaction and final world of one plan's rows (_ROW), which are in order of step."""
+    world = {(obj, path): value for _, kind, obj, path, value, *_ in rows if kind == "initial"}
     broken, numbers = 0, set()
-    for number, group in groupby((r for r in rows if r["kind"] == "step"), key=lambda r: r["step"]):
+    for number, group in groupby((r for r in rows if r[1] == "step"), key=lambda r: r[0]):
         step = list(group)
         numbers.add(number)
-        broken += sum(not holds(world.get((r["object"], r["path"])), r["op"], r["value"]) for r in step if r["state_type"] == "precondition")
-        for r in step:
-            if r["state_type"] not in ("new", "conditional_new"):
+        broken += sum(not holds(world.get((obj, path)), op, value) for _, _, obj, path, value, kind, op, _ in step if kind == "precondition")
+        for _, _, obj, path, value, kind, op, guard in step:
+            if kind not in ("new", "conditional_new"):
                 continue
-            if r["state_type"] == "conditional_new" and r["guard"]:
-                g = json.loads(r["guard"])
+            if kind == "conditional_new" and guard:
+                g = json.loads(guard)
                 if not holds(world.get((g.get("object"), g.get("path"))), g.get("op", "eq"), g.get("value")):
                     continue
-            key = r["object"], r["path"]
-            world[key] = str(_number(world.get(key)) + _number(r["value"])) if r["op"] == "+=" else r["value"]
-    met = [holds(world.get((r["object"], r["path"])), r["op"], r["value"]) for r in rows if r["kind"] == "goal"]
+            world[obj, path] = str(_number(world.get((obj, path))) + _number(value)) if op == "+=" else value
+    met = [holds(world.get((obj, path)), op, value) for _, kind, obj, path, value, _, op, _ in rows if kind == "goal"]
     return len(numbers), broken, sum(met) / len(met) if met else 1.0, json.dumps(sorted([o, p, v] for (o, p), v in world.items()))
 
 
@@ -200,6 +206,7 @@ def holds(actual: str | None, op: str | None, wanted: str | None) -> bool:
     return op != "+=" and a == w
 
 
+@lru_cache(1 << 16)
 def _plain(value: object) -> object:
     if value is None or (isinstance(value, float) and value != value):
         return None

@@ -87,7 +87,7 @@ def test_simulation():
         row("step", 1, "precondition", "lid", "eq", "closed"), row("step", 1, "new", "n", "+=", "2"),
         row("step", 2, "conditional_new", "lid", "eq", "open", json.dumps({"object": "o", "path": "n", "op": "gt", "value": "2"})), row("step", 3, "conditional_new", "lid", "eq", "shut", json.dumps({"object": "o", "path": "n", "value": "9"})),
     ]
-    steps, broken, satisfaction, final = planning._run_plan(rows)
+    steps, broken, satisfaction, final = planning._run_plan([tuple(r.get(c) for c in planning._ROW) for r in rows])
     assert (steps, broken, satisfaction) == (3, 1, 1.0) and json.loads(final) == [["o", "lid", "open"], ["o", "n", "3.0"]]
 
 
