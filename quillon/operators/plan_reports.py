@@ -106,8 +106,8 @@ def simple(plans: DataFrame, actions: DataFrame, when: str, details: Mapping[str
     return out.unionByName(_placed(told, ["query_id"], 1, F.col("_group"), F.col("_place"), lines))
 
 
-def full(stages: DataFrame, candidates: DataFrame, seeds: DataFrame, trace: DataFrame, when: str, plans: DataFrame) -> DataFrame:
-    """(query_id, part, group, plan, line, text): each stage's candidates, seeds and followed subgoals.
+def full(stages: DataFrame, candidates: DataFrame, seeds: DataFrame, trace: DataFrame, when: str, plans: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """(query_id, part, group, plan, line, text): each stage's candidates, seeds and followed subgoals, then the plans as `simple` tells them (summaries).
 
     stages: query_id, stage, memories; candidates: query_id, stage, verb, action_id, instance_id, score, verb_score, object_score; seeds:
     query_id, stage, seed, instance_id, plan_length, failure; trace: query_id, stage, depth, subgoal, action_id, score,
@@ -141,7 +141,12 @@ def full(stages: DataFrame, candidates: DataFrame, seeds: DataFrame, trace: Data
         F.array(F.concat(F.lit("  depth="), _text(F.col("depth")), F.lit(" subgoal="), _text(F.col("subgoal")))), F.when(F.size("c") == 0, F.array(F.lit("    failure: no_candidates"))).otherwise(F.array().cast("array<string>")),
         F.transform("c", lambda c: F.concat(F.lit("    candidate action="), c["action_id"], F.lit(" score="), number(c["score"]))), F.when(F.col("chosen").isNotNull(), F.array(F.concat(F.lit("    SELECTED: "), F.col("chosen")))).otherwise(F.array().cast("array<string>")), F.array(F.lit("")),
     )
-    return out.unionByName(_placed(each.withColumn("_n", place("depth", "subgoal")).join(at, keys), ["query_id"], 1, F.col("_group") * 8 + 5, F.col("_n"), lines))
+    out = out.unionByName(_placed(each.withColumn("_n", place("depth", "subgoal")).join(at, keys), ["query_id"], 1, F.col("_group") * 8 + 5, F.col("_n"), lines))
+    if summaries is None:
+        return out
+    title = F.array(F.lit(""), F.lit("PLAN-LEVEL TRACES (grouped)"), F.lit(DOUBLE), F.lit(""))
+    out = out.unionByName(_placed(queries, ["query_id"], 2, F.lit(0), F.lit(-1), title))
+    return out.unionByName(summaries.where("part = 1").withColumn("part", F.lit(2)))
 
 
 def write(report: DataFrame, folder: str) -> None:

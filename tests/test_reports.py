@@ -20,7 +20,9 @@ def test_files_of_both_layouts(spark, tmp_path):
     candidates = spark.createDataFrame([("q", "all", "open", "a1", "i1", 1.2, 1.0, 0.2), ("q", "all", "open", "a2", "i2", 2.0, 1.0, 1.0)], "query_id string, stage string, verb string, action_id string, instance_id string, score double, verb_score double, object_score double")
     seeds = spark.createDataFrame([("q", "top10", "a2", "i2", 3, None)], "query_id string, stage string, seed string, instance_id string, plan_length int, failure string")
     trace = spark.createDataFrame([("q", "all", 1, "lid open", "a2", 0.9, True), ("q", "all", 1, "lid open", "a1", 0.4, False), ("q", "all", 2, "lid there", None, None, None)], "query_id string, stage string, depth int, subgoal string, action_id string, score double, selected boolean")
-    text = [r.text for r in plan_reports.full(stages, candidates, seeds, trace, "now", plans).orderBy("query_id", "part", "group", "plan", "line").collect()]
+    summaries = plan_reports.simple(plans, actions, "now", details)
+    text = [r.text for r in plan_reports.full(stages, candidates, seeds, trace, "now", plans, summaries).orderBy("query_id", "part", "group", "plan", "line").collect()]
     first, second = text.index("Stage: all  (batch_index=0)"), text.index("Stage: top10  (batch_index=1)")
     assert first < text.index("  verb=open action=a2 instance=i2") < text.index("  verb=open action=a1 instance=i1") < text.index("  depth=1 subgoal=lid open") < text.index("    SELECTED: a2") < text.index("    failure: no_candidates") < second
     assert second < text.index("  seed=a2 instance=i2 plan_length=3 failure=None") and text[3] == "Total plans: 3"
+    assert second < text.index("PLAN-LEVEL TRACES (grouped)") < text.index("--- PLAN 1 ---") and text.count("SCORE BREAKDOWN") == 3
