@@ -241,7 +241,8 @@ def kept_clouds(elements: DataFrame, folder: str, n: int = SAMPLES) -> DataFrame
         new = wanted
     fresh = clouds(elements.join(new.groupBy("cloud_key").agg(F.min("shape_id").alias("shape_id")), "shape_id", "left_semi"), n)
     fresh.select("cloud_key", "points").write.mode("append").parquet(folder)
-    return wanted.join(spark.read.parquet(folder), "cloud_key").select("shape_id", "points", "cloud_key")
+    kept = spark.read.parquet(folder).dropDuplicates(["cloud_key"])  # two writers may have added the same cloud
+    return wanted.join(kept, "cloud_key").select("shape_id", "points", "cloud_key")
 
 
 def shape_similarities(elements: DataFrame, pairs: DataFrame, n: int = SAMPLES) -> DataFrame:

@@ -7,6 +7,7 @@ object pickles, and a table's folder is the unit of replacement.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,9 +177,9 @@ def write_scenes(scenes: DataFrame, path: str) -> None:
     """Scenes as lines in the scene format, each in its envelope."""
     from quillon.operators.geometry import unwrapped, wrapped
 
-    @F.udf("string")
-    def told(text: str) -> str:
-        return wrapped(unwrapped(text))
+    @F.pandas_udf("string")
+    def told(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: wrapped(unwrapped(text)))
 
     scenes.select(told("scene").alias("value")).write.mode("overwrite").text(path)
 
