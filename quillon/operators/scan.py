@@ -51,7 +51,7 @@ def joined(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str, to
     which no key can fill. The weight is not in the result.
     """
     hot = table.where(F.col(weight) * HOT > total).drop(weight).withColumn("_hot", F.lit(True))
-    cold = table.where(F.col(weight) * HOT <= total).drop(weight)
+    cold = table.where(F.col(weight) * HOT <= total).drop(weight).hint("merge")
     met = rows.join(F.broadcast(hot), list(on), "left")
     rest = met.where("_hot is null").select(*rows.columns).join(cold, list(on), how)
     return met.where("_hot").select(*rest.columns).unionByName(rest)

@@ -18,6 +18,17 @@ def test_thousand_deep_in_ten_rounds(spark, monkeypatch):
     assert {k for k, r in found.items() if r.depth is None} == {"c0", "c1", "c2", "hung", "self"} and found["stray"].depth == 0
 
 
+def test_ways_around_a_cycle_go_no_further(spark, monkeypatch):
+    """A cycle of four beside five thousand single nodes: ways grow with the cycle, not with the number of nodes."""
+    rounds, met = [], hierarchy._met
+    monkeypatch.setattr(hierarchy, "_met", lambda *a: rounds.append(1) or met(*a))
+    rows = [(i, (i + 1) % 4) for i in range(4)] + [(10 + i, 9 + i if i else 0) for i in range(7)] + [(100 + i, 50) for i in range(5000)] + [(50, None)]
+    path = {"path": (F.col("id").cast("string"), lambda a, b: F.concat_ws(".", a, b))}
+    found = {r.id: r for r in hierarchy.rooted(spark.createDataFrame(rows, "id int, parent int"), [], "id", "parent", path).collect()}
+    assert len(rounds) <= 3 + 5 and len(found) == len(rows)
+    assert {k for k, r in found.items() if r.depth is None and r.path is None} == {*range(4), *range(10, 17)} and found[100].path == "50.100"
+
+
 def test_against_walking_up(spark):
     rng = random.Random(3)
     up = {(s, i): rng.choice([None, 0, 0, 0, rng.randrange(80)]) for s in range(3) for i in range(80)}
