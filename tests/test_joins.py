@@ -33,6 +33,45 @@ def test_near_boxes_meet_in_cells(spark):
     assert relations.links(points.limit(0), ["scene"], wanted=["near"]).count() == 0
 
 
+def test_full_cells_are_dealt_and_small_groups_paired(spark, monkeypatch):
+    """A thousand boxes in one cell are not met in one task, groups of a few boxes are not laid out in cells at all."""
+    rng = random.Random(7)
+    at = lambda: [rng.uniform(0, 40) for _ in range(3)]
+    rows = [(g, i, {"lo": p, "hi": [x + rng.choice([0.5, 6.0]) for x in p]}) for g, n in (("full", 300), ("few", 9)) for i in range(n) for p in [at()]]
+    points = spark.createDataFrame(rows, "scene string, object_id int, box struct<lo array<double>, hi array<double>>")
+    told = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    want = told(relations.links(points, ["scene"]).where(F.col("predicate").isin(*relations.LOCAL)))
+    monkeypatch.setattr(relations, "FULL", 16)
+    assert told(relations.links(points, ["scene"], wanted=relations.LOCAL)) == want
+    cells, grid = [], relations._in_cells
+    monkeypatch.setattr(relations, "_in_cells", lambda levelled, *a: cells.append(levelled) or grid(levelled, *a))
+    assert relations.near_candidates(points, ["scene"]).where("scene = 'few'").count() == 36 and cells[0].select("scene").distinct().collect() == [("full",)]
+    assert relations.between_links(points.where("scene = 'few'"), ["scene"]).count() == sum(1 for r in _triples([r for r in rows if r[0] == "few"]))
+
+
+def _triples(rows):
+    """(source, target, third) by the rule's words."""
+    gap = lambda a, b: sum(max(0.0, a["lo"][k] - b["hi"][k], b["lo"][k] - a["hi"][k]) ** 2 for k in range(3)) ** 0.5
+    longest = lambda b: max(b["hi"][k] - b["lo"][k] for k in range(3))
+    near = lambda a, b: gap(a, b) <= (longest(a) + longest(b)) / 2 * 3.0
+    centre = lambda b, k: (b["lo"][k] + b["hi"][k]) / 2
+    for (_, i, a), (_, j, b), (_, k, c) in product(rows, rows, rows):
+        if i not in (j, k) and j < k and near(a, b) and near(a, c):
+            if any(abs(centre(b, x) - centre(c, x)) > 2 and min(centre(b, x), centre(c, x)) - 2 <= centre(a, x) <= max(centre(b, x), centre(c, x)) + 2 for x in range(3)):
+                yield i, j, k
+
+
+def test_terms_of_a_link_are_the_first_in_order(spark):
+    points = spark.createDataFrame([("s", "a", "t", ["c%d" % i for i in range(6)]), ("s", "b", None, ["d%d" % i for i in range(4)])], "scene string, object_id string, template string, categories array<string>")
+    found = spark.createDataFrame([("s", "on", "a", "b"), ("s", "near", "b", "b")], "scene string, predicate string, source string, target string")
+    got = {}
+    for r in relations.link_terms(points, found, ["scene"], most=25).collect():
+        got.setdefault(r.predicate, []).append(r.term)
+    whole = sorted(f"spatial:on({a},{b})" for a in ("a", "t", *(f"c{i}" for i in range(6))) for b in ("b", *(f"d{i}" for i in range(4))))
+    assert sorted(got["on"]) == whole[:25] and len(got["near"]) == 25
+    assert "Window" not in relations.link_terms(points, found, ["scene"])._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_combined_plans_are_the_best_of_the_product(spark):
     rng = random.Random(6)
     rows = [(q, t, f"p{i}", float(rng.randrange(4))) for q in ("x", "y", "z") for t in range(1, {"x": 5, "y": 2, "z": 4}[q]) for i in range(rng.choice([1, 2, 6]))]
