@@ -16,7 +16,8 @@ w AS (SELECT k, o, arg_min(m, {'n': n, 'm': m}) AS m FROM s JOIN (SELECT DISTINC
 x AS (SELECT k AS plan_id, o AS object, path, value FROM w JOIN v USING (m, o) WHERE value IS NOT NULL)"""
 
 
-def _world(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(steps, actions, leaves) of orders."""
     lines = table(spark, sf_dir, "lineitem")
     action = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey")
     steps = lines.select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("step"), action.alias("action_id"))
@@ -26,21 +27,22 @@ def _world(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("memory_id")
     each = F.array(leaf("price", F.round(F.col("price") * 100).cast("long").cast("string")), leaf("position.relation", F.when(m % 3 == 0, "on")), leaf("position.relative_to", F.concat(F.lit("shelf"), (m % 4).cast("string"))))
     leaves = things.select("memory_id", "object", F.explode(each).alias("l")).select("memory_id", "object", "l.path", "l.value").where("value is not null")
-    return world.of_plans(steps, actions, leaves)
+    return steps, actions, leaves
 
 
 @query(f"WITH {_LEAVES_SQL} SELECT plan_id, count(DISTINCT object) AS n_objects, count(*) AS n_leaves, md5(string_agg(object || '.' || path || '=' || value, ';' ORDER BY object, path)) AS state FROM x GROUP BY plan_id")
 def plan_worlds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The world before each order: the parts of its suppliers, as the first of them has each."""
-    told = F.concat(F.col("object"), F.lit("."), "path", F.lit("="), "value")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("object", "path", told.alias("t")))), lambda x: x["t"]), ";")
-    return _world(spark, sf_dir).groupBy("plan_id").agg(F.count_distinct("object").alias("n_objects"), F.count("*").alias("n_leaves"), F.md5(whole).alias("state"))
+    told = lambda x: F.concat(x["object"], F.lit("."), x["path"], F.lit("="), x["value"])
+    nested = world.nested_of_plans(*_world(spark, sf_dir)).groupBy("plan_id").agg(F.array_sort(F.flatten(F.collect_list("leaves"))).alias("leaves"))
+    objects = F.size(F.array_distinct(F.transform("leaves", lambda x: x["object"]))).cast("long")
+    return nested.select("plan_id", objects.alias("n_objects"), F.size("leaves").cast("long").alias("n_leaves"), F.md5(F.array_join(F.transform("leaves", told), ";")).alias("state"))
 
 
 @query(f"WITH {_LEAVES_SQL} SELECT plan_id, object, max(value) FILTER (path = 'position.relation') AS relation, max(value) FILTER (path = 'position.relative_to') AS relative_to FROM x GROUP BY ALL HAVING count(*) FILTER (path = 'position.relation') > 0")
 def plan_world_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where things stand in the world before each order."""
-    return world.relations_of(_world(spark, sf_dir))
+    return world.relations_of_plans(*_world(spark, sf_dir))
 
 
 @query("""WITH l AS (SELECT 'q' || o_custkey % 40 AS q, 'o' || o_custkey AS o, 'status' AS path, o_orderstatus AS v, o_orderkey AS place FROM orders), i AS (SELECT 'q' || o_custkey % 40 AS q, 'o' || o_custkey AS o, 'status' AS path, 'held' AS v, o_orderkey AS place FROM orders WHERE o_totalprice > 200000),

@@ -1,12 +1,13 @@
 """Scene operations, geometry, shapes, chaining and simulation."""
 
 import json
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import geometry, maps, planning, relations, scene, shapes, similarity
+from quillon.operators import geometry, maps, planning, relations, scene, shapes, similarity, world
 from quillon.plans import synthetic_queries
 
 
@@ -222,3 +223,20 @@ def test_seed_plans_back_out_of_dead_ends(spark):
     for r in sorted(found.collect(), key=lambda r: (r.seed, r.step)):
         plans.setdefault(r.seed, []).append(r.action_id)
     assert plans == {"seed": ["b", "seed"], "free": ["free"]}  # a leads nowhere, b's old state holds; what lost needs only a memory that is not allowed gives
+
+
+def test_worlds_hold_a_row_for_each_memory_of_a_plan(spark):
+    rng = random.Random(4)
+    steps = [(p, i, f"{p}.{i}") for p in range(6) for i in range(5)]
+    stems = [(a, rng.randrange(4)) for _, _, a in steps]
+    leaves = [(m, f"o{i}", path, f"{m}{path}") for m in range(4) for i in range(m, 12, m + 1) for path in ("position.relation", "position.relative_to", "size")[: 3 - i % 2]]
+    frames = spark.createDataFrame(steps, "plan_id int, step int, action_id string"), spark.createDataFrame(stems, "action_id string, memory_id int"), spark.createDataFrame(leaves, "memory_id int, object string, path string, value string")
+    want, of = {}, dict(stems)
+    for p, _, a in steps:
+        for m, o, path, value in leaves:
+            if m == of[a] and want.setdefault((p, o), (m, {}))[0] == m:
+                want[p, o][1][path] = value
+    assert world.winners(*frames).count() == len({(p, m) for (p, _), (m, _) in want.items()})
+    assert {(r.plan_id, r.object, r.path, r.value) for r in world.of_plans(*frames).collect()} == {(*k, *x) for k, (_, v) in want.items() for x in v.items()}
+    both = [(*k, v["position.relation"], v["position.relative_to"]) for k, (_, v) in want.items() if "position.relative_to" in v]
+    assert sorted(map(tuple, world.relations_of_plans(*frames).collect())) == sorted(both)
