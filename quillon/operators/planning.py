@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Mapping, Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import groupby, islice, product
 
 import pandas as pd
@@ -248,7 +248,8 @@ def _unmet(needs: DataFrame, initial: DataFrame) -> DataFrame:
 
 def seed_subgoals(chosen: DataFrame, conditions: DataFrame, initial: DataFrame) -> DataFrame:
     """(query_id, stage, seed, object, path, op, value): what a seed needs, as preconditions and old states, that does not hold yet."""
-    needed = conditions.where(F.col("state_type").isin("precondition", "old")).select(F.col("action_id").alias("seed"), "object", "path", "op", "value").distinct()
+    needed = conditions.where(F.col("state_type").isin("precondition", "old")).select(F.col("action_id").alias("seed"), "object", "path", "op", "value")
+    needed = needed.join(chosen.select(F.col("action_id").alias("seed")).distinct(), "seed", "left_semi").distinct()
     wanted = chosen.select("query_id", "stage", F.col("action_id").alias("seed")).join(needed, "seed")
     return _unmet(wanted.select("query_id", "stage", "seed", "object", "path", "op", "value"), initial)
 
@@ -298,26 +299,61 @@ def _under(starts: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     return found
 
 
+#: Steps back from the goals in which only what they ask for is looked at.
+NEAR = 4
+
+
+def _asked_for(goals: DataFrame, allowed: DataFrame, effects: DataFrame, needs: DataFrame, initial: DataFrame, n: int) -> tuple[DataFrame, DataFrame] | None:
+    """(edges, wants) as `derivations` takes them, of what goals (query_id, stage, subgoal_id) lead back to in NEAR steps; None if they lead further.
+
+    All that a subgoal's reaching depends on is what it leads back to, so nothing else needs to be worked out.
+    """
+    frontier = goals.select(*STAGE, "subgoal_id").distinct()
+    seen, all_edges, all_wants = stored(frontier), [], []
+    frontier = seen
+    first = Window.partitionBy(*STAGE, "subgoal_id").orderBy("action_id")
+    for _ in range(NEAR):
+        giving = stored(effects.join(frontier.select("subgoal_id").distinct(), "subgoal_id", "left_semi"))
+        served = giving.join(frontier, "subgoal_id").join(allowed, [*STAGE, "memory_id"], "left_semi").select(*STAGE, "subgoal_id", "action_id").distinct()
+        edges = stored(served.withColumn("place", F.row_number().over(first)).where(F.col("place") <= n))
+        asked = stored(needs.join(edges.select("action_id").distinct(), "action_id", "left_semi").distinct())
+        open_ = stored(edges.select(*STAGE, "action_id").distinct().join(asked, "action_id").select(*STAGE, "action_id", "object", "path", "op", "value"))
+        wants = stored(_unmet(open_, initial).select(*STAGE, "action_id", subgoal().alias("subgoal_id")).distinct())
+        all_edges.append(edges)
+        all_wants.append(wants)
+        frontier = stored(wants.select(*STAGE, "subgoal_id").distinct().join(seen, [*STAGE, "subgoal_id"], "left_anti"))
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, all_edges), reduce(DataFrame.unionByName, all_wants).distinct()
+        seen = stored(seen.unionByName(frontier))
+    return None
+
+
+def _all_served(chosen: DataFrame, allowed: DataFrame, effects: DataFrame, needs: DataFrame, initial: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, wants) as `derivations` takes them, of all allowed memories."""
+    served = allowed.join(chosen.select(*STAGE).distinct(), STAGE, "left_semi").join(effects, "memory_id").select(*STAGE, "subgoal_id", "action_id").distinct()
+    first = Window.partitionBy(*STAGE, "subgoal_id").orderBy("action_id")
+    edges = stored(served.withColumn("place", F.row_number().over(first)).where(F.col("place") <= n))
+    wants = _unmet(edges.select(*STAGE, "action_id").distinct().join(needs, "action_id").select(*STAGE, "action_id", "object", "path", "op", "value"), initial)
+    return edges, stored(wants.select(*STAGE, "action_id", subgoal().alias("subgoal_id")).distinct())
+
+
 def seed_plans(chosen: DataFrame, allowed: DataFrame, conditions: DataFrame, initial: DataFrame, n: int = SEEDS, depth: int = DEPTH) -> DataFrame:
     """(query_id, stage, seed, step, action_id): for each seed the actions that fulfil what it needs, each after those that fulfil its own needs, then the seed itself.
 
     chosen: query_id, stage, action_id; allowed: query_id, stage, memory_id; conditions as in state, with memory_id; initial:
     query_id, object, path, value. Only actions of allowed memories serve, the n least of each subgoal. Subgoals are reached for all
     queries and stages at once, as far as depth; of the actions for one the first that is ready earliest is taken. Seeds
-    with a need that is not reached have no plan.
+    with a need that is not reached have no plan. Where the seeds' needs lead back NEAR steps at most, only what they lead to is looked at.
     """
     chosen, allowed, conditions, initial = (stored(df) for df in (chosen.select(*STAGE, "action_id"), allowed.select(*STAGE, "memory_id").distinct(), conditions, initial))
-    effects = conditions.where("state_type = 'new'").select("memory_id", "action_id", subgoal().alias("subgoal_id")).distinct()
-    needs = conditions.where(F.col("state_type").isin("precondition", "old")).select("action_id", "object", "path", "op", "value").distinct()
-    served = allowed.join(chosen.select(*STAGE).distinct(), STAGE, "left_semi").join(effects, "memory_id").select(*STAGE, "subgoal_id", "action_id").distinct()
-    first = Window.partitionBy(*STAGE, "subgoal_id").orderBy("action_id")
-    edges = stored(served.withColumn("place", F.row_number().over(first)).where(F.col("place") <= n))
-    wants = _unmet(edges.select(*STAGE, "action_id").distinct().join(needs, "action_id").select(*STAGE, "action_id", "object", "path", "op", "value"), initial)
-    wants = stored(wants.select(*STAGE, "action_id", subgoal().alias("subgoal_id")).distinct())
-    ways = derivations(edges, wants, depth)
-
+    effects = conditions.where("state_type = 'new'").select("memory_id", "action_id", subgoal().alias("subgoal_id"))
+    needs = conditions.where(F.col("state_type").isin("precondition", "old")).select("action_id", "object", "path", "op", "value")
     keys = [*STAGE, "seed"]
     goals = stored(seed_subgoals(chosen, conditions, initial).select(*keys, subgoal().alias("subgoal_id")).distinct())
+    found = _asked_for(goals, allowed, effects, needs, initial, n)
+    edges, wants = found or _all_served(chosen, allowed, effects, needs.distinct(), initial, n)
+    ways = derivations(edges, wants, depth)
+
     lost = goals.join(ways, [*STAGE, "subgoal_id"], "left_anti").select(*keys).distinct()
     links = ways.select(*STAGE, "subgoal_id", "action_id").join(wants.withColumnRenamed("subgoal_id", "want"), [*STAGE, "action_id"]).select(*STAGE, "subgoal_id", "want")
     needed = _under(goals.join(lost, keys, "left_anti"), links, keys)

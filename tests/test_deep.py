@@ -88,6 +88,17 @@ def test_shared_needs_are_taken_once_and_the_shortest_way_wins(spark):
     assert plans(spark, rows, ["goal"]) == {"goal": ["base", "left", "right", "goal"]}
 
 
+def test_near_needs_are_all_that_is_looked_at(spark, monkeypatch):
+    rows = [(f"a{i}", "new", str(i)) for i in range(4)] + [(f"a{i}", "precondition", str(i - 1)) for i in range(1, 4)] + [("b2", "new", "2"), ("b2", "precondition", "never")]
+    rows += [(f"z{i}", "new", f"z{i}") for i in range(30)] + [(f"z{i}", "precondition", f"z{i - 1}") for i in range(1, 30)]  # nothing asks for these
+    looked, reach = [], planning.derivations
+    monkeypatch.setattr(planning, "derivations", lambda edges, *a: looked.append({r.action_id for r in edges.collect()}) or reach(edges, *a))
+    near = plans(spark, rows, ["a3", "a1"])
+    assert looked == [{"a0", "a1", "a2", "b2"}] and near == {"a3": ["a0", "a1", "a2", "a3"], "a1": ["a0", "a1"]}
+    monkeypatch.setattr(planning, "NEAR", 0)
+    assert plans(spark, rows, ["a3", "a1"]) == near and len(looked[1]) > 30
+
+
 def test_spread_timelines_equal_the_fold(spark):
     rng = random.Random(9)
     rows = []
