@@ -6,7 +6,7 @@ that repeats itself has a ratio above, incompressible text one below the band fo
 when its whole ratio leaves the band of its length, or when more than CHUNK_SHARE of its chunks leave theirs.
 
 The bands are fitted, not chosen: `fit_bands` takes labelled good documents of the training side (crc32(doc_id as text) mod 5
-not 0), FIT_IDS of them at most, and of each the ratio of the whole text and of every chunk. At each length of EDGES the limits are
+not 0), all of them, and of each the ratio of the whole text and of every chunk. At each length of EDGES the limits are
 the QUANTILE from either end, widened by MARGIN; a length with fewer than LEAST ratios takes the limits of the next lower one that
 has enough. Without labels PRIOR holds, which only tells base64 noise (ratio 1.04 at 192 bytes, 1.29 at 2048, 1.33 at
 most) from text and rejects what any text is far from. Hexadecimal text is as compressible as prose.
@@ -21,14 +21,18 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.llm.quality_cnn import held_out
+from quillon.session import stored
 
 LEVEL = 3
 CHUNK = 2048
@@ -38,7 +42,9 @@ Band = tuple[int, float, float]
 PRIOR: list[Band] = [(0, 0.0, 4.0), (192, 1.1, 4.0), (512, 1.25, 4.0), (2048, 1.4, 4.0)]
 #: Lengths that have limits of their own, by factors of about 1.5 up to a chunk's and of 2 beyond.
 EDGES = [0, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048, 3072, 4096, 8192, 16384, 32768, 65536, 131072, 262144]
-FIT_IDS, QUANTILE, MARGIN, LEAST = 4000, 0.999, 0.05, 50
+QUANTILE, MARGIN, LEAST = 0.999, 0.05, 50
+#: Bins of a ratio's logarithm, in which quantiles are looked for.
+BINS = 1000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOLS = bytes(b for b in range(256) if b not in SYMBOLS)
@@ -121,10 +127,10 @@ def judge(text: bytes | None, press: zstandard.ZstdCompressor, bands: list[Band]
     return n, chars, symbols, duplicate_lines(text), repeats, failed, not failed and not reason, ratio, least, most, "base" if failed else reason
 
 
-def training_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", ids: int = FIT_IDS) -> DataFrame:
-    """(edge, ratio) of the whole texts and the chunks of labelled good documents of the training side."""
+def training_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """(edge, ratio) of the whole texts and the chunks of all labelled good documents of the training side."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id is not null and label is not null").where(~held_out("doc_id"))
-    good = known.groupBy("doc_id").agg(F.min("label").alias("label")).where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(ids).select("doc_id")
+    good = known.groupBy("doc_id").agg(F.min("label").alias("label")).where("label = 1").select("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, edges = zstandard.ZstdCompressor(level=LEVEL), np.array(EDGES)
@@ -139,15 +145,39 @@ def training_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             edge = edges[np.searchsorted(edges, np.array(sizes, dtype=np.int64), side="right") - 1]
             yield pa.RecordBatch.from_arrays([pa.array(edge, pa.int64()), pa.array(ratios, pa.float64())], names=["edge", "ratio"])
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(good), "doc_id", "left_semi")  # FIT_IDS ids at most
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(good, "doc_id", "left_semi")
     return picked.select("text").mapInArrow(run, "edge long, ratio double")
 
 
+def quantiles(seen: DataFrame, ends: list[float], least: int = LEAST) -> dict[int, list[float]]:
+    """Exact quantiles (between ranks by proportion) of the ratios of each edge that has `least` of them; seen: edge, ratio.
+
+    Ratios are counted by bins, then only those of the bins in which a rank lies are ordered, so no task holds an edge's ratios.
+    """
+    n = F.col("_all")
+    ranks = [f((n - 1) * F.lit(q)).cast("long") for q in ends for f in (F.floor, F.ceil)]
+    holds = lambda upto, count: reduce(Column.__or__, ((r >= upto - count) & (r < upto) for r in ranks))
+    binned = seen.withColumn("_bin", F.floor(F.log("ratio") * BINS))
+    counts = binned.groupBy("edge", "_bin").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy("edge")  # as many rows as there are bins
+    placed = counts.withColumns({"_all": F.sum("_n").over(whole), "_upto": F.sum("_n").over(whole.orderBy("_bin"))}).where(n >= least)
+    wanted = placed.where(holds(F.col("_upto"), F.col("_n"))).select("edge", "_bin", "_all", (F.col("_upto") - F.col("_n")).alias("_before"))
+    near = binned.join(F.broadcast(wanted), ["edge", "_bin"]).groupBy("edge", "_bin", "_all", "_before", "ratio").agg(F.count("*").alias("_n"))  # four rows an edge at most
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("edge", "_bin").orderBy("ratio"))
+    rows = near.withColumn("_upto", upto).where(holds(F.col("_upto"), F.col("_n"))).collect()  # four rows an edge at most
+    out = {}
+    for edge, all_ in {(r.edge, r._all) for r in rows}:
+        at = lambda rank: next(r.ratio for r in rows if r.edge == edge and r._upto - r._n <= rank < r._upto)  # noqa: B023, E731
+        spots = [(all_ - 1) * q for q in ends]
+        out[edge] = [at(floor(x)) if floor(x) == ceil(x) else (ceil(x) - x) * at(floor(x)) + (x - floor(x)) * at(ceil(x)) for x in spots]
+    return out
+
+
 def fit_bands(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[Band]:
     """The bands of labelled good documents of the training side, PRIOR where there are too few."""
     ends = [1 - QUANTILE, QUANTILE]
-    seen = training_ratios(docs, labels, id_col, text_col, label_col).groupBy("edge").agg(F.count("*").alias("n"), F.percentile("ratio", F.array(*map(F.lit, ends))).alias("q"))
-    found = {r.edge: (r.q[0] * (1 - MARGIN), r.q[1] * (1 + MARGIN)) for r in seen.collect() if r.n >= LEAST}  # as many rows as EDGES
+    seen = stored(training_ratios(docs, labels, id_col, text_col, label_col))  # read twice
+    found = {edge: (lo * (1 - MARGIN), hi * (1 + MARGIN)) for edge, (lo, hi) in quantiles(seen, ends).items()}
     bands = [(edge, *found[edge]) for edge in EDGES if edge in found]
     return [b for b in PRIOR if not bands or b[0] < bands[0][0]] + bands
 

@@ -83,6 +83,25 @@ def test_fit_takes_good_training_documents_alone(spark, bands):
     assert compression.fit_bands(spark.createDataFrame(rows, SCHEMA), none) == compression.PRIOR
 
 
+def test_fit_takes_all_good_training_documents(spark):
+    prose = Prose(102)
+    texts = [prose(200 + i % 700) for i in range(6000)]
+    labels = spark.createDataFrame([(i, 1) for i in range(6000)], "doc_id long, quality int")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ratios = {}
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 5:
+            n = len(t.encode())
+            ratios.setdefault(max(e for e in compression.EDGES if e <= n), []).append(n / len(zstandard.ZstdCompressor(level=3).compress(t.encode())))
+    found = compression.quantiles(compression.training_ratios(docs, labels), [0.001, 0.999])
+    assert found.keys() == {k for k, v in ratios.items() if len(v) >= compression.LEAST} and sum(map(len, ratios.values())) > 4500
+    for edge, ends in found.items():
+        whole, n = sorted(ratios[edge]), len(ratios[edge]) - 1
+        for q, got in zip((0.001, 0.999), ends, strict=True):
+            k = int(n * q)
+            assert abs(got - (whole[k] + (whole[min(k + 1, n)] - whole[k]) * (n * q - k))) < 1e-12
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert compression.apply_rules(empty).count() == 0
