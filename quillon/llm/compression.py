@@ -135,18 +135,21 @@ def training_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, edges = zstandard.ZstdCompressor(level=LEVEL), np.array(EDGES)
         for batch in batches:
-            sizes, ratios = [], []
-            for t in batch.column(0).cast(pa.binary()):
+            at, sizes, ratios = [], [], []
+            for row, t in enumerate(batch.column(1).cast(pa.binary())):
                 text = t.as_py() or b""
                 parts = chunks(text)
                 for x in [text, *(parts if len(parts) > 1 else ())] if text else ():
+                    at.append(row)
                     sizes.append(len(x))
                     ratios.append(len(x) / len(press.compress(x)))
             edge = edges[np.searchsorted(edges, np.array(sizes, dtype=np.int64), side="right") - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(edge, pa.int64()), pa.array(ratios, pa.float64())], names=["edge", "ratio"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(edge, pa.int64()), pa.array(ratios, pa.float64())], names=["doc_id", "edge", "ratio"])
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(good, "doc_id", "left_semi")
-    return picked.select("text").mapInArrow(run, "edge long, ratio double")
+    # ratios are taken before labels are met, so no text is shuffled
+    side = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(~held_out("doc_id"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return side.mapInArrow(run, f"doc_id {kind}, edge long, ratio double").join(good, "doc_id", "left_semi").select("edge", "ratio")
 
 
 def quantiles(seen: DataFrame, ends: list[float], least: int = LEAST) -> dict[int, list[float]]:
