@@ -10,7 +10,7 @@ Equal sets are folded into one first. Then two passes: each set first meets its
 one verification a set; then, within postings that still hold several components, every remaining pair of
 different components is verified, by the one posting that is the least the pair shares. Verification takes place
 in cells: full sets are sent to a cell once, however many partners they have in it, and pairs already connected there are
-skipped. Long postings are dealt out as a grid of cells of at most two chunks. No pair is emitted; a cell emits a star for each component.
+skipped. Long postings are dealt out as a grid of cells of at most two chunks, in the second pass without those of one component alone. No pair is emitted; a cell emits a star for each component.
 
 A link can only be lost where two samples agree in no band, 5.5e-11 of pairs at the threshold and fewer above it, or where
 the estimate is off by SIGMAS standard errors (about 1e-8 at the threshold, fewer above).
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.simhash import components
 from quillon.operators.scan import joined
-from quillon.session import stored
+from quillon.session import removed, shuffles_removed, stored
 
 SEED = 42
 WIDTH = 3
@@ -310,6 +310,29 @@ def _load() -> Column:
     return F.greatest(F.count("*"), F.ceil(F.sum("n_shingles") / LONG))
 
 
+def _mixed_cells(posts: DataFrame, fields: list[str]) -> DataFrame:
+    """(key, cell, left, right): postings (key, main, n_main, n_rest and fields, component among them) dealt into cells, in which any two members of different components meet.
+
+    The members of a posting's main component are not dealt against one another, so where a large group is connected already, each goes out once for each chunk of the others.
+    """
+    member = F.struct(*fields)
+    parts, others = (F.ceil(F.col(n) / CHUNK).cast("int") for n in ("n_main", "n_rest"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    at = lambda main, i, j, first: F.struct(F.lit(main).alias("main"), i.alias("i"), j.alias("j"), first.alias("first"))
+    c = F.col("_c")
+    of_main = F.transform(upto(others), lambda j: at(True, c, j, F.lit(True)))
+    of_rest = F.concat(F.transform(upto(parts), lambda i: at(True, i, c, F.lit(False))), F.transform(upto(others), lambda j: at(False, F.least(c, j), F.greatest(c, j), c <= j)))
+    in_main = F.col("component") == F.col("main")
+    dealt = posts.withColumn("_c", F.pmod(F.xxhash64("set"), F.when(in_main, parts).otherwise(others)).cast("int"))
+    return (
+        dealt.select("key", *fields, F.explode(F.when(in_main, of_main).otherwise(of_rest)).alias("_at"))
+        .groupBy("key", "_at.main", "_at.i", "_at.j")
+        .agg(F.collect_list(F.when(F.col("_at.first"), member)).alias("left"), F.collect_list(F.when(~F.col("_at.first"), member)).alias("right"))
+        .where((F.size("left") > 0) & (F.size("right") > 0) | ~F.col("main") & (F.col("i") == F.col("j")) & (F.size("left") > 1))
+        .select("key", F.concat_ws("/", F.hex("key"), F.col("main").cast("string"), "i", "j").alias("cell"), "left", "right")
+    )
+
+
 def _verify(members: DataFrame, sets: DataFrame, full: DataFrame) -> DataFrame:
     """(u, v) that the links within each cell connect. members: cell, set, component."""
     told = members.join(full, "set").join(sets.select("set", "sketch"), "set")
@@ -340,9 +363,10 @@ def labels(docs: DataFrame, sets: DataFrame, id_col: str = "doc_id", text_col: s
     # what is left: candidates of different components in one posting
     state = stored(best.select("set").join(roots, "set", "left").select("set", F.coalesce("root", "set").alias("component")).join(sets.select("set", "n_shingles", "sketch", "keys"), "set"))
     left = posts.drop("n").join(state.select("set", "component", "n_shingles"), "set")
-    mixed = left.groupBy("key").agg(_load().alias("n"), F.count("*").alias("_weight"), F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key", "n", "_weight")
+    each = left.groupBy("key", "component").agg(_load().alias("_n"), F.count("*").alias("_weight"))
+    mixed = each.groupBy("key").agg(F.max_by("component", F.struct("_n", "component")).alias("main"), F.max("_n").alias("n_main"), (F.sum("_n") - F.max("_n")).alias("n_rest"), F.sum("_weight").alias("_weight")).where("n_rest > 0")
     again = joined(left.select("key", "set"), mixed, ["key"], "_weight", posts.count()).join(state, "set")
-    cells = _cells(again, ["set", "component", "n_shingles", "sketch", "keys"]).select(F.concat_ws("/", F.hex("key"), "i", "j").alias("cell"), "key", "left", "right")
+    cells = _mixed_cells(again, ["set", "component", "n_shingles", "sketch", "keys"]).select("cell", "key", "left", "right")
     open_ = cells.mapInArrow(_open_members, "cell string, set binary, component binary")
     second = _verify(open_, sets, full).distinct()
     roots = components(first.unionByName(second).distinct())
@@ -351,6 +375,11 @@ def labels(docs: DataFrame, sets: DataFrame, id_col: str = "doc_id", text_col: s
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of docs; kept of each component is the row that names it."""
+    with shuffles_removed(docs.sparkSession):  # else the files of all rounds of both passes stand side by side
+        return _near_duplicates(docs, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = stored(sketched(docs, id_col, text_col))
     one = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     sets = stored(one)
@@ -359,6 +388,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = named.select("set", "rep", "n", F.coalesce("component", "set").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("_sets"))
     label = stored(joined(named, least, ["component"], "_sets", sets.count()).select("set", "component_id", F.col("n").alias("_rows")))
+    removed(sets)
     met = joined(rows.where("set is not null").select("doc_id", "n_shingles", "set"), label, ["set"], "_rows", total).select("doc_id", "n_shingles", "component_id")
     out = met.unionByName(rows.where("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

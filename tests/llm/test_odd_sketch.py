@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -98,3 +99,26 @@ def test_unlike_sets_are_dropped_by_their_sketches():
 
 def test_empty_table(spark):
     assert odd_sketch.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_connected_group_is_not_dealt_against_itself(spark):
+    posts = spark.range(3000).selectExpr("7L as key", "cast(id as string) as set", "if(id % 100 = 0, id, -1) as component", "-1L as main", "2970L as n_main", "30L as n_rest")
+    cells = odd_sketch._mixed_cells(posts, ["set", "component"]).collect()
+    met = {(a["set"], b["set"]) for c in cells for a in c.left for b in c.right or c.left}
+    met |= {(b, a) for a, b in met}
+    assert sum(len(c.left) + len(c.right) for c in cells) <= 3000 + 30 * 12
+    assert all(((str(i), str(j)) in met) for i in range(0, 3000, 100) for j in range(3000) if i != j)
+
+
+def test_no_shuffle_files_are_left_by_the_rounds(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    listed = lambda found: [found.apply(i).getName() for i in range(found.size())]
+    shuffled = lambda: {f for f in listed(files.getAllFiles()) if f.startswith("shuffle_")}
+    before = shuffled()
+    rows = [(i, " ".join(f"w{(i // 3 + k) % 40}" for k in range(30 + i % 2)), "x", 1, "c") for i in range(60)]
+    odd_sketch.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    for _ in range(50):  # files are removed in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
