@@ -36,16 +36,17 @@ CELL = 4096
 def chamfer_groups(points: DataFrame) -> DataFrame:
     """(left, right, chamfer) of every pair of the groups of (g, p) points.
 
-    Each group is dealt into parts of about CELL points; a cell finds the squared distance from each point of one part to
-    the nearest of another group's part, the least over all parts is the point's distance, and these are averaged.
+    Equal points of a group are one point that counts as often. Each group is dealt into parts of about CELL points; a cell finds
+    the squared distance from each point of one part to the nearest of another group's part, the least over all parts is the
+    point's distance, and these are averaged. The nearest is found by inner products, its distance by differences.
     """
-    rows = cut(points.select("g", "p").withColumn("id", F.monotonically_increasing_id()))
+    rows = cut(points.groupBy("g", "p").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
     sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
     dealt = rows.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     cells = sizes.select(F.col("g").alias("h"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     mine = sizes.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     pairs = mine.join(cells, F.col("g") != F.col("h"))  # stated groups, by their parts
-    left = dealt.select("g", "part", "id", "p").join(pairs, ["g", "part"]).groupBy("g", "part", "h", "other")
+    left = dealt.select("g", "part", "id", "n", "p").join(pairs, ["g", "part"]).groupBy("g", "part", "h", "other")
     right = dealt.select(F.col("g").alias("h"), F.col("part").alias("other"), F.col("p").alias("q")).join(pairs, ["h", "other"]).groupBy("g", "part", "h", "other")
     kind = points.schema["g"].dataType.simpleString()
 
@@ -53,14 +54,17 @@ def chamfer_groups(points: DataFrame) -> DataFrame:
         out = []
         if len(a) and len(b):
             y = np.stack(b["q"].to_numpy())
+            half = (y * y).sum(axis=1) / 2
             for at in range(0, len(a), 512):
                 x = np.stack(a["p"].to_numpy()[at : at + 512])
-                out.append(sum((x[:, None, c] - y[None, :, c]) ** 2 for c in range(y.shape[1])).min(axis=1))
+                out.append(((x - y[(half - x @ y.T).argmin(axis=1)]) ** 2).sum(axis=1))
         found = np.concatenate(out) if out else np.empty(0)
-        return pd.DataFrame({"g": [key[0]] * len(found), "h": [key[2]] * len(found), "id": a["id"].to_numpy()[: len(found)] if len(found) else np.empty(0, np.int64), "d": found})
+        ids, times = (a[c].to_numpy()[: len(found)] if len(found) else np.empty(0, np.int64) for c in ("id", "n"))
+        return pd.DataFrame({"g": [key[0]] * len(found), "h": [key[2]] * len(found), "id": ids, "n": times, "d": found})
 
-    near = left.cogroup(right).applyInPandas(run, f"g {kind}, h {kind}, id long, d double")
-    mean = near.groupBy("g", "h", "id").agg(F.min("d").alias("d")).groupBy("g", "h").agg(F.avg(F.sqrt("d")).alias("m"))
+    near = left.cogroup(right).applyInPandas(run, f"g {kind}, h {kind}, id long, n long, d double")
+    least = near.groupBy("g", "h", "id").agg(F.first("n").alias("n"), F.min("d").alias("d"))
+    mean = least.groupBy("g", "h").agg((F.sum(F.col("n") * F.sqrt("d")) / F.sum("n")).alias("m"))
     both = mean.withColumns({"left": F.least("g", "h"), "right": F.greatest("g", "h")})
     return both.groupBy("left", "right").agg(F.sum("m").alias("chamfer"))
 

@@ -1,6 +1,7 @@
 """Scene operations, geometry, shapes, chaining and simulation."""
 
 import json
+import time
 import random
 
 import numpy as np
@@ -190,6 +191,19 @@ def test_chamfer_groups_in_cells(spark, monkeypatch):
         assert np.isclose(d, shapes.chamfer(groups[a], groups[b]))
 
 
+def test_chamfer_groups_meet_copies_once(spark):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=(5, 3)), "b": rng.normal(size=(4, 3))}
+    rows = spark.createDataFrame([(g, i, x.tolist()) for g, xs in groups.items() for i, x in enumerate(xs)], "g string, i int, p array<double>")
+    copies = rows.crossJoin(spark.range(50_000)).where("i = 0 or id < 10").select("g", "p")  # 10^10 pairs, were they all met
+    weighted = {g: np.repeat(xs, [50_000] + [10] * (len(xs) - 1), axis=0) for g, xs in groups.items()}
+    nearest = lambda x, y: np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2).min(axis=1)).mean()
+    want = nearest(weighted["a"], groups["b"]) + nearest(weighted["b"], groups["a"])
+    began = time.perf_counter()
+    got = shapes.chamfer_groups(copies).collect()
+    assert len(got) == 1 and np.isclose(got[0].chamfer, want) and time.perf_counter() - began < 20
+
+
 def test_close_pairs_are_exact(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8))
