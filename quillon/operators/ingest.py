@@ -74,13 +74,17 @@ def conditions(acts: DataFrame, memories: DataFrame) -> DataFrame:
     """(memory_id, action_id, action, state_type, object, path, op, value, items, seq) of preconditions, changes, conditional changes and goals."""
     path = flatten.condition_path()
     base = ["memory_id", F.col("instance_id").alias("action_id"), F.col("template").alias("action"), F.col("seq").alias("action_seq")]
-    before = acts.select(*base, F.posexplode(_entries("preconditions")).alias("k", "c")).select("*", F.lit("precondition").alias("state_type"), F.col("c.value").alias("v"))
-    changed = acts.select(*base, F.posexplode(F.concat(*(F.coalesce(_entries(f), F.array().cast(_CONDITION)) for f in ("changes", "changes_per_cycle", "changes_total")))).alias("k", "c"))
-    guarded = acts.select(*base, F.posexplode(_entries("conditional_changes")).alias("g", "c")).select("memory_id", "action_id", "action", "action_seq", "g", F.posexplode(F.from_json("c.changes", _CONDITION)).alias("j", "c")).withColumn("k", F.col("g") * 1000 + F.col("j"))
-    out = before.select("memory_id", "action_id", "action", "action_seq", "k", "c", "state_type", "v")
-    for rows, mark in ((changed, ""), (guarded, "conditional_")):
-        for side in ("old", "new"):
-            out = out.unionByName(rows.select("memory_id", "action_id", "action", "action_seq", "k", "c", F.lit(mark + side).alias("state_type"), F.col(f"c.{side}").alias("v")))
+    row = lambda k, c, kind, v: F.struct(k.cast("int").alias("k"), c.alias("c"), F.lit(kind).alias("state_type"), v.alias("v"))
+    sides = lambda k, c, mark: F.array(*(row(k, c, mark + side, c[side]) for side in ("old", "new")))
+    none_held = F.array().cast("array<struct<k:int,c:struct<object:string,aspect:string,attribute:string,op:string,value:string,old:string,new:string,changes:string>,state_type:string,v:string>>")
+    lists = acts.select(
+        *base, _entries("preconditions").alias("_before"), F.concat(*(F.coalesce(_entries(f), F.array().cast(_CONDITION)) for f in ("changes", "changes_per_cycle", "changes_total"))).alias("_changed"), _entries("conditional_changes").alias("_guarded"),
+    )
+    before = F.transform("_before", lambda c, i: row(i, c, "precondition", c["value"]))
+    changed = F.flatten(F.transform("_changed", lambda c, i: sides(i, c, "")))
+    guarded = F.flatten(F.flatten(F.transform("_guarded", lambda g, i: F.transform(F.coalesce(F.from_json(g["changes"], _CONDITION), F.array().cast(_CONDITION)), lambda c, j: sides(i * 1000 + j, c, "conditional_")))))
+    each = F.explode(F.concat(*(F.coalesce(rows, none_held) for rows in (before, changed, guarded)))).alias("e")  # each action is read once
+    out = lists.select("memory_id", "action_id", "action", "action_seq", each).select("memory_id", "action_id", "action", "action_seq", "e.k", "e.c", "e.state_type", "e.v")
     goals = memories.select("memory_id", F.lit(None).cast("string").alias("action_id"), F.lit(None).cast("string").alias("action"), F.lit(1 << 40).cast("long").alias("action_seq"), F.posexplode(F.from_json("goals", "array<struct<object:string,target_object:string,aspect:string,attribute:string,op:string,value:string>>")).alias("k", "g"))
     none = F.lit(None).cast("string")
     goal_struct = F.struct(F.coalesce("g.object", "g.target_object").alias("object"), F.col("g.aspect").alias("aspect"), F.col("g.attribute").alias("attribute"), F.col("g.op").alias("op"), F.col("g.value").alias("value"), none.alias("old"), none.alias("new"), none.alias("changes"))
@@ -130,8 +134,8 @@ def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     return df.withColumn("seq", place.cast("long"))
 
 
-def posting_rows(objs: DataFrame, acts: DataFrame, entries: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """All postings, numbered: names, aliases, tokens, path components and values, each with its expansions."""
+def _base_rows(objs: DataFrame, acts: DataFrame, entries: DataFrame) -> DataFrame:
+    """(memory_id, term, k, src, is_goal, _o): the postings without their expansions, not numbered yet."""
     term = lambda prefix, value: F.struct(F.concat(F.lit(f"{prefix}:"), value).alias("term"), F.lit(prefix.split("_")[0]).alias("t"))
     several = lambda prefix, values: F.transform(values, lambda v: term(prefix, v))
     listed = lambda *parts: F.filter(F.concat(*parts), lambda x: x["term"].isNotNull())
@@ -154,13 +158,35 @@ def posting_rows(objs: DataFrame, acts: DataFrame, entries: DataFrame, dictionar
 
     content = entries.where("not (size(path) = 1 and path[0] = 'participants')")
     third = content.select("memory_id", F.posexplode(F.when(conditional, of_entry(V.CONDITIONAL)).otherwise(of_entry(""))).alias("k", "p"), "src", "is_goal", "_o")
-    rows = stored(first.unionByName(second).unionByName(third).select("memory_id", F.col("p.term").alias("term"), "k", "src", "is_goal", "_o"))  # read twice below
-    # a base term is followed by the terms of its aliases, whole and by word
+    return first.unionByName(second).unionByName(third).select("memory_id", F.col("p.term").alias("term"), "k", "src", "is_goal", "_o")
+
+
+def _expanded(rows: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, Column]:
+    """rows of base terms with each of their aliases, and the terms of one: a base term is followed by those of its aliases, whole and by word."""
     kinds = F.create_map(*(F.lit(x) for pair in (("object", "object_aliases"), ("action", "action_aliases"), ("attribute", "attribute_component_aliases"), ("value", "value_aliases")) for x in pair))
     plain = F.regexp_replace(term_prefix("term"), f"^{V.CONDITIONAL}", "")
     bases = rows.withColumn("kind", F.try_element_at(kinds, plain)).withColumn("base", term_phrase("term")).where("kind is not null")
     spread = bases.join(dictionary.select("kind", "base", "alias", "rank"), ["kind", "base"])
-    expanded = F.concat(F.array(F.concat(term_prefix("term"), F.lit("_expanded:"), "alias")), F.transform(tokens("alias"), lambda w: F.concat(term_prefix("term"), F.lit("_expanded_token:"), w)))
+    return spread, F.concat(F.array(F.concat(term_prefix("term"), F.lit("_expanded:"), "alias")), F.transform(tokens("alias"), lambda w: F.concat(term_prefix("term"), F.lit("_expanded_token:"), w)))
+
+
+def term_counts(memories: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(term, memory_id, n): how many postings of a term each memory has in the index, without numbering or writing them.
+
+    Postings are counted before the shuffle, and expansions are made of the counts, as a term's depend on nothing else.
+    """
+    objs, acts = stored(objects(memories)), stored(actions(memories))
+    rows = _base_rows(objs, acts, fullpath(objs, acts, conditions(acts, memories)))
+    each = stored(rows.groupBy("term", "memory_id").agg(F.count("*").alias("n")))
+    spread, expanded = _expanded(each, dictionary)
+    more = spread.select(F.explode(expanded).alias("term"), "memory_id", "n")
+    return each.unionByName(more).groupBy("term", "memory_id").agg(F.sum("n").alias("n"))
+
+
+def posting_rows(objs: DataFrame, acts: DataFrame, entries: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """All postings, numbered: names, aliases, tokens, path components and values, each with its expansions."""
+    rows = stored(_base_rows(objs, acts, entries))  # read twice below
+    spread, expanded = _expanded(rows, dictionary)
     more = spread.select("memory_id", "k", "src", "is_goal", "_o", F.col("rank").alias("r"), F.posexplode(expanded).alias("j", "term"))
     both = rows.withColumn("r", F.lit(0)).withColumn("j", F.lit(0)).unionByName(more.select("memory_id", "term", "k", "src", "is_goal", "_o", "r", "j"))
     kind = F.regexp_replace(F.regexp_replace(term_prefix("term"), f"^{V.CONDITIONAL}", ""), "(_expanded)?(_token)?$", "")

@@ -43,7 +43,11 @@ def shares(occurrences: DataFrame, term: str = "term", memory: str = "memory_id"
 
     Occurrences are counted by term and memory once, before the shuffle; terms, memories and totals all come from these.
     """
-    each = occurrences.groupBy(term, memory).agg(F.count("*").alias("_n"))
+    return shares_by_memory(occurrences.groupBy(term, memory).agg(F.count("*").alias("_n")), term, memory)
+
+
+def shares_by_memory(each: DataFrame, term: str = "term", memory: str = "memory_id") -> DataFrame:
+    """shares of (term, memory, _n) rows, one for each term of a memory."""
     found = each.groupBy(term).agg(F.sum("_n").alias("occurrences"), F.count("*").alias("memory_count"))
     whole = each.groupBy(memory).agg(F.sum("_n").alias("_n")).agg(F.sum("_n").alias("_all"), F.count("*").alias("_memories"))
     return percentages(found.crossJoin(F.broadcast(whole)))  # one row

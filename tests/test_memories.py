@@ -211,3 +211,16 @@ def test_index_that_grows_by_segments(spark, tmp_path):
     assert store.compact(fan=10**6) == [] and len(store.compact(fan=3)) <= 1
     orders = store.segments()
     assert told(store.frequencies()) == told(whole.freq.select(*store.frequencies().columns)) and sum(orders.values()) == store.table("postings").count()
+
+
+def test_term_counts_are_those_of_the_index(spark):
+    changes = [{"object": "cup", "aspect": "mood", "attribute": "last.seen", "op": "eq", "old": "warm", "new": "cold"}, {"object": "cup", "attribute": "state", "new": None, "old": "full"}]
+    acts = [{"template": "pour", "verb": "pour", "participants": ["cup"], "preconditions": [{"object": "cup", "attribute": "state", "value": "full"}], "changes": changes, "conditional_changes": [{"changes": changes}, {}], "sub_actions": [{"template": "lift", "changes_total": changes[:1]}]}]
+    goals = [{"object": "cup", "attribute": "state", "op": "eq", "value": "empty"}]
+    objects = [{"id": "cup", "template": "mug", "categories": ["dish"], "overrides": {"mood": {"last": "calm"}}}]
+    rows = [(f"m{k}", json.dumps(objects), json.dumps(acts * k), json.dumps(goals)) for k in range(3)]
+    memories = spark.createDataFrame(rows, "memory_id string, objects string, actions string, goals string")
+    aliases = spark.createDataFrame([("object_aliases", "mug", "tea cup", 1), ("action_aliases", "pour", "fill", 1), ("value_aliases", "cold", "icy", 1)], "kind string, base string, alias string, rank int")
+    want = {(r.term, r.memory_id): r.n for r in ingest.build_index(memories, aliases).postings.groupBy("term", "memory_id").agg(F.count("*").alias("n")).collect()}
+    got = {(r.term, r.memory_id): r.n for r in ingest.term_counts(memories, aliases).collect()}
+    assert got == want and got["value_expanded:icy", "m1"] == 2 and got["statechangesC_value:cold", "m2"] == 2
