@@ -1,8 +1,8 @@
 """Scene operations, geometry, shapes, chaining and simulation."""
 
 import json
-import time
 import random
+import time
 
 import numpy as np
 import pytest
