@@ -12,6 +12,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache, reduce
 from itertools import groupby, islice, product
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -136,35 +137,166 @@ def combined_steps(combinations: DataFrame, steps: DataFrame) -> DataFrame:
 SIMULATED = "plan_id string, n_steps int, n_violations int, satisfaction double, final string"
 
 
-def simulate(plans: DataFrame, conditions: DataFrame, initial: DataFrame, goals: DataFrame) -> DataFrame:
+#: What an action asks for or changes.
+CONDITION = "struct<state_type:string,guard:string,object:string,path:string,op:string,value:string>"
+
+#: Steps that are folded together, whole plans at a time.
+AT_ONCE = 1 << 16
+
+
+def simulate(plans: DataFrame, conditions: DataFrame, initial: DataFrame, goals: DataFrame, final: bool = True) -> DataFrame:
     """SIMULATED of each plan: its steps' changes applied in order, broken preconditions counted, goals checked at the end.
 
-    plans: plan_id, step, action_id; conditions as in state (with guard for conditional ones); initial and goals:
-    plan_id, object, path, op, value. Changes apply even where a precondition is broken; += adds numbers.
+    plans: plan_id, step, action_id; conditions as in state (with guard for conditional ones), or gathered: action_id and an
+    array `conditions` of CONDITION; initial and goals: plan_id, object, path, op, value. Changes apply even where a precondition is
+    broken; += adds numbers. Without final the final worlds aren't written out, and the column is null.
     """
-    steps = plans.select(F.col("plan_id").cast("string").alias("plan_id"), "step", "action_id").join(conditions, "action_id", "left")
-    guard = F.col("guard") if "guard" in conditions.columns else F.lit(None).cast("string")
-    rows = steps.select("plan_id", F.lit("step").alias("kind"), "step", "state_type", "object", "path", "op", "value", guard.alias("guard"))
+    plan_id, none = F.col("plan_id").cast("string").alias("plan_id"), F.lit(None).cast("string")
+    condition = lambda *extra: F.struct(*extra, "object", "path", "op", "value")
+    if "conditions" not in conditions.columns:
+        guard = F.col("guard") if "guard" in conditions.columns else none
+        each = condition("state_type", guard.alias("guard")).alias("c")
+        conditions = conditions.select("action_id", each).groupBy("action_id").agg(F.collect_list("c").alias("conditions"))
+    rows = plans.select(plan_id, "step", "action_id").join(conditions, "action_id", "left").select("plan_id", F.lit("step").alias("kind"), "step", F.col("conditions").cast(f"array<{CONDITION}>").alias("conditions"))
     for df, kind in ((initial, "initial"), (goals, "goal")):
-        rows = rows.unionByName(df.select(F.col("plan_id").cast("string").alias("plan_id"), F.lit(kind).alias("kind"), F.lit(-1).alias("step"), F.lit(None).cast("string").alias("state_type"), "object", "path", "op", "value", F.lit(None).cast("string").alias("guard")))
-    whole = rows.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("step", "kind", "object", "path", "value", "state_type", "op", "guard"))).alias("rows"))
+        one = F.array(condition(none.alias("state_type"), none.alias("guard"))).cast(f"array<{CONDITION}>")
+        rows = rows.unionByName(df.select(plan_id, F.lit(kind).alias("kind"), F.lit(-1).alias("step"), one.alias("conditions")))
+    dealt = rows.repartition("plan_id").sortWithinPartitions("plan_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, AT_ONCE
         for batch in batches:
-            lists = batch.column(1)
-            flat, ends = lists.flatten(), lists.offsets.to_pylist()
-            rows = list(zip(*(flat.field(_ROW.index(c)).to_pylist() for c in _ROW), strict=True)) if len(flat) else []
-            out = [(plan, *_run_plan(rows[x - ends[0] : y - ends[0]])) for plan, x, y in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True)]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            types = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["plan_id", "n_steps", "n_violations", "satisfaction", "final"])
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                cut = int(_starts(_plan_codes(whole))[-1])  # the last plan may go on
+                if cut:
+                    yield _folded(whole.slice(0, cut), final)
+                held, n = [whole.slice(cut)], whole.num_rows - cut
+                most = AT_ONCE if cut else 2 * n
+        if n:
+            yield _folded(pa.Table.from_batches(held).combine_chunks().to_batches()[0], final)
 
-    return whole.mapInArrow(run, SIMULATED)
+    return dealt.mapInArrow(run, SIMULATED)
 
 
 _ROW = ("step", "kind", "object", "path", "value", "state_type", "op", "guard")
 
 
+def _codes(column: pa.Array) -> tuple[np.ndarray, list]:
+    """(codes, words) of a column, in order of the words' bytes; null is -1."""
+    found = column.dictionary_encode()
+    words = found.dictionary.to_pylist()
+    order = sorted(range(len(words)), key=lambda i: words[i].encode() if isinstance(words[i], str) else words[i])
+    rank = np.full(len(words) + 1, -1)
+    rank[order] = np.arange(len(words))
+    return rank[found.indices.fill_null(-1).to_numpy(zero_copy_only=False)], [words[i] for i in order]
+
+
+def _plan_codes(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("plan_id").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _starts(codes: np.ndarray) -> np.ndarray:
+    """Where runs of equal codes begin."""
+    return np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+
+
+def _folded(batch: pa.RecordBatch, final: bool = True) -> pa.RecordBatch:
+    """SIMULATED of whole plans, whose rows (plan_id, kind, step, conditions) stand together: what `_run_plan` finds, for all plans at once.
+
+    A slot is an object's path in a plan. Changes of a slot in order are its versions, of which preconditions and goals look up
+    theirs. Sums run over all slots side by side, so there are as many rounds as one slot has changes. Texts are compared once for
+    each combination. A plan with guards, by which slots depend on one another, is folded by itself.
+    """
+    ids = _plan_codes(batch)
+    starts = _starts(ids)
+    numbered = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(ids)]))
+    lists = batch.column("conditions")
+    within = np.repeat(np.arange(len(ids)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = lists.flatten()
+    columns = {f.name: column for f, column in zip(flat.type, flat.flatten(), strict=True)} | {c: batch.column(c).take(pa.array(within)) for c in ("step", "kind")}
+    plan, coded = numbered[within], {c: _codes(columns[c]) for c in _ROW}
+    place = np.lexsort([*(coded[c][0] for c in reversed(_ROW)), plan])
+    coded = {c: (codes[place], words) for c, (codes, words) in coded.items()}
+    among = lambda c, *words: np.isin(coded[c][0], [i for i, w in enumerate(coded[c][1]) if w in words])
+    rank, last = coded["step"][0] + 1, len(coded["step"][1]) + 1
+    (objects, object_words), (paths, path_words), (value, words), (op, ops) = (coded[c] for c in ("object", "path", "value", "op"))
+    keys = (objects + 1) * (len(path_words) + 1) + paths + 1
+    slots, slot = np.unique(plan * (len(object_words) + 1) * (len(path_words) + 1) + keys, return_inverse=True)
+    is_step, is_goal, is_initial = among("kind", "step"), np.flatnonzero(among("kind", "goal")), np.flatnonzero(among("kind", "initial"))
+
+    texts, numbers = list(words), np.array([*map(_number, words), 0.0])  # of null: 0
+    begin = np.full(len(slots), -1)
+    begin[slot[is_initial]] = value[is_initial]
+    set_ = np.zeros(len(slots), bool)
+    set_[slot[is_initial]] = True
+    change = np.flatnonzero(is_step & among("state_type", "new", "conditional_new"))
+    change = change[np.argsort(slot[change], kind="stable")]
+    of = slot[change]
+    set_[of] = True
+    after, adds = value[change], among("op", "+=")[change]
+    if adds.any():
+        summed = np.zeros(len(slots), bool)
+        summed[of[adds]] = True
+        rows = np.flatnonzero(summed[of])
+        first = _starts(of[rows])
+        nth = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+        rows = rows[np.argsort(nth, kind="stable")]
+        now, sums = numbers[begin], np.zeros(len(change))
+        with np.errstate(all="ignore"):
+            for i in np.split(rows, np.cumsum(np.bincount(nth))[:-1]):
+                more = numbers[value[change[i]]]
+                sums[i] = now[of[i]] = np.where(adds[i], now[of[i]] + more, more)
+        found, which = np.unique(sums[adds].view(np.int64), return_inverse=True)
+        after[adds] = len(texts) + which
+        texts += [str(x) for x in found.view(np.float64).tolist()]
+    versions = of * (last + 1) + rank[change]
+
+    def at(slots: np.ndarray, ranks: np.ndarray | int) -> np.ndarray:
+        """The values of slots before the steps of these ranks."""
+        if not len(change):
+            return begin[slots]
+        i = np.searchsorted(versions, slots * (last + 1) + ranks) - 1
+        return np.where((i >= 0) & (of[i] == slots), after[i], begin[slots])
+
+    def met(rows: np.ndarray, actual: np.ndarray) -> np.ndarray:
+        text = lambda words, i: None if i < 0 else words[i]
+        asked, which = np.unique(((actual + 1) * (len(ops) + 1) + op[rows] + 1) * (len(words) + 1) + value[rows] + 1, return_inverse=True)
+        told = []
+        for x in asked.tolist():
+            x, v = divmod(x, len(words) + 1)
+            a, o = divmod(x, len(ops) + 1)
+            told.append(holds(text(texts, a - 1), text(ops, o - 1), text(words, v - 1)))
+        return np.array(told, bool)[which]
+
+    n = len(starts)
+    asked = np.flatnonzero(is_step & among("state_type", "precondition"))
+    broken = np.bincount(plan[asked], ~met(asked, at(slot[asked], rank[asked])), n).astype(np.int64)
+    wanted, fine = np.bincount(plan[is_goal], minlength=n), np.bincount(plan[is_goal], met(is_goal, at(slot[is_goal], last)), n)
+    satisfied = np.where(wanted > 0, fine / np.maximum(wanted, 1), 1.0)
+    (kinds, kind_words), (step, _) = _codes(batch.column("kind")), _codes(batch.column("step"))
+    steps = np.unique(((numbered * (step.max() + 2)) + step + 1)[np.isin(kinds, [i for i, w in enumerate(kind_words) if w == "step"])])
+    n_steps = np.bincount(steps // (step.max() + 2), minlength=n)
+    ends: list[str | None] = [None] * n
+    if final:
+        lists: list[list] = [[] for _ in range(n)]
+        for s, a in zip(slots[set_].tolist(), at(np.flatnonzero(set_), last).tolist(), strict=True):
+            s, path = divmod(s, len(path_words) + 1)
+            k, obj = divmod(s, len(object_words) + 1)
+            lists[k].append([object_words[obj - 1] if obj else None, path_words[path - 1] if path else None, texts[a] if a >= 0 else None])
+        ends = [json.dumps(sorted(x)) for x in lists]
+    guard_words = coded["guard"][1]
+    guarded = is_step & among("state_type", "conditional_new") & among("guard", *(w for w in guard_words if w))
+    for k in np.unique(plan[guarded]).tolist():
+        own = pa.array(place[plan == k])
+        _, broken[k], satisfied[k], end = _run_plan(list(zip(*(columns[c].take(own).to_pylist() for c in _ROW), strict=True)))
+        ends[k] = end if final else None
+    out = [batch.column("plan_id").take(pa.array(starts)), pa.array(n_steps, pa.int32()), pa.array(broken, pa.int32()), pa.array(satisfied, pa.float64()), pa.array(ends, pa.string())]
+    return pa.RecordBatch.from_arrays(out, names=["plan_id", "n_steps", "n_violations", "satisfaction", "final"])
+
+
 def _run_plan(rows: list[tuple]) -> tuple[int, int, float, str]:
     """Steps, broken preconditions, satisfaction and final world of one plan's rows (_ROW), which are in order of step."""
     world = {(obj, path): value for _, kind, obj, path, value, *_ in rows if kind == "initial"}

@@ -93,6 +93,38 @@ def test_simulation():
     assert (steps, broken, satisfaction) == (3, 1, 1.0) and json.loads(final) == [["o", "lid", "open"], ["o", "n", "3.0"]]
 
 
+def test_plans_folded_together_equal_each_by_itself(monkeypatch):
+    """Sums, texts, nulls, repeated steps and guards of 300 plans at once; texts are compared once for each combination."""
+    rng, names = random.Random(5), ("plan_id", *planning._ROW)
+    rows = []
+    for p in range(300):
+        for _ in range(rng.randrange(1, 12)):
+            kind = rng.choice(["initial", "goal", "step", "step", "step"])
+            state = rng.choice(["precondition", "new", "new", "conditional_new", "old", None]) if kind == "step" else None
+            guard = json.dumps({"object": "o", "path": "n", "op": "gt", "value": "2"}) if state == "conditional_new" and p % 5 == 0 else None
+            rows.append((f"p{p:03}", rng.choice([0, 1, 2, 3, None]) if kind == "step" else -1, kind, rng.choice(["o", "q"]), rng.choice(["n", "lid"]), rng.choice(["1", "2.5", "open", "-0", "nan", None]), state, rng.choice(["eq", "+=", "+=", "gt", "ne", "in"]), guard))
+    key = lambda r: (r[0], *((v is not None, v if v is not None else 0) for v in (r[i] for i in (1, 2, 3, 4, 5, 6, 7, 8))))
+    rows.sort(key=key)
+    whole, calls = planning.holds, []
+    want = [(p, *planning._run_plan([r[1:] for r in rows if r[0] == p])) for p in sorted({r[0] for r in rows})]
+    monkeypatch.setattr(planning, "holds", lambda *a: calls.append(a) or whole(*a))
+    pa, fields = planning.pa, ("state_type", "guard", "object", "path", "op", "value")
+    schema = pa.schema([("plan_id", pa.string()), ("kind", pa.string()), ("step", pa.int32()), ("conditions", pa.list_(pa.struct([(f, pa.string()) for f in fields])))])
+
+    def batch(rows):
+        each = [dict(zip(names, r, strict=True)) for r in rows]
+        return pa.RecordBatch.from_pylist([{"plan_id": r["plan_id"], "kind": r["kind"], "step": r["step"], "conditions": [{f: r[f] for f in fields}]} for r in each], schema)
+
+    free = [r for r in rows if int(r[0][1:]) % 5]
+    planning._folded(batch(free))
+    assert 0 < len(calls) < len(free) / 4
+    batch = batch(sorted(rows, key=lambda r: (r[0], rng.random())))  # in any order within a plan
+    got = [tuple(r.values()) for r in planning._folded(batch).to_pylist()]
+    assert got == want
+    bare = pa.RecordBatch.from_pylist([{"plan_id": "p", "kind": "step", "step": i, "conditions": None} for i in (1, 2, 2)], schema)
+    assert planning._folded(bare).to_pylist() == [{"plan_id": "p", "n_steps": 2, "n_violations": 0, "satisfaction": 1.0, "final": "[]"}]
+
+
 @pytest.mark.parametrize(("a", "b", "names"), [
     (((-3, 3), (-3, 3), (80, 86)), ((-60, 60), (-30, 30), (75, 80)), {"contact", "near", "on"}),
     (((-9, 9), (-6, 6), (78, 90)), ((-3, 3), (-3, 3), (80, 86)), {"contact", "near", "around", "through"}),
