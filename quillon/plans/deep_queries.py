@@ -39,8 +39,8 @@ def deep_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT above AS obj_id, count(*) AS n_below, CAST(max(steps) AS INTEGER) AS deepest FROM (SELECT below, above, min(steps) AS steps FROM t WHERE below <> above GROUP BY ALL) GROUP BY above""")
 def deep_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many parts hang from each, and how far down."""
-    found = geometry.descendants(_tree(spark, sf_dir))
-    return found.groupBy("obj_id").agg(F.count("*").alias("n_below"), F.max("depth").alias("deepest"))
+    found = hierarchy.below(_tree(spark, sf_dir), ["scene_id"], "obj_id", "parent_object_id")
+    return found.select("obj_id", "n_below", F.col("deepest").cast("int").alias("deepest"))
 
 
 def _deep_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:

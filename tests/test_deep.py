@@ -46,9 +46,35 @@ def test_against_walking_up(spark):
     assert pairs == want
 
 
+def test_counts_below_equal_the_pairs_in_rows_of_one_a_node(spark, monkeypatch):
+    """Trees, a chain, and cycles of 1 to 9 nodes with chains hung from them; no round holds more rows than nodes."""
+    rng, up = random.Random(8), {}
+    for i in range(120):
+        up[0, i] = rng.choice([None, *range(max(i - 3, 0), i)])
+    for length in (1, 2, 3, 4, 5, 7, 8, 9):
+        up |= {(length, i): (i + 1) % length for i in range(length)}
+        for i in range(length, length + rng.randrange(0, 20)):
+            up[length, i] = rng.choice([i - 1, rng.randrange(length)])
+    want = {}
+    for s, i in up:
+        way, k = [], up[s, i]
+        while k is not None and k not in way:
+            way.append(k)
+            k = up[s, k]
+        for n, k in enumerate(way):
+            if k != i:
+                want.setdefault((s, k), []).append(n + 1)
+    sizes, keep = [], hierarchy.stored
+    monkeypatch.setattr(hierarchy, "stored", lambda df: (out := keep(df), sizes.append(out.count()))[0])
+    nodes = spark.createDataFrame([(s, i, p) for (s, i), p in up.items()], "scene_id int, obj_id int, parent_object_id int")
+    found = {(r.scene_id, r.obj_id): (r.n_below, r.deepest) for r in hierarchy.below(nodes, ["scene_id"], "obj_id", "parent_object_id").collect()}
+    assert found == {k: (len(v), max(v)) for k, v in want.items()} and max(sizes) <= len(up) < sum(map(len, want.values()))
+
+
 def test_empty_trees(spark):
     assert flatten.tree_paths(spark.createDataFrame([], "id string, parent string")).count() == 0
     assert hierarchy.ancestors(spark.createDataFrame([], "id string, parent string"), [], "id", "parent").count() == 0
+    assert hierarchy.below(spark.createDataFrame([], "id string, parent string"), [], "id", "parent").count() == 0
 
 
 def test_world_matrices_with_overrides(spark):
