@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from quillon.functions.scoring import compare
 from quillon.operators.state import coverage_group, plan_score
-from quillon.session import stored, stored_folder
+from quillon.session import removed, stored, stored_folder
 
 # Limits of the search.
 DEPTH, TARGET_VERBS, CONTEXT_VERBS, SEEDS, PLANS_PER_ACTION, COMBINATIONS = 60, 20, 10, 10, 3, 20
@@ -395,26 +395,33 @@ def derivations(edges: DataFrame, wants: DataFrame, depth: int = DEPTH) -> DataF
     edges: query_id, stage, subgoal_id, action_id, place: which actions give a subgoal, in order; wants: query_id, stage,
     action_id, subgoal_id: what an action needs that does not hold. From the actions that need nothing, each round reaches the
     subgoals of actions all of whose needs were reached before, the first of them in order. Only what the last round reached is
-    looked at; it ends when that is nothing. An action that only leads around a cycle, or to what nothing gives, is never ready.
+    looked at; it ends when that is nothing. What a round finds is stored before it meets edges, wants or what was reached, so the
+    optimiser knows how small it is and shuffles none of these for it. An action that only leads around a cycle, or to what nothing gives, is never ready.
     """
     spark = edges.sparkSession
     edges, wants = stored(edges), stored(wants)
-    ready = edges.select(*STAGE, "action_id").distinct().join(wants, [*STAGE, "action_id"], "left_anti")
+    ready = stored(edges.select(*STAGE, "action_id").distinct().join(wants, [*STAGE, "action_id"], "left_anti"))
     folder, reached, new = None, None, None
     for height in range(depth + 1):
-        given = edges.join(ready, [*STAGE, "action_id"])
+        given = stored(edges.join(ready, [*STAGE, "action_id"]))
+        fresh = given
         if reached is not None:
-            given = given.join(reached, [*STAGE, "subgoal_id"], "left_anti")
-        found = given.groupBy(*STAGE, "subgoal_id").agg(F.min_by("action_id", F.struct("place", "action_id")).alias("action_id")).withColumn("height", F.lit(height))
+            before = reached.join(given.select(*STAGE, "subgoal_id"), [*STAGE, "subgoal_id"], "left_semi")
+            fresh = given.join(before.select(*STAGE, "subgoal_id"), [*STAGE, "subgoal_id"], "left_anti")
+        found = fresh.groupBy(*STAGE, "subgoal_id").agg(F.min_by("action_id", F.struct("place", "action_id")).alias("action_id")).withColumn("height", F.lit(height))
         folder = folder or stored_folder(spark)
         found.write.parquet(f"{folder}/round-{height}")
         new = spark.read.schema(found.schema).parquet(f"{folder}/round-{height}")
+        removed(given, ready)
         if new.isEmpty():
             break
         reached = spark.read.schema(found.schema).parquet(*(f"{folder}/round-{k}" for k in range(height + 1)))
-        touched = wants.join(new.select(*STAGE, "subgoal_id"), [*STAGE, "subgoal_id"], "left_semi").select(*STAGE, "action_id").distinct()
-        checked = wants.join(touched, [*STAGE, "action_id"]).join(reached.select(*STAGE, "subgoal_id", F.lit(1).alias("_met")), [*STAGE, "subgoal_id"], "left")
-        ready = checked.groupBy(*STAGE, "action_id").agg(F.count("*").alias("_n"), F.count("_met").alias("_m")).where("_n = _m").select(*STAGE, "action_id")
+        touched = stored(wants.join(new.select(*STAGE, "subgoal_id"), [*STAGE, "subgoal_id"], "left_semi").select(*STAGE, "action_id").distinct())
+        checked = stored(wants.join(touched, [*STAGE, "action_id"]))
+        held = reached.join(checked.select(*STAGE, "subgoal_id"), [*STAGE, "subgoal_id"], "left_semi").select(*STAGE, "subgoal_id", F.lit(1).alias("_met"))
+        met = checked.join(held, [*STAGE, "subgoal_id"], "left")
+        ready = stored(met.groupBy(*STAGE, "action_id").agg(F.count("*").alias("_n"), F.count("_met").alias("_m")).where("_n = _m").select(*STAGE, "action_id"))
+        removed(touched, checked)
     return new if reached is None else reached
 
 

@@ -114,6 +114,31 @@ def test_shared_needs_are_taken_once_and_the_shortest_way_wins(spark):
     assert plans(spark, rows, ["goal"]) == {"goal": ["base", "left", "right", "goal"]}
 
 
+def test_rounds_shuffle_what_they_find_and_not_the_tables(spark):
+    """Chains of six beside forty thousand edges and wants that nothing reaches: these are not shuffled again in each round."""
+    chains, idle = 50, 40000
+    edges = spark.range(chains * 6).selectExpr("'q' AS query_id", "'all' AS stage", "concat('s', id) AS subgoal_id", "concat('a', id) AS action_id", "1 AS place")
+    more = spark.range(idle).selectExpr("'q' AS query_id", "'all' AS stage", "concat('x', id) AS subgoal_id", "concat('y', id) AS action_id", "1 AS place")
+    wants = spark.range(chains * 6).where("id % 6 > 0").selectExpr("'q' AS query_id", "'all' AS stage", "concat('a', id) AS action_id", "concat('s', id - 1) AS subgoal_id")
+    never = spark.range(idle).selectExpr("'q' AS query_id", "'all' AS stage", "concat('y', id) AS action_id", "concat('never', id) AS subgoal_id")
+    store = spark._jsc.sc().statusStore()
+    before = max((s.stageId() for s in _stages(store)), default=-1)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, "100KB")  # of the files of the tables a fraction, as the usual one is at size
+    try:
+        found = planning.derivations(edges.unionByName(more), wants.unionByName(never))
+    finally:
+        spark.conf.set(name, usual)
+    assert {r.subgoal_id: r.height for r in found.collect()} == {f"s{i}": i % 6 for i in range(chains * 6)}
+    assert sum(s.shuffleWriteRecords() for s in _stages(store) if s.stageId() > before) < 3 * idle
+
+
+def _stages(store):
+    found = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+    return [found.apply(i) for i in range(found.size())]
+
+
 def test_near_needs_are_all_that_is_looked_at(spark, monkeypatch):
     rows = [(f"a{i}", "new", str(i)) for i in range(4)] + [(f"a{i}", "precondition", str(i - 1)) for i in range(1, 4)] + [("b2", "new", "2"), ("b2", "precondition", "never")]
     rows += [(f"z{i}", "new", f"z{i}") for i in range(30)] + [(f"z{i}", "precondition", f"z{i - 1}") for i in range(1, 30)]  # nothing asks for these
