@@ -1,7 +1,7 @@
 """Renders of scenes: triangle meshes, half-space clipping, a camera, and a z-buffer as a minimum per pixel.
 
 A scene is parsed once into rows of elements, which are dealt over the cluster whatever scene they are of. Elements become
-triangles, triangles pixels: a task keeps a z-buffer of small tiles and emits the nearest triangle of each pixel it met, so
+triangles, triangles pixels, many at a time: a task emits the nearest triangle of each pixel of a bounded number of pixels, so
 triangles that hide one another are reduced before the shuffle, and the minimum per pixel over all tasks is the image. No
 task holds a whole image or a whole scene's geometry.
 """
@@ -12,10 +12,12 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ PLAIN, BACKGROUND = (0.6, 0.6, 0.6), (0.97, 0.97, 0.97)
 AMBIENT, DIFFUSE, LIGHT = 0.35, 0.65, (0.3, -0.5, 0.8)
 ELEVATION, AZIMUTH, DISTANCE, FIELD, NEAR, FAR = 22.0, -50.0, 2.5, 45.0, 0.1, 100000.0
 WIDTH, HEIGHT = 1000, 800
-#: Side of a tile, and the tiles that a task keeps before it emits them.
-TILE, TILES = 32, 512
+#: Triangles that are placed together, and pixels that are compared before the nearest are emitted.
+TILES, PIXELS_AT_ONCE = 1 << 16, 1 << 20
 
 
 def colour(material: object) -> tuple[float, float, float]:
@@ -201,16 +203,35 @@ TRIANGLES = "scene_id string, object_ix int, element_ix int, triangle_ix int, ob
 def triangles(parts: DataFrame, light: tuple[float, float, float] = LIGHT) -> DataFrame:
     """TRIANGLES of ELEMENTS: nine world coordinates and a shaded colour each. Elements are dealt to all tasks first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                own = mesh(json.loads(r.element))
-                x, y, z = own[:, :, 0], own[:, :, 1], own[:, :, 2]
-                v = np.stack([moved(np.asarray(r.frame), x, y, z, k) for k in range(3)], axis=2).reshape(-1, 9)
-                lit = np.minimum(1.0, shades(v, light)[:, None] * np.asarray(r.rgb)[None, :])
-                yield pd.DataFrame({"scene_id": r.scene_id, "object_ix": r.object_ix, "element_ix": r.element_ix, "triangle_ix": range(len(v)), "object_id": r.object_id, "v": v.tolist(), "rgb": lit.tolist()}).astype({"object_ix": "int32", "element_ix": "int32", "triangle_ix": "int32"})
-
-    return dealt(parts).mapInPandas(run, TRIANGLES)
+    def place(batch: pa.RecordBatch, rows: np.ndarray, meshes: list[np.ndarray]) -> pa.RecordBatch:
+        counts = [len(x) for x in meshes]
+        of, own = np.repeat(rows, counts), np.concatenate(meshes)
+        each = lambda name, n: batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)[of]
+        m, x, y, z = each("frame", 16).T[:, :, None], own[:, :, 0], own[:, :, 1], own[:, :, 2]
+        v = np.stack([moved(m, x, y, z, k) for k in range(3)], axis=2).reshape(-1, 9)
+        lit = np.minimum(1.0, shades(v, light)[:, None] * each("rgb", 3))
+        listed = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel()))
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        taken = {c: batch.column(c).take(pa.array(of)) for c in ("scene_id", "object_ix", "element_ix", "object_id")}
+        found = taken | {"triangle_ix": pa.array(nth.astype(np.int32)), "v": listed(v), "rgb": listed(lit)}
+        names = [c.split()[0] for c in TRIANGLES.split(", ")]
+        return pa.RecordBatch.from_arrays([found[c] for c in names], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = lru_cache(1024)(lambda text: mesh(json.loads(text)))  # many elements are alike
+        for batch in batches:
+            rows, meshes, n = [], [], 0
+            for i, text in enumerate(batch.column("element").to_pylist()):
+                rows.append(i)
+                meshes.append(shape(text))
+                n += len(meshes[-1])
+                if n >= TILES:
+                    yield place(batch, np.array(rows), meshes)
+                    rows, meshes, n = [], [], 0
+            if n:
+                yield place(batch, np.array(rows), meshes)
+
+    return dealt(parts).mapInArrow(run, TRIANGLES)
 
 
 def projection(eye: np.ndarray, target: np.ndarray, up: np.ndarray, width: int, height: int, field: float = FIELD) -> np.ndarray:
@@ -254,22 +275,29 @@ def seen(m: np.ndarray, v: np.ndarray, width: int, height: int) -> tuple[np.ndar
     return kept, (nx + 1.0) * 0.5 * width, (1.0 - ny) * 0.5 * height, nz
 
 
-def covered(x: np.ndarray, y: np.ndarray, z: np.ndarray, width: int, height: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(tile row, tile column, depths, whether it is covered) of each tile that a triangle meets; a pixel counts by its middle."""
-    low = lambda c: max(0, int(np.floor(c.min())))
-    high = lambda c, n: min(n - 1, int(np.ceil(c.max())))
-    area = (y[1] - y[2]) * (x[0] - x[2]) + (x[2] - x[1]) * (y[0] - y[2])
-    if abs(area) < 1e-12:
-        return
-    for row in range(low(y) // TILE, high(y, height) // TILE + 1):
-        for column in range(low(x) // TILE, high(x, width) // TILE + 1):
-            px, py = (np.arange(TILE) + column * TILE + 0.5)[None, :], (np.arange(TILE) + row * TILE + 0.5)[:, None]
-            a = ((y[1] - y[2]) * (px - x[2]) + (x[2] - x[1]) * (py - y[2])) / area
-            b = ((y[2] - y[0]) * (px - x[2]) + (x[0] - x[2]) * (py - y[2])) / area
-            c = 1.0 - a - b
-            inside = (a >= 0) & (b >= 0) & (c >= 0) & (px < width) & (py < height)
-            if inside.any():
-                yield row, column, a * z[0] + b * z[1] + c * z[2], inside
+def covered(x: np.ndarray, y: np.ndarray, z: np.ndarray, width: int, height: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(triangle, column, row, depth) of the pixels that triangles (n, 3) cover, some at a time in order of triangle; a pixel counts by its middle."""
+    low = lambda c, n: np.clip(np.floor(c.min(axis=1)), 0, n).astype(np.int64)
+    high = lambda c, n: np.clip(np.ceil(c.max(axis=1)), -1, n - 1).astype(np.int64)
+    area = (y[:, 1] - y[:, 2]) * (x[:, 0] - x[:, 2]) + (x[:, 2] - x[:, 1]) * (y[:, 0] - y[:, 2])
+    top, left, wide = low(y, height), low(x, width), np.maximum(high(x, width) - low(x, width) + 1, 0)
+    lines = np.where((np.abs(area) >= 1e-12) & (wide > 0), np.maximum(high(y, height) - top + 1, 0), 0)
+    ends = np.cumsum(lines)
+    step = max(1, PIXELS_AT_ONCE // width)
+    for start in range(0, int(ends[-1]) if len(ends) else 0, step):
+        line = np.arange(start, min(start + step, int(ends[-1])))  # a line of a triangle's box
+        of = np.searchsorted(ends, line, side="right")
+        rows, count = top[of] + line - (ends[of] - lines[of]), wide[of]
+        t, row = np.repeat(of, count), np.repeat(rows, count)
+        column = np.arange(len(t)) - np.repeat(np.cumsum(count) - count, count) + left[t]
+        px, py = column + 0.5, row + 0.5
+        x0, x1, x2, y0, y1, y2 = (c[t, k] for c in (x, y) for k in range(3))
+        a = ((y1 - y2) * (px - x2) + (x2 - x1) * (py - y2)) / area[t]
+        b = ((y2 - y0) * (px - x2) + (x0 - x2) * (py - y2)) / area[t]
+        c = 1.0 - a - b
+        inside = (a >= 0) & (b >= 0) & (c >= 0)
+        t = t[inside]
+        yield t, column[inside], row[inside], a[inside] * z[t, 0] + b[inside] * z[t, 1] + c[inside] * z[t, 2]
 
 
 def pixels(found: DataFrame, cameras: DataFrame, width: int = WIDTH, height: int = HEIGHT, field: float = FIELD) -> DataFrame:
@@ -282,40 +310,32 @@ def pixels(found: DataFrame, cameras: DataFrame, width: int = WIDTH, height: int
     told = cameras.select("scene_id", "eye", "target", up.alias("up")).join(sizes, "scene_id")
     total = sizes.agg(F.sum("_n")).first()[0] or 0
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near: dict[tuple[str, int, int], tuple[np.ndarray, np.ndarray]] = {}
-        rows: list[tuple] = []
-
-        def flush() -> pd.DataFrame:
-            out = []
-            for (scene, row, column), (depth, of) in near.items():
-                for i, j in zip(*np.nonzero(of >= 0), strict=True):
-                    t = rows[of[i, j]]
-                    out.append((scene, column * TILE + int(j), row * TILE + int(i), float(depth[i, j]), *t))
-            near.clear()
-            rows.clear()
-            return pd.DataFrame(out, columns=[c.split()[0] for c in PIXELS.split(", ")]).astype({c: "int32" for c in ("x", "y", "object_ix", "element_ix", "triangle_ix", "r", "g", "b")})
-
-        for pdf in batches:
-            for scene, part in pdf.groupby("scene_id", sort=False):
-                first = part.iloc[0]
-                m = projection(np.asarray(first["eye"]), np.asarray(first["target"]), np.asarray(first["up"]), width, height, field).ravel()
-                part = part.sort_values(["object_ix", "element_ix", "triangle_ix"])
-                kept, x, y, z = seen(m, np.stack(part["v"].to_numpy()), width, height)
-                for k, r in enumerate(part.itertuples(index=False)):
-                    if not kept[k]:
-                        continue
-                    rows.append((r.object_ix, r.element_ix, r.triangle_ix, r.object_id, *(int(c * 255) for c in r.rgb)))
-                    for row, column, depth, inside in covered(x[k], y[k], z[k], width, height):
-                        least, of = near.setdefault((scene, row, column), (np.full((TILE, TILE), np.inf), np.full((TILE, TILE), -1)))
-                        better = inside & (depth < least)
-                        least[better], of[better] = depth[better], len(rows) - 1
-                    if len(near) > TILES:
-                        yield flush()
-            if near:
-                yield flush()
-
-    some = dealt(joined(found, told, ["scene_id"], "_n", total)).mapInPandas(run, PIXELS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in PIXELS.split(", ")]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ints = {c: batch.column(c).to_numpy() for c in ("object_ix", "element_ix", "triangle_ix")}
+            order = np.lexsort([ints["triangle_ix"], ints["element_ix"], ints["object_ix"]])
+            numbers = lambda name, n: batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)[order]  # noqa: B023, E731
+            views, which = np.unique(np.concatenate([numbers(c, 3) for c in ("eye", "target", "up")], axis=1), axis=0, return_inverse=True)
+            m = np.stack([projection(v[:3], v[3:6], v[6:], width, height, field).ravel() for v in views])[which.ravel()]
+            kept, x, y, z = seen(m.T[:, :, None], numbers("v", 9), width, height)
+            kept = np.flatnonzero(kept)
+            scene = batch.column("scene_id").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[order]
+            rgb = (numbers("rgb", 3) * 255).astype(np.int32)
+            for t, column, row, depth in covered(x[kept], y[kept], z[kept], width, height):
+                t = kept[t]
+                pixel = (scene[t] * height + row) * width + column
+                nearest = np.lexsort([t, depth, pixel])
+                nearest = nearest[np.r_[True, np.diff(pixel[nearest]) != 0][: len(nearest)]]
+                t = t[nearest]
+                at = pa.array(order[t])
+                found = {c: batch.column(c).take(at) for c in ("scene_id", "object_ix", "element_ix", "triangle_ix", "object_id")} | {c: pa.array(rgb[t, k]) for k, c in enumerate("rgb")}
+                found |= {"x": pa.array(column[nearest].astype(np.int32)), "y": pa.array(row[nearest].astype(np.int32)), "depth": pa.array(depth[nearest])}
+                yield pa.RecordBatch.from_arrays([found[c] for c in names], names=names)
+
+    some = dealt(joined(found, told, ["scene_id"], "_n", total)).mapInArrow(run, PIXELS)
     rest = [c.split()[0] for c in PIXELS.split(", ")][3:]
     return some.groupBy("scene_id", "x", "y").agg(F.min(F.struct(*rest)).alias("p")).select("scene_id", "x", "y", "p.*")
 

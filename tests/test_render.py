@@ -106,3 +106,25 @@ def test_what_is_behind_the_camera_is_not_seen(spark):
     assert render.render(scenes, away, 8, 8).count() == 0
     near = spark.createDataFrame([("s", [0.0, -4.0, 0.0], [0.0, 0.0, 0.0], [1.0, 0.0, 0.0])], "scene_id string, eye array<double>, target array<double>, up array<double>")
     assert render.render(scenes, near, 8, 8).count() > 30
+
+
+def test_covered_pixels_of_many_triangles_at_once(monkeypatch):
+    """Against each pixel by itself, in pieces of a few lines; triangles outside, flat ones and one over the whole picture."""
+    rng = np.random.default_rng(4)
+    x, y, z = (rng.uniform(-8, 24, (60, 3)) for _ in range(3))
+    x[0], y[0] = (-50, 80, -50), (-50, -50, 80)
+    x[1] = x[1, 0]
+    monkeypatch.setattr(render, "PIXELS_AT_ONCE", 64)
+    pieces = list(render.covered(x, y, z, 16, 12))
+    assert len(pieces) > 20 and max(len(t) for t, *_ in pieces) <= 64
+    got = [tuple(map(float, r)) for piece in pieces for r in zip(*piece, strict=True)]
+    want = []
+    for t, (p, q, d) in enumerate(zip(x, y, z, strict=True)):
+        area = (q[1] - q[2]) * (p[0] - p[2]) + (p[2] - p[1]) * (q[0] - q[2])
+        for row in range(12) if abs(area) >= 1e-12 else ():
+            for column in range(16):
+                a = ((q[1] - q[2]) * (column + 0.5 - p[2]) + (p[2] - p[1]) * (row + 0.5 - q[2])) / area
+                b = ((q[2] - q[0]) * (column + 0.5 - p[2]) + (p[0] - p[2]) * (row + 0.5 - q[2])) / area
+                if min(a, b, 1.0 - a - b) >= 0:
+                    want.append((t, column, row, a * d[0] + b * d[1] + (1.0 - a - b) * d[2]))
+    assert got == [tuple(map(float, r)) for r in want]
