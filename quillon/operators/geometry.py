@@ -140,8 +140,11 @@ def _extent(e: dict) -> tuple[np.ndarray, np.ndarray]:
 BOXES = "scene_id string, object_id string, template string, parent string, box struct<lo:array<double>,hi:array<double>>"
 
 
-def scene_boxes(scenes: DataFrame) -> DataFrame:
-    """BOXES of every object of (scene_id, scene JSON) rows. A scene is {objects: {id: {...}}}, perhaps in a `3d_assembly` envelope."""
+def scene_boxes(scenes: DataFrame, without: str | None = None) -> DataFrame:
+    """BOXES of every object of (scene_id, scene JSON) rows. A scene is {objects: {id: {...}}}, perhaps in a `3d_assembly` envelope.
+
+    Objects whose id holds the text `without` are left out, and nothing of them is measured.
+    """
 
     def run(batches):
         for pdf in batches:
@@ -150,6 +153,8 @@ def scene_boxes(scenes: DataFrame) -> DataFrame:
                 objects = unwrapped(text)["objects"]
                 at = worlds(objects)
                 for k, o in objects.items():
+                    if without is not None and without in k:
+                        continue
                     lo, hi = world_box(o, at[k])
                     rows.append((scene_id, k, o.get("template"), o.get("parent_object_id"), {"lo": lo.tolist(), "hi": hi.tolist()}))
             yield pd.DataFrame(rows, columns=["scene_id", "object_id", "template", "parent", "box"])

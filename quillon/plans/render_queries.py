@@ -97,5 +97,5 @@ def _operated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_STOOD_SQL} SELECT CAST(s AS VARCHAR) AS scene_id, id AS object_id, list_transform(box, lambda v: round(v, 6)) AS box FROM l")
 def scene_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The world boxes of what was attached, moved, detached, scaled, turned, merged and added."""
-    found = geometry.scene_boxes(_operated(spark, sf_dir).select("scene_id", "scene")).where("object_id not like '%\\_%'")  # slabs are measured by samples
+    found = geometry.scene_boxes(_operated(spark, sf_dir).select("scene_id", "scene"), without="_")  # slabs are measured by samples
     return found.select("scene_id", "object_id", F.transform(F.concat("box.lo", "box.hi"), lambda v: F.round(v, 6) + 0.0).alias("box"))

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-from quillon.operators import render
+from quillon.operators import geometry, render
 
 ELEMENTS = [
     ("sphere", {"radius_cm": 4}), ("ellipsoid", {"radius_x_cm": 3, "radius_y_cm": 5, "radius_z_cm": 2}), ("box", {"size_x_cm": 6, "size_y_cm": 4, "size_z_cm": 3}), ("cylinder", {"radius_cm": 2, "height_cm": 7}),
@@ -128,3 +128,11 @@ def test_covered_pixels_of_many_triangles_at_once(monkeypatch):
                 if min(a, b, 1.0 - a - b) >= 0:
                     want.append((t, column, row, a * d[0] + b * d[1] + (1.0 - a - b) * d[2]))
     assert got == [tuple(map(float, r)) for r in want]
+
+
+def test_boxes_left_out_are_not_measured(spark):
+    """An object that can't be measured does no harm where it is left out."""
+    box = {"element_type": "box", "parameters": {f"size_{a}_cm": 2.0 for a in "xyz"}}
+    text = json.dumps({"objects": {"a": {"elements": [box]}, "a_b": {"elements": [{"parameters": {}}]}}})
+    found = geometry.scene_boxes(spark.createDataFrame([("s", text)], "scene_id string, scene string"), without="_").collect()
+    assert [(r.object_id, r.box.hi) for r in found] == [("a", [1.0, 1.0, 1.0])]
