@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.functions.embedding import hashed_ngrams
+from quillon.functions.units import rounded
 from quillon.operators import planning, relations, similarity, templates
 
 
@@ -49,6 +50,21 @@ def test_full_cells_are_dealt_and_small_groups_paired(spark, monkeypatch):
     assert relations.between_links(points.where("scene = 'few'"), ["scene"]).count() == sum(1 for r in _triples([r for r in rows if r[0] == "few"]))
 
 
+def test_conditions_of_pairs_hold_no_predicates(spark):
+    """Candidates are compared by their distance alone; what else a pair is, is worked out for those that are near enough."""
+    points = spark.createDataFrame([(i, {"lo": [float(i)] * 3, "hi": [i + 1.0] * 3}) for i in range(9)], "object_id int, box struct<lo array<double>, hi array<double>>")
+    plan = relations.links(points, [], wanted=relations.LOCAL)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "_part" in line]
+    assert joins and not any("around" in line or "size(" in line or "CASE" in line for line in joins)
+
+
+def test_rounding_without_decimals_is_the_same(spark):
+    rng = random.Random(3)
+    values = [0.0, -0.0, -1e-9, 0.5e-6, 1.5e-6, 2.5e-6, 1.0000005, 123.4567895, 1e6, 1e12 + 0.1, float("nan"), float("inf"), None, *(rng.choice([-1, 1]) * rng.random() * 10 ** rng.randrange(-8, 14) for _ in range(3000)), *((n / 4) ** 0.5 for n in range(3000))]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 6).alias("a"), rounded(F.col("x"), 6).alias("b")).collect()
+    assert [repr(r.a) for r in rows] == [repr(r.b) for r in rows]
+
+
 def _triples(rows):
     """(source, target, third) by the rule's words."""
     gap = lambda a, b: sum(max(0.0, a["lo"][k] - b["hi"][k], b["lo"][k] - a["hi"][k]) ** 2 for k in range(3)) ** 0.5
