@@ -33,10 +33,7 @@ def _world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 @query(f"WITH {_LEAVES_SQL} SELECT plan_id, count(DISTINCT object) AS n_objects, count(*) AS n_leaves, md5(string_agg(object || '.' || path || '=' || value, ';' ORDER BY object, path)) AS state FROM x GROUP BY plan_id")
 def plan_worlds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The world before each order: the parts of its suppliers, as the first of them has each."""
-    told = lambda x: F.concat(x["object"], F.lit("."), x["path"], F.lit("="), x["value"])
-    nested = world.nested_of_plans(*_world(spark, sf_dir)).groupBy("plan_id").agg(F.array_sort(F.flatten(F.collect_list("leaves"))).alias("leaves"))
-    objects = F.size(F.array_distinct(F.transform("leaves", lambda x: x["object"]))).cast("long")
-    return nested.select("plan_id", objects.alias("n_objects"), F.size("leaves").cast("long").alias("n_leaves"), F.md5(F.array_join(F.transform("leaves", told), ";")).alias("state"))
+    return world.states_of_plans(*_world(spark, sf_dir))
 
 
 @query(f"WITH {_LEAVES_SQL} SELECT plan_id, object, max(value) FILTER (path = 'position.relation') AS relation, max(value) FILTER (path = 'position.relative_to') AS relative_to FROM x GROUP BY ALL HAVING count(*) FILTER (path = 'position.relation') > 0")

@@ -1,5 +1,6 @@
 """Scene operations, geometry, shapes, chaining and simulation."""
 
+import hashlib
 import json
 import random
 import time
@@ -286,3 +287,24 @@ def test_worlds_hold_a_row_for_each_memory_of_a_plan(spark):
     assert {(r.plan_id, r.object, r.path, r.value) for r in world.of_plans(*frames).collect()} == {(*k, *x) for k, (_, v) in want.items() for x in v.items()}
     both = [(*k, v["position.relation"], v["position.relative_to"]) for k, (_, v) in want.items() if "position.relative_to" in v]
     assert sorted(map(tuple, world.relations_of_plans(*frames).collect())) == sorted(both)
+
+
+def test_memories_that_are_alike_send_no_objects_with_plans(spark):
+    rng = random.Random(9)
+    of = {m: [f"o{i}" for i in range(3 if m < 4 else m)] for m in range(8)}  # memories 0 to 3 are alike
+    steps = [(p, rng.randrange(3), f"{p}.{i}", rng.randrange(4) if p < 20 else rng.randrange(8)) for p in range(40) for i in range(4)]
+    leaves = [(m, o, path, f"{m}{path}") for m, objects in of.items() for o in objects for path in ("size", "kind")[: 1 + m % 2]]
+    frames = spark.createDataFrame([s[:3] for s in steps], "plan_id int, step int, action_id string"), spark.createDataFrame([(s[2], s[3]) for s in steps] * 2, "action_id string, memory_id int"), spark.createDataFrame([*leaves, (9, None, "size", "1")], "memory_id int, object string, path string, value string")
+    want, rows = {}, {}
+    for p, _, _, m in sorted(steps, key=lambda s: (s[0], s[1], s[3])):
+        for o in of[m]:
+            if want.setdefault((p, o), m) == m:
+                rows.setdefault(p, set()).update((o, path, value) for k, x, path, value in leaves if (k, x) == (m, o))
+    state = lambda found: hashlib.md5(";".join(f"{o}.{path}={value}" for o, path, value in sorted(found)).encode()).hexdigest()
+    told = {r.plan_id: (r.n_objects, r.n_leaves, r.state) for r in world.states_of_plans(*frames).collect()}
+    assert told == {p: (len({o for o, _, _ in found}), len(found), state(found)) for p, found in rows.items()} and len(told) == 40
+    won = world.winners(*frames).collect()
+    assert all(r.objects is None and r.n == 1 for r in won if r.plan_id < 20) and any(r.objects for r in won) and any(r.n > 1 for r in won)
+    for r in won:
+        taken = {o for (p, o), m in want.items() if (p, m) == (r.plan_id, r.memory_id)}
+        assert taken == set(of[r.memory_id] if r.objects is None else r.objects)
